@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from pavesa.plans import refine_queries  # noqa: F401
+from pavesa.plans import refine_queries, spatial_queries  # noqa: F401
 from pavesa.plans.registry import QUERIES, SQL  # noqa: F401

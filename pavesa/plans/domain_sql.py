@@ -33,12 +33,12 @@ def dr(expr: str, digits: int) -> str:
     return f"cast(round(cast({expr} as decimal(28,8)), {digits}) as double)"
 
 
-MPD = "(6371008.8*3.141592653589793/180.0)"
+MPD = "111195.08023353292e0"
 
 
 def hav(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
     return (
-        f"(2*6371008.8*asin(sqrt(least(pow(sin(radians({lat2}-({lat1}))/2),2)+cos(radians({lat1}))*cos(radians({lat2}))"
+        f"(2*6371008.8e0*asin(sqrt(least(pow(sin(radians({lat2}-({lat1}))/2),2)+cos(radians({lat1}))*cos(radians({lat2}))"
         f"*pow(sin(radians({lon2}-({lon1}))/2),2),1.0))))"
     )
 
