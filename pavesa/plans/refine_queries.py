@@ -14,6 +14,14 @@ from pavesa.plans.registry import query
 DATE = "strftime({0},'%Y-%m-%d') AS {0}"
 
 
+def time_text(name: str):
+    return F.date_format(name, "yyyy-MM-dd HH:mm:ss").alias(name)
+
+
+def time_sql(names: str) -> str:
+    return ", ".join(f"strftime({n},'%Y-%m-%d %H:%M:%S') AS {n}" for n in names.split())
+
+
 def day_text(name: str):
     return F.date_format(name, "yyyy-MM-dd").alias(name)
 
@@ -75,21 +83,21 @@ def s02(t):
     )
 
 
-@query("s03_canonical_warning", with_views("warning", """SELECT cap_identifier, language, area_code, level_label, level_rank, is_warning,
-  temperature_max_c, onset_at, expires_at, sent_at, warning_id, source_file_path, duplicate_source_count FROM warning"""))
+@query("s03_canonical_warning", with_views("warning", f"""SELECT cap_identifier, language, area_code, level_label, level_rank, is_warning,
+  temperature_max_c, {time_sql('onset_at expires_at sent_at')}, warning_id, source_file_path, duplicate_source_count FROM warning"""))
 def s03(t):
     return pipeline.warnings(t).select(
         "cap_identifier", "language", "area_code", "level_label", "level_rank", "is_warning", "temperature_max_c",
-        "onset_at", "expires_at", "sent_at", "warning_id", "source_file_path", "duplicate_source_count",
+        time_text("onset_at"), time_text("expires_at"), time_text("sent_at"), "warning_id", "source_file_path", "duplicate_source_count",
     )
 
 
-@query("s04_canonical_road", with_views("road", """SELECT id_tramo, inspire_id, id_vial, source_fid, clase, clase_code, nombre, n_carriles,
-  territory_code, imported_at FROM road"""))
+@query("s04_canonical_road", with_views("road", f"""SELECT id_tramo, inspire_id, id_vial, source_fid, clase, clase_code, nombre, n_carriles,
+  territory_code, {time_sql('imported_at')} FROM road"""))
 def s04(t):
     return pipeline.roads(t).select(
         "id_tramo", "inspire_id", "id_vial", "source_fid", "clase", F.col("clase_code").cast("bigint").alias("clase_code"),
-        "nombre", "n_carriles", "territory_code", "imported_at",
+        "nombre", "n_carriles", "territory_code", time_text("imported_at"),
     )
 
 
@@ -167,12 +175,12 @@ def w01(t):
     return canonical.first_per_key(rows, ["id_tramo"], order).select("id_tramo", "source_fid")
 
 
-@query("w02_daily_representative", with_views("feature", """SELECT feature_id, warning_id, level_label, level_rank, is_warning, temperature_max_c,
-  onset_at, expires_at, sent_at, source_version_count FROM feature"""))
+@query("w02_daily_representative", with_views("feature", f"""SELECT feature_id, warning_id, level_label, level_rank, is_warning, temperature_max_c,
+  {time_sql('onset_at expires_at sent_at')}, source_version_count FROM feature"""))
 def w02(t):
     return pipeline.features(t).select(
-        "feature_id", "warning_id", "level_label", "level_rank", "is_warning", "temperature_max_c", "onset_at", "expires_at",
-        "sent_at", "source_version_count",
+        "feature_id", "warning_id", "level_label", "level_rank", "is_warning", "temperature_max_c", time_text("onset_at"),
+        time_text("expires_at"), time_text("sent_at"), "source_version_count",
     )
 
 
