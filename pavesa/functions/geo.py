@@ -29,7 +29,7 @@ def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colum
 
 
 def ring_edges(ring: Column) -> Column:
-    n = F.size(ring) - 1
+    n = F.greatest(F.size(ring) - 1, F.lit(0))
     return F.zip_with(
         F.slice(ring, F.lit(1), n),
         F.slice(ring, F.lit(2), n),

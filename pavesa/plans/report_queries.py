@@ -519,9 +519,9 @@ AREA_SQL = "(abs(radians(maxx-minx)*(sin(radians(miny))-sin(radians(maxy))))*637
 
 
 @query("z12_landcover_at_point", with_views("landcover_norm landcover", f"""SELECT n.*, CASE WHEN try_cast(superficie_ha as double)>=0 AND NOT isnan(try_cast(superficie_ha as double)) THEN {dr('try_cast(superficie_ha as double)', 2)} ELSE {dr(AREA_SQL, 1)} END AS surface_ha,
-  CASE WHEN try_cast(superficie_ha as double)>=0 AND NOT isnan(try_cast(superficie_ha as double)) THEN 'attribute' ELSE 'computed' END AS surface_ha_source FROM landcover_norm n JOIN landcover l USING (cover_id) WHERE -3.5 BETWEEN minx AND maxx AND 40.2 BETWEEN miny AND maxy"""))
+  CASE WHEN try_cast(superficie_ha as double)>=0 AND NOT isnan(try_cast(superficie_ha as double)) THEN 'attribute' ELSE 'computed' END AS surface_ha_source FROM landcover_norm n JOIN landcover l USING (cover_id) WHERE -2.87 BETWEEN minx AND maxx AND 39.89 BETWEEN miny AND maxy"""))
 def z12(t):
-    px, py = F.lit(-3.5), F.lit(40.2)
+    px, py = F.lit(-2.87), F.lit(39.89)
     hit = t.landcover().withColumn("hilucs", F.lit("H")).filter(geo.covered_by_edges(px, py, geo.ring_edges(c("ring"))))
     given = S.clean_surface(c("superficie_ha"))
     return landcover_attributes(hit).select(
