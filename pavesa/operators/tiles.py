@@ -77,7 +77,11 @@ def quantise(tiled: DataFrame) -> DataFrame:
     snap = lambda p: F.struct(F.rint(p.x).cast("int").alias("x"), F.rint(p.y).cast("int").alias("y"))
     fresh = lambda p, i: (i == 0) | (p != F.get(F.col("grid"), i - 1))
     out = rows.withColumn("grid", F.transform("grid", snap)).withColumn("grid", F.filter("grid", fresh))
-    twice_area = F.aggregate(
-        geo.ring_edges(F.col("grid")), F.lit(0).cast("bigint"), lambda s, e: s + (e.x1 * e.y2 - e.x2 * e.y1).cast("bigint")
-    )
-    return out.filter((F.size("grid") >= 4) & (twice_area != 0))
+    def solid(ring: Column) -> Column:
+        turns = F.transform(geo.ring_edges(ring), lambda e: (e.x1 * e.y2 - e.x2 * e.y1).cast("bigint"))
+        return (F.size(ring) >= 4) & (F.aggregate(turns, F.lit(0).cast("bigint"), lambda s, v: s + v) != 0)
+
+    # An outer explode keeps the test above the clipping steps; a plain filter would be pushed
+    # down through them and copy their expressions many times over.
+    kept = out.withColumn("grid", F.explode_outer(F.filter(F.array("grid"), solid)))
+    return kept.filter("grid IS NOT NULL")
