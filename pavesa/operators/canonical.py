@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pavesa.functions import geo
 from pavesa.functions import scalar as S
 
 HOTSPOT_KEY = ["dataset_type", "firms_source", "satellite", "latitude", "longitude", "acq_date", "acq_time"]
@@ -18,7 +19,7 @@ def canonical_hotspots(obs: DataFrame) -> DataFrame:
         .agg(
             *[F.max(c).alias(c) for c in ("instrument", "confidence", "daynight", "bright_ti4", "frp", "observed_at")],
             F.array_sort(F.collect_set("bbox_region")).alias("bbox_regions"),
-            F.size(F.collect_set("source_download_id")).cast("bigint").alias("source_download_count"),
+            F.countDistinct("source_download_id").alias("source_download_count"),
             F.count("*").alias("source_observation_count"),
             F.min("source_observation_id").alias("hotspot_id"),
         )
@@ -109,17 +110,11 @@ def settlements(src: DataFrame) -> DataFrame:
             S.capital_code(F.col("capit_0502")).alias("capital_code"),
             (S.capital_code(F.col("capit_0502")) != "0000").alias("is_capital"),
             "ring",
-            geo_bbox("ring").alias("bbox"),
+            geo.ring_bbox(F.col("ring")).alias("bbox"),
         )
     )
 
 
-def geo_bbox(ring: str) -> Column:
-    from pavesa.functions import geo
-
-    return geo.ring_bbox(F.col(ring))
-
-
 def roads(src: DataFrame) -> DataFrame:
     """One road segment per id: best class, newest import, lowest feature id."""
     cleaned = src.filter("line IS NOT NULL AND id_tramo IS NOT NULL AND size(line) >= 2").select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,8 +65,6 @@ def roads_near(roads: DataFrame, lon: float, lat: float, radius_m: float, classe
     """Roads with any part within the radius; box filter first, exact segment distance after."""
     rows = roads if not classes else roads.filter(F.col("clase").isin(*classes))
     dy = radius_m / geo.M_PER_DEG
-    import math
-
     dx = dy / math.cos(math.radians(min(abs(lat) + dy, 89.0)))
     box = geo.ring_bbox(F.col("line"))
     hit = geo.box_overlaps(box.minx, box.miny, box.maxx, box.maxy, (lon - dx, lat - dy, lon + dx, lat + dy))
@@ -78,7 +78,7 @@ def roads_near(roads: DataFrame, lon: float, lat: float, radius_m: float, classe
     )
 
 
-def shape_at_point(points: DataFrame, shapes: DataFrame, size: float = 0.125) -> DataFrame:
+def shape_at_point(points: DataFrame, shapes: DataFrame, size: float = 0.03125) -> DataFrame:
     """``points(px, py)`` x ``shapes(shape_id, ring)``: the lowest shape id covering each distinct point.
 
     Points are made distinct first, as many rows share one coordinate.
