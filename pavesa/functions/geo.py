@@ -5,7 +5,7 @@ Everything here is a pure Column expression, so it stays in the JVM.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pavesa.constants import AUTHALIC_RADIUS_M, EARTH_RADIUS_M, MERCATOR_HALF_M
@@ -87,26 +87,46 @@ def line_distance(px: Column, py: Column, line: Column, sx, sy) -> Column:
     )
 
 
-def ring_ring_distance(a: Column, b: Column, sx, sy) -> Column:
-    """0 when two simple rings touch or overlap, else the smallest vertex-to-edge distance."""
-    ea, eb = ring_edges(a), ring_edges(b)
+def edges_touch(ea: Column, eb: Column) -> Column:
+    """Two simple rings, given by their edges, touch or overlap."""
+    return (
+        F.exists(ea, lambda e: covered_by_edges(e.x1, e.y1, eb))
+        | F.exists(eb, lambda e: covered_by_edges(e.x1, e.y1, ea))
+        | F.exists(ea, lambda p: F.exists(eb, lambda q: segments_cross(p, q)))
+    )
+
+
+def edges_gap(ea: Column, eb: Column, sx, sy) -> Column:
+    """Smallest vertex-to-edge distance between two disjoint rings.
 
-    def nearest(vertices, edges):
+    Pass stored edge columns: an edge expression would be rebuilt for every vertex.
+    """
+
+    def nearest(vertices: Column, edges: Column) -> Column:
         return F.array_min(
             F.transform(
                 vertices,
                 lambda v: F.array_min(
-                    F.transform(edges, lambda e: segment_distance(v.x, v.y, e.x1, e.y1, e.x2, e.y2, sx, sy))
+                    F.transform(edges, lambda e: segment_distance(v.x1, v.y1, e.x1, e.y1, e.x2, e.y2, sx, sy))
                 ),
             )
         )
 
-    inside = (
-        F.exists(a, lambda v: covered_by_edges(v.x, v.y, eb))
-        | F.exists(b, lambda v: covered_by_edges(v.x, v.y, ea))
-        | F.exists(ea, lambda p: F.exists(eb, lambda q: segments_cross(p, q)))
-    )
-    return F.when(inside, F.lit(0.0)).otherwise(F.least(nearest(a, eb), nearest(b, ea)))
+    return F.least(nearest(ea, eb), nearest(eb, ea))
+
+
+def edges_distance(px: Column, py: Column, edges: Column, sx, sy) -> Column:
+    return F.array_min(F.transform(edges, lambda e: segment_distance(px, py, e.x1, e.y1, e.x2, e.y2, sx, sy)))
+
+
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add costly columns so that later filters on them stay above.
+
+    A plain projection would let the optimizer push such a filter below it and evaluate the
+    expression twice.
+    """
+    packed = F.explode(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))).alias("_once")
+    return df.select("*", packed).select(*df.columns, "_once.*")
 
 
 def _side(ax, ay, bx, by, cx, cy) -> Column:
@@ -135,18 +155,31 @@ def box_overlaps(minx, miny, maxx, maxy, box) -> Column:
     return (minx <= bmaxx) & (maxx >= bminx) & (miny <= bmaxy) & (maxy >= bminy)
 
 
+def edge_meets_box(e: Column, minx, miny, maxx, maxy) -> Column:
+    """The stretch of the edge inside both axis ranges is not empty."""
+
+    def span(start: Column, step: Column, lo, hi) -> tuple[Column, Column]:
+        inf = float("inf")
+        a, b = (lo - start) / F.nullif(step, F.lit(0.0)), (hi - start) / F.nullif(step, F.lit(0.0))
+        still = start.between(lo, hi)
+        enter = F.when(step == 0, F.when(still, F.lit(-inf)).otherwise(F.lit(inf))).otherwise(F.least(a, b))
+        leave = F.when(step == 0, F.when(still, F.lit(inf)).otherwise(F.lit(-inf))).otherwise(F.greatest(a, b))
+        return enter, leave
+
+    in_x, out_x = span(e.x1, e.x2 - e.x1, minx, maxx)
+    in_y, out_y = span(e.y1, e.y2 - e.y1, miny, maxy)
+    return F.greatest(in_x, in_y, F.lit(0.0)) <= F.least(out_x, out_y, F.lit(1.0))
+
+
+def edges_meet_box(edges: Column, box, closed: bool = True) -> Column:
+    """Exact shape-envelope test: an edge reaches into the box, or the box lies inside the ring."""
+    minx, miny, maxx, maxy = [v if isinstance(v, Column) else F.lit(float(v)) for v in box]
+    met = F.exists(edges, lambda e: edge_meets_box(e, minx, miny, maxx, maxy))
+    return met | covered_by_edges(minx, miny, edges) if closed else met
+
+
 def ring_meets_box(ring: Column, box, closed: bool = True) -> Column:
-    """Exact shape-envelope test: a vertex inside, an edge crossing, or the box inside the ring."""
-    bminx, bminy, bmaxx, bmaxy = [F.lit(v) if not isinstance(v, Column) else v for v in box]
-    edges = ring_edges(ring)
-    corners = box_ring(bminx, bminy, bmaxx, bmaxy)
-    sides = ring_edges(corners)
-    vertex = F.exists(ring, lambda p: p.x.between(bminx, bmaxx) & p.y.between(bminy, bmaxy))
-    crossing = F.exists(edges, lambda e: F.exists(sides, lambda s: segments_cross(e, s)))
-    met = vertex | crossing
-    if closed:
-        met = met | covered_by_edges(bminx, bminy, edges)
-    return met
+    return edges_meet_box(ring_edges(ring), box, closed)
 
 
 def mercator_x(lon: Column) -> Column:

@@ -121,16 +121,18 @@ def nearest_shape(points: DataFrame, shapes: DataFrame, reach: Reach, exact_m: f
         frontier = _prune(opened)
 
     last = f"k{len(LEVELS) - 1}"
-    leaf = s.select(F.col(last).alias("node"), "shape_id", "ring", F.struct("minx", "miny", "maxx", "maxy").alias("box"))
+    leaf = s.select(F.col(last).alias("node"), "shape_id", geo.ring_edges(F.col("ring")).alias("edges"), F.struct("minx", "miny", "maxx", "maxy").alias("box"))
     sx, sy = geo.metre_scale(py)
     one = F.lit(1.0)
     candidates = frontier.join(leaf, "node")
     box_ok, near, _ = reach.bounds(px, py, F.col("box"))
     candidates = candidates.filter(box_ok & (near <= F.col("best") + SLACK))
-    measured_rows = candidates.select(
-        "pid", "shape_id",
-        geo.ring_distance(px, py, F.col("ring"), one, one).alias("distance_deg"),
-        geo.ring_distance(px, py, F.col("ring"), sx, sy).alias("distance_m"),
+    inside = geo.covered_by_edges(px, py, F.col("edges"))
+    zero = F.lit(0.0)
+    measured_rows = geo.computed_once(
+        geo.computed_once(candidates.select("pid", "px", "py", "shape_id", "edges"), inside=inside),
+        distance_deg=F.when(F.col("inside"), zero).otherwise(geo.edges_distance(px, py, F.col("edges"), one, one)),
+        distance_m=F.when(F.col("inside"), zero).otherwise(geo.edges_distance(px, py, F.col("edges"), sx, sy)),
     )
     if reach.within_deg is not None:
         measured_rows = measured_rows.filter(F.col("distance_deg") <= reach.within_deg)

@@ -17,48 +17,54 @@ def cells(df: DataFrame, box: Column, size: float, mx=0.0, my=0.0) -> DataFrame:
     return df.withColumn("gx", F.explode(gx)).withColumn("gy", F.explode(gy))
 
 
-def pairs_within(
-    left: DataFrame, right: DataFrame, distance_m: float, left_id: str, right_id: str, size: float = 0.25
-) -> DataFrame:
+def pairs_within(left: DataFrame, right: DataFrame, distance_m: float, size: float = 0.25) -> DataFrame:
     """Shape pairs no farther apart than ``distance_m``: ``ring`` on both sides, plus their carried columns.
 
     Both sides go to the grid cells their boxes touch and meet by equi-join. A pair that shares
     several cells is kept only in the cell holding the lower corner of the boxes' overlap, so
-    no distinct is needed.
+    no distinct is needed. Result columns ``distance_m`` and ``distance_deg``.
     """
     dy = distance_m / geo.M_PER_DEG
-    a = left.withColumn("abox", geo.ring_bbox(F.col("ring"))).withColumnRenamed("ring", "aring")
+    a = left.withColumn("abox", geo.ring_bbox(F.col("ring"))).withColumn("aedges", geo.ring_edges(F.col("ring"))).drop("ring")
     cos = F.cos(F.radians(F.greatest(F.abs(F.col("abox.miny")), F.abs(F.col("abox.maxy"))) + dy))
     a = a.withColumn("mx", F.lit(dy) / cos)
     a = cells(a, F.col("abox"), size, F.col("mx"), F.lit(dy))
-    b = right.withColumn("bbox_", geo.ring_bbox(F.col("ring"))).withColumnRenamed("ring", "bring")
+    b = right.withColumn("bbox_", geo.ring_bbox(F.col("ring"))).withColumn("bedges", geo.ring_edges(F.col("ring"))).drop("ring")
     b = cells(b, F.col("bbox_"), size)
     met = a.join(b, ["gx", "gy"])
     cornerx = F.floor(F.greatest(F.col("abox.minx") - F.col("mx"), F.col("bbox_.minx")) / size)
     cornery = F.floor(F.greatest(F.col("abox.miny") - dy, F.col("bbox_.miny")) / size)
-    once = (F.col("gx") == cornerx) & (F.col("gy") == cornery)
+    met = met.filter((F.col("gx") == cornerx) & (F.col("gy") == cornery))
+
     sx, sy = geo.metre_scale((F.col("bbox_.miny") + F.col("bbox_.maxy")) / 2)
-    return (
-        met.filter(once)
-        .withColumn("distance_m", geo.ring_ring_distance(F.col("aring"), F.col("bring"), sx, sy))
-        .filter(F.col("distance_m") <= distance_m)
-        .drop("gx", "gy", "mx", "abox")
+    cx, cy = (F.col("bbox_.minx") + F.col("bbox_.maxx")) / 2, (F.col("bbox_.miny") + F.col("bbox_.maxy")) / 2
+    half = F.sqrt(F.pow((F.col("bbox_.maxx") - cx) * sx, 2) + F.pow((F.col("bbox_.maxy") - cy) * sy, 2))
+    rough = geo.computed_once(
+        met,
+        centre_inside=geo.covered_by_edges(cx, cy, F.col("aedges")),
+        centre_m=geo.edges_distance(cx, cy, F.col("aedges"), sx, sy),
+        half_m=half,
     )
+    near = rough.filter(F.col("centre_inside") | (F.col("centre_m") - F.col("half_m") <= distance_m))
+    # The centre inside, or farther out than the shape's own half size, settles the overlap question.
+    touch = F.when(F.col("centre_inside"), True).when(F.col("centre_m") > F.col("half_m") * 1.01, False).otherwise(
+        geo.edges_touch(F.col("aedges"), F.col("bedges"))
+    )
+    zero, one = F.lit(0.0), F.lit(1.0)
+    gap = lambda x, y: F.when(F.col("touch"), zero).otherwise(geo.edges_gap(F.col("aedges"), F.col("bedges"), x, y))
+    measured = geo.computed_once(geo.computed_once(near, touch=touch), distance_m=gap(sx, sy), distance_deg=gap(one, one))
+    return measured.filter(F.col("distance_m") <= distance_m).drop("gx", "gy", "mx", "abox", "bbox_", "aedges", "bedges", "centre_inside", "centre_m", "half_m", "touch")
 
 
 def settlement_per_zone(zones: DataFrame, places: DataFrame, distance_m: float, strategy: str) -> DataFrame:
     """One settlement per zone within the distance: the closest, or the most populated."""
-    pairs = pairs_within(zones, places, distance_m, "area_code", "settlement_id")
+    pairs = pairs_within(zones, places, distance_m)
     if strategy == "most_populated":
         rank = F.struct(-F.col("habitantes"), F.rint(F.col("distance_m") * 1e4), F.col("settlement_id"))
     else:
-        one = F.lit(1.0)
-        degrees = geo.ring_ring_distance(F.col("aring"), F.col("bring"), one, one)
-        rank = F.struct(F.rint(degrees * 1e9), F.col("settlement_id"))
-    payload = F.struct("settlement_id", "nombre", "habitantes", "bring", "distance_m")
-    return pairs.groupBy("area_code").agg(F.min_by(payload, rank).alias("p")).select(
-        "area_code", "p.*"
-    )
+        rank = F.struct(F.rint(F.col("distance_deg") * 1e9), F.col("settlement_id"))
+    payload = F.struct("settlement_id", "nombre", "habitantes", "distance_m")
+    return pairs.groupBy("area_code").agg(F.min_by(payload, rank).alias("p")).select("area_code", "p.*")
 
 
 def roads_near(roads: DataFrame, lon: float, lat: float, radius_m: float, classes: list[str] | None = None) -> DataFrame:
@@ -71,8 +77,7 @@ def roads_near(roads: DataFrame, lon: float, lat: float, radius_m: float, classe
     px, py = F.lit(float(lon)), F.lit(float(lat))
     sx, sy = geo.metre_scale(py)
     return (
-        rows.filter(hit)
-        .withColumn("distance_exact_m", geo.line_distance(px, py, F.col("line"), sx, sy))
+        geo.computed_once(rows.filter(hit), distance_exact_m=geo.line_distance(px, py, F.col("line"), sx, sy))
         .filter(F.col("distance_exact_m") <= radius_m)
         .withColumn("distance_m", F.rint("distance_exact_m").cast("int"))
     )

@@ -24,12 +24,13 @@ def tile_units(line: Column, zoom: Column) -> Column:
 
 def to_tiles(features: DataFrame, geometry: str, closed: bool = True) -> DataFrame:
     """One row per feature and tile it truly touches; ``zoom`` is a column of the input."""
-    boxed = features.withColumn("tile_geom", tile_units(F.col(geometry), F.col("zoom"))).withColumn("_b", geo.ring_bbox(F.col("tile_geom")))
+    boxed = geo.computed_once(features, tile_geom=tile_units(F.col(geometry), F.col("zoom")))
+    boxed = geo.computed_once(boxed, _b=geo.ring_bbox(F.col("tile_geom")), _e=geo.ring_edges(F.col("tile_geom")))
     spread = boxed.withColumn("x", F.explode(F.sequence(F.floor("_b.minx"), F.floor("_b.maxx")))).withColumn(
         "y", F.explode(F.sequence(F.floor("_b.miny"), F.floor("_b.maxy")))
     )
     square = (F.col("x").cast("double"), F.col("y").cast("double"), F.col("x") + 1.0, F.col("y") + 1.0)
-    return spread.filter(geo.ring_meets_box(F.col("tile_geom"), square, closed)).drop("_b")
+    return spread.filter(geo.edges_meet_box(F.col("_e"), square, closed)).drop("_b", "_e")
 
 
 def settlement_tolerance(zoom: Column) -> Column:

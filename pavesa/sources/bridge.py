@@ -20,7 +20,12 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A test table. One small file gives one split, so the larger tables are spread over the cores."""
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        if name in ("events", "lineitem", "orders", "documents") and df.rdd.getNumPartitions() < cores:
+            return df.repartition(cores)
+        return df
 
     def hotspot_obs(self) -> DataFrame:
         return (
