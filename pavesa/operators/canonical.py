@@ -27,7 +27,10 @@ def canonical_hotspots(obs: DataFrame) -> DataFrame:
 
 
 def first_per_key(rows: DataFrame, keys: list[str], order: list[Column], count_as: str | None = None) -> DataFrame:
-    """The first row of each key under ``order``, optionally with the number of rows of the key."""
+    """The first row of each key under ``order``, optionally with the number of rows of the key.
+
+    Without the count Spark keeps only the first row per key and task before the shuffle.
+    """
     w = Window.partitionBy(*keys)
     ranked = rows.withColumn("_rank", F.row_number().over(w.orderBy(*order)))
     if count_as:
@@ -116,23 +119,31 @@ def settlements(src: DataFrame) -> DataFrame:
 
 
 def roads(src: DataFrame) -> DataFrame:
-    """One road segment per id: best class, newest import, lowest feature id."""
-    cleaned = src.filter("line IS NOT NULL AND id_tramo IS NOT NULL AND size(line) >= 2").select(
+    """One road segment per id: best class, newest import, lowest feature id.
+
+    The winner is picked on the raw columns; only winners pay for the text cleaning.
+    """
+    raw = src.filter("line IS NOT NULL AND id_tramo IS NOT NULL AND size(line) >= 2").withColumn("clase_code", S.no_sentinel(F.col("clase_raw")))
+    order = [
+        F.col("clase_code").asc_nulls_last(), F.col("imported_at").desc_nulls_last(), F.col("source_fid").asc(),
+    ]
+    picked = first_per_key(
+        raw.select("id_tramo", "id_vial", "source_fid", "clased", "clase_code", "nombre", "ncarriles", "source_zip_name", "imported_at", "line"),
+        ["id_tramo"], order,
+    )
+    return picked.select(
         "id_tramo",
+        S.road_public_id(F.col("id_tramo")).alias("inspire_id"),
         "id_vial",
         "source_fid",
         S.blank_to_null(F.col("clased")).alias("clase"),
-        S.no_sentinel(F.col("clase_raw")).alias("clase_code"),
+        "clase_code",
         S.blank_to_null(F.col("nombre")).alias("nombre"),
         S.lane_count(F.col("ncarriles")).alias("n_carriles"),
         S.territory_code(F.col("source_zip_name")).alias("territory_code"),
         "imported_at",
         "line",
     )
-    rank = F.struct(
-        F.col("clase_code").isNull(), F.col("clase_code"), descending(F.col("imported_at")), F.col("source_fid")
-    )
-    return best_per_key(cleaned, ["id_tramo"], rank).withColumn("inspire_id", S.road_public_id(F.col("id_tramo")))
 
 
 def daily_files(items: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ def build_session(app: str = "pavesa", master: str | None = None, **conf: str) -
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # Geometry costs far more per byte than a plain scan, so small partitions stay apart.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         **conf,

@@ -23,7 +23,7 @@ class Tables:
         """A test table. One small file gives one split, so the larger tables are spread over the cores."""
         df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         cores = self.spark.sparkContext.defaultParallelism
-        if name in ("events", "lineitem", "orders", "documents") and df.rdd.getNumPartitions() < cores:
+        if name in ("events", "lineitem", "orders", "documents", "customer", "part") and df.rdd.getNumPartitions() < cores:
             return df.repartition(cores)
         return df
 
@@ -161,12 +161,12 @@ class Tables:
         )
 
     def road_src(self) -> DataFrame:
-        step = F.expr(
+        line = F.expr(
             "transform(sequence(0, 4), i -> named_struct("
             "'x', x1 + (x2 - x1) * (i / 4.0D) + (CASE WHEN i IN (0, 4) THEN 0 ELSE (id_tramo * i) % 5 - 2 END) * 0.0002D,"
             "'y', y1 + (y2 - y1) * (i / 4.0D)))"
         )
-        return (
+        rows = (
             self.raw("lineitem")
             .selectExpr(
                 "l_orderkey * 10 + l_linenumber AS source_fid",
@@ -183,7 +183,6 @@ class Tables:
             )
             .withColumn("x2", F.expr("x1 + ((id_tramo % 19) - 9) * 0.001D"))
             .withColumn("y2", F.expr("y1 + ((id_tramo % 21) - 10) * 0.001D"))
-            .withColumn("line", step)
             .withColumn(
                 "clased",
                 F.expr(
@@ -192,8 +191,8 @@ class Tables:
                     " cast(CASE WHEN clase_raw < 0 THEN 8 ELSE clase_raw END as int) + 1)"
                 ),
             )
-            .drop("x1", "y1", "x2", "y2")
         )
+        return geo.computed_once(rows, line=line).drop("x1", "y1", "x2", "y2")
 
     def pixel(self) -> DataFrame:
         return self.raw("lineitem").selectExpr(
