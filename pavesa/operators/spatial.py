@@ -17,12 +17,17 @@ def cells(df: DataFrame, box: Column, size: float, mx=0.0, my=0.0) -> DataFrame:
     return df.withColumn("gx", F.explode(gx)).withColumn("gy", F.explode(gy))
 
 
-def pairs_within(left: DataFrame, right: DataFrame, distance_m: float, size: float = 0.25) -> DataFrame:
-    """Shape pairs no farther apart than ``distance_m``: ``ring`` on both sides, plus their carried columns.
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Even out rows that cost much CPU each, whatever cell or file they came from."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def candidate_pairs(left: DataFrame, right: DataFrame, distance_m: float, right_id: str, size: float = 0.25) -> DataFrame:
+    """Shape pairs that may lie within the distance, with the distance of the right shape's centre.
 
     Both sides go to the grid cells their boxes touch and meet by equi-join. A pair that shares
     several cells is kept only in the cell holding the lower corner of the boxes' overlap, so
-    no distinct is needed. Result columns ``distance_m`` and ``distance_deg``.
+    no distinct is needed. The right shape lies within ``half_m`` (``half_deg``) of its centre.
     """
     dy = distance_m / geo.M_PER_DEG
     a = left.withColumn("abox", geo.ring_bbox(F.col("ring"))).withColumn("aedges", geo.ring_edges(F.col("ring"))).drop("ring")
@@ -30,41 +35,67 @@ def pairs_within(left: DataFrame, right: DataFrame, distance_m: float, size: flo
     a = a.withColumn("mx", F.lit(dy) / cos)
     a = cells(a, F.col("abox"), size, F.col("mx"), F.lit(dy))
     b = right.withColumn("bbox_", geo.ring_bbox(F.col("ring"))).withColumn("bedges", geo.ring_edges(F.col("ring"))).drop("ring")
+    x0, y0, x1, y1 = (F.col(f"bbox_.{n}") for n in ("minx", "miny", "maxx", "maxy"))
+    b = b.withColumns({"cx": (x0 + x1) / 2, "cy": (y0 + y1) / 2})
+    sx, sy = geo.metre_scale(F.col("cy"))
+    half = lambda u, v: F.sqrt(F.pow((x1 - F.col("cx")) * u, 2) + F.pow((y1 - F.col("cy")) * v, 2))
+    one = F.lit(1.0)
+    b = b.withColumns({"sx": sx, "sy": sy, "half_m": half(sx, sy), "half_deg": half(one, one)})
     b = cells(b, F.col("bbox_"), size)
     met = a.join(b, ["gx", "gy"])
     cornerx = F.floor(F.greatest(F.col("abox.minx") - F.col("mx"), F.col("bbox_.minx")) / size)
     cornery = F.floor(F.greatest(F.col("abox.miny") - dy, F.col("bbox_.miny")) / size)
-    met = met.filter((F.col("gx") == cornerx) & (F.col("gy") == cornery))
-
-    sx, sy = geo.metre_scale((F.col("bbox_.miny") + F.col("bbox_.maxy")) / 2)
-    cx, cy = (F.col("bbox_.minx") + F.col("bbox_.maxx")) / 2, (F.col("bbox_.miny") + F.col("bbox_.maxy")) / 2
-    half = F.sqrt(F.pow((F.col("bbox_.maxx") - cx) * sx, 2) + F.pow((F.col("bbox_.maxy") - cy) * sy, 2))
+    met = spread(met.filter((F.col("gx") == cornerx) & (F.col("gy") == cornery)).drop("gx", "gy", "mx", "abox", "bbox_"), right_id)
+    cx, cy = F.col("cx"), F.col("cy")
     rough = geo.computed_once(
         met,
         centre_inside=geo.covered_by_edges(cx, cy, F.col("aedges")),
-        centre_m=geo.edges_distance(cx, cy, F.col("aedges"), sx, sy),
-        half_m=half,
+        centre_m=geo.edges_distance(cx, cy, F.col("aedges"), F.col("sx"), F.col("sy")),
+        centre_deg=geo.edges_distance(cx, cy, F.col("aedges"), one, one),
     )
-    near = rough.filter(F.col("centre_inside") | (F.col("centre_m") - F.col("half_m") <= distance_m))
-    # The centre inside, or farther out than the shape's own half size, settles the overlap question.
+    return rough.filter(F.col("centre_inside") | (F.col("centre_m") - F.col("half_m") <= distance_m))
+
+
+def exact_pairs(candidates: DataFrame, distance_m: float) -> DataFrame:
+    """Candidates truly within the distance, with ``distance_m`` and ``distance_deg``."""
+    # A centre inside, or farther out than the shape's own half size, settles the overlap question.
     touch = F.when(F.col("centre_inside"), True).when(F.col("centre_m") > F.col("half_m") * 1.01, False).otherwise(
         geo.edges_touch(F.col("aedges"), F.col("bedges"))
     )
     zero, one = F.lit(0.0), F.lit(1.0)
     gap = lambda x, y: F.when(F.col("touch"), zero).otherwise(geo.edges_gap(F.col("aedges"), F.col("bedges"), x, y))
-    measured = geo.computed_once(geo.computed_once(near, touch=touch), distance_m=gap(sx, sy), distance_deg=gap(one, one))
-    return measured.filter(F.col("distance_m") <= distance_m).drop("gx", "gy", "mx", "abox", "bbox_", "aedges", "bedges", "centre_inside", "centre_m", "half_m", "touch")
+    measured = geo.computed_once(
+        geo.computed_once(candidates, touch=touch), distance_m=gap(F.col("sx"), F.col("sy")), distance_deg=gap(one, one)
+    )
+    helpers = ["aedges", "bedges", "cx", "cy", "sx", "sy", "half_m", "half_deg", "centre_inside", "centre_m", "centre_deg", "touch"]
+    return measured.filter(F.col("distance_m") <= distance_m).drop(*helpers)
+
+
+def pairs_within(left: DataFrame, right: DataFrame, distance_m: float, right_id: str) -> DataFrame:
+    return exact_pairs(candidate_pairs(left, right, distance_m, right_id), distance_m)
 
 
 def settlement_per_zone(zones: DataFrame, places: DataFrame, distance_m: float, strategy: str) -> DataFrame:
-    """One settlement per zone within the distance: the closest, or the most populated."""
-    pairs = pairs_within(zones, places, distance_m)
+    """One settlement per zone within the distance: the closest, or the most populated.
+
+    Centre distances bound the true ones, so each zone first learns how good its winner surely is;
+    only places that can still beat that are measured exactly.
+    """
+    pairs = candidate_pairs(zones, places, distance_m, "settlement_id")
+    inside = F.col("centre_inside")
+    sure = inside | (F.col("centre_m") <= distance_m)
     if strategy == "most_populated":
+        bound = pairs.filter(sure).groupBy("area_code").agg(F.max("habitantes").alias("bound"))
+        hopeful = F.col("habitantes") >= F.coalesce("bound", F.lit(0))
         rank = F.struct(-F.col("habitantes"), F.rint(F.col("distance_m") * 1e4), F.col("settlement_id"))
     else:
+        centre = F.when(inside, 0.0).otherwise(F.col("centre_deg"))
+        bound = pairs.filter(sure).groupBy("area_code").agg(F.min(centre).alias("bound"))
+        hopeful = (centre - F.col("half_deg")) <= F.coalesce("bound", F.lit(float("inf"))) + 1e-8
         rank = F.struct(F.rint(F.col("distance_deg") * 1e9), F.col("settlement_id"))
+    few = pairs.join(bound, "area_code", "left").filter(hopeful).drop("bound")
     payload = F.struct("settlement_id", "nombre", "habitantes", "distance_m")
-    return pairs.groupBy("area_code").agg(F.min_by(payload, rank).alias("p")).select("area_code", "p.*")
+    return exact_pairs(few, distance_m).groupBy("area_code").agg(F.min_by(payload, rank).alias("p")).select("area_code", "p.*")
 
 
 def roads_near(roads: DataFrame, lon: float, lat: float, radius_m: float, classes: list[str] | None = None) -> DataFrame:

@@ -215,7 +215,7 @@ def g04(t):
 @query("g05_within_distance", with_views("zone_pair", f"SELECT area_code, count(*) AS n, cast(sum(habitantes) as bigint) AS people FROM zone_pair WHERE distance_m <= 20000 GROUP BY area_code"))
 def g05(t):
     pairs = spatial.pairs_within(
-        t.zone(), pipeline.settlements(t).select("settlement_id", "habitantes", "ring"), 20000.0
+        t.zone(), pipeline.settlements(t).select("settlement_id", "habitantes", "ring"), 20000.0, "settlement_id"
     )
     return pairs.groupBy("area_code").agg(F.count("*").alias("n"), F.sum("habitantes").cast("bigint").alias("people"))
 
