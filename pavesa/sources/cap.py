@@ -27,18 +27,27 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return unpack(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content"))
 
 
-def members(payload: bytes, parts: tuple[str, ...]) -> Iterator[tuple[str, bytes]]:
+def _kind(body: bytes) -> str:
+    if body.startswith(b"\x1f\x8b"):
+        return "gzip"
+    if body[:512].lstrip().startswith(b"<?xml"):
+        return "xml"
+    return "tar" if tarfile.is_tarfile(io.BytesIO(body)) else "other"
+
+
+def members(name: str, body: bytes) -> Iterator[tuple[str, bytes]]:
     """Every XML document inside a payload, however deeply gzip and tar are nested."""
-    if payload[:2] == b"\x1f\x8b":
-        payload = gzip.decompress(payload)
-    try:
-        with tarfile.open(fileobj=io.BytesIO(payload)) as archive:
-            for entry in archive:
-                if entry.isfile():
-                    yield from members(archive.extractfile(entry).read(), (*parts, entry.name))
-    except tarfile.TarError:
-        if payload.lstrip().startswith(b"<?xml"):
-            yield "/".join(parts), payload
+    waiting = [(name, body)]
+    while waiting:
+        name, body = waiting.pop()
+        kind = _kind(body)
+        if kind == "xml":
+            yield name, body
+        elif kind == "gzip":
+            waiting.append((name, gzip.decompress(body)))
+        elif kind == "tar":
+            with tarfile.open(fileobj=io.BytesIO(body)) as archive:
+                waiting += [(f"{name}/{e.name}", archive.extractfile(e).read()) for e in archive if e.isfile()]
 
 
 def unpack(archives: DataFrame) -> DataFrame:
@@ -47,7 +56,7 @@ def unpack(archives: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                found = [(path, name, body.decode("utf-8", "replace")) for name, body in members(bytes(content), (path.rsplit("/", 1)[-1],))]
+                found = [(path, name, body.decode("utf-8", "replace")) for name, body in members(path.rsplit("/", 1)[-1], bytes(content))]
                 if found:
                     yield pd.DataFrame(found, columns=["path", "member_path", "payload"])
 
