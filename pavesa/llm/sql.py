@@ -30,7 +30,31 @@ def _esc(x: str) -> str:
     return x
 
 
+#: Words of the lower-cased text for the benchmark; windows are compared as text, and a window's words are hit.
+_TEST_WORDS = r"[w for w in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') if w <> '']"
+
+DECONTAMINATION = f"""WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_TEST_WORDS} AS ws FROM benchmark),
+bw AS (SELECT DISTINCT item, least(10, len(ws)) AS k, array_to_string(ws[i:i + least(10, len(ws)) - 1], ' ') AS win
+  FROM (SELECT item, ws, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0)),
+d AS (SELECT doc_id, {_TEST_WORDS} AS ws FROM documents),
+dw AS (SELECT doc_id, k, i, array_to_string(ws[i:i + k - 1], ' ') AS win FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM bw) WHERE len(ws) >= k)),
+h AS (SELECT doc_id, i, dw.k, item FROM dw JOIN bw ON dw.k = bw.k AND dw.win = bw.win),
+hw AS (SELECT doc_id, count(DISTINCT w) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS w FROM h) GROUP BY doc_id),
+hi AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)"""
+
+_BASE32 = "translate(" + " || ".join(f"upper(to_base(CAST('0x' || substr(d, {5 * i + 1}, 5) AS INTEGER), 32, 4))" for i in range(8)) + ", '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')"
+
 SQL: dict[str, str] = {
+    "op3_extendible_hashing": """WITH h AS (SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, coalesce(strlen(text), 0) AS b, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM documents),
+s AS (SELECT d, h >> (60 - d) AS p, sum(b) AS bytes FROM h, range(0, 61) AS r(d) GROUP BY d, p),
+c AS (SELECT h.*, min(d) AS d FROM h JOIN s ON s.p = h.h >> (60 - s.d) WHERE s.bytes <= 1000000 OR s.d = 60 GROUP BY ALL)
+SELECT doc_id, n_bytes, substr(bin(h + (1::BIGINT << 60)), 2, d) AS shard, CAST(bytes AS BIGINT) AS shard_bytes, bytes <= 1000000 AS fits FROM c JOIN s USING (d) WHERE s.p = c.h >> (60 - d)""",
+    "op6_warc_revisits": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS d, first_value(page_id) OVER (PARTITION BY html ORDER BY page_id) AS f, row_number() OVER (PARTITION BY html ORDER BY page_id) AS n FROM p)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN n = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN n > 1 THEN f END AS refers_to FROM h""",
+    "op9_decontamination": f"""{DECONTAMINATION}
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)""",
     "op4_quality_ledger": f"""WITH src AS (SELECT doc_id, text, row_number() OVER () AS r FROM documents), {LEDGER}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 55) = 0 AS kept, fail_bits FROM ledger""",
     "op10_reply_trees": f"""WITH c AS (
