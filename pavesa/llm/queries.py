@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pavesa.llm import chat, decontaminate, langid, pieces, quality, sharding, warc
+from pavesa.llm import chat, decontaminate, html, langid, pieces, quality, sharding, warc
 from pavesa.llm.common import crc_mod, table
 from pavesa.llm.sql import SQL  # noqa: F401
 
@@ -38,6 +38,12 @@ def op4_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html.extracted(pages, html.learn(pages), keep=["page_id", "url"])
+
+
 @query
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
