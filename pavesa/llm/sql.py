@@ -42,9 +42,23 @@ h AS (SELECT doc_id, i, dw.k, item FROM dw JOIN bw ON dw.k = bw.k AND dw.win = b
 hw AS (SELECT doc_id, count(DISTINCT w) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS w FROM h) GROUP BY doc_id),
 hi AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)"""
 
+_LOWER_WORDS = WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+
+#: All pairs that share a shingle, by a join on shingles; groups by spreading the smallest id. ``documents`` may be another name.
+NEAR_DUPLICATES = f"""w AS (SELECT doc_id, {_LOWER_WORDS} AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + least(5, len(ws)) - 1], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - least(5, len(ws)) + 2)) AS i FROM w WHERE len(ws) > 0)),
+sz AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pr AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+lk AS (SELECT a, b FROM pr JOIN sz x ON x.doc_id = a JOIN sz y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+es AS (SELECT a, b FROM lk UNION ALL SELECT b, a FROM lk),
+reach AS (SELECT doc_id AS a, doc_id AS r FROM documents UNION SELECT es.b, reach.r FROM reach JOIN es ON es.a = reach.a),
+comp AS (SELECT d.doc_id, CAST(coalesce(sz.n, 0) AS BIGINT) AS n_shingles, c.component_id FROM documents d LEFT JOIN sz USING (doc_id) JOIN (SELECT a AS doc_id, min(r) AS component_id FROM reach GROUP BY a) c USING (doc_id))"""
+
 _BASE32 = "translate(" + " || ".join(f"upper(to_base(CAST('0x' || substr(d, {5 * i + 1}, 5) AS INTEGER), 32, 4))" for i in range(8)) + ", '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')"
 
 SQL: dict[str, str] = {
+    "op2_odd_sketches": f"""WITH RECURSIVE {NEAR_DUPLICATES}
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM comp""",
     "op3_extendible_hashing": """WITH h AS (SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, coalesce(strlen(text), 0) AS b, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM documents),
 s AS (SELECT d, h >> (60 - d) AS p, sum(b) AS bytes FROM h, range(0, 61) AS r(d) GROUP BY d, p),
 c AS (SELECT h.*, min(d) AS d FROM h JOIN s ON s.p = h.h >> (60 - s.d) WHERE s.bytes <= 1000000 OR s.d = 60 GROUP BY ALL)
