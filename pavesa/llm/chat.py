@@ -49,24 +49,29 @@ def _keyed(messages: DataFrame) -> DataFrame:
     return messages.withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("tree").cast("string")), F.lit("")))
 
 
-def _ancestors(nodes: DataFrame) -> list[DataFrame]:
-    """Tables k = 0, 1, ...: each message with its ancestor 2^k up (null: none), the top reached, and depth and score up to there."""
+def _ancestors(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Tables k = 0, 1, ... of the messages with an ancestor 2^k up, and all messages that lead to a root with that root, depth and score.
+
+    A message leaves the joins as soon as its root is known, so a few deep trees don't make the others join again.
+    """
     ids = nodes.select("key", F.col("id").alias("parent"), F.lit(True).alias("known"))
     start = nodes.join(ids, ["key", "parent"], "left").select(
         "key", "id", F.when(F.col("known"), F.col("parent")).alias("up"), F.col("id").alias("top"), F.lit(1).cast("long").alias("depth"), F.coalesce(F.col("score"), F.lit(0.0)).cast("double").alias("total")
     )
-    tables = [cut_lineage(start, "tree")]
+    step = cut_lineage(start, "tree")
+    jumps, rooted = [step.where("up is not null")], step.where("up is null")
     # Paths are shorter than the number of messages; whoever still has an ancestor after that many steps sits in or under a circle.
     for _ in range(nodes.count().bit_length()):
-        if tables[-1].where("up is not null").isEmpty():
+        if jumps[-1].isEmpty():
             break
-        a, b = tables[-1].alias("a"), tables[-1].alias("b")
-        step = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.up") == F.col("b.id")), "left").select(
-            "a.key", "a.id", F.col("b.up").alias("up"), F.coalesce("b.top", "a.top").alias("top"),
-            (F.col("a.depth") + F.coalesce("b.depth", F.lit(0))).alias("depth"), (F.col("a.total") + F.coalesce("b.total", F.lit(0.0))).alias("total"),
+        a, b = jumps[-1].alias("a"), jumps[-1].unionByName(rooted).alias("b")
+        step = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.up") == F.col("b.id"))).select(
+            "a.key", "a.id", F.col("b.up").alias("up"), F.col("b.top").alias("top"), (F.col("a.depth") + F.col("b.depth")).alias("depth"), (F.col("a.total") + F.col("b.total")).alias("total")
         )
-        tables.append(cut_lineage(step, "tree"))
-    return tables
+        step = cut_lineage(step, "tree")
+        jumps.append(step.where("up is not null"))
+        rooted = rooted.unionByName(step.where("up is null"))
+    return jumps, rooted
 
 
 def branches(messages: DataFrame, best: int | None = None) -> DataFrame:
@@ -76,8 +81,7 @@ def branches(messages: DataFrame, best: int | None = None) -> DataFrame:
     """
     nodes = _keyed(messages)
     links = nodes.select("tree", "key", "id", "parent", "score")
-    tables = _ancestors(links)
-    reached = tables[-1].where("up is null")
+    jumps, reached = _ancestors(links)
     answered = links.select("key", F.col("parent").alias("id")).where("id is not null").distinct()
     leaves = reached.join(answered, ["key", "id"], "left_anti")
     rank = F.row_number().over(W.partitionBy("key", "top").orderBy(F.col("total").desc(), "id"))
@@ -85,9 +89,8 @@ def branches(messages: DataFrame, best: int | None = None) -> DataFrame:
     if best is not None:
         ranked = ranked.where(F.col("rank") <= best)
     path = cut_lineage(ranked.select("key", F.col("id").alias("leaf"), "id"), "path")
-    for jump in tables[:-1]:
-        ups = jump.where("up is not null").select("key", "id", "up")
-        more = path.join(ups, ["key", "id"]).select("key", "leaf", F.col("up").alias("id"))
+    for jump in jumps:
+        more = path.join(jump.select("key", "id", "up"), ["key", "id"]).select("key", "leaf", F.col("up").alias("id"))
         path = cut_lineage(path.unionByName(more), "path")
     place = reached.select("key", "id", F.col("depth").alias("position"))
     chosen = ranked.select("key", F.col("id").alias("leaf"), F.col("total").alias("branch_score"), "rank")
