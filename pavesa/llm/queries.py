@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pavesa.llm import chat, decontaminate, html, langid, neardup, pieces, quality, sharding, warc
+from pavesa.llm import chat, decontaminate, html, langid, lm, neardup, pieces, quality, sharding, warc
 from pavesa.llm.common import crc_mod, table
 from pavesa.llm.sql import SQL  # noqa: F401
 
@@ -22,6 +22,12 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@query
+def op1_gru_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.score_documents(docs, crc_mod(F.col("doc_id"), 7) == 2)
+
+
 @query
 def op2_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
