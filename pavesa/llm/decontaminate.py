@@ -219,37 +219,37 @@ def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Ite
     yield block
 
 
+def _matched(texts: pa.Array, block: TestBlock, window: int, shard_words: int) -> list[dict]:
+    """Matches of some texts, a shard at a time."""
+    get = block.vocabulary.get
+    results: list[dict] = []
+    shard: list[list[int]] = []
+    size = 0
+    for text in texts:
+        ids = list(map(get, split_words(text.as_py()), repeat(0)))
+        if shard and size + len(ids) > shard_words:
+            results += _find(shard, block, window)
+            shard, size = [], 0
+        shard.append(ids)
+        size += len(ids)
+    return results + _find(shard, block, window)
+
+
 def matches(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item: str = "item_id", keep: list[str] | None = None,
-    only_clean: bool = False, block_bytes: int = BLOCK_BYTES, shard_words: int = SHARD_WORDS,
+    block_bytes: int = BLOCK_BYTES, shard_words: int = SHARD_WORDS,
 ) -> DataFrame:
     """The columns ``keep`` (None: all) of each document with the columns of RESULT: words, merged hit spans, items found, longest match."""
     names = [c for c in (docs.columns if keep is None else keep) if c not in RESULT.names]
-    spark = docs.sparkSession
-    rows = docs.select(*dict.fromkeys([*names, text]))
-    out = rows
+    out = docs.select(*dict.fromkeys([*names, text]))
     for items in _blocks(benchmark, item, "text", block_bytes):
-        block = spark.sparkContext.broadcast(TestBlock.of(items, window))
+        block = docs.sparkSession.sparkContext.broadcast(TestBlock.of(items, window))
         carried = [f for f in out.schema if f.name not in RESULT.names]
         earlier = len(carried) < len(out.schema)
-        schema = T.StructType([*carried, *RESULT])
 
         def find(batches: Iterator[pa.RecordBatch], block=block, earlier=earlier, carried=tuple(f.name for f in carried)) -> Iterator[pa.RecordBatch]:
-            own = block.value
-            get = own.vocabulary.get
             for batch in batches:
-                column = batch.column(text)
-                results: list[dict] = []
-                shard: list[list[int]] = []
-                size = 0
-                for i in range(batch.num_rows):
-                    ids = list(map(get, split_words(column[i].as_py()), repeat(0)))
-                    if shard and size + len(ids) > shard_words:
-                        results += _find(shard, own, window)
-                        shard, size = [], 0
-                    shard.append(ids)
-                    size += len(ids)
-                results += _find(shard, own, window)
+                results = _matched(batch.column(text), block.value, window, shard_words)
                 if earlier:
                     before = [dict(zip(RESULT.names, r, strict=True)) for r in zip(*(batch.column(c).to_pylist() for c in RESULT.names), strict=True)]
                     results = [_merged(a, b) for a, b in zip(before, results, strict=True)]
@@ -260,9 +260,7 @@ def matches(
                 }
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *columns.values()], names=[*carried, *columns])
 
-        out = out.mapInArrow(find, schema)
-    if only_clean:
-        out = out.where(F.size("hits") == 0)
+        out = out.mapInArrow(find, T.StructType([*carried, *RESULT]))
     return out.select(*names, *RESULT.names)
 
 
@@ -271,6 +269,16 @@ def hit_words() -> Column:
     return F.aggregate("hits", F.lit(0), lambda n, s: n + s["end"] - s["start"]).cast("long")
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def decontaminated(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item: str = "item_id", block_bytes: int = BLOCK_BYTES, shard_words: int = SHARD_WORDS
+) -> DataFrame:
     """The documents without any test window, with their own columns."""
-    return matches(docs, benchmark, only_clean=True, **options).select(*docs.columns)
+    for items in _blocks(benchmark, item, "text", block_bytes):
+        block = docs.sparkSession.sparkContext.broadcast(TestBlock.of(items, window))
+
+        def clean(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([not r["hits"] for r in _matched(batch.column(text), block.value, window, shard_words)], pa.bool_()))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs

@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pavesa.llm.common import cut_lineage
+
 ORDERS = (2, 3, 4)
 HASHES = 3
 SLOT_BITS = 21
@@ -147,8 +149,6 @@ class Filter:
 
 def learn(rows: DataFrame, slot_bits: int = SLOT_BITS, share: float = SHARE, least: int = LEAST) -> Filter:
     """A filter from all rows of lang, text with a language."""
-    from pavesa.llm.common import cut_lineage
-
     counts = cut_lineage(count_grams(rows.select("lang", "text").where("lang is not null")), "grams")
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # one row for each language
     langs = sorted(totals)
@@ -209,3 +209,15 @@ def identify(docs: DataFrame, model: Filter, keep: list[str] | None = None, text
 
     schema = T.StructType([f for c in names for f in rows.schema if f.name == c] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(judged, schema)
+
+
+def with_language(docs: DataFrame, model: Filter, text: str = "text") -> DataFrame:
+    """The documents in some language (not UNKNOWN), with their own columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, _ = judge(batch.column(text).to_pylist(), shared.value)
+            yield batch.filter(pa.array([x != UNKNOWN for x in lang], pa.bool_()))
+
+    return docs.mapInArrow(judged, docs.schema)

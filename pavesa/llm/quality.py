@@ -62,8 +62,8 @@ def ledger(df: DataFrame, text: str = "text") -> DataFrame:
     found twice meet when (hash, position) pairs are sorted; their positions give the words covered. Only texts with such windows are sorted.
     """
     measured = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper"]
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in {*measured, "fail_bits"}]
-    steps = df.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("_text"), F.transform(word_list(F.col(text)), lambda w: F.xxhash64(w)).alias("_h1"))
+    others = F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in {*measured, "fail_bits"}))
+    steps = df.select(others.alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.transform(word_list(F.col(text)), lambda w: F.xxhash64(w)).alias("_h1"))
     for step, (source, target) in zip((1, 2, 4), (("_h1", "_h2"), ("_h2", "_h4"), ("_h4", "_h8")), strict=True):
         steps = steps.withColumn(target, _beside(source, step, lambda a, b: F.xxhash64(a, b)))
     whole = F.size("_h1") - (WINDOW - 1)
@@ -75,7 +75,7 @@ def ledger(df: DataFrame, text: str = "text") -> DataFrame:
     gains = _beside("_starts", 1, lambda a, b: F.when(b.isNull(), F.lit(WINDOW)).otherwise(F.least(F.lit(WINDOW), b - a)))
     steps = steps.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != ""))
     values = steps.select(
-        *kept,
+        "_row.*",
         F.size("_h1").cast("long").alias("n_words"),
         F.length(F.translate("_text", SPACE, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("_text", f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
@@ -95,6 +95,12 @@ def passes(policy: Policy) -> Column:
     return F.col("fail_bits").bitwiseAND(F.lit(policy.mask).cast("long")) == 0
 
 
+def kept(df: DataFrame, policy: Policy, text: str = "text") -> DataFrame:
+    """The rows that pass a policy, with their own columns, whatever their names."""
+    rows = df.select(F.struct("*").alias("_kept"), F.col(text).alias("text"))
+    return ledger(rows).where(passes(policy)).select("_kept.*")
+
+
 def ablation(rows: DataFrame, policies: tuple[Policy, ...] = (BASE, STRICT)) -> DataFrame:
     """Per policy and rule: rows that the policy keeps, rows that fail the rule, rows it alone rejects, and rows kept without it.
 
