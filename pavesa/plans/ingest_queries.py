@@ -481,11 +481,19 @@ def record_files(t, parts: int = 3):
 
 
 def refreshed(t):
-    """The incrementally refreshed tables; queries of one session over the same input share one run."""
+    """The incrementally refreshed tables: half of the files by one process, the rest by another over the same root.
+
+    Queries of one session over the same input share one run.
+    """
     done = t.spark.__dict__.setdefault("_pavesa_refreshed", {})
     if t.sf_dir not in done:
-        path, schema = record_files(t)
-        done[t.sf_dir] = refresh.run_refresh(t.spark, path, schema, scratch_path(t.spark, "refresh"), buckets=8)
+        root, landing_dir = scratch_path(t.spark, "refresh"), scratch_path(t.spark, "records")
+        downloads = t.warning_download().select("source_download_id", "source_file_path", "request_elaboration_to")
+        rows = t.warning_src().join(downloads, "source_download_id")
+        for half in (1, 0):
+            rows.filter(c("source_download_id") % 2 == half).repartitionByRange(2, "source_download_id").write.mode("append").parquet(landing_dir)
+            job = refresh.run_refresh(t.spark, landing_dir, rows.schema, root, buckets=8)
+        done[t.sf_dir] = job
     return done[t.sf_dir]
 
 
@@ -518,9 +526,12 @@ def x04(t):
 
 @query("x05_bootstrap", with_views("feature", "SELECT count(*) AS n, cast(sum(source_version_count) as bigint) AS versions FROM feature"))
 def x05(t):
+    """Records are in storage but nothing is built from them yet; another process finds that and builds all."""
     path, schema = record_files(t, 1)
-    job = refresh.WarningRefresh(t.spark, scratch_path(t.spark, "bootstrap"), 8)
-    job.apply(t.spark.read.schema(schema).parquet(path), 0)
+    root = scratch_path(t.spark, "bootstrap")
+    refresh.WarningRefresh(t.spark, root, 8).store(t.spark.read.schema(schema).parquet(path), 0)
+    job = refresh.WarningRefresh(t.spark, root, 8)
+    job.refresh(None, 1)
     return job.table("pub").agg(F.count("*").alias("n"), F.sum("source_version_count").alias("versions"))
 
 
@@ -536,7 +547,7 @@ def x07(t):
     root = scratch_path(t.spark, "reimport")
     job = refresh.run_refresh(t.spark, path, schema, root, buckets=8)
     again = refresh.run_refresh(t.spark, path, schema, root, buckets=8)
-    if again.schemas:
+    if again.batches:
         raise RuntimeError("a second run over the same files must not process anything")
     return job.table("core").agg(F.count("*").alias("n"), F.countDistinct("cap_identifier").alias("identifiers"))
 

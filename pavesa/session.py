@@ -59,3 +59,11 @@ def cut_lineage(df, label: str):
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a table of ``scratch_path`` that nothing reads any more."""
+    if not path.startswith(shared_dir(spark)):
+        raise ValueError(f"{path} is not in the scratch folder")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -1,89 +1,134 @@
-"""Incremental warning refresh: only the touched keys and days are rebuilt.
+"""Incremental warning refresh: only the touched keys and days are rebuilt, and only their partitions are read.
 
-Four tables live under one root: ``source`` (bucket, batch), ``core`` (bucket), ``core_day`` (month) and
-``pub`` (month). Buckets hash the natural key; months hold the local validity days. Each micro-batch
-rewrites the partitions it touches and nothing else. Replaying a batch gives the same tables, as
-its source rows land in their own partition and all else is derived.
+Five tables live under one root: ``source`` (bucket, batch), ``queue`` (batch), ``core`` (bucket), ``core_day`` (month) and ``pub`` (month).
+Buckets hash the natural key; months hold the local validity days. What exists is found in storage, never remembered, so any process can go on.
+
+The keys of a batch and the days they had and will have are queued durably before ``core`` changes. A replayed batch finds its queue and
+so still knows the days of versions that ``core`` has lost meanwhile. Every touched partition is rewritten, also one that has no rows left:
+it then holds a single row of nulls, which ``table`` leaves out.
 """
 
 from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pavesa.operators import canonical
 from pavesa.operators.merge import overwrite_partitions
-from pavesa.session import cut_lineage
+from pavesa.session import discard, scratch_path
 
 KEY = ["cap_identifier", "language", "area_code"]
 
 
+def _month(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("month", (F.year("valid_date") * 100 + F.month("valid_date")).cast("int"))
+
+
 class WarningRefresh:
     def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
         self.spark, self.root, self.buckets = spark, root, buckets
-        self.schemas: dict[str, T.StructType] = {}
+        self.batches = 0
+        self._staged: list[str] = []
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
     def table(self, name: str) -> DataFrame | None:
         """A stored table, or None before its first write."""
-        if name not in self.schemas:
-            return None
-        return self.spark.read.schema(self.schemas[name]).parquet(self.path(name))
-
-    def _write(self, name: str, rows: DataFrame, *partition: str, derived: bool = True) -> None:
-        overwrite_partitions(rows, self.path(name), *partition, derived=derived)
-        self.schemas[name] = rows.schema
+        try:
+            return self.spark.read.parquet(self.path(name)).filter(F.col(KEY[0]).isNotNull())
+        except AnalysisException as missing:
+            if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                return None
+            raise
+
+    def _stage(self, rows: DataFrame, label: str) -> DataFrame:
+        path = scratch_path(self.spark, label)
+        rows.write.parquet(path)
+        self._staged.append(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def _write(self, name: str, rows: DataFrame, partition: str, touched: list[int]) -> None:
+        marks = self.spark.createDataFrame([(x,) for x in touched], f"{partition} int")
+        overwrite_partitions(self._stage(rows.unionByName(marks, allowMissingColumns=True), name), self.path(name), partition, derived=False)
 
     def _bucket(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn("bucket", F.pmod(F.xxhash64(*KEY), F.lit(self.buckets)).cast("int"))
 
-    def apply(self, batch: DataFrame, batch_id: int) -> None:
-        """One micro-batch of records that carry their archive's elaboration end."""
+    def store(self, batch: DataFrame, batch_id: int) -> None:
+        """Records that carry their archive's elaboration end, into ``source`` alone."""
         rows = self._bucket(batch).withColumn("batch", F.lit(batch_id).cast("int"))
-        self._write("source", rows, "bucket", "batch", derived=False)
-        queue = cut_lineage(self._bucket(batch.select(*KEY).distinct()), "queue")
-
-        stored = self.table("source").join(queue, [*KEY, "bucket"], "left_semi")
-        downloads = stored.select("source_download_id", "source_file_path", "request_elaboration_to").distinct()
-        fresh = cut_lineage(
-            self._bucket(canonical.canonical_warnings(stored.drop("source_file_path", "request_elaboration_to", "bucket", "batch"), downloads)),
-            "fresh",
-        )
-        old_core = self.table("core")
-        replaced = None if old_core is None else cut_lineage(old_core.join(queue, [*KEY, "bucket"], "left_semi"), "replaced")
-        self._refresh_core(old_core, queue, fresh)
-        self._refresh_days(queue, fresh, replaced)
-
-    def _refresh_core(self, old_core: DataFrame | None, queue: DataFrame, fresh: DataFrame) -> None:
-        rows = fresh
-        if old_core is not None:
-            touched = queue.select("bucket").distinct()
-            rows = old_core.join(touched, "bucket", "left_semi").join(queue, [*KEY, "bucket"], "left_anti").unionByName(fresh)
-        self._write("core", rows, "bucket")
-
-    def _refresh_days(self, queue: DataFrame, fresh: DataFrame, replaced: DataFrame | None) -> None:
-        month = lambda df: df.withColumn("month", F.date_format("valid_date", "yyyy-MM"))
-        new_days = month(canonical.explode_days(fresh.drop("bucket")))
-        dates = new_days.select("month", "valid_date")
-        if replaced is not None:
-            dates = dates.unionByName(month(canonical.explode_days(replaced)).select("month", "valid_date"))
-        dates = cut_lineage(dates.distinct(), "dates")
-        months = dates.select("month").distinct()
-        day_rows = new_days
-        old_days, old_pub = self.table("core_day"), self.table("pub")
+        overwrite_partitions(rows, self.path("source"), "bucket", "batch", derived=False)
+
+    def apply(self, batch: DataFrame, batch_id: int) -> None:
+        """One micro-batch. If ``core`` has nothing yet, all keys of ``source`` are due (bootstrap)."""
+        self.store(batch, batch_id)
+        self.refresh(None if self.table("core") is None else batch.select(*KEY), batch_id)
+        self.batches += 1
+
+    def refresh(self, keys: DataFrame | None, batch_id: int) -> None:
+        """Rebuild core, core_day and pub for some keys (None: all of ``source``)."""
+        source = self.table("source")
+        if source is None:
+            return
+        due = self._stage(self._bucket((source if keys is None else keys).select(*KEY).distinct()), "due")
+        buckets = [r["bucket"] for r in due.select("bucket").distinct().collect()]  # as many as there are buckets at most
+        if buckets:
+            stored = source.filter(F.col("bucket").isin(buckets)).join(due, [*KEY, "bucket"], "left_semi")
+            downloads = stored.select("source_download_id", "source_file_path", "request_elaboration_to").distinct()
+            versions = stored.drop("source_file_path", "request_elaboration_to", "bucket", "batch")
+            fresh = self._stage(self._bucket(canonical.canonical_warnings(versions, downloads)), "fresh")
+            self._queue(due, fresh, buckets, batch_id)
+            self._refresh_core(due, fresh, buckets)
+            self._refresh_days(due, fresh, batch_id)
+        for path in self._staged:
+            discard(self.spark, path)
+        self._staged = []
+
+    def _queued(self, batch_id: int) -> DataFrame | None:
+        queue = self.table("queue")
+        return None if queue is None else queue.filter(F.col("batch") == batch_id)
+
+    def _queue(self, due: DataFrame, fresh: DataFrame, buckets: list[int], batch_id: int) -> None:
+        """Old and new days of the due keys. What an earlier try of the batch has queued stays queued."""
+        rows = canonical.explode_days(fresh.drop("bucket")).select(*KEY, "valid_date")
+        core = self.table("core")
+        if core is not None:
+            old = core.filter(F.col("bucket").isin(buckets)).join(due, [*KEY, "bucket"], "left_semi")
+            rows = rows.unionByName(canonical.explode_days(old.drop("bucket")).select(*KEY, "valid_date"))
+        earlier = self._queued(batch_id)
+        if earlier is not None:
+            rows = rows.unionByName(earlier.select(*KEY, "valid_date"))
+        rows = rows.distinct().withColumn("batch", F.lit(batch_id).cast("int"))
+        overwrite_partitions(self._stage(rows, "queued"), self.path("queue"), "batch", derived=False)
+
+    def _refresh_core(self, due: DataFrame, fresh: DataFrame, buckets: list[int]) -> None:
+        core, rows = self.table("core"), fresh
+        if core is not None:
+            rows = core.filter(F.col("bucket").isin(buckets)).join(due, [*KEY, "bucket"], "left_anti").unionByName(fresh)
+        self._write("core", rows, "bucket", buckets)
+
+    def _refresh_days(self, due: DataFrame, fresh: DataFrame, batch_id: int) -> None:
+        queued = self._queued(batch_id)
+        if queued is None:
+            return
+        dates = self._stage(_month(queued.select("valid_date").distinct()), "dates")
+        months = [r["month"] for r in dates.select("month").distinct().collect()]  # bounded by the calendar
+        if not months:
+            return
+        days, old_days, old_pub = _month(canonical.explode_days(fresh.drop("bucket"))), self.table("core_day"), self.table("pub")
         if old_days is not None:
-            day_rows = old_days.join(months, "month", "left_semi").join(queue, KEY, "left_anti").unionByName(new_days)
-        self._write("core_day", day_rows, "month")
-        ranked = canonical.daily_features(self.table("core_day").join(dates, ["month", "valid_date"], "left_semi").drop("month"))
-        pub_rows = month(ranked)
+            days = old_days.filter(F.col("month").isin(months)).join(due, KEY, "left_anti").unionByName(days)
+        self._write("core_day", days, "month", months)
+        current = self.table("core_day").filter(F.col("month").isin(months)).join(dates, ["month", "valid_date"], "left_semi")
+        pub = _month(canonical.daily_features(current.drop("month")))
         if old_pub is not None:
-            pub_rows = old_pub.join(months, "month", "left_semi").join(dates, ["month", "valid_date"], "left_anti").unionByName(pub_rows)
-        self._write("pub", pub_rows, "month")
+            pub = old_pub.filter(F.col("month").isin(months)).join(dates, ["month", "valid_date"], "left_anti").unionByName(pub)
+        self._write("pub", pub, "month", months)
 
 
 def run_refresh(spark: SparkSession, landing: str, schema: T.StructType, root: str, files_per_batch: int = 1, buckets: int = 64) -> WarningRefresh:

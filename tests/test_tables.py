@@ -59,6 +59,57 @@ def test_incremental_equals_full_rebuild_and_replay_is_harmless(spark):
     assert keyed(job.table("pub"), "feature_id", "warning_id", "source_version_count") == before
 
 
+def assert_rebuilt(spark, job, seen):
+    core, pub = full_rebuild(spark, seen)
+    assert keyed(job.table("core"), "cap_identifier", "area_code", "warning_id", "duplicate_source_count") == keyed(core, "cap_identifier", "area_code", "warning_id", "duplicate_source_count")
+    assert keyed(job.table("pub"), "feature_id", "warning_id", "source_version_count") == keyed(pub, "feature_id", "warning_id", "source_version_count")
+
+
+def test_refresh_goes_on_in_another_process(spark):
+    root, seen = scratch_path(spark, "t-restart"), []
+    for i, batch in enumerate(BATCHES):
+        seen += batch
+        refresh.WarningRefresh(spark, root, 4).apply(spark.createDataFrame(batch, RECORD), i)
+        assert_rebuilt(spark, refresh.WarningRefresh(spark, root, 4), seen)
+
+
+def moved():
+    """A warning alone in its month, then moved to another one."""
+    return [record(1, "m1", "Z9", 1, "Rojo", 0, 5)], [record(2, "m1", "Z9", 2, "Rojo", 24 * 200, 5)]
+
+
+def test_emptied_month_is_cleared(spark):
+    first, second = moved()
+    root = scratch_path(spark, "t-moved")
+    for i, batch in enumerate((first, second)):
+        refresh.WarningRefresh(spark, root, 2).apply(spark.createDataFrame(batch, RECORD), i)
+    job = refresh.WarningRefresh(spark, root, 2)
+    assert_rebuilt(spark, job, first + second)
+    assert job.table("core_day").select("month").distinct().count() == job.table("pub").select("month").distinct().count() == 1
+
+
+def test_failed_batch_is_replayed(spark, monkeypatch):
+    first, second = moved()
+    root = scratch_path(spark, "t-failed")
+    refresh.WarningRefresh(spark, root, 2).apply(spark.createDataFrame(first, RECORD), 0)
+    broken = refresh.WarningRefresh(spark, root, 2)
+    monkeypatch.setattr(broken, "_refresh_days", lambda *a: 1 / 0)
+    try:
+        broken.apply(spark.createDataFrame(second, RECORD), 1)
+    except ZeroDivisionError:
+        pass
+    job = refresh.WarningRefresh(spark, root, 2)
+    job.apply(spark.createDataFrame(second, RECORD), 1)
+    assert_rebuilt(spark, job, first + second)
+
+
+def test_refresh_reads_touched_partitions(spark):
+    job = refresh.WarningRefresh(spark, scratch_path(spark, "t-prune"), 8)
+    job.apply(spark.createDataFrame(BATCHES[0], RECORD), 0)
+    plan = spark._jvm.PythonSQLUtils.explainString(job.table("core").filter(F.col("bucket").isin([1]))._jdf.queryExecution(), "formatted")
+    assert "PartitionFilters: [bucket" in plan.replace("isnotnull(", "").replace("(", "")
+
+
 def test_best_per_key_equals_window(spark):
     rows = spark.createDataFrame([(i % 7, i % 3 or None, i) for i in range(200)], "k int, r int, id int")
     order = [F.col("r").asc_nulls_last(), F.col("id").desc()]
