@@ -2,50 +2,61 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pavesa.constants import AUTHALIC_RADIUS_M
 
-ORIGIN_LON, ORIGIN_LAT = -9.0, 44.0
-STEP_LON, STEP_LAT = 0.03, 0.02
-ROWS = COLS = 400
 TILE = 256
 
 
-def burn_mask(pixels: DataFrame, mode: str = "daily") -> DataFrame:
-    day = F.dayofyear("nominal_date")
-    when = F.col("dob") == day if mode == "daily" else (F.col("dob") > 0) & (F.col("dob") <= day)
-    return pixels.filter((F.col("bf") > 0) & (F.coalesce("alpha", F.lit(255)) > 0) & when)
+@dataclass(frozen=True)
+class Grid:
+    """Where a raster's pixels are: upper left corner, steps in degrees, size."""
 
+    lon: float
+    lat: float
+    step_lon: float
+    step_lat: float
+    rows: int
+    cols: int
 
-def pixel_lon(col: Column) -> Column:
-    return ORIGIN_LON + (col + 0.5) * STEP_LON
+    def centre_lon(self, col: Column) -> Column:
+        return self.lon + (col + 0.5) * self.step_lon
 
+    def centre_lat(self, row: Column) -> Column:
+        return self.lat - (row + 0.5) * self.step_lat
 
-def pixel_lat(row: Column) -> Column:
-    return ORIGIN_LAT - (row + 0.5) * STEP_LAT
+    def area_ha(self, row: Column) -> Column:
+        """Area of one pixel of a row on the authalic sphere."""
+        top, bottom = F.radians(self.lat - row * self.step_lat), F.radians(self.lat - (row + 1.0) * self.step_lat)
+        return (
+            F.lit(AUTHALIC_RADIUS_M * AUTHALIC_RADIUS_M) * F.radians(F.lit(self.step_lon)) * F.abs(F.sin(top) - F.sin(bottom)) / 10000.0
+        )
 
+    def holds(self, row: Column, col: Column) -> Column:
+        return row.between(0, self.rows - 1) & col.between(0, self.cols - 1)
 
-def cell_area_ha(row: Column) -> Column:
-    """Area of one pixel of a row on the authalic sphere."""
-    top, bottom = F.radians(ORIGIN_LAT - row * STEP_LAT), F.radians(ORIGIN_LAT - (row + 1.0) * STEP_LAT)
-    return (
-        F.lit(AUTHALIC_RADIUS_M * AUTHALIC_RADIUS_M) * F.radians(F.lit(STEP_LON)) * F.abs(F.sin(top) - F.sin(bottom)) / 10000.0
-    )
+
+def burn_mask(pixels: DataFrame, mode: str = "daily") -> DataFrame:
+    day = F.dayofyear("nominal_date")
+    when = F.col("dob") == day if mode == "daily" else (F.col("dob") > 0) & (F.col("dob") <= day)
+    return pixels.filter((F.col("bf") > 0) & (F.coalesce("alpha", F.lit(255)) > 0) & when)
 
 
-def burnt_stats(masked: DataFrame, *by: str) -> DataFrame:
+def burnt_stats(masked: DataFrame, grid: Grid, *by: str) -> DataFrame:
     fraction = F.col("bf") / 1000.0
     return masked.groupBy(*(by or ("nominal_date",))).agg(
-        F.sum(fraction * cell_area_ha(F.col("prow"))).alias("burned_area_ha"),
+        F.sum(fraction * grid.area_ha(F.col("prow"))).alias("burned_area_ha"),
         F.sum(fraction).alias("burned_fraction_sum"),
         F.count("*").alias("burned_pixel_count"),
     )
 
 
-def dilate(masked: DataFrame, radius: int = 1) -> DataFrame:
-    """Mask plus halo: ``is_core`` tells the two apart. One aggregation, no join."""
+def dilate(masked: DataFrame, grid: Grid, radius: int = 1) -> DataFrame:
+    """Mask plus halo inside the raster: ``is_core`` tells the two apart. One aggregation, no join."""
     reach = range(-radius, radius + 1)
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in reach for j in reach])
     return (
@@ -54,7 +65,7 @@ def dilate(masked: DataFrame, radius: int = 1) -> DataFrame:
             "nominal_date", (F.col("prow") + F.col("s.i")).alias("prow"), (F.col("pcol") + F.col("s.j")).alias("pcol"),
             ((F.col("s.i") == 0) & (F.col("s.j") == 0)).alias("core"), F.when((F.col("s.i") == 0) & (F.col("s.j") == 0), F.col("bf")).alias("bf"),
         )
-        .filter(F.col("prow").between(0, ROWS - 1) & F.col("pcol").between(0, COLS - 1))
+        .filter(grid.holds(F.col("prow"), F.col("pcol")))
         .groupBy("nominal_date", "prow", "pcol")
         .agg(F.max("core").alias("is_core"), F.max("bf").alias("bf"))
     )

@@ -54,13 +54,25 @@ def hotspot_csv(t):
     return obs.select(*[v.alias(k) for k, v in text.items()], "firms_source", "bbox_region")
 
 
+def landed_oddly(rows, label, partition=()):
+    """CSV files of three kinds: columns in order, coordinates swapped and fields absent, and one without coordinates."""
+    path = scratch_path(rows.sparkSession, label)
+    kinds = rows.withColumn("_kind", F.xxhash64("acq_date", "frp") % 2 == 0)
+    swapped = ["longitude", "latitude", *(f for f in landing.HOTSPOT_FIELDS if f not in ("latitude", "longitude", "track", "version"))]
+    lost = rows.limit(5).select(*(f for f in landing.HOTSPOT_FIELDS if f not in ("latitude", "longitude")), *partition)
+    for part in (kinds.filter("_kind").select(*landing.HOTSPOT_FIELDS, *partition), kinds.filter("NOT _kind").select(*swapped, *partition), lost):
+        writer = part.write.mode("append").option("header", True)
+        (writer.partitionBy(*partition) if partition else writer).csv(path)
+    return path
+
+
 view("csv_ok", "SELECT * FROM hotspot_obs WHERE source_observation_id%37<>0 AND source_observation_id%43<>0 AND source_observation_id%41<>0", ["hotspot_obs"])
 
 
 @query("a01_hotspot_csv_scan", with_views("hotspot_obs csv_ok", """SELECT a.firms_source, a.bbox_region, kept, lines FROM (SELECT firms_source, bbox_region, count(*) AS kept FROM csv_ok GROUP BY 1,2) a
   JOIN (SELECT firms_source, bbox_region, count(*) AS lines FROM hotspot_obs GROUP BY 1,2) b USING (firms_source, bbox_region)"""))
 def a01(t):
-    path = landed(hotspot_csv(t).repartition("firms_source", "bbox_region"), "hotspot-csv", "csv", ["firms_source", "bbox_region"], header=True)
+    path = landed_oddly(hotspot_csv(t), "hotspot-csv", ["firms_source", "bbox_region"])
     raw = landing.read_hotspot_csv(t.spark, path, ["firms_source", "bbox_region"])
     lines = raw.groupBy("firms_source", "bbox_region").agg(F.countDistinct("source_file", "source_row_number").alias("lines"))
     kept = landing.parse_hotspots(raw).groupBy("firms_source", "bbox_region").agg(F.count("*").alias("kept"))
@@ -69,8 +81,8 @@ def a01(t):
 
 @query("a02_live_csv_scan", with_views("hotspot_in", """SELECT CASE WHEN source_observation_id%37=0 OR source_observation_id%43=0 THEN 'bad_coordinate' WHEN NOT in_region THEN 'outside_region' WHEN confidence IN ('n','h') THEN 'kept' ELSE 'low_confidence' END AS reason, count(*) AS n FROM hotspot_in GROUP BY 1"""))
 def a02(t):
-    path = landed(hotspot_csv(t), "live-csv", "csv", header=True)
-    raw = t.spark.read.schema(landing.HOTSPOT_CSV).csv(path, header=True)
+    path = landed_oddly(hotspot_csv(t), "live-csv")
+    raw = landing.read_hotspot_csv(t.spark, path)
     rows = raw.withColumn("latitude", S.safe_double(c("latitude"))).withColumn("longitude", S.safe_double(c("longitude")))
     rows = regions.flag_in_region(rows, t.region_edges())
     reason = (
@@ -195,13 +207,13 @@ def a09(t):
 
 @query("a10_boundary_edges", with_views("zone_edge", "SELECT area_code AS part, 0 AS ring_no, count(*) AS edges, cast(round(cast(sum(x1) as decimal(28,8)),5) as double) AS sx FROM zone_edge GROUP BY 1"))
 def a10(t):
-    ring = F.transform("ring", lambda p: F.array(p.x, p.y))
-    feature = F.struct(
-        F.lit("Feature").alias("type"), F.create_map(F.lit("code"), c("area_code")).alias("properties"),
-        F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"),
-    )
-    doc = t.zone().select("area_code", F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.array(feature).alias("features"))).alias("value"))
-    path = landed(doc.repartition("area_code"), "boundary", "text", ["area_code"])
+    """Every other zone is a MultiPolygon, every third file a single Feature."""
+    ring = F.array(F.transform("ring", lambda p: F.array(p.x, p.y)))
+    code, many = c("area_code"), F.xxhash64("area_code") % 2 == 0
+    geometry = F.when(many, F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), F.array(ring).alias("coordinates")))).otherwise(F.to_json(F.struct(F.lit("Polygon").alias("type"), ring.alias("coordinates"))))
+    feature = F.concat(F.lit('{"type":"Feature","properties":{"code":"'), code, F.lit('"},"geometry":'), geometry, F.lit("}"))
+    document = F.when(F.xxhash64("area_code") % 3 == 0, feature).otherwise(F.concat(F.lit('{"type":"FeatureCollection","features":['), feature, F.lit("]}")))
+    path = landed(t.zone().select("area_code", document.alias("value")).repartition("area_code"), "boundary", "text", ["area_code"])
     edges = landing.read_boundary_edges(t.spark, path, "code")
     return edges.groupBy("part", "ring_no").agg(F.count("*").alias("edges"), S.dec_round(F.sum("x1"), 5).alias("sx"))
 
@@ -537,8 +549,11 @@ def x05(t):
 
 @query("x06_late_warnings", with_views("warning_src", "SELECT DISTINCT cap_identifier, language, area_code FROM warning_src"))
 def x06(t):
-    path, schema = record_files(t)
-    return feed.drain(feed.late_warnings(t.spark, path, schema, KEY, "3 days").select(*KEY), "late")
+    """One file per trigger, newest first."""
+    path, schema = scratch_path(t.spark, "late-records"), t.warning_src().schema
+    for part in (2, 1, 0):
+        t.warning_src().filter(c("source_download_id") % 3 == part).coalesce(1).write.mode("append").parquet(path)
+    return feed.drain(feed.late_warnings(t.spark, path, schema, KEY, files_per_batch=1).select(*KEY), "late")
 
 
 @query("x07_idempotent_reimport", with_views("warning", "SELECT count(*) AS n, count(DISTINCT cap_identifier) AS identifiers FROM warning"))

@@ -10,6 +10,7 @@ from pavesa.operators import raster, regions
 from pavesa.plans.domain_sql import REGION_TEST, dr, view, with_views
 from pavesa.plans.refine_queries import day_text
 from pavesa.plans.registry import query
+from pavesa.sources.bridge import PIXEL_GRID
 
 R2 = "(6371007.181e0*6371007.181e0)"
 AREA = f"({R2}*radians(cast(0.03 as double))*abs(sin(radians(44.0-prow*cast(0.02 as double)))-sin(radians(44.0-(prow+1.0)*cast(0.02 as double))))/10000.0)"
@@ -30,7 +31,7 @@ def burnt(t):
 
 
 def burnt_days(t):
-    return raster.burnt_stats(burnt(t))
+    return raster.burnt_stats(burnt(t), PIXEL_GRID)
 
 
 @query("p01_burn_mask", with_views("pixel", """SELECT strftime(nominal_date,'%Y-%m-%d') AS nominal_date, count(*) FILTER (dob=dayofyear(nominal_date)) AS daily, count(*) FILTER (dob>0 AND dob<=dayofyear(nominal_date)) AS cumulative FROM pixel WHERE bf>0 AND alpha>0 GROUP BY nominal_date"""))
@@ -41,13 +42,13 @@ def p01(t):
 
 @query("p02_clip_to_region", with_views("pixel region_edge", f"""SELECT strftime(nominal_date,'%Y-%m-%d') AS nominal_date, count(*) AS n FROM (SELECT *, -9.0+(pcol+0.5)*cast(0.03 as double) AS longitude, 44.0-(prow+0.5)*cast(0.02 as double) AS latitude FROM pixel) WHERE {REGION_TEST} GROUP BY nominal_date"""))
 def p02(t):
-    located = t.pixel().withColumn("longitude", raster.pixel_lon(F.col("pcol"))).withColumn("latitude", raster.pixel_lat(F.col("prow")))
+    located = t.pixel().withColumn("longitude", PIXEL_GRID.centre_lon(F.col("pcol"))).withColumn("latitude", PIXEL_GRID.centre_lat(F.col("prow")))
     return regions.flag_in_region(located, t.region_edges()).filter("in_region").groupBy("nominal_date").agg(F.count("*").alias("n")).select(day_text("nominal_date"), "n")
 
 
 @query("p03_cell_area", with_views("pixel", f"SELECT prow, {dr(AREA, 4)} AS cell_ha, count(*) AS n FROM pixel GROUP BY prow"))
 def p03(t):
-    return t.pixel().groupBy("prow").agg(F.count("*").alias("n")).select("prow", S.dec_round(raster.cell_area_ha(F.col("prow")), 4).alias("cell_ha"), "n")
+    return t.pixel().groupBy("prow").agg(F.count("*").alias("n")).select("prow", S.dec_round(PIXEL_GRID.area_ha(F.col("prow")), 4).alias("cell_ha"), "n")
 
 
 @query("p04_zonal_stats", with_views("burnt_stat", f"SELECT strftime(nominal_date,'%Y-%m-%d') AS nominal_date, {dr('burned_area_ha', 3)} AS burned_area_ha, {dr('burned_fraction_sum', 3)} AS burned_fraction_sum, burned_pixel_count FROM burnt_stat"))
@@ -60,12 +61,12 @@ def p04(t):
 
 @query("p05_dilated_halo", with_views("dilated", "SELECT strftime(nominal_date,'%Y-%m-%d') AS nominal_date, prow, pcol FROM dilated WHERE core=0"))
 def p05(t):
-    return raster.dilate(burnt(t)).filter("NOT is_core").select(day_text("nominal_date"), "prow", "pcol")
+    return raster.dilate(burnt(t), PIXEL_GRID).filter("NOT is_core").select(day_text("nominal_date"), "prow", "pcol")
 
 
 @query("p06_colour_ramp", with_views("rgba", "SELECT strftime(nominal_date,'%Y-%m-%d') AS nominal_date, prow, pcol, r, g, b, a FROM rgba"))
 def p06(t):
-    return raster.colours(raster.dilate(burnt(t))).select(day_text("nominal_date"), "prow", "pcol", "r", "g", "b", "a")
+    return raster.colours(raster.dilate(burnt(t), PIXEL_GRID)).select(day_text("nominal_date"), "prow", "pcol", "r", "g", "b", "a")
 
 
 @query("p07_pixel_runs", with_views("runs", "SELECT strftime(nominal_date,'%Y-%m-%d') AS nominal_date, tile_x, tile_y, py, x_start, x_end, pixels FROM runs"))
@@ -119,7 +120,7 @@ for _ch in "rgb":
 @query("p10_alpha_composite", with_views("rgba", f"""SELECT prow, pcol, c.r AS r, c.g AS g, c.b AS b, c.a AS a FROM (SELECT prow, pcol, list_reduce(list({{'r': cast(r as bigint), 'g': cast(g as bigint), 'b': cast(b as bigint), 'a': cast(a as bigint)}} ORDER BY nominal_date),
   lambda d, s: {OVER}, {{'r': 0::bigint, 'g': 0::bigint, 'b': 0::bigint, 'a': 0::bigint}}) AS c FROM rgba GROUP BY prow, pcol)"""))
 def p10(t):
-    return raster.composite(raster.colours(raster.dilate(burnt(t))))
+    return raster.composite(raster.colours(raster.dilate(burnt(t), PIXEL_GRID)))
 
 
 @query("p11_publication_index", with_views("daily_file", "SELECT dataset_version, delivery_format, strftime(nominal_date,'%Y-%m-%d') AS nominal_date, publication_status, local_tiles_path IS NOT NULL AS has_local_tiles FROM daily_file"))

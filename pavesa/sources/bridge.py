@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pavesa.functions import geo
+from pavesa.operators.raster import Grid
 
+#: Grid of the ``pixel`` view.
+PIXEL_GRID = Grid(-9.0, 44.0, 0.03, 0.02, 400, 400)
 REGION_RING = [(-8.5, 36.5), (2.5, 37.0), (1.0, 43.5), (-3.0, 41.0), (-8.8, 43.2), (-8.5, 36.5)]
 
 
@@ -20,12 +23,7 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def raw(self, name: str) -> DataFrame:
-        """A test table. One small file gives one split, so the larger tables are spread over the cores."""
-        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        cores = self.spark.sparkContext.defaultParallelism
-        if name in ("events", "lineitem", "orders", "documents", "customer", "part") and df.rdd.getNumPartitions() < cores:
-            return df.repartition(cores)
-        return df
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def hotspot_obs(self) -> DataFrame:
         return (

@@ -5,7 +5,9 @@ from __future__ import annotations
 import gzip
 import io
 import tarfile
+import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,44 +25,66 @@ INFO = (
 ALERT = f"identifier string, sender string, sent string, status string, msgType string, scope string, info {INFO}"
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    return unpack(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content"))
+#: Messages handed on at a time; memory holds one member and these.
+MESSAGES = 200
 
 
-def _kind(body: bytes) -> str:
-    if body.startswith(b"\x1f\x8b"):
-        return "gzip"
-    if body[:512].lstrip().startswith(b"<?xml"):
-        return "xml"
-    return "tar" if tarfile.is_tarfile(io.BytesIO(body)) else "other"
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    return unpack(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content"))
 
 
-def members(name: str, body: bytes) -> Iterator[tuple[str, bytes]]:
-    """Every XML document inside a payload, however deeply gzip and tar are nested."""
-    waiting = [(name, body)]
+def members(name: str, stream: BinaryIO) -> Iterator[tuple[str, bytes]]:
+    """Every XML document inside a stream, however deeply gzip and tar are nested; archives are read through, never unpacked whole."""
+    waiting = [iter([(name, stream)])]
     while waiting:
-        name, body = waiting.pop()
-        kind = _kind(body)
-        if kind == "xml":
+        name, stream = next(waiting[-1], (None, None))
+        if name is None:
+            waiting.pop()
+            continue
+        stream = stream if stream.seekable() else io.BytesIO(stream.read())
+        start = stream.read(2)
+        stream.seek(0)
+        if start == b"\x1f\x8b":
+            waiting.append(iter([(name, gzip.GzipFile(fileobj=stream))]))
+        elif _is_tar(stream):
+            waiting.append(_entries(name, stream))
+        elif (body := stream.read()).lstrip().startswith(b"<?xml"):
             yield name, body
-        elif kind == "gzip":
-            waiting.append((name, gzip.decompress(body)))
-        elif kind == "tar":
-            with tarfile.open(fileobj=io.BytesIO(body)) as archive:
-                waiting += [(f"{name}/{e.name}", archive.extractfile(e).read()) for e in archive if e.isfile()]
+
+
+def _is_tar(stream: BinaryIO) -> bool:
+    found = tarfile.is_tarfile(stream)
+    stream.seek(0)
+    return found
+
+
+def _entries(name: str, stream: BinaryIO) -> Iterator[tuple[str, BinaryIO]]:
+    with tarfile.open(fileobj=stream, mode="r:") as archive:
+        for entry in archive:
+            if entry.isfile():
+                yield f"{name}/{entry.name}", archive.extractfile(entry)
 
 
 def unpack(archives: DataFrame) -> DataFrame:
-    """``(path, content)`` rows to one row per XML member."""
+    """``(path, content)`` rows to one row per XML member. A broken archive gives what could be read and a row with ``error``."""
+    columns = ["path", "member_path", "payload", "error"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                found = [(path, name, body.decode("utf-8", "replace")) for name, body in members(path.rsplit("/", 1)[-1], bytes(content))]
+                found = []
+                try:
+                    for name, body in members(path.rsplit("/", 1)[-1], io.BytesIO(content)):
+                        found.append((path, name, body.decode("utf-8", "replace"), None))
+                        if len(found) == MESSAGES:
+                            yield pd.DataFrame(found, columns=columns)
+                            found = []
+                except (OSError, EOFError, zlib.error, tarfile.TarError) as broken:
+                    found.append((path, None, None, f"{type(broken).__name__}: {broken}"))
                 if found:
-                    yield pd.DataFrame(found, columns=["path", "member_path", "payload"])
+                    yield pd.DataFrame(found, columns=columns)
 
-    return archives.mapInPandas(run, "path string, member_path string, payload string")
+    return archives.mapInPandas(run, "path string, member_path string, payload string, error string")
 
 
 def parse(messages: DataFrame) -> DataFrame:

@@ -13,7 +13,6 @@ HOTSPOT_FIELDS = [
     "latitude", "longitude", "bright_ti4", "scan", "track", "acq_date", "acq_time", "satellite", "instrument", "confidence",
     "version", "bright_ti5", "frp", "daynight",
 ]
-HOTSPOT_CSV = T.StructType([T.StructField(n, T.StringType()) for n in HOTSPOT_FIELDS])
 
 
 def with_row_numbers(rows: DataFrame, *file_keys: str) -> DataFrame:
@@ -33,12 +32,38 @@ def with_row_numbers(rows: DataFrame, *file_keys: str) -> DataFrame:
     )
 
 
-def read_hotspot_csv(spark: SparkSession, path: str, file_keys: list[str], schema: T.StructType = HOTSPOT_CSV) -> DataFrame:
-    """Raw hotspot lines with their file and line number; text columns, no inference."""
-    keyed = T.StructType(schema.fields + [T.StructField(k, T.StringType()) for k in file_keys])
-    raw = spark.read.schema(keyed).csv(path, header=True, mode="PERMISSIVE", enforceSchema=False)
-    numbered = raw.withColumn("source_file", F.col("_metadata.file_path")).withColumn("_block", F.col("_metadata.file_block_start"))
-    return with_row_numbers(numbered.withColumn("_seq", F.monotonically_increasing_id()), "source_file")
+def read_csv_by_name(spark: SparkSession, path: str, fields: list[str], required: list[str], file_keys: list[str] = [], quote: str = '"') -> DataFrame:
+    """Lines of CSV files as text columns bound by each file's own header.
+
+    Files may order, omit or add columns: an absent field is NULL, an unknown column is left out, and a file without one of
+    ``required`` gives no rows. Lines are numbered in their file, from 1. One file's header is one row, so headers join by file.
+    """
+    keyed = T.StructType([T.StructField("value", T.StringType()), *(T.StructField(k, T.StringType()) for k in file_keys)])
+    lines = spark.read.schema(keyed).text(path, recursiveFileLookup=not file_keys).select(
+        "value", *file_keys, F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_seq")
+    ).filter(F.trim("value") != "")
+    at = F.struct("_block", "_seq")
+    parts = lambda text: F.from_csv(text, F.lit(", ".join(f"c{i} string" for i in range(MOST_COLUMNS))), {"quote": quote, "escape": quote})
+    heads = lines.groupBy("source_file").agg(F.min_by("value", at).alias("head"), F.min(at).alias("first"))
+    cells = F.array(*(F.lower(F.trim(F.regexp_replace(F.col(f"h.c{i}"), "\ufeff", ""))) for i in range(MOST_COLUMNS)))
+    places = heads.withColumn("h", parts(F.col("head"))).select("source_file", "first", cells.alias("names"))
+    places = places.select("source_file", "first", *(F.array_position("names", F.lit(f)).alias(f"_{f}") for f in fields))
+    usable = places.filter(P.all_of(*(F.col(f"_{f}") > 0 for f in required)))
+    body = lines.join(usable, "source_file").filter((F.col("_block") != F.col("first._block")) | (F.col("_seq") != F.col("first._seq")))
+    values = body.withColumn("r", parts(F.col("value"))).withColumn("r", F.array(*(F.col(f"r.c{i}") for i in range(MOST_COLUMNS))))
+    named = values.select(
+        *(F.when(F.col(f"_{f}") > 0, F.get("r", (F.col(f"_{f}") - 1).cast("int"))).alias(f) for f in fields), *file_keys, "source_file", "_block", "_seq"
+    )
+    return with_row_numbers(named, "source_file")
+
+
+#: Columns that a landed CSV line may have.
+MOST_COLUMNS = 40
+
+
+def read_hotspot_csv(spark: SparkSession, path: str, file_keys: list[str] = []) -> DataFrame:
+    """Raw hotspot lines with their file and line number; a file without coordinates gives none."""
+    return read_csv_by_name(spark, path, HOTSPOT_FIELDS, ["latitude", "longitude"], file_keys)
 
 
 def parse_hotspots(raw: DataFrame) -> DataFrame:
@@ -72,11 +97,11 @@ def archives_in_scope(manifests: DataFrame, date_from: str, date_to: str, lookba
     return manifests.filter((F.col("request_elaboration_to") >= lo) & (F.col("request_elaboration_from") < hi))
 
 
-CATALOG_CSV = "id string, name string, nominaldate string, ingestiondate string, modificationdate string, contentlength string"
+CATALOG_FIELDS = ["id", "name", "nominaldate", "ingestiondate", "modificationdate", "contentlength"]
 
 
 def read_catalog_variant(spark: SparkSession, path: str, version: str, fmt: str) -> DataFrame:
-    raw = spark.read.schema(CATALOG_CSV).csv(path, header=True, quote='"', escape='"')
+    raw = read_csv_by_name(spark, path, CATALOG_FIELDS, ["nominaldate"])
     day = F.left(F.coalesce("nominaldate", F.lit("")), F.lit(10))
     return raw.filter(day != "").select(
         F.lit(version).alias("dataset_version"), F.lit(fmt).alias("delivery_format"), F.col("id").alias("source_item_id"),
@@ -92,16 +117,27 @@ def catalogue_or_core(catalogue: DataFrame, core: DataFrame) -> DataFrame:
     return catalogue.unionByName(core.filter(empty))
 
 
-GEOJSON = (
-    "type string, features array<struct<type:string, properties:map<string,string>,"
-    " geometry:struct<type:string, coordinates:array<array<array<double>>>>>>"
-)
+GEOMETRY = "geometry:struct<type:string, coordinates:string>"
+GEOJSON = f"type string, features array<struct<type:string, properties:map<string,string>, {GEOMETRY}>>, properties map<string,string>, {GEOMETRY.replace(':struct', ' struct', 1)}"
+RINGS = "array<array<array<double>>>"
+
+
+def read_boundary_features(spark: SparkSession, path: str, id_property: str) -> DataFrame:
+    """Features of GeoJSON files (collections or single features): part, geometry type, and polygons (NULL: not an area)."""
+    files = spark.read.schema(GEOJSON).json(path, multiLine=True)
+    single = F.array(F.struct(F.col("type"), F.col("properties"), F.col("geometry")))
+    f = files.select(F.explode(F.when(F.col("type") == "FeatureCollection", F.col("features")).otherwise(single)).alias("f"))
+    kind, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    polygons = F.when(kind == "Polygon", F.array(F.from_json(text, RINGS))).when(kind == "MultiPolygon", F.from_json(text, f"array<{RINGS}>"))
+    return f.select(F.col("f.properties")[id_property].alias("part"), kind.alias("geometry_type"), polygons.alias("polygons"))
 
 
 def read_boundary_edges(spark: SparkSession, path: str, id_property: str) -> DataFrame:
-    """Polygon boundary files to an edge table: one row per ring side."""
-    features = spark.read.schema(GEOJSON).json(path, multiLine=True).select(F.explode("features").alias("f"))
-    rings = features.select(F.col("f.properties")[id_property].alias("part"), F.posexplode("f.geometry.coordinates").alias("ring_no", "ring"))
+    """Boundary files to an edge table: one row per ring side, of every ring of every polygon.
+
+    ``ring_no`` counts a feature's rings from 0. Features that aren't areas have no edges; ``read_boundary_features`` shows them.
+    """
+    rings = read_boundary_features(spark, path, id_property).select("part", F.posexplode(F.flatten("polygons")).alias("ring_no", "ring"))
     n = F.size("ring") - 1
     sides = F.zip_with(
         F.slice("ring", F.lit(1), n), F.slice("ring", F.lit(2), n),

@@ -27,10 +27,16 @@ def distinct_hotspots(spark: SparkSession, landing: str, schema: T.StructType, k
     return stream.withWatermark("observed_at", delay).dropDuplicatesWithinWatermark(keys)
 
 
-def late_warnings(spark: SparkSession, landing: str, schema: T.StructType, keys: list[str], lookback: str) -> DataFrame:
-    """Repeats of a warning inside the look-back are dropped, late first arrivals are kept."""
-    stream = spark.readStream.schema(schema).parquet(landing)
-    return stream.withWatermark("sent_at", lookback).dropDuplicatesWithinWatermark(keys)
+def late_warnings(spark: SparkSession, landing: str, schema: T.StructType, keys: list[str], files_per_batch: int | None = None) -> DataFrame:
+    """First arrival of each warning, however late its file lands.
+
+    There is no watermark: which archives are read is decided by the look-back of ``landing.archives_in_scope``, and within those no key may be
+    lost. The state holds one key per warning, as the source table does.
+    """
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(landing).dropDuplicates(keys)
 
 
 def alert_states(spark: SparkSession, landing: str, schema: T.StructType, now: Column) -> DataFrame:

@@ -3,16 +3,17 @@
 import gzip
 import hashlib
 import io
+import json
 import tarfile
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from pavesa.operators import canonical, lookup, merge, quality, series
+from pavesa.operators import canonical, lookup, merge, quality, raster, series
 from pavesa.plans import reports
 from pavesa.session import scratch_path
 from pavesa.sources import cap, landing
-from pavesa.streaming import refresh
+from pavesa.streaming import feed, refresh
 
 T0 = datetime(2025, 7, 1, 12)
 RECORD = (
@@ -221,20 +222,66 @@ def test_nested_archives_and_cap_parsing(spark, tmp_path):
     assert {(r["id"], r["area_name"], r["onset"].hour) for r in live} == {("X1", "Uno", 13), ("X2", "Uno", 13)}
 
 
+def test_broken_archive_is_a_row(spark):
+    good = gzip.compress(b"  " * 600 + b"<?xml version='1.0'?><a/>")
+    files = spark.createDataFrame([("x/good.gz", bytearray(good)), ("x/bad.gz", bytearray(good[:-9])), ("x/none", bytearray(b""))], "path string, content binary")
+    rows = {r["path"]: r for r in cap.unpack(files).collect()}
+    assert rows["x/good.gz"]["payload"].strip().startswith("<?xml") and rows["x/bad.gz"]["error"] and set(rows) == {"x/good.gz", "x/bad.gz"}
+
+
 def test_csv_row_numbers_cover_split_files(spark, tmp_path):
     lines = ["latitude,longitude,acq_date,satellite"] + [f"40.{i},-3.{i},2024-01-01,N" for i in range(500)]
     (tmp_path / "a.csv").write_text("\n".join(lines))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
     try:
-        schema = landing.HOTSPOT_CSV
-        narrow = type(schema)([f for f in schema.fields if f.name in ("latitude", "longitude", "acq_date", "satellite")])
-        raw = landing.read_hotspot_csv(spark, str(tmp_path), [], narrow)
+        raw = landing.read_hotspot_csv(spark, str(tmp_path))
         rows = raw.select("source_row_number", "latitude").collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert sorted((r[0], r[1]) for r in rows) == [(i + 1, f"40.{i}") for i in range(500)]
 
 
+def test_csv_columns_are_bound_by_name(spark, tmp_path):
+    (tmp_path / "good.csv").write_text('latitude,longitude,satellite,confidence\n40.5,-3.5,"N, 20",h\n')
+    (tmp_path / "swapped.csv").write_text('\ufeffLongitude, LATITUDE,extra\n-4.5,41.5,zzz\n\n')
+    (tmp_path / "lost.csv").write_text("acq_date,satellite\n2024-01-01,N\n")
+    (tmp_path / "empty.csv").write_text("")
+    rows = landing.read_hotspot_csv(spark, str(tmp_path)).select("latitude", "longitude", "satellite", "confidence", "frp", "source_row_number").collect()
+    assert sorted(map(tuple, rows)) == [("40.5", "-3.5", "N, 20", "h", None, 1), ("41.5", "-4.5", None, None, None, 1)]
+
+
+def test_boundaries_of_all_kinds(spark, tmp_path):
+    ring = [[0, 0], [1, 0], [1, 1], [0, 0]]
+    feature = lambda code, kind, coordinates: {"type": "Feature", "properties": {"code": code}, "geometry": {"type": kind, "coordinates": coordinates}}
+    collection = {"type": "FeatureCollection", "features": [feature("a", "Polygon", [ring, ring]), feature("b", "MultiPolygon", [[ring], [ring, ring]]), feature("c", "Point", [1, 2])]}
+    (tmp_path / "many.json").write_text(json.dumps(collection))
+    (tmp_path / "one.json").write_text(json.dumps(feature("d", "MultiPolygon", [[ring]])))
+    edges = landing.read_boundary_edges(spark, str(tmp_path), "code").groupBy("part").count().collect()
+    assert {tuple(r) for r in edges} == {("a", 6), ("b", 9), ("d", 3)}
+    kinds = landing.read_boundary_features(spark, str(tmp_path), "code").filter("polygons IS NULL").collect()
+    assert [(r["part"], r["geometry_type"]) for r in kinds] == [("c", "Point")]
+
+
+def test_raster_grids(spark):
+    pixels = spark.createDataFrame([("2024-05-01", 500, 500, 900), ("2024-05-01", 0, 0, 500)], "nominal_date string, prow int, pcol int, bf int")
+    grid = raster.Grid(-9.0, 44.0, 0.003, 0.002, 501, 1000)
+    got = raster.dilate(pixels, grid).groupBy("is_core").count().collect()
+    assert {tuple(r) for r in got} == {(True, 2), (False, 8)}  # five neighbours of the last row, three of the corner
+    fine, coarse = (spark.range(1).select(g.area_ha(F.lit(0)).alias("a")).first()["a"] for g in (grid, raster.Grid(-9.0, 44.0, 0.03, 0.02, 400, 400)))
+    assert abs(coarse / fine - 100) < 0.1
+
+
+def test_late_warnings_are_kept(spark):
+    rows = [record(i, f"c{i % 4}", "Z1", 1, "Rojo", 0, 3) for i in range(8)]
+    path = scratch_path(spark, "t-late")
+    for i in (7, 6, 5, 4, 3, 2, 1, 0):  # newest first, a file and a trigger each
+        day = timedelta(days=10 * i)
+        late = [(*rows[i][:11], rows[i][11] + day, *rows[i][12:])]
+        spark.createDataFrame(late, RECORD).coalesce(1).write.mode("append").parquet(path)
+    stream = feed.late_warnings(spark, path, spark.createDataFrame(rows, RECORD).schema, ["cap_identifier", "area_code"], files_per_batch=1)
+    assert feed.drain(stream, "t-late-out").count() == 4
+
+
 def test_lookups(spark):
     names = spark.createDataFrame([("castilla",), ("Córdoba",), ("pueblo",), ("",), ("qqq",)], "name string")
     towns = spark.createDataFrame([(1, "Pueblo Chico", 10, (0.0, 1.0, 2.0, 3.0)), (2, "Gran pueblo", 99, (5.0, 6.0, 7.0, 8.0))], "settlement_id int, nombre string, habitantes int, bbox struct<minx:double,miny:double,maxx:double,maxy:double>")
