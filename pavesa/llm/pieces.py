@@ -33,7 +33,9 @@ from pyspark.sql import types as T
 SPACE = "▁"
 #: Stands for a literal U+2581 while a text is encoded. It can't be in a text, as UTF-8 has no lone surrogates.
 LITERAL = "\udc00"
-MEMORY = 400_000
+#: Words and pairs of pieces that are remembered: the first ones met, among which are the common ones.
+MEMORY = 1_000_000
+PAIRS = 300_000
 MEMORY_CHARS = 48
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -50,7 +52,14 @@ class PieceModel:
     prefix: bool
     longest: int
     known_edges: dict[str, tuple[list[tuple[str, float]], list[tuple[str, float]]]] = field(default_factory=dict)
+    known_pairs: dict[tuple[str, str], bool] = field(default_factory=dict)
     memory: dict[str, bytes] = field(default_factory=dict)
+    begins: dict[str, bool] = field(init=False)
+
+    def __post_init__(self) -> None:
+        """Beginnings of pieces, and whether each is a piece."""
+        self.begins = {p[:i]: False for p in self.ids for i in range(1, len(p))}
+        self.begins |= dict.fromkeys(self.ids, True)
 
     @classmethod
     def load(cls, path: str) -> PieceModel:
@@ -143,17 +152,30 @@ class Stream:
         (self._by_score if self.model.unigram else self._by_merges)(len(self.back))
 
     def _by_merges(self, begin: int) -> None:
-        ids, agree, longest, text, back = self.model.ids, self.model.agree, self.model.longest, self.text, self.back
-        for end in range(begin, len(text) + 1):
-            start = end - 1
-            for s in range(max(0, end - longest), end):
-                piece = text[s:end]
-                if piece in ids:
-                    last = text[back[s] : s] if s else self.before
-                    if last is None or agree(last, piece):
-                        start = s
-                        break
-            back.append(start)
+        """Arcs are followed forward, the way to their start being known, and as far as some piece goes on. Only one arc to a boundary agrees."""
+        m, text, back = self.model, self.text, self.back
+        begins, agree, pairs = m.begins, m.agree, m.known_pairs
+        size = len(text)
+        back += [-1] * (size + 1 - len(back))
+        for s in range(max(0, begin - m.longest), size):
+            last = text[back[s] : s] if s else self.before
+            for e in range(s + 1, size + 1):
+                whole = begins.get(piece := text[s:e])
+                if whole is None:
+                    break
+                if whole and back[e] < 0:
+                    if last is None:
+                        back[e] = s
+                    else:
+                        fits = pairs.get((last, piece))
+                        if fits is None:
+                            fits = agree(last, piece)
+                            if len(pairs) < PAIRS:
+                                pairs[last, piece] = fits
+                        if fits:
+                            back[e] = s
+            if back[s + 1] < 0:
+                back[s + 1] = s
 
     def _by_score(self, begin: int) -> None:
         m, text, total = self.model, self.text, self.total
@@ -206,9 +228,7 @@ def _word(model: PieceModel, word: str) -> bytes:
     if found is None:
         stream = Stream(model)
         found = np.fromiter(_ids(model, [*stream.push(word), *stream.close()]), np.int32).tobytes()
-        if len(word) <= MEMORY_CHARS:
-            if len(model.memory) >= MEMORY:
-                model.memory.clear()
+        if len(word) <= MEMORY_CHARS and len(model.memory) < MEMORY:
             model.memory[word] = found
     return found
 
