@@ -30,7 +30,6 @@ CAP_PARAMETER_NAME = "AEMET-Meteoalerta parametro"
 CAP_PROBABILITY_NAME = "AEMET-Meteoalerta probabilidad"
 CAP_ZONE_NAME = "AEMET-Meteoalerta zona"
 
-FRP_CLASSES = [(50.0, "Alto", "#E94F37"), (10.0, "Medio", "#F8961E")]
 FWI_BOUNDS = [11.2, 21.3, 38.0, 50.0, 70.0]
 DC_BOUNDS = [256.1, 334.1, 450.6, 600.0, 749.4]
 DANGER_NAMES = ["Bajo", "Moderado", "Alto", "Muy alto", "Extremo", "Muy extremo"]

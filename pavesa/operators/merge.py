@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +18,9 @@ def upsert(target: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
 
 def preserving_upsert(target: DataFrame, updates: DataFrame, keys: list[str], keep: list[str], status: str, initial: str) -> DataFrame:
     """Update a row but keep its local values, and its status once it has left the initial one."""
-    o, n = target.alias("o"), updates.alias("n")
+    o, n = target.alias("o"), updates.withColumn("_given", F.lit(True)).alias("n")
     joined = o.join(n, keys, "full_outer")
-    known = F.col(f"n.{status}").isNotNull()
+    known = F.col("n._given").isNotNull()
 
     def pick(name: str) -> Column:
         old, new = F.col(f"o.{name}"), F.col(f"n.{name}")
@@ -36,7 +39,7 @@ def replace_range(target: DataFrame, fresh: DataFrame, inside: Column) -> DataFr
 
 
 def overwrite_partitions(rows: DataFrame, path: str, *partition: str, derived: bool = True) -> None:
-    """Replace only the partitions present in ``rows``.
+    """Replace only the partitions present in ``rows``. To clear one, give it a row of nulls and leave those out when reading.
 
     Rows ``derived`` from the same table are staged first. The rebalance hint gathers each partition
     into few files and still splits one that holds much of the data over several tasks.
@@ -47,9 +50,19 @@ def overwrite_partitions(rows: DataFrame, path: str, *partition: str, derived: b
 
 
 def publish(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame:
-    """Full reload of a serving table."""
-    cut_lineage(rows, "publish").write.mode("overwrite").parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    """Full reload of a serving table: a new version is written once, then the log names it. Until then readers see the old one."""
+    version = uuid.uuid4().hex
+    rows.write.parquet(f"{path}/version-{version}")
+    log = f"{path}/log"
+    step = spark.range(1).select(F.lit(version).alias("version"), F.lit(time.time_ns()).alias("at"))
+    step.coalesce(1).write.mode("append").parquet(log)
+    return published(spark, path)
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The latest version of a serving table."""
+    latest = spark.read.parquet(f"{path}/log").agg(F.max_by("version", "at")).first()[0]
+    return spark.read.parquet(f"{path}/version-{latest}")
 
 
 def replace_file_rows(source: DataFrame, core: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:

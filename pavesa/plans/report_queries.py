@@ -281,10 +281,10 @@ def timeline(t):
     return reports.burnt_area_timeline(catalog_state(t), burnt_days(t))
 
 
-def _timeline_out(df):
+def _timeline_out(df, *more):
     return df.select(
         "dataset_version", "delivery_format", day_text("nominal_date"), "has_local_tiles", S.dec_round(c("cumulative_burned_area_ha"), 2).alias("cumulative_burned_area_ha"),
-        "cumulative_burned_pixel_count", "cumulative_tile_date_count", "has_cumulative_tiles",
+        "cumulative_burned_pixel_count", "cumulative_tile_date_count", "has_cumulative_tiles", *more,
     )
 
 
@@ -533,10 +533,7 @@ def z12(t):
 @query("z13_burnt_area_timeline", with_views("timeline", f"SELECT {TL}, publication_status, {dr('burned_area_ha', 2)} AS burned_area_ha, burned_pixel_count FROM timeline WHERE dataset_version='v4' AND delivery_format='cog'"))
 def z13(t):
     items = catalog_state(t).filter("dataset_version = 'v4' AND delivery_format = 'cog'")
-    rows = reports.burnt_area_timeline(items, burnt_days(t))
-    return _timeline_out(rows.withColumn("nominal_date", c("nominal_date"))).join(
-        rows.select(day_text("nominal_date"), "publication_status", S.dec_round(c("burned_area_ha"), 2).alias("burned_area_ha"), "burned_pixel_count"), "nominal_date"
-    )
+    return _timeline_out(reports.burnt_area_timeline(items, burnt_days(t)), "publication_status", S.dec_round(c("burned_area_ha"), 2).alias("burned_area_ha"), "burned_pixel_count")
 
 
 @query("z14_burnt_area_daily_stats", with_views("cat_state burnt_stat", f"""WITH s AS (SELECT nominal_date, burned_area_ha, burned_pixel_count FROM burnt_stat WHERE nominal_date>=date '2002-01-01')

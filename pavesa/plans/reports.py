@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pavesa import constants as K
+from pavesa.functions import geo
 from pavesa.functions import parameters as P
 from pavesa.functions import scalar as S
-from pavesa.operators import series
+from pavesa.operators import cluster, series
 
 
 def live_alerts(feed: DataFrame) -> DataFrame:
@@ -17,12 +18,14 @@ def live_alerts(feed: DataFrame) -> DataFrame:
 
 
 def query_alerts(alerts, now: Column, phenomenon=None, level=None, status="vigente", date_from=None, date_to=None) -> DataFrame:
+    """Alerts by phenomenon, level, state and window. Alerts without readable dates are in when any state is asked for, whatever the window."""
+    undated = (F.col("onset").isNull() | F.col("expires").isNull()) & F.lit(status == "cualquiera")
     return alerts.filter(
         P.all_of(
             None if not phenomenon else P.mentions("event", phenomenon),
             None if not level else F.col("level") == level,
             P.alert_status_filter(status, now),
-            P.overlaps("onset", "expires", date_from, date_to),
+            undated | P.overlaps("onset", "expires", date_from, date_to),
         )
     )
 
@@ -138,3 +141,30 @@ def hour_grid(warnings: DataFrame, reference: str) -> DataFrame:
     return grid.join(counts, "h", "left").select(
         F.date_format(hour, "yyyy-MM-dd HH:mm").alias("hour"), F.coalesce("active_count", F.lit(0)).alias("active_count")
     )
+
+
+def hotspot_clusters(hotspots: DataFrame, date_from: str, date_to: str, bbox=None, sensors=None, eps_m: float = 1500.0, min_points: int = 4) -> DataFrame:
+    """Density clusters of the hotspots of a period: members, radiative power, days and centre of each."""
+    asked = hotspots.filter(
+        P.all_of(
+            P.date_range("acq_date", date_from, date_to),
+            None if bbox is None else P.in_box("longitude", "latitude", bbox),
+            None if not sensors else F.col("firms_source").isin(*sensors),
+        )
+    )
+    points = asked.select(F.col("hotspot_id").alias("id"), geo.mercator_x(F.col("longitude")).alias("x"), geo.mercator_y(F.col("latitude")).alias("y"))
+    member = cluster.dbscan(points, eps_m, min_points).select("id", "cluster_id")
+    return cluster_summary(asked.withColumnRenamed("hotspot_id", "id").select("id", "frp", "acq_date", "longitude", "latitude").join(member, "id"))
+
+
+def cluster_summary(points: DataFrame) -> DataFrame:
+    r2 = lambda c: F.round(c.cast("decimal(20,8)"), 2).cast("double")
+    return points.filter("cluster_id IS NOT NULL").groupBy("cluster_id").agg(
+        F.count("*").alias("hotspot_count"),
+        r2(F.avg("frp")).alias("avg_frp"),
+        r2(F.max("frp")).alias("max_frp"),
+        F.date_format(F.min("acq_date"), "yyyy-MM-dd").alias("first_date"),
+        F.date_format(F.max("acq_date"), "yyyy-MM-dd").alias("last_date"),
+        S.dec_round(F.avg("longitude"), 5).alias("center_lon"),
+        S.dec_round(F.avg("latitude"), 5).alias("center_lat"),
+    )

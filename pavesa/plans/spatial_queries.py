@@ -9,7 +9,7 @@ from pavesa.functions import geo
 from pavesa.functions import scalar as S
 from pavesa.operators import cluster, nearest, spatial
 from pavesa.operators.series import top_with_probe
-from pavesa.plans import pipeline
+from pavesa.plans import pipeline, reports
 from pavesa.plans.domain_sql import MPD, dr, hav, seg, view, with_views
 from pavesa.plans.registry import query
 
@@ -262,19 +262,6 @@ def w06(t):
     return clustered(t).groupBy("cluster_id").agg(F.count("*").alias("n"))
 
 
-def cluster_summary(points):
-    r2 = lambda c: F.round(c.cast("decimal(20,8)"), 2).cast("double")
-    return points.filter("cluster_id IS NOT NULL").groupBy("cluster_id").agg(
-        F.count("*").alias("hotspot_count"),
-        r2(F.avg("frp")).alias("avg_frp"),
-        r2(F.max("frp")).alias("max_frp"),
-        F.date_format(F.min("acq_date"), "yyyy-MM-dd").alias("first_date"),
-        F.date_format(F.max("acq_date"), "yyyy-MM-dd").alias("last_date"),
-        S.dec_round(F.avg("longitude"), 5).alias("center_lon"),
-        S.dec_round(F.avg("latitude"), 5).alias("center_lat"),
-    )
-
-
 view("csum", f"""SELECT cluster_id, count(*) AS hotspot_count, cast(round(cast(avg(frp) as decimal(20,8)),2) as double) AS avg_frp, cast(round(cast(max(frp) as decimal(20,8)),2) as double) AS max_frp,
   strftime(min(acq_date),'%Y-%m-%d') AS first_date, strftime(max(acq_date),'%Y-%m-%d') AS last_date, {dr('avg(longitude)', 5)} AS center_lon, {dr('avg(latitude)', 5)} AS center_lat
   FROM cpoint WHERE cluster_id IS NOT NULL GROUP BY cluster_id""", ["cpoint"])
@@ -282,7 +269,7 @@ view("csum", f"""SELECT cluster_id, count(*) AS hotspot_count, cast(round(cast(a
 
 def summarised(t):
     rows = pipeline.hotspots(t).select(F.col("hotspot_id").alias("id"), "frp", "acq_date", "longitude", "latitude")
-    return cluster_summary(rows.join(clustered(t).select("id", "cluster_id"), "id"))
+    return reports.cluster_summary(rows.join(clustered(t).select("id", "cluster_id"), "id"))
 
 
 @query("s21_cluster_summary", with_views("csum", "SELECT * FROM csum", recursive=True))
@@ -290,6 +277,26 @@ def s21(t):
     return summarised(t)
 
 
-@query("z08_hotspot_clusters", with_views("csum", """SELECT *, (SELECT count(*) FROM csum) > 50 AS truncated FROM csum ORDER BY hotspot_count DESC, cluster_id LIMIT 50""", recursive=True))
+Z08_BOX = (-8.0, 36.0, 2.0, 43.0)
+Z08_WHERE = "acq_date BETWEEN date '2024-01-05' AND date '2024-01-25' AND longitude BETWEEN -8.0 AND 2.0 AND latitude BETWEEN 36.0 AND 43.0"
+for name, body in (
+    ("zpt", f"SELECT hotspot_id AS id, {MX} AS x, {MY} AS y, frp, acq_date, longitude, latitude FROM hotspot WHERE {Z08_WHERE}"),
+    ("znb", f"SELECT a.id AS a, b.id AS b FROM zpt a JOIN zpt b ON b.x BETWEEN a.x-{EPS} AND a.x+{EPS} AND b.y BETWEEN a.y-{EPS} AND a.y+{EPS} WHERE sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)) <= {EPS}"),
+    ("zcore", f"SELECT a AS id FROM znb GROUP BY a HAVING count(*) >= {MINPTS}"),
+    ("zedge", "SELECT a, b FROM znb WHERE a IN (SELECT id FROM zcore) AND b IN (SELECT id FROM zcore)"),
+    ("zreach", "SELECT id, id AS label FROM zcore UNION SELECT e.b, r.label FROM zreach r JOIN zedge e ON e.a=r.id WHERE r.label < e.b"),
+    ("zlabel", "SELECT id, min(label) AS label FROM zreach GROUP BY id"),
+    ("znum", "SELECT label, cast(row_number() OVER (ORDER BY label)-1 as integer) AS cluster_id FROM (SELECT DISTINCT label FROM zlabel)"),
+    ("zpoint", """SELECT p.id, p.frp, p.acq_date, p.longitude, p.latitude, n.cluster_id FROM zpt p LEFT JOIN (SELECT id, label FROM zlabel UNION ALL
+   SELECT b, min(label) FROM znb JOIN zlabel ON a=id WHERE b NOT IN (SELECT id FROM zcore) GROUP BY b) l ON l.id=p.id LEFT JOIN znum n ON n.label=l.label"""),
+    ("zsum", f"""SELECT cluster_id, count(*) AS hotspot_count, cast(round(cast(avg(frp) as decimal(20,8)),2) as double) AS avg_frp, cast(round(cast(max(frp) as decimal(20,8)),2) as double) AS max_frp,
+  strftime(min(acq_date),'%Y-%m-%d') AS first_date, strftime(max(acq_date),'%Y-%m-%d') AS last_date, {dr('avg(longitude)', 5)} AS center_lon, {dr('avg(latitude)', 5)} AS center_lat
+  FROM zpoint WHERE cluster_id IS NOT NULL GROUP BY cluster_id"""),
+):
+    view(name, body, {"zpt": ["hotspot"], "znb": ["zpt"], "zcore": ["znb"], "zedge": ["znb", "zcore"], "zreach": ["zcore", "zedge"], "zlabel": ["zreach"], "znum": ["zlabel"], "zpoint": ["zpt", "zlabel", "znum"], "zsum": ["zpoint"]}[name])
+
+
+@query("z08_hotspot_clusters", with_views("zsum", """SELECT *, (SELECT count(*) FROM zsum) > 50 AS truncated FROM zsum ORDER BY hotspot_count DESC, cluster_id LIMIT 50""", recursive=True))
 def z08(t):
-    return top_with_probe(summarised(t), [F.col("hotspot_count").desc(), F.col("cluster_id")], 50).drop("total_matched")
+    found = reports.hotspot_clusters(pipeline.hotspots(t), "2024-01-05", "2024-01-25", Z08_BOX)
+    return top_with_probe(found, [F.col("hotspot_count").desc(), F.col("cluster_id")], 50).drop("total_matched")

@@ -133,6 +133,25 @@ def test_preserving_upsert(spark):
     assert out == [(1, "published", "/p", "y"), (2, "cropped", "/n", "y"), (3, "cataloged", None, "y")]
 
 
+def test_preserving_upsert_with_unknown_status(spark):
+    cols = "k int, status string, path string, note string"
+    old, new = spark.createDataFrame([(1, "published", "/p", "x")], cols), spark.createDataFrame([(1, None, None, "y")], cols)
+    assert keyed(merge.preserving_upsert(old, new, ["k"], ["path"], "status", "cataloged"), "k", "status", "path", "note") == [(1, "published", "/p", "y")]
+
+
+def test_published_versions(spark):
+    path = scratch_path(spark, "t-publish")
+    first = merge.publish(spark, spark.range(3), path)
+    merge.publish(spark, spark.range(5), path)
+    assert (first.count(), merge.published(spark, path).count()) == (3, 5)
+
+
+def test_undated_alerts_when_any_state_is_asked_for(spark):
+    rows = spark.createDataFrame([("a", "Calor", "Rojo", None, T0), ("b", "Calor", "Rojo", T0, T0 + timedelta(hours=1)), ("c", "Calor", "Rojo", T0 - timedelta(days=9), T0 - timedelta(days=8))], "id string, event string, level string, onset timestamp, expires timestamp")
+    ids = lambda **k: {r["id"] for r in reports.query_alerts(rows, F.lit(T0), date_from="2025-07-01", date_to="2025-07-02", **k).collect()}
+    assert ids(status="cualquiera") == {"a", "b"} and ids() == {"b"}
+
+
 def test_partition_overwrite_leaves_others(spark):
     path = scratch_path(spark, "t-part")
     merge.overwrite_partitions(spark.createDataFrame([(1, "a"), (2, "b")], "v int, p string"), path, "p")
