@@ -17,7 +17,7 @@ def canonical_hotspots(obs: DataFrame) -> DataFrame:
         obs.filter("in_region")
         .groupBy(*HOTSPOT_KEY)
         .agg(
-            *[F.max(c).alias(c) for c in ("instrument", "confidence", "daynight", "bright_ti4", "frp", "observed_at")],
+            *[F.max(c).alias(c) for c in ("instrument", "confidence", "daynight", "version", "scan", "track", "bright_ti4", "bright_ti5", "frp", "observed_at")],
             F.array_sort(F.collect_set("bbox_region")).alias("bbox_regions"),
             F.countDistinct("source_download_id").alias("source_download_count"),
             F.count("*").alias("source_observation_count"),
@@ -118,17 +118,27 @@ def settlements(src: DataFrame) -> DataFrame:
     )
 
 
+#: Coded road attributes: name in the core table -> landed (label, code).
+ROAD_CODES = {
+    "tipo": ("tipo_viald", "tipo_vial"), "titular": ("titulard", "titular"), "sentido": ("sentidod", "sentido"), "acceso": ("accesod", "acceso"),
+    "estado_fisico": ("estadofisd", "estadofis"), "firme": ("firmed", "firme"), "orden": ("ordend", "orden"), "tipovehic": ("tipovehicd", "tipovehic"),
+}
+ROAD_TEXTS = ["nombre_alt", "codigo"]
+
+
 def roads(src: DataFrame) -> DataFrame:
     """One road segment per id: best class, newest import, lowest feature id.
 
-    The winner is picked on the raw columns; only winners pay for the text cleaning.
+    The winner is picked on the raw columns; only winners pay for the text cleaning. Attributes that the landing lacks are NULL.
     """
+    landed = [*ROAD_TEXTS, *(c for pair in ROAD_CODES.values() for c in pair)]
+    src = src.withColumns({c: F.lit(None).cast("string" if c in ROAD_TEXTS or c.endswith("d") else "int") for c in landed if c not in src.columns})
     raw = src.filter("line IS NOT NULL AND id_tramo IS NOT NULL AND size(line) >= 2").withColumn("clase_code", S.no_sentinel(F.col("clase_raw")))
     order = [
         F.col("clase_code").asc_nulls_last(), F.col("imported_at").desc_nulls_last(), F.col("source_fid").asc(),
     ]
     picked = first_per_key(
-        raw.select("id_tramo", "id_vial", "source_fid", "clased", "clase_code", "nombre", "ncarriles", "source_zip_name", "imported_at", "line"),
+        raw.select("id_tramo", "id_vial", "source_fid", "clased", "clase_code", "nombre", "ncarriles", "source_zip_name", "imported_at", "line", *landed),
         ["id_tramo"], order,
     )
     return picked.select(
@@ -139,6 +149,9 @@ def roads(src: DataFrame) -> DataFrame:
         S.blank_to_null(F.col("clased")).alias("clase"),
         "clase_code",
         S.blank_to_null(F.col("nombre")).alias("nombre"),
+        *(S.blank_to_null(F.col(c)).alias(c) for c in ROAD_TEXTS),
+        *(S.blank_to_null(F.col(label)).alias(name) for name, (label, _) in ROAD_CODES.items()),
+        *(S.no_sentinel(F.col(code)).alias(f"{name}_code") for name, (_, code) in ROAD_CODES.items()),
         S.lane_count(F.col("ncarriles")).alias("n_carriles"),
         S.territory_code(F.col("source_zip_name")).alias("territory_code"),
         "imported_at",

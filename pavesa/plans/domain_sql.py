@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pavesa.operators.canonical import ROAD_CODES
+
 VIEWS: dict[str, tuple[list[str], str]] = {}
 
 
@@ -63,7 +65,8 @@ view("hotspot_obs", """
   CASE WHEN event_id%2=0 THEN 'N20' ELSE 'N' END AS satellite, 'VIIRS' AS instrument,
   CASE event_type WHEN 'purchase' THEN 'h' WHEN 'click' THEN 'n' WHEN 'view' THEN 'n' WHEN 'signup' THEN 'l' END AS confidence,
   CASE WHEN hour(ts) BETWEEN 6 AND 17 THEN 'D' ELSE 'N' END AS daynight,
-  cast(300.0 as double)+(event_id%500)/cast(10 as double) AS bright_ti4,
+  cast(300.0 as double)+(event_id%500)/cast(10 as double) AS bright_ti4, cast(280.0 as double)+(event_id%300)/cast(10 as double) AS bright_ti5,
+  '2.0'||CASE WHEN event_id%3=0 THEN 'NRT' ELSE '' END AS version, cast(0.3 as double)+(event_id%7)/cast(10 as double) AS scan, cast(0.3 as double)+(event_id%5)/cast(10 as double) AS track,
   CASE WHEN event_id%50=0 THEN NULL ELSE value END AS frp, ts AS observed_at, blk
  FROM (SELECT e.*, c.copy, date_diff('day', date '2024-01-01', cast(ts as date))//5 AS blk,
          cast((event_id+c.copy)%3 as integer) AS reg
@@ -88,7 +91,7 @@ view("hotspot_in", f"""
 
 view("hotspot", """
  SELECT dataset_type, firms_source, satellite, latitude, longitude, acq_date, acq_time, max(instrument) AS instrument,
-  max(confidence) AS confidence, max(daynight) AS daynight, max(bright_ti4) AS bright_ti4, max(frp) AS frp,
+  max(confidence) AS confidence, max(daynight) AS daynight, max(version) AS version, max(scan) AS scan, max(track) AS track, max(bright_ti4) AS bright_ti4, max(bright_ti5) AS bright_ti5, max(frp) AS frp,
   max(observed_at) AS observed_at, array_to_string(list_sort(list(DISTINCT bbox_region)),',') AS bbox_regions,
   count(DISTINCT source_download_id) AS source_download_count, count(*) AS source_observation_count,
   min(source_observation_id) AS hotspot_id
@@ -167,22 +170,35 @@ view("zone_edge", """
   (0,cast(-0.35 as double),cast(-0.35 as double),cast(0.35 as double),cast(-0.35 as double)),(1,0.35,-0.35,0.35,0.35),(2,0.35,0.35,0.0,0.5),
   (3,0.0,0.5,-0.35,0.35),(4,-0.35,0.35,-0.35,-0.35)) t(i,ax,ay,bx,b_y)""", ["zone"])
 
-view("road_src", """
- SELECT source_fid, id_tramo, id_vial, clase_raw, ncarriles, nombre, source_zip_name, imported_at,
+ROAD_LANDED = ", ".join(
+    ["CASE WHEN l_orderkey%3=0 THEN ' ' ELSE 'Alt '||(l_orderkey%77) END AS nombre_alt", "CASE WHEN l_orderkey%5=0 THEN '' ELSE 'N-'||(l_orderkey%400)||' ' END AS codigo"]
+    + [f"cast(CASE WHEN l_orderkey%{7+i}=0 THEN -998 ELSE l_linenumber%{2+i} END as integer) AS {code}, CASE WHEN l_orderkey%{7+i}=0 THEN ' ' ELSE '{code} '||(l_linenumber%{2+i}) END AS {label}"
+       for i, (label, code) in enumerate(ROAD_CODES.values())]
+)
+ROAD_NAMES = ["nombre_alt", "codigo", *(c for pair in ROAD_CODES.values() for c in pair)]
+ROAD_CLEAN = ", ".join(
+    ["nullif(trim(nombre_alt),'') AS nombre_alt", "nullif(trim(codigo),'') AS codigo"]
+    + [f"nullif(trim(s.{label}),'') AS {name}, CASE WHEN s.{code} IN (-997,-998) THEN NULL ELSE s.{code} END AS {name}_code" for name, (label, code) in ROAD_CODES.items()]
+)
+#: Attributes in the reports about roads.
+ROAD_ATTRIBUTES = ["nombre_alt", "codigo", *ROAD_CODES]
+
+view("road_src", f"""
+ SELECT source_fid, id_tramo, id_vial, clase_raw, ncarriles, nombre, source_zip_name, imported_at, {', '.join(ROAD_NAMES)},
   ['Autopista de peaje','Autopista libre / autovía','Carretera multicarril','Carretera convencional','Urbano','Urbano diseminado','Camino','Carril bici','Senda'][CASE WHEN clase_raw<0 THEN 9 ELSE clase_raw+1 END] AS clased
  FROM (SELECT l_orderkey*10+l_linenumber AS source_fid, l_partkey AS id_tramo, l_orderkey AS id_vial,
   CASE WHEN l_orderkey%11=0 THEN -997 WHEN l_orderkey%13=0 THEN -998 ELSE l_suppkey%9 END AS clase_raw,
   CASE WHEN l_linenumber=1 THEN ' '||(l_suppkey%5)||' ' WHEN l_linenumber=2 THEN '' WHEN l_linenumber=3 THEN ' x ' WHEN l_linenumber=4 THEN '-997' END AS ncarriles,
-  ' Via '||(l_orderkey%1000)||' ' AS nombre, 'RT_PROVINCIA_'||(l_suppkey%50)||'_gpkg.zip' AS source_zip_name, l_shipdate AS imported_at FROM lineitem)""")
+  ' Via '||(l_orderkey%1000)||' ' AS nombre, 'RT_PROVINCIA_'||(l_suppkey%50)||'_gpkg.zip' AS source_zip_name, l_shipdate AS imported_at, {ROAD_LANDED} FROM lineitem)""")
 
-view("road", """
+view("road", f"""
  SELECT id_tramo, 'VIAL_TR'||id_tramo AS inspire_id, id_vial, source_fid, clased AS clase, clase_code, trim(nombre) AS nombre,
   CASE WHEN regexp_matches(trim(ncarriles),'^-?[0-9]+$') AND cast(trim(ncarriles) as integer) NOT IN (-997,-998) THEN cast(trim(ncarriles) as integer) END AS n_carriles,
-  territory_code, imported_at
+  territory_code, imported_at, {ROAD_CLEAN}
  FROM (SELECT *, CASE WHEN clase_raw IN (-997,-998) THEN NULL ELSE clase_raw END AS clase_code,
    regexp_replace(regexp_replace(source_zip_name,'^RT_',''),'_gpkg.zip$','') AS territory_code,
    row_number() OVER (PARTITION BY id_tramo ORDER BY CASE WHEN clase_raw IN (-997,-998) THEN NULL ELSE clase_raw END ASC NULLS LAST,
-    imported_at DESC, source_fid ASC) AS rn FROM road_src) WHERE rn=1""", ["road_src"])
+    imported_at DESC, source_fid ASC) AS rn FROM road_src) s WHERE rn=1""", ["road_src"])
 
 view("road_pt", """
  SELECT id_tramo, i, x1+(x2-x1)*(i/cast(4 as double))+(CASE WHEN i IN (0,4) THEN 0 ELSE (id_tramo*i)%5-2 END)*cast(0.0002 as double) AS x,

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pavesa.functions import scalar as S
 from pavesa.operators import canonical, series
 from pavesa.plans import pipeline
-from pavesa.plans.domain_sql import dr, view, with_views
+from pavesa.operators.canonical import ROAD_CODES
+from pavesa.plans.domain_sql import ROAD_ATTRIBUTES, dr, view, with_views
 from pavesa.plans.registry import query
 
 DATE = "strftime({0},'%Y-%m-%d') AS {0}"
@@ -62,12 +63,12 @@ view("warning_series", """SELECT c.nominal_date, 1 AS coverage_expected_unit_cou
 
 
 @query("s01_canonical_hotspot", with_views("hotspot", """SELECT hotspot_id, firms_source, satellite, latitude, longitude,
-  strftime(acq_date,'%Y-%m-%d') AS acq_date, acq_time, instrument, confidence, daynight, bright_ti4, frp, bbox_regions,
+  strftime(acq_date,'%Y-%m-%d') AS acq_date, acq_time, instrument, confidence, daynight, version, scan, track, bright_ti4, bright_ti5, frp, bbox_regions,
   source_download_count, source_observation_count FROM hotspot"""))
 def s01(t):
     return pipeline.hotspots(t).select(
         "hotspot_id", "firms_source", "satellite", "latitude", "longitude", day_text("acq_date"), "acq_time", "instrument",
-        "confidence", "daynight", "bright_ti4", "frp", F.array_join("bbox_regions", ",").alias("bbox_regions"),
+        "confidence", "daynight", "version", "scan", "track", "bright_ti4", "bright_ti5", "frp", F.array_join("bbox_regions", ",").alias("bbox_regions"),
         "source_download_count", "source_observation_count",
     )
 
@@ -92,12 +93,12 @@ def s03(t):
     )
 
 
-@query("s04_canonical_road", with_views("road", f"""SELECT id_tramo, inspire_id, id_vial, source_fid, clase, clase_code, nombre, n_carriles,
+@query("s04_canonical_road", with_views("road", f"""SELECT id_tramo, inspire_id, id_vial, source_fid, clase, clase_code, nombre, n_carriles, {', '.join(ROAD_ATTRIBUTES)}, {', '.join(f'{n}_code' for n in ROAD_CODES)},
   territory_code, {time_sql('imported_at')} FROM road"""))
 def s04(t):
     return pipeline.roads(t).select(
         "id_tramo", "inspire_id", "id_vial", "source_fid", "clase", F.col("clase_code").cast("bigint").alias("clase_code"),
-        "nombre", "n_carriles", "territory_code", time_text("imported_at"),
+        "nombre", "n_carriles", *ROAD_ATTRIBUTES, *(f"{n}_code" for n in ROAD_CODES), "territory_code", time_text("imported_at"),
     )
 
 

@@ -10,7 +10,7 @@ from pavesa.functions import scalar as S
 from pavesa.operators import cluster, nearest, spatial
 from pavesa.operators.series import top_with_probe
 from pavesa.plans import pipeline, reports
-from pavesa.plans.domain_sql import MPD, dr, hav, seg, view, with_views
+from pavesa.plans.domain_sql import MPD, ROAD_ATTRIBUTES, dr, hav, seg, view, with_views
 from pavesa.plans.registry import query
 
 FAR_M, NEAR_M, ZONE_M = 5000.0, 2000.0, 50000.0
@@ -157,19 +157,19 @@ RX, RY = f"cos(radians({POINT[1]}))*{MPD}", MPD
 view("road_near", f"""SELECT r.*, min({seg(str(POINT[0]), str(POINT[1]), 'x1', 'y1', 'x2', 'y2', RX, RY)}) AS d FROM road r JOIN road_edge e USING (id_tramo) GROUP BY ALL""", ["road", "road_edge"])
 
 
-@query("j07_roads_near_point", with_views("road_near", """SELECT id_tramo, inspire_id, clase, nombre, n_carriles, territory_code, cast(round_even(d,0) as integer) AS distance_m
+@query("j07_roads_near_point", with_views("road_near", f"""SELECT id_tramo, inspire_id, clase, nombre, n_carriles, {', '.join(ROAD_ATTRIBUTES)}, territory_code, cast(round_even(d,0) as integer) AS distance_m
   FROM road_near WHERE d <= 25000"""))
 def j07(t):
     return spatial.roads_near(pipeline.roads(t), *POINT, 25000.0).select(
-        "id_tramo", "inspire_id", "clase", "nombre", "n_carriles", "territory_code", "distance_m"
+        "id_tramo", "inspire_id", "clase", "nombre", "n_carriles", *ROAD_ATTRIBUTES, "territory_code", "distance_m"
     )
 
 
-@query("z09_roads_near_point", with_views("road_near", """SELECT id_tramo, inspire_id, clase, nombre, distance_m FROM (SELECT *, cast(round_even(d,0) as integer) AS distance_m FROM road_near
+@query("z09_roads_near_point", with_views("road_near", f"""SELECT id_tramo, inspire_id, clase, nombre, {', '.join(ROAD_ATTRIBUTES)}, n_carriles, territory_code, distance_m FROM (SELECT *, cast(round_even(d,0) as integer) AS distance_m FROM road_near
   WHERE d <= 100000 AND clase IN ('Autopista de peaje','Carretera convencional')) ORDER BY distance_m, id_tramo LIMIT 20"""))
 def z09(t):
     near = spatial.roads_near(pipeline.roads(t), *POINT, 100000.0, ["Autopista de peaje", "Carretera convencional"])
-    return near.orderBy("distance_m", "id_tramo").limit(20).select("id_tramo", "inspire_id", "clase", "nombre", "distance_m")
+    return near.orderBy("distance_m", "id_tramo").limit(20).select("id_tramo", "inspire_id", "clase", "nombre", *ROAD_ATTRIBUTES, "n_carriles", "territory_code", "distance_m")
 
 
 @query("j11_point_in_region", with_views("hotspot_in", "SELECT source_observation_id, in_region FROM hotspot_in"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pavesa.functions import geo
+from pavesa.operators.canonical import ROAD_CODES
 from pavesa.operators.raster import Grid
 
 #: Grid of the ``pixel`` view.
@@ -48,6 +49,10 @@ class Tables:
                 " WHEN 'signup' THEN 'l' END AS confidence",
                 "CASE WHEN hour(observed_at) BETWEEN 6 AND 17 THEN 'D' ELSE 'N' END AS daynight",
                 "300.0D + (event_id % 500) / 10.0D AS bright_ti4",
+                "280.0D + (event_id % 300) / 10.0D AS bright_ti5",
+                "concat('2.0', CASE WHEN event_id % 3 = 0 THEN 'NRT' ELSE '' END) AS version",
+                "0.3D + (event_id % 7) / 10.0D AS scan",
+                "0.3D + (event_id % 5) / 10.0D AS track",
                 "CASE WHEN event_id % 50 = 0 THEN NULL ELSE value END AS frp",
                 "observed_at",
                 "blk",
@@ -176,6 +181,10 @@ class Tables:
                 "concat(' Via ', cast(l_orderkey % 1000 as string), ' ') AS nombre",
                 "concat('RT_PROVINCIA_', cast(l_suppkey % 50 as string), '_gpkg.zip') AS source_zip_name",
                 "cast(l_shipdate as timestamp) AS imported_at",
+                "CASE WHEN l_orderkey % 3 = 0 THEN ' ' ELSE concat('Alt ', cast(l_orderkey % 77 as string)) END AS nombre_alt",
+                "CASE WHEN l_orderkey % 5 = 0 THEN '' ELSE concat('N-', cast(l_orderkey % 400 as string), ' ') END AS codigo",
+                *(f"cast(CASE WHEN l_orderkey % {7 + i} = 0 THEN -998 ELSE l_linenumber % {2 + i} END as int) AS {code}" for i, (_, code) in enumerate(ROAD_CODES.values())),
+                *(f"CASE WHEN l_orderkey % {7 + i} = 0 THEN ' ' ELSE concat('{code} ', cast(l_linenumber % {2 + i} as string)) END AS {label}" for i, (label, code) in enumerate(ROAD_CODES.values())),
                 "-9.0D + ((l_partkey * 977) % 12000) / 1000.0D AS x1",
                 "36.0D + ((l_partkey * 131) % 8000) / 1000.0D AS y1",
             )

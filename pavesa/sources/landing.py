@@ -146,12 +146,29 @@ def read_boundary_edges(spark: SparkSession, path: str, id_property: str) -> Dat
     return rings.select("part", "ring_no", F.explode(sides).alias("e")).select("part", "ring_no", "e.*")
 
 
+#: Fields of a landed road feature besides its file and territory; text unless named in ROAD_NUMBERS.
+ROAD_FIELDS = (
+    "id_tramo id_vial tipo_tramo tipo_tramd calzada calzadad acceso accesod firme firmed ncarriles sentido sentidod situacion situaciond estadofis estadofisd "
+    "tipovehic tipovehicd titular titulard orden ordend fuente_t fuente_td codigo dgc_via clase clased tipo_vial tipo_viald nombre nombre_alt fuente_v fuente_vd alta_db"
+).split()
+ROAD_NUMBERS = "id_tramo id_vial tipo_tramo calzada acceso firme sentido situacion estadofis tipovehic titular orden fuente_t dgc_via clase tipo_vial fuente_v".split()
+
+
 def read_road_landing(spark: SparkSession, path: str) -> DataFrame:
-    """Road features landed per territory file; the territory comes from the file name."""
+    """Road features landed per territory file, in a fixed projection: empty texts and absent fields are NULL, features without a line are left out."""
     zip_name = F.col("source_zip_name")
-    return spark.read.parquet(path).filter("line IS NOT NULL").select(
-        "source_fid", "id_tramo", "id_vial", F.col("clase_raw").alias("clase"), "clased", "ncarriles", "nombre", "source_zip_name",
-        S.territory_code(zip_name).alias("territory_code"), S.territory_name(S.territory_code(zip_name)).alias("territory_name"),
+    rows = spark.read.parquet(path).filter("line IS NOT NULL")
+    given = {"clase": "clase_raw"} if "clase_raw" in rows.columns else {}
+    kind = lambda n: "bigint" if n in ROAD_NUMBERS else "string"
+
+    def field(name: str) -> Column:
+        source = given.get(name, name)
+        value = F.col(source).cast(kind(name)) if source in rows.columns else F.lit(None).cast(kind(name))
+        return (value if name in ROAD_NUMBERS else F.nullif(value, F.lit(""))).alias(name)
+
+    return rows.select(
+        "source_fid", "source_zip_name", S.territory_code(zip_name).alias("territory_code"), S.territory_name(S.territory_code(zip_name)).alias("territory_name"),
+        *(field(n) for n in ROAD_FIELDS), "line",
     )
 
 
