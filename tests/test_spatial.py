@@ -130,3 +130,11 @@ def test_cap_on_roads_by_class(spark):
     near = spatial.roads_near(roads, 0.001, 0.5, 1000.0).orderBy("distance_m").collect()
     assert [(r["id_tramo"], r["distance_m"]) for r in near] == [(1, 111), (2, 445)]
     assert spatial.roads_near(roads, 0.001, 0.5, 1000.0, ["B"]).count() == 1
+
+
+def test_overlapping_features_are_united_and_holes_stay_out(spark):
+    square = lambda part, a, b: [(part, x1, y1, x2, y2) for (x1, y1), (x2, y2) in zip([(a, a), (b, a), (b, b), (a, b)], [(b, a), (b, b), (a, b), (a, a)])]
+    edges = spark.createDataFrame(square("p", 0.0, 4.0) + square("p", 1.0, 2.0) + square("q", 3.0, 6.0), "part string, x1 double, y1 double, x2 double, y2 double")
+    points = spark.createDataFrame([(0.5, 0.5), (1.5, 1.5), (3.5, 3.5), (5.0, 5.0), (6.5, 5.0), (0.0, 2.0)], "longitude double, latitude double")
+    got = {(r["longitude"], r["latitude"]): r["in_region"] for r in regions.flag_in_region(points, edges).collect()}
+    assert got == {(0.5, 0.5): True, (1.5, 1.5): False, (3.5, 3.5): True, (5.0, 5.0): True, (6.5, 5.0): False, (0.0, 2.0): True}
