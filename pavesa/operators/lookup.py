@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pavesa import constants as K
 from pavesa.functions import scalar as S
+from pavesa.operators import series
 
 
 def place_dictionary() -> Column:
@@ -74,18 +75,27 @@ def resolve_places(names: DataFrame, settlements: DataFrame) -> DataFrame:
     )
 
 
-def explain_terms(terms: DataFrame) -> DataFrame:
-    """``terms(term)`` -> the glossary entry: equal key first, then the first entry mentioning it."""
-    entries = F.array(*[
-        F.struct(
-            F.lit(key).alias("key"), F.lit(long).alias("long_name"), F.lit(key.upper().replace(" ", "")).alias("folded"),
-            F.array(*[F.lit(v.upper().replace(" ", "")) for v in (name, long, key)]).alias("texts"),
-        )
-        for key, name, long in K.GLOSSARY
-    ])
-    needle = S.fold_term(F.coalesce("term", F.lit("")))
-    same = F.get(F.filter(entries, lambda e: e["folded"] == needle), F.lit(0))
-    near = F.get(F.filter(entries, lambda e: F.exists(e["texts"], lambda x: x.contains(needle))), F.lit(0))
-    return terms.withColumn("_e", F.coalesce(same, near)).select(
-        *terms.columns, F.col("_e").isNotNull().alias("found"), F.col("_e.key").alias("key"), F.col("_e.long_name").alias("long_name")
+GLOSSARY_FIELDS = ["key", "name", "long_name", "unit", "description", "context"]
+
+
+def explain_terms(terms: DataFrame, glossary: DataFrame | None = None) -> DataFrame:
+    """``terms(term)`` -> the glossary entry: equal key first, then the first entry mentioning it.
+
+    ``glossary`` has rows of ``landing.read_glossary`` (one file of terms, so one array); the result then has all of its fields, and the known
+    terms where nothing was found. Without it the built-in names are used.
+    """
+    fold = lambda c: F.upper(F.replace(F.coalesce(c, F.lit("")), F.lit(" ")))
+    own = ["key", "long_name"] if glossary is None else GLOSSARY_FIELDS
+    if glossary is None:
+        glossary = terms.sparkSession.createDataFrame([(i, *entry) for i, entry in enumerate(K.GLOSSARY)], "position int, key string, name string, long_name string")
+    entry = F.struct(
+        "position", *own, fold(F.col("key")).alias("folded"), F.array(*(fold(F.col(c)) for c in ("name", "long_name", "key"))).alias("texts")
     )
+    known = glossary.agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
+    rows = series.join_one_row(terms, known)
+    needle = S.fold_term(F.coalesce("term", F.lit("")))
+    same = F.get(F.filter("_entries", lambda e: e["folded"] == needle), F.lit(0))
+    near = F.get(F.filter("_entries", lambda e: F.exists(e["texts"], lambda x: x.contains(needle))), F.lit(0))
+    found = rows.withColumn("_e", F.coalesce(same, near))
+    more = [] if own == ["key", "long_name"] else [F.when(F.col("_e").isNull(), F.transform("_entries", lambda e: e["key"])).alias("available_terms")]
+    return found.select(*terms.columns, F.col("_e").isNotNull().alias("found"), *(F.col(f"_e.{c}").alias(c) for c in own), *more)

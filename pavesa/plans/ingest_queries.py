@@ -245,17 +245,17 @@ GLOSSARY_JSON = json.dumps({k: {"name": n, "long_name": lng} for k, n, lng in K.
 
 @query("a14_place_dictionary", with_views("place asked_name", """SELECT CASE p.kind WHEN 'ccaa' THEN 'ccaa' ELSE 'provincias' END AS kind, p.name, count(c.c_custkey) AS asked FROM place p LEFT JOIN (SELECT c_custkey, """ + NAMES.replace("as string", "as varchar") + """ AS name FROM customer) c ON strip_accents(lower(trim(c.name)))=lower(p.name) GROUP BY 1,2"""))
 def a14(t):
-    nested = t.spark.range(1).select(F.from_json(F.lit(PLACES_JSON), "map<string,map<string,array<double>>>").alias("m"))
-    places = nested.select(F.explode("m").alias("kind", "inner")).select("kind", F.explode("inner").alias("name", "box"))
+    places = landing.read_places(t.spark, landed(t.spark.range(1).select(F.lit(PLACES_JSON).alias("value")), "places", "text"))
     asked = t.raw("customer").select(S.fold_name(F.expr(NAMES)).alias("folded")).groupBy("folded").agg(F.count("*").alias("n"))
     return places.join(asked, S.fold_name(c("name")) == c("folded"), "left").select("kind", "name", F.coalesce("n", F.lit(0)).alias("asked"))
 
 
 @query("a15_glossary", f"SELECT k AS term, l AS long_name, (SELECT count(*) FROM part WHERE replace(upper(trim({TERM})),' ','')=replace(upper(k),' ','')) AS asked FROM (VALUES " + ",".join(f"('{k}','{lng}')" for k, _, lng in K.GLOSSARY) + ") t(k,l)")
 def a15(t):
-    entries = t.spark.range(1).select(F.explode(F.from_json(F.lit(GLOSSARY_JSON), "map<string,struct<name:string,long_name:string>>")).alias("term", "e"))
+    path = landed(t.spark.range(1).select(F.lit(GLOSSARY_JSON).alias("value")), "glossary", "text")
+    entries = landing.read_glossary(t.spark, path).withColumnRenamed("key", "term")
     asked = t.raw("part").select(S.fold_term(F.expr(TERM)).alias("folded")).groupBy("folded").agg(F.count("*").alias("n"))
-    return entries.join(asked, S.fold_term(c("term")) == c("folded"), "left").select("term", c("e.long_name").alias("long_name"), F.coalesce("n", F.lit(0)).alias("asked"))
+    return entries.join(asked, S.fold_term(c("term")) == c("folded"), "left").select("term", "long_name", F.coalesce("n", F.lit(0)).alias("asked"))
 
 
 @query("a16_road_service_members", with_views("road_pt", "SELECT id_tramo, count(*) AS points, cast(round(cast(sum(x) as decimal(28,8)),5) as double) AS sx FROM road_pt WHERE id_tramo%3<>0 GROUP BY id_tramo"))

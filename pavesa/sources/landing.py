@@ -179,6 +179,21 @@ def read_day_manifests(spark: SparkSession, path: str, schema: str, date_from: s
     return rows.withColumn("file_day", day).filter(F.col("file_day").between(date_from, date_to))
 
 
+def read_glossary(spark: SparkSession, path: str) -> DataFrame:
+    """Glossary files (a map of term to record), a row per term in file order: position, key, name, long_name, unit, description, context."""
+    record = "struct<name:string,long_name:string,unit:string,description:string,context:string>"
+    entries = spark.read.text(path, wholetext=True).select(F.map_entries(F.from_json("value", f"map<string,{record}>")).alias("m"))
+    return entries.select(F.posexplode("m").alias("position", "e")).select(
+        "position", "e.key", "e.value.name", "e.value.long_name", "e.value.unit", "e.value.description", F.col("e.value.context").alias("context")
+    )
+
+
+def read_places(spark: SparkSession, path: str) -> DataFrame:
+    """Place files (kind to name to box), a row per place."""
+    nested = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,map<string,array<double>>>")).alias("kind", "inner"))
+    return nested.select("kind", F.explode("inner").alias("name", "box"))
+
+
 def date_blocks(ranges: DataFrame, days: int) -> DataFrame:
     """Split each ``first_day``..``last_day`` into blocks of ``days``; the last one is cut short."""
     starts = F.sequence("first_day", "last_day", F.expr(f"INTERVAL {days} DAY"))

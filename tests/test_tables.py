@@ -310,6 +310,14 @@ def test_lookups(spark):
     assert {r["term"]: r["key"] for r in lookup.explain_terms(terms).collect()} == {"frp": "FRP", "drought": "DC", "zzz": None}
 
 
+def test_glossary_of_a_file(spark, tmp_path):
+    (tmp_path / "g.json").write_text(json.dumps({"AB": {"name": "A b", "long_name": "Alpha Beta", "unit": "m", "description": "d"}, "X": {"name": "x", "context": "c"}}))
+    terms = spark.createDataFrame([("a b",), ("beta",), ("none",), (None,)], "term string")
+    rows = {r["term"]: r for r in lookup.explain_terms(terms, landing.read_glossary(spark, str(tmp_path))).collect()}
+    assert (rows["a b"]["key"], rows["a b"]["unit"], rows["a b"]["description"], rows["a b"]["available_terms"]) == ("AB", "m", "d", None)
+    assert rows["beta"]["key"] == "AB" and not rows["none"]["found"] and rows["none"]["available_terms"] == ["AB", "X"]
+
+
 def test_quality(spark):
     rows = spark.createDataFrame([(1, 91.0, "x"), (2, 10.0, "ok"), (2, None, "ok")], "id int, lat double, s string")
     assert keyed(quality.duplicate_keys(rows, ["id"]), "id", "n") == [(2, 2)]
