@@ -2,16 +2,19 @@
 
 A document's set holds the hashes of its distinct SHINGLE-word shingles. SAMPLES MinHash values of it make BANDS band keys of ROWS values each,
 and are folded into an odd sketch: a bitmap of SKETCH_WORDS longs in which each value flips one bit. The XOR of two sketches is the sketch
-of what differs, so its population count gives the similarity; precise where it is high, which is all that matters here.
+of what differs, so its population count gives the similarity; precise where it is high, which is all that matters here. The shingles
+themselves are folded in the same way into FULL_WORDS longs; there the population count can't exceed the number of shingles that only one
+of the two has, so it excludes links with certainty.
 
 Equal sets are one class from the start, and only a representative goes on. Then, without ever writing down all pairs of a bucket:
 
-1. star rounds: in each bucket one document is the centre; each document tests the centre that its sketch likes best;
+1. star rounds: in each bucket one document is the centre, the one that meets most others; each document tests the centre that its sketch
+   likes best;
 2. last round: in buckets that still hold several groups, what is outside the largest group meets the rest of the bucket, inside the
    join, and only pairs of different groups whose sketches and sizes allow a link come out.
 
 Each pair that comes out is confirmed on both full sets with whole numbers. Pairs not tested are those already in one group, those whose
-sizes exclude a link, and those whose sketches are some four standard deviations below the threshold. A link at the threshold shares no
+sizes or full sketches exclude a link, and those whose MinHash sketches are some four standard deviations below the threshold. A link at the threshold shares no
 band with a probability of (1 - 0.75^4)^40 = 3e-7.
 
 Defined cases: a null text, or one without words, has an empty set and is a group of its own; fewer words than a shingle are one shingle; repeated
@@ -37,6 +40,7 @@ PERCENT = 75
 BANDS, ROWS = 40, 4
 SAMPLES = BANDS * ROWS
 SKETCH_WORDS = 8
+FULL_WORDS = 32
 STAR_ROUNDS = 2
 #: Similarity below which a sketch excludes a link: the threshold less about four standard deviations of the estimate.
 DOUBT = 0.58
@@ -83,23 +87,28 @@ def band_keys(minima: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def odd_sketch(minima: np.ndarray) -> np.ndarray:
-    """Parity of the samples that fall on each bit."""
-    bits = _mixed(minima + np.arange(SAMPLES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(64 * SKETCH_WORDS)
-    parity = np.bincount(bits.astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+def _folded(values: np.ndarray, words: int) -> np.ndarray:
+    """Parity of the values that fall on each bit."""
+    parity = np.bincount((_mixed(values) % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(parity.astype(np.uint8)).view(np.int64)
 
 
+def odd_sketch(minima: np.ndarray) -> np.ndarray:
+    return _folded(minima + np.arange(SAMPLES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), SKETCH_WORDS)
+
+
 _SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
+_FULL = [f"f{i}" for i in range(FULL_WORDS)]
+_TRAITS = ["n_shingles", *_SKETCH, *_FULL]
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """Per row of row, doc_id, text: set size, a 128-bit digest of the set, band keys (null: empty set) and sketch."""
-    names = ["row", "doc_id", "n_shingles", "d0", "d1", "bands", *_SKETCH]
+    """Per row of row, doc_id, text: set size, a 128-bit digest of the set, band keys (null: empty set) and sketches."""
+    names = ["row", "doc_id", "n_shingles", "d0", "d1", "bands", *_SKETCH, *_FULL]
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests, bands, sketches = [], np.zeros((batch.num_rows, 2), np.int64), [], np.zeros((batch.num_rows, SKETCH_WORDS), np.int64)
+            sizes, digests, bands, sketches = [], np.zeros((batch.num_rows, 2), np.int64), [], np.zeros((batch.num_rows, SKETCH_WORDS + FULL_WORDS), np.int64)
             for i, text in enumerate(batch.column("text")):
                 own = shingle_set(text.as_py())
                 sizes.append(len(own))
@@ -107,23 +116,25 @@ def signatures(docs: DataFrame) -> DataFrame:
                 if len(own):
                     digests[i] = np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), np.int64)
                     minima = min_hashes(own)
-                    bands[-1], sketches[i] = band_keys(minima), odd_sketch(minima)
+                    bands[-1] = band_keys(minima)
+                    sketches[i] = np.concatenate([odd_sketch(minima), _folded(own, FULL_WORDS)])
             columns = [pa.array(sizes, pa.int64()), *map(pa.array, digests.T), pa.array(bands, pa.list_(pa.int64())), *map(pa.array, sketches.T.copy())]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *columns], names=names)
 
-    kinds = f"row bigint, doc_id bigint, n_shingles bigint, d0 bigint, d1 bigint, bands array<bigint>, {', '.join(f'{s} bigint' for s in _SKETCH)}"
+    kinds = f"row bigint, doc_id bigint, n_shingles bigint, d0 bigint, d1 bigint, bands array<bigint>, {', '.join(f'{s} bigint' for s in [*_SKETCH, *_FULL])}"
     return docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(signed, kinds)
 
 
-def _bits(a: str, b: str) -> Column:
+def _bits(a: str, b: str, words: list[str] = _SKETCH) -> Column:
     """Population count of the XOR of two sketches."""
-    return reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in _SKETCH))
+    return reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in words))
 
 
 def _possible(a: str, b: str) -> Column:
     """Whether sizes and sketches allow a link."""
-    small, large = F.least(f"{a}.n_shingles", f"{b}.n_shingles"), F.greatest(f"{a}.n_shingles", f"{b}.n_shingles")
-    return (100 * small >= PERCENT * large) & (_bits(a, b) <= MOST_BITS)
+    n, m = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
+    sizes = (100 * n >= PERCENT * m) & (100 * m >= PERCENT * n)
+    return sizes & (_bits(a, b) <= MOST_BITS) & ((100 + PERCENT) * _bits(a, b, _FULL) <= (100 - PERCENT) * (n + m))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -175,29 +186,47 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     keyed = own.select("row", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = cut_lineage(keyed.join(shared.select("key"), "key"), "buckets")
-    members = cut_lineage(own.join(buckets.select("row").distinct(), "row", "left_semi").select("row", "n_shingles", *_SKETCH), "members")
+    members = cut_lineage(own.join(buckets.select("row").distinct(), "row", "left_semi").select("row", *_TRAITS), "members")
     texts = cut_lineage(docs.select("row", "text").join(members.select("row"), "row", "left_semi"), "texts")
-    found = None
+    found, used = None, None
     grouped = buckets.withColumn("group", F.col("row"))
-    for r in range(STAR_ROUNDS):
-        order = F.struct(F.xxhash64("row", F.lit(r)).alias("h"), F.col("row").alias("row"), F.col("group").alias("group"))
-        centre = grouped.groupBy("key").agg(F.min(order).alias("c"))
-        spokes = grouped.join(centre, "key").where("group <> c.group").select("row", F.col("c.row").alias("centre")).distinct()
-        judged = spokes.join(members.alias("x"), spokes["row"] == F.col("x.row")).join(members.alias("y"), spokes["centre"] == F.col("y.row")).where(_possible("x", "y"))
+    for _ in range(STAR_ROUNDS):
+        centre = cut_lineage(_hubs(grouped, used), "hubs")
+        used = centre.select("hub").distinct() if used is None else used.unionByName(centre.select("hub")).distinct()
+        spokes = grouped.join(centre, "key").where("group <> hub_group").select("row", "hub").distinct()
+        judged = spokes.join(members.alias("x"), spokes["row"] == F.col("x.row")).join(members.alias("y"), spokes["hub"] == F.col("y.row")).where(_possible("x", "y"))
         best = judged.groupBy(F.col("x.row").alias("b")).agg(F.min(F.struct(_bits("x", "y").alias("bits"), F.col("y.row").alias("a"))).alias("m")).select(F.col("m.a").alias("a"), "b")
         good = cut_lineage(confirmed(best, texts), "links")
         found = good if found is None else found.unionByName(good)
         known = cut_lineage(components(found), "groups")
         grouped = cut_lineage(_open(buckets.join(known, "row", "left").withColumn("group", F.coalesce("group", "row"))), "open")
+    return found.unionByName(confirmed(_remaining(grouped, members), texts))
+
+
+def _hubs(grouped: DataFrame, used: DataFrame | None) -> DataFrame:
+    """The centre of each bucket: the member that meets most documents of other groups over all its buckets.
+
+    What others were copied from meets more of them than they meet each other. A row is a centre in one round only.
+    """
+    own = grouped.groupBy("key", "group").agg(F.count(F.lit(1)).alias("own"))
+    whole = grouped.groupBy("key").agg(F.count(F.lit(1)).alias("whole"))
+    others = grouped.join(own.join(whole, "key"), ["key", "group"]).groupBy("row").agg(F.sum(F.col("whole") - F.col("own")).alias("met"))
+    free = others if used is None else others.join(used, others["row"] == used["hub"], "left_anti")
+    top = grouped.join(free, "row").groupBy("key").agg(F.max(F.struct(F.col("met"), (-F.col("row")).alias("minus"), F.col("group"))).alias("c"))
+    return top.select("key", (-F.col("c.minus")).alias("hub"), F.col("c.group").alias("hub_group"))
+
+
+def _remaining(grouped: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different groups in an open bucket that sizes and sketches allow, each from one of its buckets only."""
     sizes = grouped.groupBy("key", "group").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("key").agg(F.max_by("group", F.struct("n", "group")).alias("main"))
-    full = grouped.join(members, "row").select("key", "row", "group", "n_shingles", *_SKETCH)
-    rest = full.join(main, "key").where("group <> main").drop("main").alias("x")
-    other = full.join(main, "key").withColumn("minor", F.col("group") != F.col("main")).alias("y")
+    keys = grouped.groupBy("row").agg(F.collect_list("key").alias("keys"))  # at most one key for each band
+    full = grouped.join(members.join(keys, "row"), "row").join(main, "key").withColumn("minor", F.col("group") != F.col("main")).drop("main")
+    x, y = full.where("minor").alias("x"), full.alias("y")
     ordered = ~F.col("y.minor") | (F.col("x.row") < F.col("y.row"))
-    pairs = rest.join(other, (F.col("x.key") == F.col("y.key")) & (F.col("x.group") != F.col("y.group")) & ordered & _possible("x", "y"))
-    last = cut_lineage(pairs.select(F.greatest("x.row", "y.row").alias("a"), F.least("x.row", "y.row").alias("b")).distinct(), "pairs")
-    return found.unionByName(confirmed(last, texts))
+    once = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.group") != F.col("y.group")) & ordered & _possible("x", "y") & once)
+    return cut_lineage(pairs.select(F.greatest("x.row", "y.row").alias("a"), F.least("x.row", "y.row").alias("b")), "pairs")
 
 
 def _open(grouped: DataFrame) -> DataFrame:
