@@ -399,8 +399,10 @@ def extract(sources: list[str | None], model: Trees | None) -> list[str]:
 
 def learn(pages: DataFrame, sample: int = SAMPLE_PAGES, most_bytes: int = SAMPLE_BYTES) -> Trees | None:
     """Trees from ``sample`` pages, picked by a hash of their html, so that the same table always gives the same pages."""
-    picked = pages.select("html").where(F.octet_length("html") <= most_bytes).orderBy(F.xxhash64("html"), "html").limit(sample)
-    return train([r["html"] for r in picked.collect()])
+    short = pages.select("html", F.xxhash64("html").alias("h")).where(F.octet_length("html") <= most_bytes)
+    picked = [r["h"] for r in short.select("h").distinct().orderBy("h").limit(sample).collect()]
+    rows = short.where(F.col("h").isin(picked)).groupBy("h").agg(F.min("html").alias("html")) if picked else short
+    return train([r["html"] for r in rows.orderBy("h").collect()])
 
 
 def extracted(pages: DataFrame, model: Trees | None, keep: list[str] | None = None) -> DataFrame:
