@@ -144,27 +144,29 @@ def _predict(shape: Shape, p: dict[str, np.ndarray], h: np.ndarray, target: np.n
     learn = grad is not None
     kind = np.searchsorted(shape.bounds, target, side="right") - 1
     kind = np.where(target >= shape.words, shape.classes, kind)
+    order = np.argsort(kind, kind="stable")  # rows of a class side by side
+    h, target, kind = h[order], target[order], kind[order]
     value, d = _choose(h @ p["wc"] + p["bc"], kind, learn)
     back = None
     if learn:
         grad["wc"] += h.T @ d
         grad["bc"] += d.sum(0)
         back = d @ p["wc"].T
-    order = np.argsort(kind, kind="stable")
-    edges = np.searchsorted(kind[order], np.arange(shape.classes + 1))
+    edges = np.searchsorted(kind, np.arange(shape.classes + 1))
     for c in range(shape.classes):
-        rows = order[edges[c] : edges[c + 1]]
+        rows = slice(edges[c], edges[c + 1])
         low, high = shape.bounds[c], shape.bounds[c + 1]
-        if not len(rows) or high - low == 1:
+        if rows.start == rows.stop or high - low == 1:
             continue
-        own = h[rows]
-        v, d = _choose(own @ p["ww"][low:high].T + p["bw"][low:high], target[rows] - low, learn)
+        v, d = _choose(h[rows] @ p["ww"][low:high].T + p["bw"][low:high], target[rows] - low, learn)
         value[rows] += v
         if learn:
-            grad["ww"][low:high] += d.T @ own
-            grad["bw"][low:high] += d.sum(0)
+            grad["ww"][low:high] = d.T @ h[rows]
+            grad["bw"][low:high] = d.sum(0)
             back[rows] += d @ p["ww"][low:high]
-    return value, back
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    return value[place], back[place] if learn else None
 
 
 def score(shape: Shape, flat: np.ndarray, texts: list[np.ndarray], width: int = LANES, steps: int = 4 * STEPS) -> np.ndarray:
