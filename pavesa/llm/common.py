@@ -1,16 +1,13 @@
-"""What the operators share: words, held-out rows, written tables, the rows a mapper returns."""
+"""What the operators share: words, held-out rows, written tables, row numbers."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pavesa.session import cut_lineage, scratch_path, shared_dir
+from pavesa.session import cut_lineage, scratch_path
 
-__all__ = ["SPACE", "arrow_map", "crc_mod", "cut_lineage", "lower_ascii", "numbered", "scratch_path", "shared_dir", "table", "word_list"]
+__all__ = ["SPACE", "crc_mod", "cut_lineage", "numbered", "scratch_path", "table", "word_list"]
 
 #: Characters between words: space and U+0009 to U+000D.
 SPACE = " \t\n\x0b\f\r"
@@ -25,10 +22,6 @@ def crc_mod(key: Column, n: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % n
 
 
-def lower_ascii(text: Column) -> Column:
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def word_list(text: Column) -> Column:
     """Words of a text (null: none), split at SPACE."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE))
@@ -36,9 +29,12 @@ def word_list(text: Column) -> Column:
 
 
 def numbered(df: DataFrame, name: str = "row") -> DataFrame:
-    """One number per row, so that repeated ids stay apart. Stable for a scan: it depends on the file splits alone."""
+    """One number per row, so that repeated ids stay apart.
+
+    The number depends on the file splits of the scan alone. Their size would follow the cores of the cluster, which change when executors are
+    lost, so the least number of splits is fixed for the session at its present value.
+    """
+    spark = df.sparkSession
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     return df.withColumn(name, F.monotonically_increasing_id())
-
-
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
