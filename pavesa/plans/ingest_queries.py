@@ -508,7 +508,7 @@ def refreshed(t):
         rows = t.warning_src().join(downloads, "source_download_id")
         for half in (1, 0):
             rows.filter(c("source_download_id") % 2 == half).repartitionByRange(2, "source_download_id").write.mode("append").parquet(landing_dir)
-            job = refresh.run_refresh(t.spark, landing_dir, rows.schema, root, buckets=8)
+            job = refresh.run_refresh(t.spark, landing_dir, rows.schema, root, files_per_batch=2, buckets=8)
         done[t.sf_dir] = job
     return done[t.sf_dir]
 
