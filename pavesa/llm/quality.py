@@ -96,9 +96,12 @@ def passes(policy: Policy) -> Column:
 
 
 def kept(df: DataFrame, policy: Policy, text: str = "text") -> DataFrame:
-    """The rows that pass a policy, with their own columns, whatever their names."""
+    """The rows that pass a policy, with their own columns, whatever their names.
+
+    The verdict is read by a generator: a filter would be pushed below the steps of the ledger and repeat them for every rule.
+    """
     rows = df.select(F.struct("*").alias("_kept"), F.col(text).alias("text"))
-    return ledger(rows).where(passes(policy)).select("_kept.*")
+    return ledger(rows).select(F.inline(F.when(passes(policy), F.array("_kept"))))
 
 
 def ablation(rows: DataFrame, policies: tuple[Policy, ...] = (BASE, STRICT)) -> DataFrame:
