@@ -187,7 +187,8 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = cut_lineage(keyed.join(shared.select("key"), "key"), "buckets")
     members = cut_lineage(own.join(buckets.select("row").distinct(), "row", "left_semi").select("row", *_TRAITS), "members")
-    texts = cut_lineage(docs.select("row", "text").join(members.select("row"), "row", "left_semi"), "texts")
+    # Sorted and merged at every size: a broadcast of the members would only do for small tables.
+    texts = cut_lineage(docs.select("row", "text").join(members.select("row").hint("merge"), "row", "left_semi"), "texts")
     found, used = None, None
     grouped = buckets.withColumn("group", F.col("row"))
     for _ in range(STAR_ROUNDS):
