@@ -180,12 +180,14 @@ def read_day_manifests(spark: SparkSession, path: str, schema: str, date_from: s
 
 
 def read_glossary(spark: SparkSession, path: str) -> DataFrame:
-    """Glossary files (a map of term to record), a row per term in file order: position, key, name, long_name, unit, description, context."""
-    record = "struct<name:string,long_name:string,unit:string,description:string,context:string>"
-    entries = spark.read.text(path, wholetext=True).select(F.map_entries(F.from_json("value", f"map<string,{record}>")).alias("m"))
-    return entries.select(F.posexplode("m").alias("position", "e")).select(
-        "position", "e.key", "e.value.name", "e.value.long_name", "e.value.unit", "e.value.description", F.col("e.value.context").alias("context")
-    )
+    """Glossary files (a map of term to record), a row per term in file order: position, key, name, long_name, unit, description, context.
+
+    The context is the field whose name begins so.
+    """
+    entries = spark.read.text(path, wholetext=True).select(F.map_entries(F.from_json("value", "map<string,map<string,string>>")).alias("m"))
+    rows = entries.select(F.posexplode("m").alias("position", "e")).select("position", "e.key", F.col("e.value").alias("v"))
+    context = F.get(F.map_values(F.map_filter("v", lambda k, _: F.startswith(k, F.lit("context")))), F.lit(0))
+    return rows.select("position", "key", *(F.col("v")[n].alias(n) for n in ("name", "long_name", "unit", "description")), context.alias("context"))
 
 
 def read_places(spark: SparkSession, path: str) -> DataFrame:

@@ -311,10 +311,11 @@ def test_lookups(spark):
 
 
 def test_glossary_of_a_file(spark, tmp_path):
-    (tmp_path / "g.json").write_text(json.dumps({"AB": {"name": "A b", "long_name": "Alpha Beta", "unit": "m", "description": "d"}, "X": {"name": "x", "context": "c"}}))
+    (tmp_path / "g.json").write_text(json.dumps({"AB": {"name": "A b", "long_name": "Alpha Beta", "unit": "m", "description": "d"}, "X": {"name": "x", "context_of_map": "c"}}))
     terms = spark.createDataFrame([("a b",), ("beta",), ("none",), (None,)], "term string")
     rows = {r["term"]: r for r in lookup.explain_terms(terms, landing.read_glossary(spark, str(tmp_path))).collect()}
     assert (rows["a b"]["key"], rows["a b"]["unit"], rows["a b"]["description"], rows["a b"]["available_terms"]) == ("AB", "m", "d", None)
+    assert lookup.explain_terms(spark.createDataFrame([("x",)], "term string"), landing.read_glossary(spark, str(tmp_path))).first()["context"] == "c"
     assert rows["beta"]["key"] == "AB" and not rows["none"]["found"] and rows["none"]["available_terms"] == ["AB", "X"]
 
 
