@@ -14,6 +14,7 @@ HIDDEN = 24
 CLASSES = 64
 LANES = 256
 STEPS = 16
+PADDING = 4
 RATE = 0.08
 
 
@@ -85,6 +86,9 @@ class Batch:
 
 
 def batch_of(texts: list[np.ndarray], first: int, width: int = LANES) -> Batch:
+    """Texts in lanes; fewer lanes beside a long text, so that the columns hold some PADDING places for each word at most."""
+    longest = max(map(len, texts), default=0)
+    width = min(width, max(1, PADDING * sum(map(len, texts)) // max(1, longest)))
     dealt = lanes(texts, width)
     length = max((sum(len(texts[i]) for i in lane) for lane in dealt), default=0)
     read, target = np.full((length, len(dealt)), first, np.int32), np.zeros((length, len(dealt)), np.int32)

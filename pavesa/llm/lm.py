@@ -4,9 +4,9 @@ Statistics cover every training word: counts of all words give the vocabulary of
 its first weights (so that training starts from the unigram model) and the add-one distribution of all rarer words, which the network
 reaches through one class. So every text has a probability, and those of all words and the unknown word add up to one.
 
-The network is trained in ROUNDS rounds. In each, every task takes its part of the round's documents (a share of TRAIN_SHARE / ROUNDS of the
-training documents, by hash, so it grows with the input), trains a copy from the common weights by truncated backpropagation, and the copies are
-averaged by words seen, block by block, in a shuffle. Only the average reaches the driver; its size is fixed by the parameters.
+The network is trained in ROUNDS rounds, and each training document is met in one of them, by hash. In each, every task takes its part of the
+round's documents, trains a copy from the common weights by truncated backpropagation, and the copies are averaged by words seen, block by
+block, in a shuffle. Only the average reaches the driver; its size is fixed by the parameters.
 
 Scoring carries the state of a document from window to window to its end. Words of the TABLE_WORDS most frequent are looked up in the task
 (the table is bounded in words and bytes); counts of all others meet the documents that hold them in a join, counted per document first.
@@ -35,7 +35,6 @@ MODEL_WORDS = 4096
 TABLE_WORDS = 200_000
 TABLE_BYTES = 64
 ROUNDS = 4
-TRAIN_SHARE = 0.5
 CHUNK = 500_000
 FLUSH = 1_000_000
 BLOCK = 4096
@@ -120,12 +119,11 @@ def _sum(parts: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": [parts["block"].iloc[0]], "salt": [parts["salt"].iloc[0]], "words": [parts["words"].sum()], "total": [total.tobytes()]})
 
 
-def fit(rows: DataFrame, key: Column, model: Model, rounds: int = ROUNDS, share: float = TRAIN_SHARE, rate: float = gru.RATE) -> Model:
-    """The model after ``rounds`` averaged passes over ``share`` of the rows, each over rows of its own."""
+def fit(rows: DataFrame, key: Column, model: Model, rounds: int = ROUNDS, rate: float = gru.RATE) -> Model:
+    """The model after ``rounds`` averaged passes, each over rows of its own; together they are all rows."""
     if not model.shape.words:
         return model
-    parts = max(rounds, round(rounds / share))
-    number = F.pmod(F.xxhash64(F.coalesce(key.cast("string"), F.lit(""))), F.lit(parts))
+    number = F.pmod(F.xxhash64(F.coalesce(key.cast("string"), F.lit(""))), F.lit(rounds))
     kinds = "block int, salt int, words double, total binary"
     for r in range(rounds):
         shared = rows.sparkSession.sparkContext.broadcast(model)

@@ -277,6 +277,23 @@ def test_language_model(spark, odd):
     assert lm.score_documents(odd.limit(0), held).count() == 0
 
 
+def test_every_training_text_is_met(spark):
+    """The weights of a word change only if the network reads it; here each word is in one text."""
+    rows = spark.createDataFrame([(i, f"word{i} " * 60) for i in range(60)], "doc_id long, text string")
+    first = lm.vocabulary(lm.count_words(rows))
+    before, after = (m.shape.split(m.weights)["win"] for m in (first, lm.fit(rows, F.col("doc_id"), first)))
+    read = [k for w, k in first.table.items() if w != lm.END]
+    assert len(read) == 60 and (before[read] != after[read]).any(1).all()
+
+
+def test_lanes_beside_a_long_text():
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 9, n).astype(np.int32) for n in (20_000, *[40] * 300)]
+    b = gru.batch_of(texts, 9)
+    assert b.read.size <= 2 * gru.PADDING * sum(map(len, texts))
+    assert list(np.bincount(b.owner[b.owner >= 0])) == [len(t) for t in texts]
+
+
 def test_probabilities_add_up():
     counts = np.array([50.0, 30, 20, 10, 5, 5, 2, 1])
     shape = gru.shape_of(counts, hidden=4, classes=3)
