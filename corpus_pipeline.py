@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet in the shared folder and reads it again as the next one's
 ``docs``. All but the last return the columns of ``documents``.
 
-Defined cases: null and empty texts fail the quality rules; a document without a letter has no language and goes; of a group of near-duplicates
+Defined cases: null and empty texts fail the quality rules; a document without a letter has no language and goes, and so does one of
+which too few n-grams are known in any learned language (all with a letter stay if no row names its language); of a group of near-duplicates
 the row with the smallest (id, row) stays; tables may be empty; an extra column passes through to the
 last stage but one, whatever its name.
 """
@@ -25,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language, by a filter learned from the rows of ``docs`` that aren't held out."""
+    """Documents in a language (``langid.accepted``), by a filter learned from the rows of ``docs`` that aren't held out."""
     return langid.with_language(docs, langid.learn(docs.where(crc_mod(F.col("doc_id"), 4) != 2)))
 
 

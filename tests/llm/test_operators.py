@@ -1,5 +1,6 @@
 """Operators on small odd inputs: nulls, empty and long texts, ties, repeated rows, empty tables, columns with clashing names."""
 
+import base64
 import random
 import tempfile
 
@@ -157,6 +158,18 @@ def test_languages(spark, odd):
     assert [r["lang_pred"] for r in langid.identify(many, model).orderBy("lang").collect()] == [f"l{i:03d}" for i in range(150)]
 
 
+def test_junk_is_in_no_language(spark):
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    junk = ["".join(rng.choices(letters, k=400)), " ".join("".join(rng.choices(letters, k=6)) for _ in range(60)), base64.b64encode(rng.randbytes(300)).decode(), "漢字漢字 仮名"]
+    clean = [ENGLISH, GERMAN, "the dog came home", "der Hund und die Katze", ENGLISH[:60] + " 123"]
+    model = langid.learn(spark.createDataFrame([(ENGLISH, "en"), (GERMAN, "de")], "text string, lang string"), least=1)
+    docs = spark.createDataFrame([(t,) for t in [*junk, *clean, "12 !", None]], "text string")
+    assert sorted(r["text"] for r in langid.with_language(docs, model).collect()) == sorted(clean)
+    nothing = langid.learn(spark.createDataFrame([(ENGLISH, None)], "text string, lang string"))
+    assert langid.with_language(docs, nothing).count() == len(junk) + len(clean)
+
+
 def test_grams_of_long_texts(monkeypatch):
     texts = [langid.letters(ENGLISH * 3), langid.letters(GERMAN), "", langid.letters("a")]
     whole = sorted((int(o), int(h)) for a, b in langid.grams(texts) for o, h in zip(a, b, strict=True))
