@@ -9,8 +9,8 @@ There are no labelled pages, so training pages are made from the table: the arti
 ``main`` element, else its largest element of running text) is put among menus, headers, footers, sidebars, notices, adverts, forms and comments in many
 wrappings, whose words come from the same pages, so that words decide nothing. The sample is SAMPLE_PAGES pages of at most SAMPLE_BYTES.
 
-Defined cases: a null or empty page, or one without text, gives the empty text; unclosed and stray tags are put right as browsers do; repeated
-pages are treated alike; with no page to learn from, all text outside tags that never show is kept. Other columns pass through, and one
+Defined cases: a null or empty page, or one without text, gives the empty text; unclosed and stray tags are put right as browsers do (a head
+ends before the first tag or text that can't be in one); repeated pages are treated alike; with no page to learn from, all text outside tags that never show is kept. Other columns pass through, and one
 that has the name of a result is replaced.
 """
 
@@ -34,9 +34,10 @@ VARIANTS = 3
 
 # Element names by their part in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style template noscript svg iframe object canvas math title".split())
+HIDDEN = frozenset("head script style template noscript svg iframe title".split())
+HEAD = frozenset("base link meta title style script noscript template".split())
 RAW = "script|style|template|noscript|iframe|textarea|title|svg"
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img object canvas math mi mn mo ms mtext mrow mstyle mfrac msqrt mroot msub msup msubsup munder mover munderover semantics".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -88,7 +89,13 @@ def parse(source: str) -> Page:
             if tag not in INLINE:
                 page.texts.append((stack[-1] if stack else 0, ""))
 
+    def leave_head() -> None:
+        if page.tags[stack[-1]] == "head":
+            close(len(stack) - 1)
+
     def text(part: str) -> None:
+        if part.strip(" \t\n\f\r"):
+            leave_head()
         if part and not hidden:
             page.texts.append((stack[-1], entities.unescape(part)))
 
@@ -97,6 +104,8 @@ def parse(source: str) -> Page:
         text(source[at : m.start()])
         at = m.end()
         tag = m["tag"]
+        if (m["raw"] or tag and not m["end"]) and (m["raw"] or tag).lower() not in HEAD:
+            leave_head()
         if tag is None:
             continue
         tag = tag.lower()
@@ -114,8 +123,6 @@ def parse(source: str) -> Page:
                     break
                 if page.tags[stack[i]] in walls:
                     break
-        if tag == "body" and "head" in [page.tags[i] for i in stack]:
-            close(next(i for i, n in enumerate(stack) if page.tags[n] == "head"))
         if tag not in INLINE:
             page.texts.append((stack[-1], ""))
         if tag in VOID:

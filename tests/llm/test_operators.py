@@ -337,3 +337,12 @@ def test_page_trees():
     assert html.main_text(page, np.full(len(page.tags), html.ARTICLE)) == "ab c x y t < &end"
     label = html.decode([-1, 0, 1, 1, 3], np.array([0, 5.0, -6, 5, 5]), np.array([0, 0, 40.0, 40, 40]))
     assert list(label) == [0, 1, 2, 1, 1] and html.extract([None, "", "<p></p>"], None) == ["", "", ""]
+
+
+def test_open_head_and_formulas():
+    head = "<!doctype html><html><head>\n<meta charset=utf-8><title>T</title><!-- c --><link rel=x>\n<style>p {}</style><script>1</script>"
+    pages = [head + rest for rest in ("<article><p>a</p><p>b</p></article>", "a <p>b", "<body>a <p>b</body>", "</head><p>a<p>b", "</head><body>a<p>b", "&#97;<p>b", "<textarea>no</textarea>a<p>b")]
+    assert html.extract(pages, None) == ["a b"] * len(pages)
+    assert html.extract(["<head><title>T</title>", head + "</head>"], None) == ["", ""]
+    odd = "<article><p>if <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then</p><object data=f><param name=a><p>film</p></object> <canvas>chart</canvas></article>"
+    assert html.extract([odd], None) == ["if x=2 then film chart"]
