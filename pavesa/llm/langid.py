@@ -5,9 +5,11 @@ contain it. A text asks for all of its n-grams at once; per language, the hits a
 language's fill. The language with most hits decides.
 
 Learning counts every n-gram of every training text, per task first, then by (language, n-gram) in a shuffle. An n-gram belongs to each
-language in which it is at least SHARE times as frequent as in its best language, so that borrowed or mislabelled text doesn't enter. The
-filter has 2^slot_bits slots whatever the corpus holds: it is folded by slot on the executors, and its size is what the driver and each
-task get.
+language in which it is at least SHARE times as frequent as in its best language, so that borrowed or mislabelled text doesn't enter, and has
+at least LEAST of each MILLION n-grams. So a language has at most MILLION / LEAST n-grams whatever the corpus holds, a small one all it has,
+and the same text counts as much at every input size. The slots are as many as the n-grams of the largest language need to fill a share of FILL
+at most (2^21 at the bound, 16 MB for each 62 languages); the filter is folded by slot on the executors, and its size is what the driver and
+each task get.
 
 Texts are lower-cased; runs of non-letters become one space, and so does each end. Long texts are read in overlapping pieces, never cut off.
 
@@ -25,6 +27,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import ceil, log, log2
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +39,11 @@ from pavesa.llm.common import cut_lineage
 
 ORDERS = (2, 3, 4)
 HASHES = 3
-SLOT_BITS = 21
+FILL = 0.5
+LEAST_BITS = 16
 SHARE = 0.3
 LEAST = 3
+MILLION = 1_000_000
 PIECE = 1_000_000
 FLUSH = 2_000_000
 WORD_BITS = 62
@@ -152,8 +157,13 @@ class Filter:
         return found
 
 
-def learn(rows: DataFrame, slot_bits: int = SLOT_BITS, share: float = SHARE, least: int = LEAST) -> Filter:
-    """A filter from all rows of lang, text with a language."""
+def slot_bits(n_grams: int) -> int:
+    """For a fill of FILL at most."""
+    return max(LEAST_BITS, ceil(log2(max(1, n_grams) * HASHES / -log(1 - FILL))))
+
+
+def learn(rows: DataFrame, share: float = SHARE, least: float = LEAST) -> Filter:
+    """A filter from all rows of lang, text with a language. ``least``: how many of a MILLION n-grams of its language an n-gram must be."""
     counts = cut_lineage(count_grams(rows.select("lang", "text").where("lang is not null")), "grams")
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # one row for each language
     langs = sorted(totals)
@@ -161,25 +171,27 @@ def learn(rows: DataFrame, slot_bits: int = SLOT_BITS, share: float = SHARE, lea
         return Filter([], np.zeros((1, 1), np.int64), 0, np.zeros(0), UNKNOWN)
     number = F.create_map(*(x for i, lang in enumerate(langs) for x in (F.lit(lang), F.lit(i))))
     size = F.create_map(*(x for lang in langs for x in (F.lit(lang), F.lit(float(totals[lang])))))
-    rate = F.struct((F.col("n") / size[F.col("lang")]).alias("rate"), number[F.col("lang")].alias("i"), F.col("n"))
+    enough = F.col("n") * MILLION >= least * size[F.col("lang")]
+    bits = slot_bits(max((r["count"] for r in counts.where(enough).groupBy("lang").count().collect()), default=0))
+    rate = F.struct((F.col("n") / size[F.col("lang")]).alias("rate"), number[F.col("lang")].alias("i"), enough.alias("enough"))
     best = counts.groupBy("gram").agg(F.collect_list(rate).alias("r"))  # at most one entry for each language
     chosen = best.withColumn("top", F.array_max(F.transform("r", lambda x: x["rate"]))).select(
-        "gram", F.explode(F.filter("r", lambda x: (x["rate"] >= share * F.col("top")) & (x["n"] >= least))).alias("x")
+        "gram", F.explode(F.filter("r", lambda x: (x["rate"] >= share * F.col("top")) & x["enough"])).alias("x")
     )
     sets = chosen.groupBy("gram", F.expr(f"x.i div {WORD_BITS}").cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, x.i % {WORD_BITS})")).alias("set"))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = slots(batch.column("gram").to_numpy().view(np.uint64), slot_bits)
-            word, bits = batch.column("word").to_numpy(), batch.column("set").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(at.ravel()), pa.array(np.tile(word, HASHES)), pa.array(np.tile(bits, HASHES))], names=["slot", "word", "set"])
+            at = slots(batch.column("gram").to_numpy().view(np.uint64), bits)
+            word, given = batch.column("word").to_numpy(), batch.column("set").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(at.ravel()), pa.array(np.tile(word, HASHES)), pa.array(np.tile(given, HASHES))], names=["slot", "word", "set"])
 
     filled = sets.mapInArrow(placed, "slot bigint, word int, set bigint").groupBy("slot", "word").agg(F.bit_or("set").alias("set"))
-    got = filled.toArrow()  # at most 2^slot_bits rows for each 62 languages
-    table = np.zeros((-(-len(langs) // WORD_BITS), 1 << slot_bits), np.int64)
+    got = filled.toArrow()  # at most 2^bits rows for each 62 languages
+    table = np.zeros((-(-len(langs) // WORD_BITS), 1 << bits), np.int64)
     table[got.column("word").to_numpy(), got.column("slot").to_numpy()] = got.column("set").to_numpy()
     fill = np.array([(table[i // WORD_BITS] >> (i % WORD_BITS) & 1).mean() for i in range(len(langs))])
-    return Filter(langs, table, slot_bits, fill**HASHES, max(langs, key=lambda x: totals[x]))
+    return Filter(langs, table, bits, fill**HASHES, max(langs, key=lambda x: totals[x]))
 
 
 def weighed(texts: list[str | None], model: Filter) -> tuple[list[str], np.ndarray, np.ndarray]:

@@ -170,6 +170,19 @@ def test_junk_is_in_no_language(spark):
     assert langid.with_language(docs, nothing).count() == len(junk) + len(clean)
 
 
+def test_learning_at_every_size(spark):
+    """The same text many times over gives the same filter, a language of one short text is learned, and many n-grams leave slots empty."""
+    rows = spark.createDataFrame([(ENGLISH, "en"), ("der Hund und die Katze", "de")], "text string, lang string")
+    small, large = langid.learn(rows), langid.learn(rows.crossJoin(spark.range(200)).drop("id"))
+    assert small.bits == large.bits and (small.slots == large.slots).all()
+    assert langid.judge(["die Katze", "the house"], small)[0] == ["de", "en"]
+    rng = np.random.default_rng(6)
+    wide = [(" ".join("".join(map(chr, rng.integers(0x4E00, 0x9F00, 8))) for _ in range(2000)), "zh") for _ in range(6)]
+    model = langid.learn(spark.createDataFrame(wide, "text string, lang string"))
+    assert model.bits > langid.LEAST_BITS and model.false_rate.max() <= langid.FILL**langid.HASHES + 0.01
+    assert langid.slot_bits(langid.MILLION // langid.LEAST) == 21
+
+
 def test_grams_of_long_texts(monkeypatch):
     texts = [langid.letters(ENGLISH * 3), langid.letters(GERMAN), "", langid.letters("a")]
     whole = sorted((int(o), int(h)) for a, b in langid.grams(texts) for o, h in zip(a, b, strict=True))
