@@ -43,24 +43,22 @@ def read_csv_by_name(spark: SparkSession, path: str, fields: list[str], required
         "value", *file_keys, F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_seq")
     ).filter(F.trim("value") != "")
     at = F.struct("_block", "_seq")
-    parts = lambda text: F.from_csv(text, F.lit(", ".join(f"c{i} string" for i in range(MOST_COLUMNS))), {"quote": quote, "escape": quote})
     heads = lines.groupBy("source_file").agg(F.min_by("value", at).alias("head"), F.min(at).alias("first"))
-    cells = F.array(*(F.lower(F.trim(F.regexp_replace(F.col(f"h.c{i}"), "\ufeff", ""))) for i in range(MOST_COLUMNS)))
+    commas = heads.agg(F.max(F.length("head") - F.length(F.replace("head", F.lit(","), F.lit(""))))).first()[0]  # of the widest header
+    columns = (commas or 0) + 1
+    parts = lambda text: F.from_csv(text, F.lit(", ".join(f"c{i} string" for i in range(columns))), {"quote": quote, "escape": quote})
+    cells = F.array(*(F.lower(F.trim(F.regexp_replace(F.col(f"h.c{i}"), "\ufeff", ""))) for i in range(columns)))
     places = heads.withColumn("h", parts(F.col("head"))).select("source_file", "first", cells.alias("names"))
     places = places.select("source_file", "first", *(F.array_position("names", F.lit(f)).alias(f"_{f}") for f in fields))
     usable = places.filter(P.all_of(*(F.col(f"_{f}") > 0 for f in required)))
     body = lines.join(usable, "source_file").filter((F.col("_block") != F.col("first._block")) | (F.col("_seq") != F.col("first._seq")))
-    values = body.withColumn("r", parts(F.col("value"))).withColumn("r", F.array(*(F.col(f"r.c{i}") for i in range(MOST_COLUMNS))))
+    values = body.withColumn("r", parts(F.col("value"))).withColumn("r", F.array(*(F.col(f"r.c{i}") for i in range(columns))))
     named = values.select(
         *(F.when(F.col(f"_{f}") > 0, F.get("r", (F.col(f"_{f}") - 1).cast("int"))).alias(f) for f in fields), *file_keys, "source_file", "_block", "_seq"
     )
     return with_row_numbers(named, "source_file")
 
 
-#: Columns that a landed CSV line may have.
-MOST_COLUMNS = 40
-
-
 def read_hotspot_csv(spark: SparkSession, path: str, file_keys: list[str] = []) -> DataFrame:
     """Raw hotspot lines with their file and line number; a file without coordinates gives none."""
     return read_csv_by_name(spark, path, HOTSPOT_FIELDS, ["latitude", "longitude"], file_keys)

@@ -327,3 +327,11 @@ def test_quality(spark):
     files = spark.createDataFrame([("a", bytearray(b"hi")), ("b", bytearray(b"yo"))], "path string, content binary")
     want = spark.createDataFrame([("a", hashlib.sha256(b"hi").hexdigest()), ("b", "0")], "path string, sha256 string")
     assert keyed(quality.file_hash_mismatches(files, want), "path") == [("b",)]
+
+
+def test_csv_columns_of_a_wide_header(spark, tmp_path):
+    extra = ",".join(f"x{i}" for i in range(60))
+    (tmp_path / "wide.csv").write_text(f"{extra},latitude,longitude,frp\n" + "0," * 60 + "40.5,-3.5,7\n")
+    (tmp_path / "narrow.csv").write_text("latitude,longitude\n41,-4\n")
+    rows = landing.read_hotspot_csv(spark, str(tmp_path)).select("latitude", "longitude", "frp").collect()
+    assert sorted(map(tuple, rows), key=str) == [("40.5", "-3.5", "7"), ("41", "-4", None)]
