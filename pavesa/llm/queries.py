@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pavesa.llm import chat, decontaminate, html, langid, lm, neardup, pieces, quality, sharding, warc
+from pavesa.llm import chat, decontaminate, divergence, html, langid, lm, neardup, pieces, quality, sharding, warc
 from pavesa.llm.common import crc_mod, table
 from pavesa.llm.sql import SQL  # noqa: F401
 
@@ -96,3 +96,8 @@ def op10_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
         F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))

@@ -69,6 +69,21 @@ SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN n = 1 THEN
     "op9_decontamination": f"""{DECONTAMINATION}
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)""",
+    "op12_source_divergence": rf"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+o AS (SELECT r, lang, source, unnest(ts) AS term FROM d),
+k AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+v AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, count(k.term) OVER w AS v, sum(coalesce(c.n, 0)) OVER w AS total
+  FROM (SELECT DISTINCT lang, source FROM d UNION ALL SELECT DISTINCT lang, NULL FROM d) g LEFT JOIN k ON k.lang = g.lang
+  LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM o GROUP BY GROUPING SETS ((lang, source, term), (lang, term))) c ON c.lang = g.lang AND c.source IS NOT DISTINCT FROM g.source AND c.term = k.term
+  WINDOW w AS (PARTITION BY g.lang, g.source)),
+p AS (SELECT lang, source, term, n, CASE WHEN v > 0 THEN 1 + (1000000000::HUGEINT * (n + 1)) // (total + v) END AS p FROM v),
+pr AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum(((a.p - b.p) * (a.p - b.p)) // b.p), 0) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.source <> b.source AND a.term IS NOT DISTINCT FROM b.term GROUP BY ALL),
+tm AS (SELECT a.lang, a.source, a.term AS item, ((a.p - b.p) * (a.p - b.p)) // b.p AS value FROM p a JOIN p b ON a.lang = b.lang AND a.source IS NOT NULL AND b.source IS NULL AND a.term = b.term WHERE a.n > 0 AND a.p > b.p),
+x AS (SELECT lang, source, 'pair' AS part, item, value FROM pr UNION ALL SELECT lang, source, 'term', item, value FROM tm)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM x
+QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 200""",
     "op4_quality_ledger": f"""WITH src AS (SELECT doc_id, text, row_number() OVER () AS r FROM documents), {LEDGER}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 55) = 0 AS kept, fail_bits FROM ledger""",
     "op10_reply_trees": f"""WITH c AS (
