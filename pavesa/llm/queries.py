@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pavesa.llm import chat, decontaminate, divergence, html, langid, lm, neardup, pieces, quality, sharding, warc
-from pavesa.llm.common import crc_mod, table
+from pavesa.llm import chat, decontaminate, divergence, html, langid, lm, neardup, pieces, quality, sharding, tokenfiles, warc
+from pavesa.llm.common import crc_mod, scratch_path, table
 from pavesa.llm.sql import SQL  # noqa: F401
 
 #: Small enough for several shards in the smallest test table.
@@ -98,6 +98,13 @@ def op10_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    tokenfiles.write(table(spark, sf_dir, "documents").select("doc_id", "text"), path, tokenfiles.tokenizer_path())
+    return tokenfiles.checksums(tokenfiles.documents(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 @query
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
