@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pavesa.llm import chat, decontaminate, divergence, html, langid, lm, neardup, pieces, quality, sharding, tokenfiles, warc
+from pavesa.llm import alignment, chat, decontaminate, divergence, html, langid, lm, neardup, pieces, quality, sharding, tokenfiles, warc
 from pavesa.llm.common import crc_mod, scratch_path, table
 from pavesa.llm.sql import SQL  # noqa: F401
 
@@ -108,3 +108,8 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+@query
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
