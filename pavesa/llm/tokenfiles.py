@@ -18,6 +18,7 @@ null ids come first; an empty table gives an empty folder of the right columns;
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from collections.abc import Iterator
@@ -62,21 +63,37 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.memory: dict[bytes, bytes] = {}
+        names = map(self.library.id_to_token, range(self.library.get_vocab_size()))
+        self.last = np.array([(n or "").endswith("</w>") for n in names])  # ids that end a word
+        self.mark = {m: self._one(m) for m in b".,;:!?" for m in [bytes([m])]}
+
+    def _one(self, word: bytes) -> bytes:
+        return np.array(self.library.encode(word.decode(), add_special_tokens=False).ids, "<i4").tobytes()
 
     def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of new words; short ones are kept while there is room."""
-        new = list(words)
+        """Ids of new words; short ones are kept while there is room.
+
+        A mark after a letter is a word of its own. Plain words are given to the library many at a time, and the ids that end a word tell them apart.
+        """
+        stems = {w: w[:-1] if w[-1:] in self.mark and w[-2:-1].isalpha() else w for w in words}
+        new = {s for s in stems.values() if s not in self.memory}
+        plain = [s for s in new if (t := s.decode()).isalpha() and max(t) < "\u0130"]
         found = {}
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for w, e in zip(part, self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                found[w] = np.array(e.ids, "<i4").tobytes()
-        for w, ids in found.items():
+        for at in range(0, len(plain), 20_000):
+            groups = [plain[i : i + 200] for i in range(at, min(at + 20_000, len(plain)), 200)]
+            for group, coded in zip(groups, self.library.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(coded.ids, "<i4")
+                ends = np.flatnonzero(self.last[ids]) + 1
+                if len(ends) == len(group):
+                    found |= {w: x.tobytes() for w, x in zip(group, np.split(ids, ends[:-1]), strict=True)}
+        found |= {s: self._one(s) for s in new if s not in found}
+        known = {w: (found[s] if s in found else self.memory[s]) + (self.mark[w[-1:]] if s is not w else b"") for w, s in stems.items()}
+        for w, ids in (found | known).items():
             if len(self.memory) >= MEMORY:
                 break
             if len(w) <= MEMORY_BYTES:
                 self.memory[w] = ids
-        return found
+        return known
 
     def encode(self, text: bytes) -> bytes:
         words, out = text.split(), []
@@ -90,6 +107,12 @@ class Encoder:
         return b"".join(out)
 
 
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, so that later tasks know the words of earlier ones."""
+    return Encoder(path)
+
+
 def _lists(ids: list[bytes]) -> pa.ListArray:
     ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
@@ -105,11 +128,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int | None = END, opt
     last = b"" if end is None else np.array([end], "<i4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, at = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        coder, shard, at = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)
-                ids = [encoder.encode(t.as_py() or b"") + last for t in part.column("text")]
+                ids = [coder.encode(t.as_py() or b"") + last for t in part.column("text")]
                 sizes = np.array([len(x) // 4 for x in ids], np.int64)
                 starts = at + np.cumsum(sizes) - sizes
                 at += int(sizes.sum())
