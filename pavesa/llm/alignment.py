@@ -16,6 +16,7 @@ table gives no rows; only the columns ``keep`` pass through, and one that has th
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 import re
@@ -72,6 +73,7 @@ class Pair:
         self.bytes_a = [bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t in map(self.a.id_to_token, range(size))]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.spaced = np.array([x.startswith(b" ") for x in self.bytes_a])
         self.size_a, self.size_b = (pa.array([len(x) for x in y], pa.int64()) for y in (self.bytes_a, self.bytes_b))
         self.name = pa.array([str(i) for i in range(max(size, len(pieces)))])
         self.space = [self.b.piece_to_id("▁")]
@@ -81,9 +83,8 @@ class Pair:
         found = {}
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]
-            coded = self.a.encode_batch_fast([f" {x}" for x in part], add_special_tokens=False)
-            for x, a, b in zip(part, coded, self.b.encode(part, num_threads=1), strict=True):
-                a, b = a.ids, b if x else self.space
+            for x, a, b in zip(part, self._ids_a(part), self.b.encode(part, num_threads=1), strict=True):
+                b = b if x else self.space
                 text = f" {x}".encode()
                 exact = b"".join([self.bytes_a[i] for i in a]) == text == b"".join([self.bytes_b[i] for i in b])
                 found[x] = (np.array(a, "<i4").tobytes(), np.array(b, "<i4").tobytes()) if exact else None
@@ -94,6 +95,20 @@ class Pair:
                 self.memory[x] = ids
         return found
 
+    def _ids_a(self, stretches: list[str]) -> list[list[int]]:
+        """Stretches without a space inside go to the library many at a time: each begins at an id that begins with a space."""
+        whole = {i for i, x in enumerate(stretches) if " " in x}
+        simple = [x for i, x in enumerate(stretches) if i not in whole]
+        out: list[list[int]] = []
+        groups = [simple[i : i + 200] for i in range(0, len(simple), 200)]
+        for coded in self.a.encode_batch_fast(["".join(f" {x}" for x in g) for g in groups], add_special_tokens=False):
+            ids = np.array(coded.ids)
+            out += [x.tolist() for x in np.split(ids, np.flatnonzero(self.spaced[ids])[1:])]
+        if len(out) != len(simple):
+            raise ValueError("the tokenizer doesn't begin an id at each space")
+        rest = iter(out)
+        return [self.a.encode(f" {x}", add_special_tokens=False).ids if i in whole else next(rest) for i, x in enumerate(stretches)]
+
     def ids(self, stretches: list[str]) -> tuple[bytes, bytes] | None:
         """Ids of both as int32 bytes, None if one of the stretches isn't spelled exactly."""
         try:
@@ -106,6 +121,12 @@ class Pair:
         return b"".join([e[0] for e in entries]), b"".join([e[1] for e in entries])
 
 
+@functools.lru_cache(maxsize=1)
+def loaded(path_a: str, path_b: str) -> Pair:
+    """One for each Python worker, so that later tasks know the stretches of earlier ones."""
+    return Pair(path_a, path_b)
+
+
 def segments(text: str, size: int = SEGMENT) -> Iterator[str]:
     """Parts of a text that stand after a space each (the first after the one that is put before the text)."""
     at = 0
@@ -236,7 +257,7 @@ def _aligned(docs: DataFrame, keep: list[str], text: str, paths: tuple[str, str]
     schema = T.StructType([*(T.StructField(c, rows.schema[c].dataType) for c in names), *(T.StructField(n, k) for n, k in kinds.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, task, number, block, out = Pair(*paths), TaskContext.get().partitionId(), 0, None, None
+        pair, task, number, block, out = loaded(*paths), TaskContext.get().partitionId(), 0, None, None
         plain = {"block": pa.string(), "n_a": pa.int64(), "n_b": pa.int64(), "n_groups": pa.int64(), "groups_sha256": pa.string(), "links": pa.list_(pa.int32()), "place": pa.int32(), "pair": pa.int64(), "n": pa.int64()}
         for batch in batches:
             if out is None:
