@@ -44,7 +44,7 @@ LEAST_BITS = 16
 SHARE = 0.3
 LEAST = 3
 MILLION = 1_000_000
-PIECE = 1_000_000
+PIECE = 100_000
 FLUSH = 2_000_000
 WORD_BITS = 62
 UNKNOWN = "und"
