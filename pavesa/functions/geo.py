@@ -1,4 +1,7 @@
-"""Geometry as plain columns: points are (lon, lat) doubles, rings are array<struct<x,y>>.
+"""Geometry as plain columns: points are (lon, lat) doubles, rings are array<struct<x,y>>, shapes are polygons of rings.
+
+A shape is an array of parts, a part an array of rings: its border, then its holes. ``oriented`` turns borders counterclockwise and holes
+clockwise, so signed sums over all edges give area and centroid. Parts of one shape don't overlap.
 
 Everything here is a pure Column expression, so it stays in the JVM.
 """
@@ -219,10 +222,13 @@ def tile_y(lat: Column, zoom) -> Column:
 
 
 def ring_centroid(ring: Column) -> Column:
-    """Area-weighted centroid, computed around the first vertex to keep precision."""
-    first = ring[0]
+    return _edges_centroid(ring_edges(ring), ring[0])
+
+
+def _edges_centroid(edges: Column, first: Column) -> Column:
+    """Area-weighted centroid, computed around one vertex to keep precision."""
     acc = F.aggregate(
-        ring_edges(ring),
+        edges,
         F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("cx"), F.lit(0.0).alias("cy")),
         lambda s, e: F.struct(
             (s.a + _turn(e, first)).alias("a"),
@@ -237,14 +243,79 @@ def ring_centroid(ring: Column) -> Column:
     return acc
 
 
+def with_shape(df: DataFrame) -> DataFrame:
+    """A frame with ``shape``; a plain ``ring`` becomes a shape of one part without holes."""
+    return df if "shape" in df.columns else df.withColumn("shape", F.array(F.array("ring"))).drop("ring")
+
+
+def ring_turn(ring: Column) -> Column:
+    """Twice the signed area: above zero when the ring runs counterclockwise."""
+    first = ring[0]
+    return F.aggregate(ring_edges(ring), F.lit(0.0), lambda s, e: s + _turn(e, first))
+
+
+def oriented(shape: Column) -> Column:
+    """Borders counterclockwise, holes clockwise."""
+    turned = lambda r, i: F.when((ring_turn(r) > 0) == (i == 0), r).otherwise(F.reverse(r))
+    return F.transform(shape, lambda part: F.transform(part, turned))
+
+
+def shape_edges(shape: Column) -> Column:
+    """Edges of all rings. Crossings over all of them tell inside from outside, holes and islands included."""
+    return F.flatten(F.transform(F.flatten(shape), ring_edges))
+
+
+def shape_bbox(shape: Column) -> Column:
+    return ring_bbox(F.flatten(F.flatten(shape)))
+
+
+def shape_distance(px: Column, py: Column, shape: Column, sx, sy) -> Column:
+    edges = shape_edges(shape)
+    return F.when(covered_by_edges(px, py, edges), F.lit(0.0)).otherwise(edges_distance(px, py, edges, sx, sy))
+
+
+def shape_meets_box(shape: Column, box) -> Column:
+    return edges_meet_box(shape_edges(shape), box)
+
+
+def shape_area_ha(shape: Column) -> Column:
+    """Hectares of all parts less their holes; the shape is ``oriented``."""
+    return _edges_area_ha(shape_edges(shape))
+
+
+def shape_centroid(shape: Column) -> Column:
+    """Centroid by area over all parts; the shape is ``oriented``."""
+    return _edges_centroid(shape_edges(shape), shape[0][0][0])
+
+
+def _parts_text(shape: Column, number) -> Column:
+    ring = lambda r: F.concat(F.lit("("), F.array_join(F.transform(r, number), ", "), F.lit(")"))
+    return F.transform(shape, lambda part: F.concat(F.lit("("), F.array_join(F.transform(part, ring), ", "), F.lit(")")))
+
+
+def shape_wkt(shape: Column) -> Column:
+    parts = _parts_text(shape, lambda p: F.format_string("%.8f %.8f", p.x, p.y))
+    return F.when(F.size(shape) == 1, F.concat(F.lit("POLYGON"), parts[0])).otherwise(F.concat(F.lit("MULTIPOLYGON("), F.array_join(parts, ", "), F.lit(")")))
+
+
+def shape_geojson(shape: Column) -> Column:
+    parts = F.transform(shape, lambda part: F.transform(part, lambda r: F.transform(r, lambda p: F.array(p.x, p.y))))
+    one = F.to_json(F.struct(F.lit("Polygon").alias("type"), parts[0].alias("coordinates")))
+    return F.when(F.size(shape) == 1, one).otherwise(F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), parts.alias("coordinates"))))
+
+
 def _turn(e, o) -> Column:
     return (e.x1 - o.x) * (e.y2 - o.y) - (e.x2 - o.x) * (e.y1 - o.y)
 
 
 def ring_area_ha(ring: Column) -> Column:
+    return _edges_area_ha(ring_edges(ring))
+
+
+def _edges_area_ha(edges: Column) -> Column:
     """Area on the authalic sphere in hectares (equal-area cylinder, exact for its edges)."""
     total = F.aggregate(
-        ring_edges(ring),
+        edges,
         F.lit(0.0),
         lambda acc, e: acc
         + F.radians(e.x2 - e.x1) * (F.sin(F.radians(e.y1)) + F.sin(F.radians(e.y2))) / 2,

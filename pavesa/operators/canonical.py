@@ -98,6 +98,8 @@ def daily_features(expanded: DataFrame) -> DataFrame:
 def settlements(src: DataFrame) -> DataFrame:
     """Clean settlement attributes; only populated places stay."""
     people = S.population(F.col("habit_0502"))
+    src = geo.with_shape(src)
+    src = src.withColumn("shape", geo.oriented(F.col("shape")))
     return (
         src.withColumn("habitantes", people)
         .filter("habitantes > 0")
@@ -112,8 +114,8 @@ def settlements(src: DataFrame) -> DataFrame:
             S.type_label(S.blank_to_null(F.col("tipo_0502"))).alias("tipo_label"),
             S.capital_code(F.col("capit_0502")).alias("capital_code"),
             (S.capital_code(F.col("capit_0502")) != "0000").alias("is_capital"),
-            "ring",
-            geo.ring_bbox(F.col("ring")).alias("bbox"),
+            "shape",
+            geo.shape_bbox(F.col("shape")).alias("bbox"),
         )
     )
 

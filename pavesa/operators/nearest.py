@@ -71,13 +71,13 @@ def _prune(frontier: DataFrame) -> DataFrame:
 
 
 def nearest_shape(points: DataFrame, shapes: DataFrame, reach: Reach, exact_m: float | None = None) -> DataFrame:
-    """``points(pid, px, py)`` x ``shapes(shape_id, ring)`` -> ``(pid, shape_id, distance_deg, distance_m)``.
+    """``points(pid, px, py)`` x ``shapes(shape_id, shape or ring)`` -> ``(pid, shape_id, distance_deg, distance_m)``.
 
     The nearest shape in planar degrees among those within reach, ties to the lowest id. With
     ``exact_m`` the winner is dropped when it is farther than that many metres.
     """
-    distinct = shapes.groupBy("ring").agg(F.min("shape_id").alias("shape_id"))
-    s = distinct.withColumn("_b", geo.ring_bbox(F.col("ring"))).select("shape_id", "ring", "_b.*")
+    distinct = geo.with_shape(shapes).groupBy("shape").agg(F.min("shape_id").alias("shape_id"))
+    s = distinct.withColumn("_b", geo.shape_bbox(F.col("shape"))).select("shape_id", "shape", "_b.*")
     s = s.withColumn("cx", (F.col("minx") + F.col("maxx")) / 2).withColumn("cy", (F.col("miny") + F.col("maxy")) / 2)
     for i in range(len(LEVELS)):
         s = s.withColumn(f"k{i}", _key(i))
@@ -121,7 +121,7 @@ def nearest_shape(points: DataFrame, shapes: DataFrame, reach: Reach, exact_m: f
         frontier = _prune(opened)
 
     last = f"k{len(LEVELS) - 1}"
-    leaf = s.select(F.col(last).alias("node"), "shape_id", geo.ring_edges(F.col("ring")).alias("edges"), F.struct("minx", "miny", "maxx", "maxy").alias("box"))
+    leaf = s.select(F.col(last).alias("node"), "shape_id", geo.shape_edges(F.col("shape")).alias("edges"), F.struct("minx", "miny", "maxx", "maxy").alias("box"))
     sx, sy = geo.metre_scale(py)
     one = F.lit(1.0)
     candidates = frontier.join(leaf, "node")

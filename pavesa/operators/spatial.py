@@ -23,22 +23,24 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame, distance_m: float, right_id: str, size: float = 0.25) -> DataFrame:
-    """Shape pairs that may lie within the distance, with the distance of the right shape's centre.
+    """Shape pairs that may lie within the distance, with the distance of one corner of the right shape (its anchor).
 
     Both sides go to the grid cells their boxes touch and meet by equi-join. A pair that shares
     several cells is kept only in the cell holding the lower corner of the boxes' overlap, so
-    no distinct is needed. The right shape lies within ``half_m`` (``half_deg``) of its centre.
+    no distinct is needed. The right shape lies within ``half_m`` (``half_deg``) of its anchor, and
+    the anchor belongs to it, whatever parts and holes it has.
     """
+    left, right = geo.with_shape(left), geo.with_shape(right)
     dy = distance_m / geo.M_PER_DEG
-    a = left.withColumn("abox", geo.ring_bbox(F.col("ring"))).withColumn("aedges", geo.ring_edges(F.col("ring"))).drop("ring")
+    a = left.withColumn("abox", geo.shape_bbox(F.col("shape"))).withColumn("aedges", geo.shape_edges(F.col("shape"))).drop("shape")
     cos = F.cos(F.radians(F.greatest(F.abs(F.col("abox.miny")), F.abs(F.col("abox.maxy"))) + dy))
     a = a.withColumn("mx", F.lit(dy) / cos)
     a = cells(a, F.col("abox"), size, F.col("mx"), F.lit(dy))
-    b = right.withColumn("bbox_", geo.ring_bbox(F.col("ring"))).withColumn("bedges", geo.ring_edges(F.col("ring"))).drop("ring")
-    x0, y0, x1, y1 = (F.col(f"bbox_.{n}") for n in ("minx", "miny", "maxx", "maxy"))
-    b = b.withColumns({"cx": (x0 + x1) / 2, "cy": (y0 + y1) / 2})
+    b = right.withColumn("bbox_", geo.shape_bbox(F.col("shape"))).withColumn("bedges", geo.shape_edges(F.col("shape"))).drop("shape")
+    b = b.withColumns({"cx": F.col("bedges")[0]["x1"], "cy": F.col("bedges")[0]["y1"]})
     sx, sy = geo.metre_scale(F.col("cy"))
-    half = lambda u, v: F.sqrt(F.pow((x1 - F.col("cx")) * u, 2) + F.pow((y1 - F.col("cy")) * v, 2))
+    away = lambda e, u, v: F.sqrt(F.pow((e.x1 - F.col("cx")) * u, 2) + F.pow((e.y1 - F.col("cy")) * v, 2))
+    half = lambda u, v: F.array_max(F.transform("bedges", lambda e: away(e, u, v)))
     one = F.lit(1.0)
     b = b.withColumns({"sx": sx, "sy": sy, "half_m": half(sx, sy), "half_deg": half(one, one)})
     b = cells(b, F.col("bbox_"), size)
@@ -58,7 +60,7 @@ def candidate_pairs(left: DataFrame, right: DataFrame, distance_m: float, right_
 
 def exact_pairs(candidates: DataFrame, distance_m: float) -> DataFrame:
     """Candidates truly within the distance, with ``distance_m`` and ``distance_deg``."""
-    # A centre inside, or farther out than the shape's own half size, settles the overlap question.
+    # An anchor inside, or farther out than the shape reaches from it, settles the overlap question.
     touch = F.when(F.col("centre_inside"), True).when(F.col("centre_m") > F.col("half_m") * 1.01, False).otherwise(
         geo.edges_touch(F.col("aedges"), F.col("bedges"))
     )
@@ -78,7 +80,7 @@ def pairs_within(left: DataFrame, right: DataFrame, distance_m: float, right_id:
 def settlement_per_zone(zones: DataFrame, places: DataFrame, distance_m: float, strategy: str) -> DataFrame:
     """One settlement per zone within the distance: the closest, or the most populated.
 
-    Centre distances bound the true ones, so each zone first learns how good its winner surely is;
+    Anchor distances bound the true ones, so each zone first learns how good its winner surely is;
     only places that can still beat that are measured exactly.
     """
     pairs = candidate_pairs(zones, places, distance_m, "settlement_id")
@@ -115,16 +117,17 @@ def roads_near(roads: DataFrame, lon: float, lat: float, radius_m: float, classe
 
 
 def shape_at_point(points: DataFrame, shapes: DataFrame, size: float = 0.03125) -> DataFrame:
-    """``points(px, py)`` x ``shapes(shape_id, ring)``: the lowest shape id covering each distinct point.
+    """``points(px, py)`` x ``shapes(shape_id, shape or ring)``: the lowest shape id covering each distinct point.
 
     Points are made distinct first, as many rows share one coordinate.
     """
     spots = points.select("px", "py").distinct()
     spots = spots.withColumn("gx", F.floor(F.col("px") / size)).withColumn("gy", F.floor(F.col("py") / size))
-    grid = cells(shapes.select("shape_id", "ring").withColumn("b", geo.ring_bbox(F.col("ring"))), F.col("b"), size)
+    edged = geo.with_shape(shapes).select("shape_id", geo.shape_edges(F.col("shape")).alias("edges"), geo.shape_bbox(F.col("shape")).alias("b"))
+    grid = cells(edged, F.col("b"), size)
     covered = (
         F.col("px").between(F.col("b.minx"), F.col("b.maxx"))
         & F.col("py").between(F.col("b.miny"), F.col("b.maxy"))
-        & geo.covered_by_edges(F.col("px"), F.col("py"), geo.ring_edges(F.col("ring")))
+        & geo.covered_by_edges(F.col("px"), F.col("py"), F.col("edges"))
     )
     return spots.join(grid, ["gx", "gy"]).filter(covered).groupBy("px", "py").agg(F.min("shape_id").alias("shape_id"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pavesa.functions import geo
 
@@ -23,9 +24,18 @@ def tile_units(line: Column, zoom: Column) -> Column:
 
 
 def to_tiles(features: DataFrame, geometry: str, closed: bool = True) -> DataFrame:
-    """One row per feature and tile it truly touches; ``zoom`` is a column of the input."""
-    boxed = geo.computed_once(features, tile_geom=tile_units(F.col(geometry), F.col("zoom")))
-    boxed = geo.computed_once(boxed, _b=geo.ring_bbox(F.col("tile_geom")), _e=geo.ring_edges(F.col("tile_geom")))
+    """One row per feature and tile it truly touches; ``zoom`` is a column of the input.
+
+    ``geometry`` is a line, or a ``shape`` when closed; ``tile_geom`` is then the list of its rings.
+    """
+    units = lambda line: tile_units(line, F.col("zoom"))
+    if closed:
+        boxed = geo.computed_once(features, tile_geom=F.transform(F.flatten(geometry), units))
+        box, edges = geo.ring_bbox(F.flatten("tile_geom")), F.flatten(F.transform("tile_geom", geo.ring_edges))
+    else:
+        boxed = geo.computed_once(features, tile_geom=units(F.col(geometry)))
+        box, edges = geo.ring_bbox(F.col("tile_geom")), geo.ring_edges(F.col("tile_geom"))
+    boxed = geo.computed_once(boxed, _b=box, _e=edges)
     spread = boxed.withColumn("x", F.explode(F.sequence(F.floor("_b.minx"), F.floor("_b.maxx")))).withColumn(
         "y", F.explode(F.sequence(F.floor("_b.miny"), F.floor("_b.maxy")))
     )
@@ -39,14 +49,14 @@ def settlement_tolerance(zoom: Column) -> Column:
     return F.when(zoom >= 15, 0.0).otherwise(F.lit(156543.03392804097) / F.pow(F.lit(2.0), zoom) * factor)
 
 
-def clip(rows: DataFrame, ring: str, lo: float, hi: float) -> DataFrame:
-    """Clip a ring column to the square [lo, hi] x [lo, hi], one side after the other.
+def clip(rows: DataFrame, rings: str, lo: float, hi: float) -> DataFrame:
+    """Clip a column of rings to the square [lo, hi] x [lo, hi], one side after the other.
 
     Each side is its own column step: nesting the four would multiply the expression.
     """
     for axis, bound, sign in (("x", lo, 1), ("x", hi, -1), ("y", lo, 1), ("y", hi, -1)):
-        rows = rows.withColumn(ring, _clip_side(F.col(ring), axis, bound, sign))
-        rows = rows.withColumn(ring, F.concat(F.col(ring), F.slice(ring, 1, 1)))
+        rows = rows.withColumn(rings, F.transform(rings, lambda r: _clip_side(r, axis, bound, sign)))
+        rows = rows.withColumn(rings, F.transform(rings, lambda r: F.concat(r, F.slice(r, 1, 1))))
     return rows
 
 
@@ -69,20 +79,41 @@ def _clip_side(ring: Column, axis: str, bound: float, sign: int) -> Column:
 
 
 def quantise(tiled: DataFrame) -> DataFrame:
-    """Tile geometry on the integer grid, clipped to the buffered tile; vanished shapes are dropped."""
-    local = F.transform(
-        F.col("tile_geom"),
-        lambda p: F.struct(((p.x - F.col("x")) * EXTENT).alias("x"), ((p.y - F.col("y")) * EXTENT).alias("y")),
-    )
-    rows = clip(tiled.withColumn("grid", local), "grid", float(-BUFFER), float(EXTENT + BUFFER))
+    """``grid``: rings on the integer grid, clipped to the buffered tile; vanished rings, and shapes without any, are dropped.
+
+    ``tile_geom`` is a list of rings, or one ring, which gives one ring.
+    """
+    single = isinstance(tiled.schema["tile_geom"].dataType.elementType, T.StructType)
+    rings = F.array("tile_geom") if single else F.col("tile_geom")
+    place = lambda p: F.struct(((p.x - F.col("x")) * EXTENT).alias("x"), ((p.y - F.col("y")) * EXTENT).alias("y"))
+    rows = clip(tiled.withColumn("grid", F.transform(rings, lambda r: F.transform(r, place))), "grid", float(-BUFFER), float(EXTENT + BUFFER))
     snap = lambda p: F.struct(F.rint(p.x).cast("int").alias("x"), F.rint(p.y).cast("int").alias("y"))
-    fresh = lambda p, i: (i == 0) | (p != F.get(F.col("grid"), i - 1))
-    out = rows.withColumn("grid", F.transform("grid", snap)).withColumn("grid", F.filter("grid", fresh))
+    out = rows.withColumn("grid", F.transform("grid", lambda r: F.transform(r, snap))).withColumn("grid", F.transform("grid", _without_repeats))
+
     def solid(ring: Column) -> Column:
         turns = F.transform(geo.ring_edges(ring), lambda e: (e.x1 * e.y2 - e.x2 * e.y1).cast("bigint"))
         return (F.size(ring) >= 4) & (F.aggregate(turns, F.lit(0).cast("bigint"), lambda s, v: s + v) != 0)
 
     # An outer explode keeps the test above the clipping steps; a plain filter would be pushed
     # down through them and copy their expressions many times over.
-    kept = out.withColumn("grid", F.explode_outer(F.filter(F.array("grid"), solid)))
-    return kept.filter("grid IS NOT NULL")
+    left = F.filter("grid", solid)
+    if single:
+        return out.withColumn("grid", F.explode_outer(left)).filter("grid IS NOT NULL")
+    kept = out.withColumn("grid", F.explode_outer(F.array(left)))
+    return kept.filter("size(grid) > 0")
+
+
+def _without_repeats(points: Column) -> Column:
+    return F.filter(points, lambda p, i: (i == 0) | (p != F.get(points, i - 1)))
+
+
+def rings_text(rings: Column) -> Column:
+    """Integer rings as text, ``x y,x y;...``, each from its smallest vertex on, so that equal rings read alike."""
+
+    def from_smallest(ring: Column) -> Column:
+        open_ = F.slice(ring, F.lit(1), F.size(ring) - 1)
+        at = F.array_position(open_, F.array_min(open_)).cast("int")
+        turned = F.concat(F.slice(open_, at, F.size(open_)), F.slice(open_, F.lit(1), at))
+        return F.array_join(F.transform(turned, lambda p: F.concat_ws(" ", p.x, p.y)), ",")
+
+    return F.array_join(F.transform(rings, from_smallest), ";")

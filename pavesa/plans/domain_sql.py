@@ -115,10 +115,17 @@ view("settlement", """
   CASE WHEN habitantes<100 THEN 'menor_100' WHEN habitantes<500 THEN '100_499' WHEN habitantes<5000 THEN '500_4999'
    WHEN habitantes<50000 THEN '5000_49999' ELSE '50000_mas' END AS population_class,
   CASE WHEN habitantes<100 THEN 1 WHEN habitantes<500 THEN 2 WHEN habitantes<5000 THEN 3 WHEN habitantes<50000 THEN 4 ELSE 5 END AS population_rank,
-  lon, lat, half, lon-half AS minx, lat-half AS miny, lon+half AS maxx, lat+half AS maxy
- FROM (SELECT *, CASE WHEN habit_0502<0 THEN NULL ELSE cast(round_even(habit_0502,0) as integer) END AS habitantes FROM settlement_src)
+  CASE WHEN odd THEN lon+0.75*half ELSE lon END AS lon, CASE WHEN odd THEN lat+0.5*half ELSE lat END AS lat, odd,
+  lon-half AS x0, lat-half AS y0, lon+half AS x1, lat+half AS y1, lon-half*0.5 AS hx0, lat-half*0.5 AS hy0, lon+half*0.5 AS hx1, lat+half*0.5 AS hy1,
+  lon+half*2.5 AS ix0, lat+half*1.5 AS iy0, lon+half*3.5 AS ix1, lat+half*2.5 AS iy1,
+  lon-half AS minx, lat-half AS miny, CASE WHEN odd THEN lon+half*3.5 ELSE lon+half END AS maxx, CASE WHEN odd THEN lat+half*2.5 ELSE lat+half END AS maxy
+ FROM (SELECT source_fid%5=2 AS odd, *, CASE WHEN habit_0502<0 THEN NULL ELSE cast(round_even(habit_0502,0) as integer) END AS habitantes FROM settlement_src)
  WHERE habitantes>0""", ["settlement_src"])
 
+view("settlement_ring", """
+ SELECT s.* REPLACE (r.a AS minx, r.b AS miny, r.c AS maxx, r.d AS maxy), ring_no, part_no FROM settlement s, LATERAL (VALUES (0,0,x0,y0,x1,y1),(1,0,hx0,hy0,hx1,hy1),(2,1,ix0,iy0,ix1,iy1)) r(ring_no,part_no,a,b,c,d)
+ WHERE ring_no=0 OR odd""", ["settlement"])
+
 view("warning_src", """
  SELECT o_orderkey*10+l_linenumber AS source_record_id, 'CAP.'||(o_orderkey//2) AS cap_identifier,
   CASE WHEN l_suppkey%10=0 THEN 'en-GB' ELSE 'es-ES' END AS language, CASE WHEN l_linenumber=7 THEN 'VI' ELSE 'AT' END AS phenomenon_code,
@@ -229,14 +236,28 @@ view("daily_file", """
  SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY dataset_version, delivery_format, nominal_date
    ORDER BY coalesce(catalog_modified_at,catalog_ingested_at,imported_at) DESC, source_catalog_id DESC) AS rn FROM catalog_item) WHERE rn=1""", ["catalog_item"])
 
+def covers_sql(px: str, py: str) -> str:
+    """A point in a land-cover square but not in its hole, or in its island; borders count as inside."""
+    within = lambda a, b, c, d: f"({px} BETWEEN {a} AND {b} AND {py} BETWEEN {c} AND {d})"
+    return f"(({within('minx', 'maxx', 'miny', 'maxy')} AND NOT (kind=1 AND {px}>hx0 AND {px}<hx1 AND {py}>hy0 AND {py}<hy1)) OR (kind=2 AND {within('ix0', 'ix1', 'iy0', 'iy1')}))"
+
+
+def cover_area_sql() -> str:
+    """Hectares of a land-cover shape: the square less its hole, and its island."""
+    box = lambda a, b, c, d: f"radians({b}-{a})*(sin(radians({d}))-sin(radians({c})))"
+    square, hole, island = box("minx", "maxx", "miny", "maxy"), box("hx0", "hx1", "hy0", "hy1"), box("ix0", "ix1", "iy0", "iy1")
+    return f"(({square}-CASE WHEN kind=1 THEN {hole} ELSE 0 END+CASE WHEN kind=2 THEN {island} ELSE 0 END)*6371007.181e0*6371007.181e0/10000.0e0)"
+
+
 view("landcover", """
  SELECT p_partkey AS cover_id, ['corine2018.','siose2014.','sioseAR2017.','other.'][p_partkey%4+1]||p_partkey AS feature_id,
   CASE WHEN p_partkey%3=0 THEN '' ELSE '  '||p_type||'   uso ' END AS valor, CASE WHEN p_partkey%5=0 THEN '' ELSE p_brand END AS codiige_valor,
   p_name AS hilucs_valor, CASE WHEN p_partkey%3=1 THEN '' ELSE cast(300+p_size as varchar) END AS codigo_n3,
   CASE WHEN p_partkey%7=0 THEN '' ELSE cast(p_size as varchar) END AS codiige,
   CASE p_partkey%4 WHEN 0 THEN '' WHEN 1 THEN 'NaN' WHEN 2 THEN '-1' ELSE cast(p_retailprice as varchar) END AS superficie_ha,
-  cast(-9.0 as double)+((p_partkey*613)%12000)/cast(1000 as double)-cast(0.05 as double) AS minx, cast(-9.0 as double)+((p_partkey*613)%12000)/cast(1000 as double)+cast(0.05 as double) AS maxx,
-  cast(36.0 as double)+((p_partkey*389)%8000)/cast(1000 as double)-cast(0.05 as double) AS miny, cast(36.0 as double)+((p_partkey*389)%8000)/cast(1000 as double)+cast(0.05 as double) AS maxy FROM part""")
+  p_partkey%4 AS kind, cx-0.05 AS minx, cx+0.05 AS maxx, cy-0.05 AS miny, cy+0.05 AS maxy, cx-0.02 AS hx0, cx+0.02 AS hx1, cy-0.02 AS hy0, cy+0.02 AS hy1,
+  cx+0.07 AS ix0, cx+0.09 AS ix1, cy+0.07 AS iy0, cy+0.09 AS iy1
+ FROM (SELECT *, cast(-9.0 as double)+((p_partkey*613)%12000)/cast(1000 as double) AS cx, cast(36.0 as double)+((p_partkey*389)%8000)/cast(1000 as double) AS cy FROM part)""")
 
 view("alerts", """
  SELECT cast(o_orderkey as varchar) AS id, ['Aviso de temperaturas máximas de nivel ','Aviso de viento de nivel ','Aviso de LLUVIA, nivel ','Aviso costero; nivel ','Deshielo '][o_custkey%5+1]||

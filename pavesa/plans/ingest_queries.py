@@ -235,7 +235,7 @@ def a12(t):
 
 @query("a13_settlement_page_filter", with_views("settlement_src", "SELECT source_fid, nombre, habit_0502 AS habitantes FROM settlement_src WHERE coalesce(habit_0502,0)>=500"))
 def a13(t):
-    keep = (F.coalesce("habit_0502", F.lit(0.0)) >= 500) & c("ring").isNotNull()
+    keep = (F.coalesce("habit_0502", F.lit(0.0)) >= 500) & c("shape").isNotNull()
     return t.settlement_src().filter(keep).select("source_fid", "nombre", c("habit_0502").alias("habitantes"))
 
 

@@ -11,7 +11,7 @@ from pavesa.functions import scalar as S
 from pavesa.operators import canonical, lookup, regions, series
 from pavesa.plans import pipeline, reports
 from pavesa.plans import spatial_queries as SQ
-from pavesa.plans.domain_sql import dr, view, with_views
+from pavesa.plans.domain_sql import cover_area_sql, covers_sql, dr, view, with_views
 from pavesa.plans.raster_queries import burnt_days
 from pavesa.plans.refine_queries import day_text, time_sql, time_text
 from pavesa.plans.registry import query
@@ -515,17 +515,14 @@ def z11(t):
     )
 
 
-AREA_SQL = "(abs(radians(maxx-minx)*(sin(radians(miny))-sin(radians(maxy))))*6371007.181e0*6371007.181e0/10000.0)"
-
-
-@query("z12_landcover_at_point", with_views("landcover_norm landcover", f"""SELECT n.*, CASE WHEN try_cast(superficie_ha as double)>=0 AND NOT isnan(try_cast(superficie_ha as double)) THEN {dr('try_cast(superficie_ha as double)', 2)} ELSE {dr(AREA_SQL, 1)} END AS surface_ha,
-  CASE WHEN try_cast(superficie_ha as double)>=0 AND NOT isnan(try_cast(superficie_ha as double)) THEN 'attribute' ELSE 'computed' END AS surface_ha_source FROM landcover_norm n JOIN landcover l USING (cover_id) WHERE -2.87 BETWEEN minx AND maxx AND 39.89 BETWEEN miny AND maxy"""))
+@query("z12_landcover_at_point", with_views("landcover_norm landcover", f"""SELECT n.*, CASE WHEN try_cast(superficie_ha as double)>=0 AND NOT isnan(try_cast(superficie_ha as double)) THEN {dr('try_cast(superficie_ha as double)', 2)} ELSE {dr(cover_area_sql(), 1)} END AS surface_ha,
+  CASE WHEN try_cast(superficie_ha as double)>=0 AND NOT isnan(try_cast(superficie_ha as double)) THEN 'attribute' ELSE 'computed' END AS surface_ha_source FROM landcover_norm n JOIN landcover l USING (cover_id) WHERE {covers_sql('-2.87', '39.89')}"""))
 def z12(t):
     px, py = F.lit(-2.87), F.lit(39.89)
-    hit = t.landcover().withColumn("hilucs", F.lit("H")).filter(geo.covered_by_edges(px, py, geo.ring_edges(c("ring"))))
+    hit = t.landcover().withColumn("hilucs", F.lit("H")).filter(geo.covered_by_edges(px, py, geo.shape_edges(c("shape"))))
     given = S.clean_surface(c("superficie_ha"))
     return landcover_attributes(hit).select(
-        "cover_id", "label", "code", "code_field", "source_dataset", "secondary_label", F.coalesce(given, S.dec_round(geo.ring_area_ha(c("ring")), 1)).alias("surface_ha"),
+        "cover_id", "label", "code", "code_field", "source_dataset", "secondary_label", F.coalesce(given, S.dec_round(geo.shape_area_ha(c("shape")), 1)).alias("surface_ha"),
         F.when(given.isNotNull(), "attribute").otherwise("computed").alias("surface_ha_source"),
     )
 

@@ -10,7 +10,7 @@ from pavesa.functions import scalar as S
 from pavesa.operators import cluster, nearest, spatial
 from pavesa.operators.series import top_with_probe
 from pavesa.plans import pipeline, reports
-from pavesa.plans.domain_sql import MPD, ROAD_ATTRIBUTES, dr, hav, seg, view, with_views
+from pavesa.plans.domain_sql import MPD, ROAD_ATTRIBUTES, covers_sql, dr, hav, seg, view, with_views
 from pavesa.plans.registry import query
 
 FAR_M, NEAR_M, ZONE_M = 5000.0, 2000.0, 50000.0
@@ -25,7 +25,7 @@ def hotspots_near_settlements(hotspots, places, distance_m: float, sensor: str |
     """Historical rule: nearest in degrees inside the padded margin, then the metre limit."""
     rows = hotspots if sensor is None else hotspots.filter(F.col("firms_source") == sensor)
     points = rows.select(F.col("hotspot_id").alias("pid"), F.col("longitude").alias("px"), F.col("latitude").alias("py"))
-    shapes = places.select(F.col("settlement_id").alias("shape_id"), "ring")
+    shapes = places.select(F.col("settlement_id").alias("shape_id"), "shape")
     best = nearest.nearest_shape(points, shapes, nearest.Reach(within_deg=degree_margin(distance_m)), exact_m=distance_m)
     return (
         best.join(rows, best["pid"] == rows["hotspot_id"])
@@ -39,8 +39,8 @@ def fires_near_settlements(fires, places, distance_m: float, population_max: int
     points = fires.select(F.col("fire_id").alias("pid"), F.col("longitude").alias("px"), F.col("latitude").alias("py"))
     small = places.filter((F.col("habitantes") > 0) & (F.col("habitantes") < population_max))
     reach = nearest.Reach(within_m=distance_m, box_deg=degree_margin(distance_m))
-    best = nearest.nearest_shape(points, small.select(F.col("settlement_id").alias("shape_id"), "ring"), reach)
-    centre = geo.ring_centroid(F.col("ring"))
+    best = nearest.nearest_shape(points, small.select(F.col("settlement_id").alias("shape_id"), "shape"), reach)
+    centre = geo.shape_centroid(F.col("shape"))
     return (
         best.join(fires, best["pid"] == fires["fire_id"])
         .join(
@@ -64,10 +64,18 @@ view("live_fire", """SELECT source_observation_id AS fire_id, firms_source AS se
   CASE WHEN coalesce(frp,0)>200 THEN 'Muy alto' WHEN coalesce(frp,0)>=50 THEN 'Alto' WHEN coalesce(frp,0)>=10 THEN 'Medio' ELSE 'Bajo' END AS intensity_label,
   strftime(acq_date,'%Y-%m-%d') AS acq_date, acq_time, satellite FROM hotspot_in WHERE in_region AND confidence IN ('n','h')""", ["hotspot_in"])
 
-DX = "greatest(minx-longitude,longitude-maxx,0.0)"
-DY = "greatest(miny-latitude,latitude-maxy,0.0)"
-DEG = f"sqrt(pow({DX},2)+pow({DY},2))"
-MET = f"sqrt(pow({DX}*cos(radians(latitude))*{MPD},2)+pow({DY}*{MPD},2))"
+
+
+def town_sql(px: str, py: str, sx: str, sy: str) -> str:
+    """Distance of a settlement: from the square or out of its hole, and from the island."""
+    box = lambda a, b, c, d: f"sqrt(pow(greatest({a}-({px}),{px}-({b}),0.0)*{sx},2)+pow(greatest({c}-({py}),{py}-({d}),0.0)*{sy},2))"
+    square, island = box("x0", "x1", "y0", "y1"), box("ix0", "ix1", "iy0", "iy1")
+    hole = f"least(({px}-hx0)*{sx},(hx1-({px}))*{sx},({py}-hy0)*{sy},(hy1-({py}))*{sy})"
+    return f"(CASE WHEN odd THEN least({island}, CASE WHEN {px}>hx0 AND {px}<hx1 AND {py}>hy0 AND {py}<hy1 THEN {hole} ELSE {square} END) ELSE {square} END)"
+
+
+DEG = town_sql("longitude", "latitude", "cast(1.0 as double)", "cast(1.0 as double)")
+MET = town_sql("longitude", "latitude", f"(cos(radians(latitude))*{MPD})", MPD)
 
 
 def nearest_hist_sql(d: float) -> str:
@@ -107,21 +115,21 @@ def j05(t):
 
 
 view("zone_pair", f"""
- WITH corner AS (SELECT settlement_id, nombre, habitantes, lat, lon, minx, miny, maxx, maxy, i, CASE WHEN i IN (0,3) THEN minx ELSE maxx END AS px,
+ WITH corner AS (SELECT settlement_id, nombre, habitantes, lat, lon, y0, minx, miny, maxx, maxy, i, CASE WHEN i IN (0,3) THEN minx ELSE maxx END AS px,
     CASE WHEN i IN (0,1) THEN miny ELSE maxy END AS py, CASE WHEN i IN (2,3) THEN minx ELSE maxx END AS qx, CASE WHEN i IN (0,3) THEN miny ELSE maxy END AS qy
-   FROM settlement, (VALUES (0),(1),(2),(3)) t(i)),
- near AS (SELECT z.area_code, c.*, z.i AS zi, z.x1, z.y1, z.x2, z.y2, cos(radians((miny+maxy)/2))*{MPD} AS sx FROM zone_edge z JOIN corner c
+   FROM settlement_ring, (VALUES (0),(1),(2),(3)) t(i)),
+ near AS (SELECT z.area_code, c.*, z.i AS zi, z.x1, z.y1, z.x2, z.y2, cos(radians(y0))*{MPD} AS sx FROM zone_edge z JOIN corner c
    ON c.minx <= z.cx+2.2 AND c.maxx >= z.cx-2.2 AND c.miny <= z.cy+1.2 AND c.maxy >= z.cy-1.2),
- inside AS (SELECT area_code, settlement_id, i, sum(CASE WHEN (y1>py)<>(y2>py) AND px<(x2-x1)*(py-y1)/(y2-y1)+x1 THEN 1 ELSE 0 END)%2=1 AS hit
+ inside AS (SELECT area_code, settlement_id, px, py, i, sum(CASE WHEN (y1>py)<>(y2>py) AND px<(x2-x1)*(py-y1)/(y2-y1)+x1 THEN 1 ELSE 0 END)%2=1 AS hit
    FROM near GROUP BY ALL),
- hits AS (SELECT DISTINCT area_code, settlement_id FROM inside WHERE hit UNION SELECT DISTINCT area_code, settlement_id FROM near
-   WHERE x1 BETWEEN minx AND maxx AND y1 BETWEEN miny AND maxy),
+ hits AS (SELECT DISTINCT area_code, settlement_id FROM inside WHERE hit UNION SELECT area_code, settlement_id FROM (SELECT DISTINCT area_code, settlement_id, minx, miny, maxx, maxy, x1, y1 FROM near)
+   WHERE x1 BETWEEN minx AND maxx AND y1 BETWEEN miny AND maxy GROUP BY area_code, settlement_id, x1, y1 HAVING count(*) % 2 = 1),
  d AS (SELECT area_code, settlement_id, any_value(nombre) AS nombre, any_value(habitantes) AS habitantes, any_value(lon) AS lon, any_value(lat) AS lat,
    min(least({seg('px','py','x1','y1','x2','y2','sx',MPD)},{seg('x1','y1','px','py','qx','qy','sx',MPD)})) AS dm,
    min(least({seg('px','py','x1','y1','x2','y2','1.0','1.0')},{seg('x1','y1','px','py','qx','qy','1.0','1.0')})) AS dd FROM near GROUP BY area_code, settlement_id)
  SELECT d.area_code, d.settlement_id, nombre, habitantes, lon, lat, CASE WHEN h.area_code IS NULL THEN dm ELSE 0.0 END AS distance_m,
    CASE WHEN h.area_code IS NULL THEN dd ELSE 0.0 END AS distance_deg
- FROM d LEFT JOIN hits h ON h.area_code=d.area_code AND h.settlement_id=d.settlement_id""", ["zone_edge", "settlement"])
+ FROM d LEFT JOIN hits h ON h.area_code=d.area_code AND h.settlement_id=d.settlement_id""", ["zone_edge", "settlement_ring"])
 
 
 def zone_sql(order: str) -> str:
@@ -135,7 +143,7 @@ POPULATED = "habitantes DESC, round_even(distance_m*1e4,0), settlement_id"
 
 def zone_pick(t, strategy: str):
     return spatial.settlement_per_zone(
-        t.zone(), pipeline.settlements(t).select("settlement_id", "nombre", "habitantes", "ring"), ZONE_M, strategy
+        t.zone(), pipeline.settlements(t).select("settlement_id", "nombre", "habitantes", "shape"), ZONE_M, strategy
     )
 
 
@@ -182,8 +190,8 @@ def g01(t):
     return pipeline.hotspots_flagged(t).groupBy("in_region").agg(F.count("*").alias("n"))
 
 
-view("cover_hit", """SELECT px, py, min(cover_id) AS cover_id FROM (SELECT DISTINCT longitude AS px, latitude AS py FROM hotspot_obs) p
-  JOIN landcover l ON p.px BETWEEN l.minx AND l.maxx AND p.py BETWEEN l.miny AND l.maxy GROUP BY px, py""", ["hotspot_obs", "landcover"])
+view("cover_hit", f"""SELECT px, py, min(cover_id) AS cover_id FROM (SELECT DISTINCT longitude AS px, latitude AS py FROM hotspot_obs) p
+  JOIN landcover l ON p.px BETWEEN l.minx AND l.maxx+0.05 AND p.py BETWEEN l.miny AND l.maxy+0.05 WHERE {covers_sql('px', 'py')} GROUP BY px, py""", ["hotspot_obs", "landcover"])
 
 
 @query("j15_fire_landcover", with_views("cover_hit", """SELECT source_observation_id, cover_id, trim(regexp_replace(coalesce(valor,''),'\\s+',' ','g')) AS valor FROM hotspot_obs o
@@ -191,7 +199,7 @@ view("cover_hit", """SELECT px, py, min(cover_id) AS cover_id FROM (SELECT DISTI
 def j15(t):
     fires = t.hotspot_obs().select("source_observation_id", F.col("longitude").alias("px"), F.col("latitude").alias("py"))
     cover = t.landcover()
-    hit = spatial.shape_at_point(fires, cover.select(F.col("cover_id").alias("shape_id"), "ring"))
+    hit = spatial.shape_at_point(fires, cover.select(F.col("cover_id").alias("shape_id"), "shape"))
     return (
         fires.join(hit, ["px", "py"], "left")
         .join(cover.select(F.col("cover_id").alias("shape_id"), S.squeeze(F.col("valor")).alias("label")), "shape_id", "left")
@@ -200,22 +208,22 @@ def j15(t):
 
 
 @query("g04_distance_forms", with_views("settlement zone", f"""SELECT settlement_id, {dr(hav('lon', 'lat', '-3.7', '40.4'), 2)} AS point_point_m,
-  {dr("sqrt(pow(greatest(minx+3.7,-3.7-maxx,0.0)*cos(radians(40.4))*" + MPD + ",2)+pow(greatest(miny-40.4,40.4-maxy,0.0)*" + MPD + ",2))", 2)} AS point_polygon_m FROM settlement"""))
+  {dr(town_sql('cast(-3.7 as double)', 'cast(40.4 as double)', f'(cos(radians(40.4))*{MPD})', MPD), 2)} AS point_polygon_m FROM settlement"""))
 def g04(t):
-    centre = geo.ring_centroid(F.col("ring"))
+    centre = geo.shape_centroid(F.col("shape"))
     px, py = F.lit(-3.7), F.lit(40.4)
     sx, sy = geo.metre_scale(py)
     return pipeline.settlements(t).select(
         "settlement_id",
         S.dec_round(geo.haversine_m(centre.x, centre.y, px, py), 2).alias("point_point_m"),
-        S.dec_round(geo.ring_distance(px, py, F.col("ring"), sx, sy), 2).alias("point_polygon_m"),
+        S.dec_round(geo.shape_distance(px, py, F.col("shape"), sx, sy), 2).alias("point_polygon_m"),
     )
 
 
 @query("g05_within_distance", with_views("zone_pair", f"SELECT area_code, count(*) AS n, cast(sum(habitantes) as bigint) AS people FROM zone_pair WHERE distance_m <= 20000 GROUP BY area_code"))
 def g05(t):
     pairs = spatial.pairs_within(
-        t.zone(), pipeline.settlements(t).select("settlement_id", "habitantes", "ring"), 20000.0, "settlement_id"
+        t.zone(), pipeline.settlements(t).select("settlement_id", "habitantes", "shape"), 20000.0, "settlement_id"
     )
     return pairs.groupBy("area_code").agg(F.count("*").alias("n"), F.sum("habitantes").cast("bigint").alias("people"))
 
@@ -225,7 +233,7 @@ def g05(t):
   ON minx <= longitude+1 AND maxx >= longitude-1 AND miny <= latitude+1 AND maxy >= latitude-1 WHERE {DEG} <= 1) WHERE rn=1"""))
 def g06(t):
     points = pipeline.hotspots(t).select(F.col("hotspot_id").alias("pid"), F.col("longitude").alias("px"), F.col("latitude").alias("py"))
-    shapes = pipeline.settlements(t).select(F.col("settlement_id").alias("shape_id"), "ring")
+    shapes = pipeline.settlements(t).select(F.col("settlement_id").alias("shape_id"), "shape")
     return nearest.nearest_shape(points, shapes, nearest.Reach(within_deg=1.0)).select(
         F.col("pid").alias("hotspot_id"), F.col("shape_id").alias("settlement_id")
     )

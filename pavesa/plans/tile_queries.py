@@ -10,7 +10,7 @@ from pavesa.functions import parameters as P
 from pavesa.functions import scalar as S
 from pavesa.operators import shapes, tiles
 from pavesa.plans import pipeline
-from pavesa.plans.domain_sql import dr, view, with_views
+from pavesa.plans.domain_sql import cover_area_sql, dr, view, with_views
 from pavesa.plans.registry import query
 from pavesa.plans.scalar_queries import CLASS_ZOOM
 
@@ -116,32 +116,47 @@ FAULTY = (
 
 @query("g12_shape_screen", "SELECT c_custkey, CASE c_custkey%7 WHEN 0 THEN 'empty' WHEN 1 THEN 'too_short' WHEN 2 THEN 'not_closed' WHEN 3 THEN 'self_crossing' WHEN 4 THEN 'no_area' END AS reason, c_custkey%7>4 AS is_valid FROM customer")
 def g12(t):
-    solid = F.transform(c("ring"), lambda p: F.struct(p.x.alias("x"), p.y.alias("y"), F.lit(1.0).alias("z")))
+    solid = F.transform(c("shape")[0][0], lambda p: F.struct(p.x.alias("x"), p.y.alias("y"), F.lit(1.0).alias("z")))
     rows = t.settlement_src().select(c("source_fid").alias("c_custkey"), (c("source_fid") % 7).alias("k"), solid.alias("r"))
     reason = shapes.screen(shapes.flatten_2d(F.expr(FAULTY)))
     return rows.select("c_custkey", reason.alias("reason"), reason.isNull().alias("is_valid"))
 
 
-SQ_AREA = "(abs(radians(maxx-minx)*(sin(radians(miny))-sin(radians(maxy))))*6371007.181e0*6371007.181e0/10000.0e0)"
 LINE_AREA = "(abs(sum(radians(x2-x1)*(sin(radians(y1))+sin(radians(y2)))/2))*6371007.181e0*6371007.181e0/10000.0e0)"
 
 
-@query("g13_polygon_area", with_views("zone_edge landcover", f"SELECT 'zone' AS kind, area_code AS key, {dr(LINE_AREA, 2)} AS area_ha FROM zone_edge GROUP BY area_code UNION ALL SELECT 'cover', cast(cover_id as varchar), {dr(SQ_AREA, 2)} FROM landcover"))
+@query("g13_polygon_area", with_views("zone_edge landcover", f"SELECT 'zone' AS kind, area_code AS key, {dr(LINE_AREA, 2)} AS area_ha FROM zone_edge GROUP BY area_code UNION ALL SELECT 'cover', cast(cover_id as varchar), {dr(cover_area_sql(), 2)} FROM landcover"))
 def g13(t):
-    area = S.dec_round(geo.ring_area_ha(c("ring")), 2).alias("area_ha")
-    zones = t.zone().select(F.lit("zone").alias("kind"), c("area_code").alias("key"), area)
+    area = S.dec_round(geo.shape_area_ha(c("shape")), 2).alias("area_ha")
+    zones = geo.with_shape(t.zone()).select(F.lit("zone").alias("kind"), c("area_code").alias("key"), area)
     return zones.unionByName(t.landcover().select(F.lit("cover").alias("kind"), c("cover_id").cast("string").alias("key"), area))
 
 
-@query("g14_make_geometry", with_views("settlement", "SELECT settlement_id, printf('POLYGON((%.8f %.8f, %.8f %.8f, %.8f %.8f, %.8f %.8f, %.8f %.8f))',minx,miny,maxx,miny,maxx,maxy,minx,maxy,minx,miny) AS wkt FROM settlement"))
+def ring_sql(prefix: str, hole: bool, point) -> str:
+    """A box ring: counterclockwise from its lower left corner, a hole the other way."""
+    x0, x1, y0, y1 = (f"{prefix}{n}" for n in ("x0", "x1", "y0", "y1"))
+    round_ = [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
+    return point(round_[::-1] if hole else round_)
+
+
+def wkt_sql(prefix: str, hole: bool = False) -> str:
+    return ring_sql(prefix, hole, lambda ps: "printf('(" + ", ".join(["%.8f %.8f"] * 5) + ")'," + ",".join(f"{x},{y}" for x, y in ps) + ")")
+
+
+def json_sql(prefix: str, hole: bool = False) -> str:
+    return ring_sql(prefix, hole, lambda ps: "'[" + ",".join(f"['||{x}||','||{y}||']" for x, y in ps) + "]'")
+
+
+@query("g14_make_geometry", with_views("settlement", f"""SELECT settlement_id, CASE WHEN odd THEN 'MULTIPOLYGON(('||{wkt_sql('')}||', '||{wkt_sql('h', True)}||'), ('||{wkt_sql('i')}||'))'
+  ELSE 'POLYGON('||{wkt_sql('')}||')' END AS wkt FROM settlement"""))
 def g14(t):
-    return pipeline.settlements(t).select("settlement_id", geo.ring_wkt(c("ring")).alias("wkt"))
+    return pipeline.settlements(t).select("settlement_id", geo.shape_wkt(c("shape")).alias("wkt"))
 
 
-@query("g15_geojson", with_views("settlement", """SELECT settlement_id, '{"type":"Polygon","coordinates":[[['||minx||','||miny||'],['||maxx||','||miny||'],['||maxx||','||maxy||'],['||minx||','||maxy||'],['||minx||','||miny||']]]}' AS geojson FROM settlement"""))
+@query("g15_geojson", with_views("settlement", f"""SELECT settlement_id, CASE WHEN odd THEN '{{"type":"MultiPolygon","coordinates":[['||{json_sql('')}||','||{json_sql('h', True)}||'],['||{json_sql('i')}||']]}}'
+  ELSE '{{"type":"Polygon","coordinates":['||{json_sql('')}||']}}' END AS geojson FROM settlement"""))
 def g15(t):
-    ring = F.transform("ring", lambda p: F.array(p.x, p.y))
-    return pipeline.settlements(t).select("settlement_id", F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))).alias("geojson"))
+    return pipeline.settlements(t).select("settlement_id", geo.shape_geojson(c("shape")).alias("geojson"))
 
 
 @query("g16_simplified_roads")
@@ -165,7 +180,7 @@ view("zone_tile", f"""WITH e AS (SELECT area_code, {tx('x1', '9')} AS x1, {ty('y
 
 def warning_tiles(t):
     """Zones are tiled once; the daily features then join their zone's tiles."""
-    zones = tiles.to_tiles(t.zone().withColumn("zoom", F.lit(9)), "ring").select("area_code", "zoom", "x", "y")
+    zones = tiles.to_tiles(geo.with_shape(t.zone()).withColumn("zoom", F.lit(9)), "shape").select("area_code", "zoom", "x", "y")
     return pipeline.features(t).filter("is_warning").select("feature_id", "area_code", "valid_date", "level_label").join(zones, "area_code")
 
 
@@ -174,14 +189,14 @@ def m02(t):
     return warning_tiles(t).select("feature_id", "x", "y")
 
 
-view("settlement_tile", f"""SELECT settlement_id, zoom, x, y, minx, miny, maxx, maxy FROM (SELECT *, unnest(generate_series(cast(floor({ty('maxy', 'zoom')}) as bigint),cast(floor({ty('miny', 'zoom')}) as bigint))) AS y FROM
-  (SELECT *, unnest(generate_series(cast(floor({tx('minx', 'zoom')}) as bigint),cast(floor({tx('maxx', 'zoom')}) as bigint))) AS x FROM settlement JOIN (SELECT unnest(generate_series(7,11)) AS zoom)
-   ON population_rank >= CASE WHEN zoom<=8 THEN 4 WHEN zoom=9 THEN 3 WHEN zoom=10 THEN 2 ELSE 1 END OR is_capital))""", ["settlement"])
+view("settlement_tile", f"""SELECT DISTINCT settlement_id, zoom, x, y FROM (SELECT *, unnest(generate_series(cast(floor({ty('maxy', 'zoom')}) as bigint),cast(floor({ty('miny', 'zoom')}) as bigint))) AS y FROM
+  (SELECT *, unnest(generate_series(cast(floor({tx('minx', 'zoom')}) as bigint),cast(floor({tx('maxx', 'zoom')}) as bigint))) AS x FROM (SELECT * FROM settlement_ring WHERE ring_no<>1) JOIN (SELECT unnest(generate_series(7,11)) AS zoom)
+   ON population_rank >= CASE WHEN zoom<=8 THEN 4 WHEN zoom=9 THEN 3 WHEN zoom=10 THEN 2 ELSE 1 END OR is_capital))""", ["settlement_ring"])
 
 
 def settlement_tiles(t):
     rows = pipeline.settlements(t).withColumn("zoom", F.explode(F.sequence(F.lit(7), F.lit(11)))).filter(P.rank_floor(c("zoom")))
-    return tiles.to_tiles(rows.select("settlement_id", "nombre", "zoom", "ring"), "ring")
+    return tiles.to_tiles(rows.select("settlement_id", "nombre", "zoom", "shape"), "shape")
 
 
 @query("m03_settlement_tiles", with_views("settlement_tile", f"SELECT settlement_id, zoom, x, y, {dr('156543.03392804097e0/pow(2.0e0,zoom)*CASE WHEN zoom<=8 THEN 0.35e0 WHEN zoom<=10 THEN 0.18e0 ELSE 0.08e0 END', 4)} AS tolerance_m FROM settlement_tile"))
@@ -210,12 +225,14 @@ def m04(t):
 CL = "round_even(least(greatest(({0}-{1})*4096,-64),4160),0)"
 
 
-@query("m05_quantised_settlements", with_views("settlement_tile", f"""SELECT settlement_id, zoom, x, y, cast(ax as integer) AS minqx, cast(ay as integer) AS minqy, cast(bx as integer) AS maxqx, cast(b_y as integer) AS maxqy FROM (SELECT settlement_id, zoom, x, y, {CL.format(tx('minx', 'zoom'), 'x')} AS ax, {CL.format(tx('maxx', 'zoom'), 'x')} AS bx,
-  {CL.format(ty('maxy', 'zoom'), 'y')} AS ay, {CL.format(ty('miny', 'zoom'), 'y')} AS b_y FROM settlement_tile) WHERE ax<bx AND ay<b_y"""))
+@query("m05_quantised_settlements", with_views("settlement_tile", f"""SELECT settlement_id, zoom, x, y, cast(min(ax) as integer) AS minqx, cast(min(ay) as integer) AS minqy, cast(max(bx) as integer) AS maxqx, cast(max(b_y) as integer) AS maxqy,
+   string_agg(CASE WHEN ring_no=1 THEN printf('%d %d,%d %d,%d %d,%d %d,%d %d',ax,ay,bx,ay,bx,b_y,ax,b_y,ax,ay) ELSE printf('%d %d,%d %d,%d %d,%d %d,%d %d',ax,ay,ax,b_y,bx,b_y,bx,ay,ax,ay) END, ';' ORDER BY ring_no) AS rings
+  FROM (SELECT settlement_id, zoom, x, y, ring_no, cast({CL.format(tx('minx', 'zoom'), 'x')} as integer) AS ax, cast({CL.format(tx('maxx', 'zoom'), 'x')} as integer) AS bx,
+  cast({CL.format(ty('maxy', 'zoom'), 'y')} as integer) AS ay, cast({CL.format(ty('miny', 'zoom'), 'y')} as integer) AS b_y FROM settlement_tile JOIN settlement_ring USING (settlement_id)) WHERE ax<bx AND ay<b_y GROUP BY ALL"""))
 def m05(t):
-    b = geo.ring_bbox(c("grid"))
+    b = geo.ring_bbox(F.flatten("grid"))
     return tiles.quantise(settlement_tiles(t)).select(
-        "settlement_id", "zoom", "x", "y", b.minx.alias("minqx"), b.miny.alias("minqy"), b.maxx.alias("maxqx"), b.maxy.alias("maxqy")
+        "settlement_id", "zoom", "x", "y", b.minx.alias("minqx"), b.miny.alias("minqy"), b.maxx.alias("maxqx"), b.maxy.alias("maxqy"), tiles.rings_text(c("grid")).alias("rings")
     )
 
 

@@ -6,7 +6,7 @@ Integer arithmetic keeps the views identical in every SQL engine.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pavesa.functions import geo
@@ -97,15 +97,17 @@ class Tables:
                 "-9.0D + ((c_custkey * 104729) % 12000) / 1000.0D AS lon",
                 "0.002D + (c_custkey % 5) * 0.001D AS half",
             )
-            .withColumn(
-                "ring",
-                geo.box_ring(
-                    F.col("lon") - F.col("half"), F.col("lat") - F.col("half"),
-                    F.col("lon") + F.col("half"), F.col("lat") + F.col("half"),
-                ),
-            )
+            .withColumn("shape", self._town(F.col("lon"), F.col("lat"), F.col("half"), F.col("source_fid") % 5 == 2))
         )
 
+    @staticmethod
+    def _town(lon: Column, lat: Column, half: Column, odd: Column) -> Column:
+        """A square; odd ones have a square hole (landed in the wrong direction) and an island to the north-east."""
+        square = geo.box_ring(lon - half, lat - half, lon + half, lat + half)
+        hole = geo.box_ring(lon - half * 0.5, lat - half * 0.5, lon + half * 0.5, lat + half * 0.5)
+        island = geo.box_ring(lon + half * 2.5, lat + half * 1.5, lon + half * 3.5, lat + half * 2.5)
+        return F.when(odd, F.array(F.array(square, hole), F.array(island))).otherwise(F.array(F.array(square)))
+
     def warning_src(self) -> DataFrame:
         orders = self.raw("orders").selectExpr(
             "o_orderkey", "cast(o_orderdate as timestamp) AS o_orderdate", "o_orderpriority"
@@ -246,13 +248,21 @@ class Tables:
                 "-9.0D + ((p_partkey * 613) % 12000) / 1000.0D AS cx",
                 "36.0D + ((p_partkey * 389) % 8000) / 1000.0D AS cy",
             )
-            .withColumn(
-                "ring",
-                geo.box_ring(F.col("cx") - 0.05, F.col("cy") - 0.05, F.col("cx") + 0.05, F.col("cy") + 0.05),
-            )
+            .withColumn("shape", self._cover(F.col("cx"), F.col("cy"), F.col("cover_id") % 4))
             .drop("cx", "cy")
         )
 
+    @staticmethod
+    def _cover(cx: Column, cy: Column, kind: Column) -> Column:
+        """A square; kind 1 has a hole, kind 2 an island."""
+        square = geo.box_ring(cx - 0.05, cy - 0.05, cx + 0.05, cy + 0.05)
+        hole = geo.box_ring(cx - 0.02, cy - 0.02, cx + 0.02, cy + 0.02)
+        island = geo.box_ring(cx + 0.07, cy + 0.07, cx + 0.09, cy + 0.09)
+        plain = F.array(F.array(square))
+        return geo.oriented(
+            F.when(kind == 1, F.array(F.array(square, hole))).when(kind == 2, F.array(F.array(square), F.array(island))).otherwise(plain)
+        )
+
     def alerts(self) -> DataFrame:
         """Live-alert feed: one row per order, free event text, naive times."""
         return self.raw("orders").selectExpr(

@@ -138,3 +138,67 @@ def test_overlapping_features_are_united_and_holes_stay_out(spark):
     points = spark.createDataFrame([(0.5, 0.5), (1.5, 1.5), (3.5, 3.5), (5.0, 5.0), (6.5, 5.0), (0.0, 2.0)], "longitude double, latitude double")
     got = {(r["longitude"], r["latitude"]): r["in_region"] for r in regions.flag_in_region(points, edges).collect()}
     assert got == {(0.5, 0.5): True, (1.5, 1.5): False, (3.5, 3.5): True, (5.0, 5.0): True, (6.5, 5.0): False, (0.0, 2.0): True}
+
+
+SHAPE = f"array<array<{RING}>>"
+
+
+def odd_shape(x, y, h):
+    """A square with a hole of half its width and an island to the north-east."""
+    return [[square(x, y, h), square(x, y, h / 2)], [square(x + 3 * h, y + 2 * h, h / 2)]]
+
+
+def odd_gap(px, py, x, y, h, sx=1.0, sy=1.0):
+    in_hole = abs(px - x) < h / 2 and abs(py - y) < h / 2
+    main = min((h / 2 - abs(px - x)) * sx, (h / 2 - abs(py - y)) * sy) if in_hole else box_gap(px, py, x, y, h, sx, sy)
+    return min(main, box_gap(px, py, x + 3 * h, y + 2 * h, h / 2, sx, sy))
+
+
+def test_nearest_of_shapes_with_parts_and_holes(spark):
+    rng = random.Random(11)
+    shapes_in = [(i, rng.uniform(-4, -3), rng.uniform(40, 41), rng.choice([0.01, 0.05])) for i in range(80)]
+    points = [(i, rng.uniform(-4.1, -2.9), rng.uniform(39.9, 41.1)) for i in range(300)]
+    points += [(1000 + i, x, y) for i, x, y, h in shapes_in] + [(2000 + i, x + 3 * h, y + 2 * h) for i, x, y, h in shapes_in]  # in holes, in islands
+    s = spark.createDataFrame([(i, odd_shape(x, y, h)) for i, x, y, h in shapes_in], f"shape_id bigint, shape {SHAPE}")
+    p = spark.createDataFrame(points, "pid bigint, px double, py double")
+    got = {r["pid"]: (r["shape_id"], round(r["distance_deg"], 9)) for r in nearest.nearest_shape(p, s, nearest.Reach(within_deg=0.08)).collect()}
+    want = {}
+    for pid, px, py in points:
+        rank, i, gap = min((round(odd_gap(px, py, x, y, h) * 1e9), i, odd_gap(px, py, x, y, h)) for i, x, y, h in shapes_in)
+        if gap <= 0.08:
+            want[pid] = (i, round(gap, 9))
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 1e-8 for k in want)
+
+
+def test_zone_meets_only_the_island(spark):
+    """The middle of a shape with a hole isn't its own: a zone inside the hole is at a distance, one on the island is not."""
+    towns = spark.createDataFrame([(1, 10, odd_shape(0.0, 40.0, 0.4))], f"settlement_id bigint, habitantes int, shape {SHAPE}")
+    zones = spark.createDataFrame([("hole", square(0.0, 40.0, 0.05)), ("island", square(1.2, 40.8, 0.05)), ("far", square(5.0, 40.0, 0.1))], f"area_code string, ring {RING}")
+    got = {r["area_code"]: r["distance_m"] for r in spatial.pairs_within(zones, towns, 20000.0, "settlement_id").collect()}
+    assert set(got) == {"hole", "island"} and got["island"] == 0.0
+    assert abs(got["hole"] - 0.15 * math.cos(math.radians(40.0)) * geo.M_PER_DEG) < 100
+
+
+def test_area_centroid_and_text_of_parts(spark):
+    wrong_way = [[square(0.0, 0.0, 0.4)[::-1], square(0.0, 0.0, 0.2)], [square(1.2, 0.8, 0.2)[::-1]]]
+    df = spark.createDataFrame([(wrong_way,)], f"shape {SHAPE}").withColumn("shape", geo.oriented(F.col("shape")))
+    centre = geo.shape_centroid(F.col("shape"))
+    row = df.select(centre.x.alias("x"), centre.y.alias("y"), geo.shape_area_ha(F.col("shape")).alias("ha"), geo.shape_wkt(F.col("shape")).alias("wkt"), geo.shape_geojson(F.col("shape")).alias("json")).first()
+    assert abs(row["x"] - 0.3) < 1e-12 and abs(row["y"] - 0.2) < 1e-12  # (0.48 * 0 + 0.16 * (1.2, 0.8)) / 0.64
+    parts = spark.createDataFrame([(square(0.0, 0.0, 0.4), square(0.0, 0.0, 0.2), square(1.2, 0.8, 0.2))], f"a {RING}, b {RING}, c {RING}").select(*(geo.ring_area_ha(F.col(n)).alias(n) for n in "abc")).first()
+    assert abs(row["ha"] - (parts["a"] - parts["b"] + parts["c"])) < 1e-6
+    assert row["wkt"].startswith("MULTIPOLYGON(((") and row["wkt"].count("(") == 1 + 2 + 3 and row["json"].startswith('{"type":"MultiPolygon","coordinates":[[[[')
+
+
+def test_tiles_of_parts(spark):
+    """Tiles between the parts are left out, and each ring is clipped for itself."""
+    rows = spark.createDataFrame([(1, 8, [[square(0.1, 40.0, 0.05)], [square(9.0, 40.0, 0.05)]])], f"id int, zoom int, shape {SHAPE}")
+    out = tiles.quantise(tiles.to_tiles(rows, "shape")).select("x", tiles.rings_text(F.col("grid")).alias("rings")).collect()
+    assert sorted({r["x"] for r in out}) == [128, 134] and all(r["rings"].count(";") == 0 and r["rings"].count(",") == 4 for r in out)
+
+
+def test_landcover_hole_and_island(spark):
+    covers = spark.createDataFrame([(5, odd_shape(0.0, 40.0, 0.4))], f"shape_id bigint, shape {SHAPE}")
+    points = spark.createDataFrame([(0.0, 40.0), (0.3, 40.0), (1.2, 40.8), (0.8, 40.4), (0.2, 40.0)], "px double, py double")
+    assert {(r["px"], r["py"]) for r in spatial.shape_at_point(points, covers).collect()} == {(0.3, 40.0), (1.2, 40.8), (0.2, 40.0)}
