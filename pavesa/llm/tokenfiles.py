@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 END = 1
 #: Words whose ids are remembered by a task, and their bytes at most.
-MEMORY = 500_000
+MEMORY = 1_000_000
 MEMORY_BYTES = 48
 #: Words of a text that are looked up at once.
 WORDS = 100_000
@@ -86,7 +86,11 @@ class Encoder:
                 ends = np.flatnonzero(self.last[ids]) + 1
                 if len(ends) == len(group):
                     found |= {w: x.tobytes() for w, x in zip(group, np.split(ids, ends[:-1]), strict=True)}
-        found |= {s: self._one(s) for s in new if s not in found}
+        rest = [s for s in new if s not in found]
+        for at in range(0, len(rest), 1000):
+            part = rest[at : at + 1000]
+            coded = self.library.encode_batch_fast([s.decode() for s in part], add_special_tokens=False)
+            found |= {s: np.array(e.ids, "<i4").tobytes() for s, e in zip(part, coded, strict=True)}
         known = {w: (found[s] if s in found else self.memory[s]) + (self.mark[w[-1:]] if s is not w else b"") for w, s in stems.items()}
         for w, ids in (found | known).items():
             if len(self.memory) >= MEMORY:
