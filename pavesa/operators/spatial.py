@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pavesa.functions import geo
 
 
+BOUNDS = ["minx", "miny", "maxx", "maxy"]
+ROW_GROUP_BYTES = 16 << 20
+
+
 def cells(df: DataFrame, box: Column, size: float, mx=0.0, my=0.0) -> DataFrame:
     """One row per grid cell the (padded) box touches, as ``gx``, ``gy``."""
     gx = F.sequence(F.floor((box.minx - mx) / size), F.floor((box.maxx + mx) / size))
@@ -100,13 +104,51 @@ def settlement_per_zone(zones: DataFrame, places: DataFrame, distance_m: float,
     return exact_pairs(few, distance_m).groupBy("area_code").agg(F.min_by(payload, rank).alias("p")).select("area_code", "p.*")
 
 
-def roads_near(roads: DataFrame, lon: float, lat: float, radius_m: float, classes: list[str] | None = None) -> DataFrame:
-    """Roads with any part within the radius; box filter first, exact segment distance after."""
-    rows = roads if not classes else roads.filter(F.col("clase").isin(*classes))
+def box_around(lon: float, lat: float, radius_m: float) -> tuple[float, float, float, float]:
     dy = radius_m / geo.M_PER_DEG
     dx = dy / math.cos(math.radians(min(abs(lat) + dy, 89.0)))
-    box = geo.ring_bbox(F.col("line"))
-    hit = geo.box_overlaps(box.minx, box.miny, box.maxx, box.maxy, (lon - dx, lat - dy, lon + dx, lat + dy))
+    return lon - dx, lat - dy, lon + dx, lat + dy
+
+
+def in_box(rows: DataFrame, line: str, box: tuple[float, float, float, float]) -> Column:
+    """Whether a line's box meets a box, by stored bounds where the rows have them."""
+    own = [F.col(n) for n in BOUNDS] if set(BOUNDS) <= set(rows.columns) else [geo.ring_bbox(F.col(line))[n] for n in BOUNDS]
+    return geo.box_overlaps(*own, box)
+
+
+def z_order(x: Column, y: Column, bits: int = 24) -> Column:
+    """Place on a Z curve over the world: nearby places mostly have nearby numbers."""
+
+    def spread_bits(v: Column) -> Column:
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+        return v
+
+    side = float(1 << bits)
+    whole = lambda v, low, width: F.least(F.greatest(F.floor((v - low) / width * side), F.lit(0)), F.lit((1 << bits) - 1)).cast("long")
+    return spread_bits(whole(x, -180.0, 360.0)).bitwiseOR(F.shiftleft(spread_bits(whole(y, -90.0, 180.0)), 1))
+
+
+def store_by_place(rows: DataFrame, line: str, path: str) -> None:
+    """Write rows with their bounds, sorted along the Z curve of their centres, so that files and row groups cover small areas."""
+    boxed = geo.computed_once(rows, _b=geo.ring_bbox(F.col(line))).select(*rows.columns, "_b.*")
+    placed = boxed.withColumn("place", z_order((F.col("minx") + F.col("maxx")) / 2, (F.col("miny") + F.col("maxy")) / 2))
+    placed.repartitionByRange("place").sortWithinPartitions("place").drop("place").write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+
+
+def stored_by_place(spark: SparkSession, path: str, box: tuple[float, float, float, float]) -> DataFrame:
+    """Stored rows whose bounds meet a box; other files and row groups aren't read."""
+    rows = spark.read.parquet(path)
+    return rows.filter(geo.box_overlaps(*(F.col(n) for n in BOUNDS), box))
+
+
+def roads_near(roads: DataFrame, lon: float, lat: float, radius_m: float, classes: list[str] | None = None) -> DataFrame:
+    """Roads with any part within the radius; box filter first, exact segment distance after.
+
+    Roads of ``stored_by_place`` bring their boxes, so the filter reaches the files.
+    """
+    rows = roads if not classes else roads.filter(F.col("clase").isin(*classes))
+    hit = in_box(rows, "line", box_around(lon, lat, radius_m))
     px, py = F.lit(float(lon)), F.lit(float(lat))
     sx, sy = geo.metre_scale(py)
     return (

@@ -12,6 +12,7 @@ from pavesa.operators.series import top_with_probe
 from pavesa.plans import pipeline, reports
 from pavesa.plans.domain_sql import MPD, ROAD_ATTRIBUTES, covers_sql, dr, hav, seg, view, with_views
 from pavesa.plans.registry import query
+from pavesa.session import scratch_path
 
 FAR_M, NEAR_M, ZONE_M = 5000.0, 2000.0, 50000.0
 POINT = (-3.7, 40.4)
@@ -173,6 +174,16 @@ def j07(t):
     )
 
 
+@query("j07_stored_roads_near_point", with_views("road_near", f"""SELECT id_tramo, inspire_id, clase, n_carriles, territory_code, cast(round_even(d,0) as integer) AS distance_m
+  FROM road_near WHERE d <= 60000"""))
+def j07s(t):
+    """The core table stored along a Z curve with its bounds, then read by them."""
+    path = scratch_path(t.spark, "roads-by-place")
+    spatial.store_by_place(pipeline.roads(t), "line", path)
+    rows = spatial.stored_by_place(t.spark, path, spatial.box_around(*POINT, 60000.0))
+    return spatial.roads_near(rows, *POINT, 60000.0).select("id_tramo", "inspire_id", "clase", "n_carriles", "territory_code", "distance_m")
+
+
 @query("z09_roads_near_point", with_views("road_near", f"""SELECT id_tramo, inspire_id, clase, nombre, {', '.join(ROAD_ATTRIBUTES)}, n_carriles, territory_code, distance_m FROM (SELECT *, cast(round_even(d,0) as integer) AS distance_m FROM road_near
   WHERE d <= 100000 AND clase IN ('Autopista de peaje','Carretera convencional')) ORDER BY distance_m, id_tramo LIMIT 20"""))
 def z09(t):

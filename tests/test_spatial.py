@@ -202,3 +202,35 @@ def test_landcover_hole_and_island(spark):
     covers = spark.createDataFrame([(5, odd_shape(0.0, 40.0, 0.4))], f"shape_id bigint, shape {SHAPE}")
     points = spark.createDataFrame([(0.0, 40.0), (0.3, 40.0), (1.2, 40.8), (0.8, 40.4), (0.2, 40.0)], "px double, py double")
     assert {(r["px"], r["py"]) for r in spatial.shape_at_point(points, covers).collect()} == {(0.3, 40.0), (1.2, 40.8), (0.2, 40.0)}
+
+
+def test_roads_stored_by_place(spark, tmp_path):
+    rng = random.Random(5)
+    at = [(i, rng.uniform(-9, 3), rng.uniform(36, 43)) for i in range(4000)]
+    roads = spark.createDataFrame([(i, "A", [(x, y), (x + 0.01, y + 0.01)]) for i, x, y in at], f"id_tramo bigint, clase string, line {RING}")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        spatial.store_by_place(roads, "line", str(tmp_path / "roads"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    point, radius = (-3.7, 40.4), 30000.0
+    rows = spatial.stored_by_place(spark, str(tmp_path / "roads"), spatial.box_around(*point, radius))
+    near = spatial.roads_near(rows, *point, radius)
+    assert sorted(r["id_tramo"] for r in near.collect()) == sorted(r["id_tramo"] for r in spatial.roads_near(roads, *point, radius).collect()) != []
+    plan = spark._jvm.PythonSQLUtils.explainString(near._jdf.queryExecution(), "formatted")
+    assert "LessThanOrEqual(minx," in plan and "GreaterThanOrEqual(maxx," in plan
+    # Few files have bounds that meet a small box, more meet a large one.
+    import pyarrow.parquet as pq
+
+    def met(box):
+        n = 0
+        for f in (tmp_path / "roads").glob("*.parquet"):
+            g = pq.ParquetFile(f).metadata.row_group(0)
+            stat = {c.path_in_schema: c.statistics for c in (g.column(i) for i in range(g.num_columns))}
+            n += stat["minx"].min <= box[2] and stat["maxx"].max >= box[0] and stat["miny"].min <= box[3] and stat["maxy"].max >= box[1]
+        return n
+
+    files = len(list((tmp_path / "roads").glob("*.parquet")))
+    assert met(spatial.box_around(*point, 1000.0)) <= 3 < met(spatial.box_around(*point, 500000.0)) <= files
