@@ -36,7 +36,7 @@ VARIANTS = 3
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("head script style template noscript svg iframe title".split())
 HEAD = frozenset("base link meta title style script noscript template".split())
-RAW = "script|style|template|noscript|iframe|textarea|title|svg"
+RAW = "script|style|template|noscript|iframe|textarea|title"
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img object canvas math mi mn mo ms mtext mrow mstyle mfrac msqrt mroot msub msup msubsup munder mover munderover semantics".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -61,7 +61,7 @@ for _i, _words in enumerate(CUES.values()):
         _CUE_OF.setdefault(_w, []).append(_i)
 TAGS = ["p", "h1", "h2", "h3", "li", "ul", "a", "div", "section", "span", "td", "blockquote", "body"]
 
-_TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<(?P<raw>{RAW})\b(?P<rawattrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>(?:.*?</(?P=raw)\s*>|.*$)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
+_TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|$))|<(?P<raw>{RAW})\b(?P<rawattrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>(?:.*?</(?P=raw)\s*>|.*$)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
 _ATTR = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 

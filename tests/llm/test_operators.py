@@ -357,5 +357,7 @@ def test_open_head_and_formulas():
     pages = [head + rest for rest in ("<article><p>a</p><p>b</p></article>", "a <p>b", "<body>a <p>b</body>", "</head><p>a<p>b", "</head><body>a<p>b", "&#97;<p>b", "<textarea>no</textarea>a<p>b")]
     assert html.extract(pages, None) == ["a b"] * len(pages)
     assert html.extract(["<head><title>T</title>", head + "</head>"], None) == ["", ""]
+    icons = ["<svg class='i'/>", "<svg><path d='M0'/><text>no</text></svg>", "<!-->", "<!--->", "<!-- no --!>", "<!-- <p>no</p> -->"]
+    assert html.extract([f"<article><p>A</p>{x}<p>B</p></article>" for x in icons], None) == ["A B"] * len(icons)
     odd = "<article><p>if <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then</p><object data=f><param name=a><p>film</p></object> <canvas>chart</canvas></article>"
     assert html.extract([odd], None) == ["if x=2 then film chart"]
