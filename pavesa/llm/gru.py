@@ -1,4 +1,4 @@
-"""A gated recurrent network over words in numpy: windows with carried state, truncated backpropagation, class-factored softmax.
+"""A gated recurrent network over words in numpy: windows with carried state, truncated backpropagation over pieces of texts, class-factored softmax.
 
 Word ids are in order of frequency, so a class is a range of ids. Id K stands for every rarer word (a class of its own, with nothing to choose
 inside), K + 1 for the start of a text.
@@ -6,6 +6,7 @@ inside), K + 1 for the start of a text.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +16,7 @@ CLASSES = 64
 LANES = 256
 STEPS = 16
 PADDING = 4
+PIECE = 256
 RATE = 0.08
 
 
@@ -64,11 +66,11 @@ def start(shape: Shape, counts: np.ndarray, rest: float) -> np.ndarray:
     return flat
 
 
-def lanes(texts: list[np.ndarray], width: int) -> list[list[int]]:
-    """Texts (their numbers) dealt to at most ``width`` lanes of about equal length, the longest lane first."""
+def lanes(texts: list[np.ndarray], width: int, order: Iterable[int] | None = None) -> list[list[int]]:
+    """Texts (their numbers) dealt to at most ``width`` lanes of about equal length in the given order (None: longest first), the longest lane first."""
     out: list[list[int]] = [[] for _ in range(min(width, len(texts)))]
     load = np.zeros(len(out), np.int64)
-    for i in sorted(range(len(texts)), key=lambda i: -len(texts[i])):
+    for i in sorted(range(len(texts)), key=lambda i: -len(texts[i])) if order is None else order:
         j = int(load.argmin())
         out[j].append(i)
         load[j] += len(texts[i])
@@ -89,7 +91,20 @@ def batch_of(texts: list[np.ndarray], first: int, width: int = LANES) -> Batch:
     """Texts in lanes; fewer lanes beside a long text, so that the columns hold some PADDING places for each word at most."""
     longest = max(map(len, texts), default=0)
     width = min(width, max(1, PADDING * sum(map(len, texts)) // max(1, longest)))
-    dealt = lanes(texts, width)
+    return _columns(texts, [first] * len(texts), lanes(texts, width))
+
+
+def lesson_of(texts: list[np.ndarray], first: int, width: int = LANES) -> Batch:
+    """Texts for training, cut into pieces of PIECE words that lie in lanes in random order. So one long text never has a step to itself, and
+    each step sees many texts. A piece begins with an empty state, but reads the word before it."""
+    pieces = [(t[i : i + PIECE], t[i - 1] if i else first) for t in texts for i in range(0, len(t), PIECE)]
+    parts = [p for p, _ in pieces]
+    return _columns(parts, [b for _, b in pieces], lanes(parts, width, np.random.default_rng(len(parts)).permutation(len(parts)).tolist()))
+
+
+def _columns(texts: list[np.ndarray], before: list[int], dealt: list[list[int]]) -> Batch:
+    """Lanes of texts as columns; ``before`` is what each text reads first."""
+    first = before[0] if before else 0
     length = max((sum(len(texts[i]) for i in lane) for lane in dealt), default=0)
     read, target = np.full((length, len(dealt)), first, np.int32), np.zeros((length, len(dealt)), np.int32)
     begins, owner = np.zeros((length, len(dealt)), bool), np.full((length, len(dealt)), -1, np.int32)
@@ -98,7 +113,7 @@ def batch_of(texts: list[np.ndarray], first: int, width: int = LANES) -> Batch:
         for i in lane:
             n = len(texts[i])
             target[at : at + n, j], owner[at : at + n, j] = texts[i], i
-            read[at + 1 : at + n, j] = texts[i][:-1]
+            read[at, j], read[at + 1 : at + n, j] = before[i], texts[i][:-1]
             begins[at, j] = True
             at += n
     return Batch(read, target, begins, owner)
@@ -194,7 +209,7 @@ def score(shape: Shape, flat: np.ndarray, texts: list[np.ndarray], width: int =
 def train(shape: Shape, flat: np.ndarray, texts: list[np.ndarray], squares: np.ndarray, rate: float = RATE) -> int:
     """One pass over some texts: weights and the sums of squared gradients change in place. Returns the number of words."""
     p, sums = shape.split(flat), shape.split(squares)
-    b = batch_of(texts, shape.words + 1)
+    b = lesson_of(texts, shape.words + 1)
     size = shape.hidden
     h = np.zeros((b.read.shape[1], size), np.float32)
     for at in range(0, len(b.read), STEPS):

@@ -4,9 +4,10 @@ Statistics cover every training word: counts of all words give the vocabulary of
 its first weights (so that training starts from the unigram model) and the add-one distribution of all rarer words, which the network
 reaches through one class. So every text has a probability, and those of all words and the unknown word add up to one.
 
-The network is trained in ROUNDS rounds, and each training document is met in one of them, by hash. In each, every task takes its part of the
-round's documents, trains a copy from the common weights by truncated backpropagation, and the copies are averaged by words seen, block by
-block, in a shuffle. Only the average reaches the driver; its size is fixed by the parameters.
+The network is trained in ROUNDS rounds, and each training document is met in one of them, by hash. In each, learners of about LEARNER_WORDS
+words take their part of the round's documents, one split after another, train a copy from the common weights by truncated backpropagation,
+and the copies are averaged by words seen, block by block, in a shuffle. So the number of copies follows from the words alone, not from splits or
+cores, and a copy is small beside what it has read. Only the average reaches the driver; its size is fixed by the parameters.
 
 Scoring carries the state of a document from window to window to its end. Words of the TABLE_WORDS most frequent are looked up in the task
 (the table is bounded in words and bytes); counts of all others meet the documents that hold them in a join, counted per document first.
@@ -38,7 +39,8 @@ ROUNDS = 4
 CHUNK = 500_000
 FLUSH = 1_000_000
 BLOCK = 4096
-SALT = 64
+LEARNER_WORDS = 2_000_000
+NEAR = 32
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -113,18 +115,20 @@ def _chunks(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[list[np
         yield held
 
 
-def _sum(parts: pd.DataFrame) -> pd.DataFrame:
-    """Weighted blocks added up."""
-    total = np.sum([np.frombuffer(v, np.float64) for v in parts["total"]], axis=0)
-    return pd.DataFrame({"block": [parts["block"].iloc[0]], "salt": [parts["salt"].iloc[0]], "words": [parts["words"].sum()], "total": [total.tobytes()]})
+def _mean(parts: pd.DataFrame) -> pd.DataFrame:
+    """The mean of weighted blocks, and their weight."""
+    words = parts["words"].to_numpy()
+    mean = sum(w * np.frombuffer(v, np.float32).astype(np.float64) for w, v in zip(words, parts["mean"], strict=True)) / words.sum()
+    return pd.DataFrame({"block": [parts["block"].iloc[0]], "near": [parts["near"].iloc[0]], "words": [words.sum()], "mean": [mean.astype(np.float32).tobytes()]})
 
 
-def fit(rows: DataFrame, key: Column, model: Model, rounds: int = ROUNDS, rate: float = gru.RATE) -> Model:
+def fit(rows: DataFrame, key: Column, model: Model, rounds: int = ROUNDS, rate: float = gru.RATE, learner_words: int = LEARNER_WORDS) -> Model:
     """The model after ``rounds`` averaged passes, each over rows of its own; together they are all rows."""
     if not model.shape.words:
         return model
     number = F.pmod(F.xxhash64(F.coalesce(key.cast("string"), F.lit(""))), F.lit(rounds))
-    kinds = "block int, salt int, words double, total binary"
+    learners = max(1, round(model.total / rounds / learner_words))
+    kinds = "block int, near int, words double, mean binary"
     for r in range(rounds):
         shared = rows.sparkSession.sparkContext.broadcast(model)
 
@@ -136,18 +140,19 @@ def fit(rows: DataFrame, key: Column, model: Model, rounds: int = ROUNDS, rate:
             for texts in _chunks(batches, own):
                 seen += gru.train(own.shape, weights, texts, squares, rate)
             if seen:
-                blocks = [weights[i : i + BLOCK].astype(np.float64) * seen for i in range(0, len(weights), BLOCK)]
-                salt = TaskContext.get().partitionId() % SALT
+                blocks = [weights[i : i + BLOCK].tobytes() for i in range(0, len(weights), BLOCK)]
+                near = TaskContext.get().partitionId() // NEAR
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(len(blocks)), pa.int32()), pa.array([salt] * len(blocks), pa.int32()), pa.array([float(seen)] * len(blocks)), pa.array([b.tobytes() for b in blocks], pa.binary())],
-                    names=["block", "salt", "words", "total"],
+                    [pa.array(range(len(blocks)), pa.int32()), pa.array([near] * len(blocks), pa.int32()), pa.array([float(seen)] * len(blocks)), pa.array(blocks, pa.binary())],
+                    names=["block", "near", "words", "mean"],
                 )
 
-        copies = rows.where(number == r).select("text").mapInArrow(learned, kinds)
-        halves = copies.groupBy("block", "salt").applyInPandas(_sum, kinds)
-        whole = halves.groupBy("block").applyInPandas(_sum, kinds).toPandas().sort_values("block")
+        copies = rows.where(number == r).select("text").coalesce(learners).mapInArrow(learned, kinds)
+        if learners > NEAR:
+            copies = copies.groupBy("block", "near").applyInPandas(_mean, kinds)
+        whole = copies.groupBy("block").applyInPandas(_mean, kinds).toPandas().sort_values("block")
         if len(whole):
-            weights = np.concatenate([np.frombuffer(t, np.float64) / w for t, w in zip(whole["total"], whole["words"], strict=True)]).astype(np.float32)
+            weights = np.concatenate([np.frombuffer(t, np.float32) for t in whole["mean"]])
             model = Model(model.table, model.counts, model.total, model.distinct, model.shape, weights)
         shared.unpersist()
     return model
