@@ -19,6 +19,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,7 +37,7 @@ VARIANTS = 3
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("head script style template noscript svg iframe title".split())
 HEAD = frozenset("base link meta title style script noscript template".split())
-RAW = "script|style|template|noscript|iframe|textarea|title"
+RAW = frozenset("script style template noscript iframe textarea title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img object canvas math mi mn mo ms mtext mrow mstyle mfrac msqrt mroot msub msup msubsup munder mover munderover semantics".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -61,9 +62,12 @@ for _i, _words in enumerate(CUES.values()):
         _CUE_OF.setdefault(_w, []).append(_i)
 TAGS = ["p", "h1", "h2", "h3", "li", "ul", "a", "div", "section", "span", "td", "blockquote", "body"]
 
-_TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|$))|<(?P<raw>{RAW})\b(?P<rawattrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>(?:.*?</(?P=raw)\s*>|.*$)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
+_NAME = re.compile(r"[\s/>]")
+_SPECIAL = re.compile(r"[>\"']")
+_COMMENT = re.compile(r"-?>|.*?(?:--!?>|$)", re.S)
 _ATTR = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 
 
 @dataclass
@@ -76,15 +80,77 @@ class Page:
     texts: list[tuple[int, str]] = field(default_factory=list)
 
 
+class Marks:
+    """Markup of a page in time that grows with its length alone, whatever is left open in it.
+
+    A tag ends at the first ``>`` outside quotes. If there is none, its ``<`` is text. Places that a failed search has passed outside quotes are
+    remembered: another search that comes to one of them has failed too.
+    """
+
+    def __init__(self, source: str) -> None:
+        self.source = source
+        self._failed: set[int] = set()
+        self._next = {_NAME: (0, -1), _SPECIAL: (0, -1)}
+
+    def _first(self, pattern: re.Pattern, at: int) -> int:
+        """The first match from ``at`` on, the end of the page if there is none; ``at`` never falls, so that stretches are searched once."""
+        low, found = self._next[pattern]
+        if not low <= at <= found:
+            m = pattern.search(self.source, at)
+            found = m.start() if m else len(self.source)
+            self._next[pattern] = at, found
+        return found
+
+    def _closed(self, at: int) -> int:
+        """The ``>`` of a tag whose name ends at ``at``, or -1."""
+        source, passed = self.source, []
+        at = self._first(_SPECIAL, at)
+        while at < len(source) and at not in self._failed:
+            if source[at] == ">":
+                return at
+            passed.append(at)
+            quote = source.find(source[at], at + 1)
+            m = _SPECIAL.search(source, quote + 1) if quote >= 0 else None
+            at = m.start() if m else len(source)
+        self._failed.update(passed)
+        return -1
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, str, str]]:
+        """(start, end, kind, tag, attributes) of each piece of markup; kinds are open, raw (with what it holds), close and other."""
+        source, at = self.source, self.source.find("<")
+        last = source.rfind(">")
+        while 0 <= at < len(source) - 1:
+            end, kind, tag, attrs = -1, "other", "", ""
+            slash = source[at + 1] == "/"
+            begin = at + 1 + slash
+            if source.startswith("<!--", at):
+                end = _COMMENT.match(source, at + 4).end()
+            elif "a" <= source[begin : begin + 1].lower() <= "z":
+                stop = self._first(_NAME, begin)
+                if (closed := self._closed(stop) if stop < last + 1 else -1) >= 0:
+                    end, tag, attrs, kind = closed + 1, source[begin:stop].lower(), source[stop:closed], "close" if slash else "open"
+                    if not slash and tag in RAW:
+                        kind = "raw"
+                        m = _RAW_END[tag].search(source, end)
+                        end = m.end() if m else len(source)
+            if end < 0 and source[at + 1] in "!?/" and at < last:
+                end = source.find(">", at) + 1
+            if end > 0:
+                yield at, end, kind, tag, attrs
+            at = source.find("<", end if end > 0 else at + 1)
+
+
 def parse(source: str) -> Page:
     page = Page(["root"], [""], [-1])
     stack = [0]
     hidden = 0
+    opened: Counter[str] = Counter()
 
     def close(to: int) -> None:
         nonlocal hidden
         while len(stack) > to:
             tag = page.tags[stack.pop()]
+            opened[tag] -= 1
             hidden -= tag in HIDDEN
             if tag not in INLINE:
                 page.texts.append((stack[-1] if stack else 0, ""))
@@ -100,24 +166,22 @@ def parse(source: str) -> Page:
             page.texts.append((stack[-1], entities.unescape(part)))
 
     at = 0
-    for m in _TOKEN.finditer(source):
-        text(source[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
-        if (m["raw"] or tag and not m["end"]) and (m["raw"] or tag).lower() not in HEAD:
+    for start, end, kind, tag, attrs in Marks(source):
+        text(source[at:start])
+        at = end
+        if kind in ("open", "raw") and tag not in HEAD:
             leave_head()
-        if tag is None:
+        if kind in ("raw", "other"):
             continue
-        tag = tag.lower()
-        if m["end"]:
-            for i in range(len(stack) - 1, 0, -1):
+        if kind == "close":
+            for i in range(len(stack) - 1 if opened[tag] else 0, 0, -1):
                 if page.tags[stack[i]] == tag:
                     close(i)
                     break
             continue
         if tag in CLOSES_P or tag in SAME:
             ends, walls = ({"p"}, {"table", "body", "td", "th", "li", "button"}) if tag in CLOSES_P else (SAME[tag], SCOPE[tag])
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1 if any(opened[e] for e in ends) else 0, 0, -1):
                 if page.tags[stack[i]] in ends:
                     close(i)
                     break
@@ -128,11 +192,12 @@ def parse(source: str) -> Page:
         if tag in VOID:
             continue
         page.tags.append(tag)
-        page.attrs.append(m["attrs"] or "")
+        page.attrs.append(attrs)
         page.parents.append(stack[-1])
         stack.append(len(page.tags) - 1)
+        opened[tag] += 1
         hidden += tag in HIDDEN
-        if (m["attrs"] or "").endswith("/") and tag in HIDDEN:
+        if attrs.endswith("/") and tag in HIDDEN:
             close(len(stack) - 1)
     text(source[at:])
     close(1)
