@@ -9,7 +9,7 @@ sorted as deep as the longest item, since no search looks further. Documents are
 go to the tasks in blocks of at most BLOCK_BYTES of text, one pass over the documents for each block.
 
 Defined cases: a null or empty text has no words and no hits; an item without words never matches; an item of fewer than ``window`` words is
-one window; repeated items with one id count once; a null item id is the empty text; repeated documents are judged alike, each for itself. An
+one window; matches shorter than the shortest window aren't looked for; repeated items with one id count once; a null item id is the empty text; repeated documents are judged alike, each for itself. An
 empty benchmark leaves every document clean. An input column that has the name of a result is replaced.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 WINDOW = 10
 SHARD_WORDS = 4_000_000
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 1_000_000
 
 #: Lower case for A-Z, itself for a-z, 0-9 and every byte of a character beyond ASCII, else a space.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -62,27 +62,29 @@ class TestBlock:
         vocabulary: dict[bytes, int] = {}
         names = sorted({name for name, _ in items})
         number = {name: i for i, name in enumerate(names)}
-        words, suffixes, lengths, owners, starts = [], [], [], [], []
-        known: dict[tuple[int, ...], int] = {}
+        words, suffixes, lengths, owners, starts = ([np.zeros(0, np.int64)] for _ in range(5))
+        known: dict[bytes, int] = {}
+        window_length: list[int] = []
         members: list[set[int]] = []
+        first = 0
         for name, text in items:
-            ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in split_words(text)]
-            size = min(window, len(ids))
-            for i in range(len(ids)):
-                suffixes.append(len(words) + i)
-                lengths.append(len(ids) - i)
-                owners.append(number[name])
-                if i + size <= len(ids):
-                    w = known.setdefault(tuple(ids[i : i + size]), len(known))
-                    if w == len(members):
-                        members.append(set())
-                    members[w].add(number[name])
-                    starts.append(w)
-                else:
-                    starts.append(-1)
-            words += [*ids, 0]
-        as_int = lambda x: np.asarray(x, np.int64)
-        return cls(vocabulary, as_int(words), as_int(suffixes), as_int(lengths), as_int(owners), as_int(starts), as_int([len(k) for k in known]), [np.array(sorted(m)) for m in members], names)
+            ids = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in split_words(text)], np.int32)
+            n, size = len(ids), min(window, len(ids))
+            at = np.full(n, -1, np.int64)
+            for i in range(n - size + 1 if n else 0):
+                at[i] = w = known.setdefault(ids[i : i + size].tobytes(), len(known))
+                if w == len(members):
+                    members.append(set())
+                    window_length.append(size)
+                members[w].add(number[name])
+            suffixes.append(first + np.arange(n))
+            lengths.append(n - np.arange(n))
+            owners.append(np.full(n, number[name], np.int64))
+            starts.append(at)
+            words.append(np.append(ids, 0).astype(np.int64))
+            first += n + 1
+        joined = [np.concatenate(x) for x in (words, suffixes, lengths, owners, starts)]
+        return cls(vocabulary, *joined, np.asarray(window_length, np.int64), [np.array(sorted(m)) for m in members], names)
 
 
 def suffix_array(words: np.ndarray, starts: np.ndarray, depth: int, bits: int) -> np.ndarray:
@@ -153,6 +155,36 @@ def _spread(ranges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(ranges[:, 0], count)
 
 
+def _deepest(ranges: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rank, index of the range) for each rank inside a range: the deepest range there. Ranges of a suffix array hold one another or are apart,
+    and the inner one is deeper, so one walk over their ends is enough and no range is written out beside another."""
+    _, keep = np.unique(ranges, axis=0, return_index=True)  # equal ranges are one match; the first suffix stands for it
+    keep = keep[np.lexsort((depth[keep], -ranges[keep, 1], ranges[keep, 0]))]
+    parts: list[tuple[int, int, int]] = []
+    open_: list[int] = []
+    at = 0
+
+    def reach(to: int) -> None:
+        nonlocal at
+        while open_ and ranges[open_[-1], 1] <= to:
+            end = int(ranges[open_[-1], 1])
+            if end > at:
+                parts.append((at, end, open_[-1]))
+                at = end
+            open_.pop()
+        if open_ and to > at:
+            parts.append((at, to, open_[-1]))
+        at = max(at, to)
+
+    for i in keep.tolist():
+        reach(int(ranges[i, 0]))
+        open_.append(i)
+    reach(int(ranges[:, 1].max(initial=0)))
+    low, high, which = (np.array(x, np.int64) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3
+    piece, rank = _spread(np.stack([low, high], 1))
+    return rank, which[piece]
+
+
 def _find(texts: list[list[int]], block: TestBlock, window: int) -> list[dict]:
     """Matches of one shard, a dict for each text."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -185,7 +217,7 @@ def _find(texts: list[list[int]], block: TestBlock, window: int) -> list[dict]:
         out[pair // len(block.window_items)]["items"].update(block.names[i] for i in block.window_items[pair % len(block.window_items)])
 
     long = np.flatnonzero(longest >= block.window_length.min())
-    which, rank = _spread(best[long])
+    rank, which = _deepest(best[long], longest[long])
     at, length = order[rank], longest[long][which]
     doc = doc_of(at)
     by = np.lexsort((at, -length, doc))

@@ -3,6 +3,8 @@
 import base64
 import random
 import tempfile
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -303,6 +305,20 @@ def test_language_model(spark, odd):
     assert lm.score_documents(odd.limit(0), held).count() == 0
 
 
+@pytest.mark.parametrize("sf, learners", [("sf0.001", 1), ("sf0.001", 16), ("sf0.01", 1), ("sf0.01", 4), ("sf0.01", 64)])
+def test_training_helps_with_any_number_of_copies(spark, sf, learners):
+    """Held-out texts are likelier than by counts and than by the untrained network, whether one copy learns or many."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text").repartition(64)
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2
+    rows = docs.where(~held)
+    first = lm.vocabulary(lm.count_words(rows))
+    learned = lm.fit(rows, F.col("doc_id"), first, learner_words=max(1, first.total // lm.ROUNDS // learners))
+    texts = [first.ids(r["text"]) for r in docs.where(held).select("text").collect()]
+    before, after = (gru.score(first.shape, m.weights, texts).sum() for m in (first, learned))
+    words = sum(map(len, texts))
+    assert after > before + 0.03 * words
+
+
 def test_every_training_text_is_met(spark):
     """The weights of a word change only if the network reads it; here each word is in one text."""
     rows = spark.createDataFrame([(i, f"word{i} " * 60) for i in range(60)], "doc_id long, text string")
@@ -345,6 +361,35 @@ def test_gradients_and_windows():
     assert gru.score(shape, learned, one).sum() > 0.3 * gru.score(shape, flat, one).sum()
 
 
+def test_gradients_against_differences():
+    """A step of training moves each weight along the slope of the log-probability, measured by moving the weight a little."""
+    counts = np.array([50.0, 30, 20, 10, 5, 5, 2, 1])
+    shape = gru.shape_of(counts, hidden=4, classes=3)
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(0, 9, n).astype(np.int32) for n in (12, 7, 9)]
+    flat = gru.start(shape, counts, 7).astype(np.float64) + rng.normal(0, 0.1, sum(int(np.prod(s)) for s in shape.parts().values()))
+    moved, damp, rate = flat.copy(), 1e8, 1.0
+    words = gru.train(shape, moved, texts, np.full_like(flat, damp), rate)
+    slope = (moved - flat) * damp**0.5 / rate * words**0.5
+    most = words**0.5  # steps are cut there
+
+    def value(i: int, by: float) -> float:
+        other = flat.copy()
+        other[i] += by
+        return gru.score(shape, other, texts).sum() * np.log(10)
+
+    measured = np.array([(value(i, 1e-2) - value(i, -1e-2)) / 2e-2 for i in range(len(flat))])
+    for name, block in shape.split(measured).items():
+        assert np.allclose(np.clip(block, -most, most), shape.split(slope)[name], atol=5e-3), name
+
+
+def test_long_texts_are_cut_for_training():
+    texts = [np.arange(20_000, dtype=np.int32) % 50, *(np.full(300, 3, np.int32) for _ in range(200))]
+    b = gru.lesson_of(texts, 99)
+    assert b.read.shape[1] == gru.LANES and (b.owner >= 0).sum() == 80_000 and b.read.shape[0] <= 80_000 // gru.LANES + gru.PIECE
+    assert (b.read[b.owner >= 0] == 99).sum() == 201  # only whole texts begin with the start
+
+
 def test_page_trees():
     page = html.parse("<p>a<b>b<p>c</p><ul><li>x<li>y</ul><br/>t &lt; &amp;<script>if (a<b) '</p>'</script><!-- <p>no --></div>end")
     assert html.main_text(page, np.full(len(page.tags), html.ARTICLE)) == "ab c x y t < &end"
@@ -352,6 +397,27 @@ def test_page_trees():
     assert list(label) == [0, 1, 2, 1, 1] and html.extract([None, "", "<p></p>"], None) == ["", "", ""]
 
 
+def test_markup_left_open_takes_linear_time():
+    pages = ["<a " * 300_000, "<a <a <a " * 100_000 + '"', '<a "' * 200_000, "<a" * 300_000, "<span>" * 12_000 + "<p>a</p><div>b</div>" * 3_000, "<!" * 300_000, "</a " * 300_000]
+    began = time.monotonic()
+    for page in pages:
+        html.parse(page)
+    assert time.monotonic() - began < 20
+    assert html.extract(["<p>a < b <c \"d</p>", "<p>1 <a 'x>y'>2</a> <b =\">3</b>"], None) == ["a < b <c \"d", "1 2 <b =\">3"]
+
+
+def test_html_odd_rows(spark):
+    schema = "page_id long, html string, text string, url string"
+    good = "<html><body><nav><a href=x>menu</a></nav><article><p>" + ENGLISH + "</p><p>" + GERMAN + "</p></article></body></html>"
+    rows = [(1, None, "t", "u"), (2, "", "t", None), (None, good, None, "u"), (3, good, "t", "u"), (3, good, "t", "u"), (4, "<p>" + "long words " * 200_000 + "</p>", "t", "u"), (5, "<a " * 1000, "t", "u")]
+    pages = spark.createDataFrame(rows, schema)
+    for model in (None, html.learn(pages)):
+        out = html.extracted(pages, model).collect()
+        assert len(out) == len(rows) and {r["text"] for r in out if r["page_id"] in (1, 2)} == {""}
+        assert len({r["text"] for r in out if r["page_id"] in (None, 3)}) == 1
+    assert html.extracted(pages.limit(0), html.learn(pages.limit(0))).count() == 0
+
+
 def test_open_head_and_formulas():
     head = "<!doctype html><html><head>\n<meta charset=utf-8><title>T</title><!-- c --><link rel=x>\n<style>p {}</style><script>1</script>"
     pages = [head + rest for rest in ("<article><p>a</p><p>b</p></article>", "a <p>b", "<body>a <p>b</body>", "</head><p>a<p>b", "</head><body>a<p>b", "&#97;<p>b", "<textarea>no</textarea>a<p>b")]
@@ -361,3 +427,26 @@ def test_open_head_and_formulas():
     assert html.extract([f"<article><p>A</p>{x}<p>B</p></article>" for x in icons], None) == ["A B"] * len(icons)
     odd = "<article><p>if <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then</p><object data=f><param name=a><p>film</p></object> <canvas>chart</canvas></article>"
     assert html.extract([odd], None) == ["if x=2 then film chart"]
+
+
+def test_short_items_beside_long_ones_stay_in_bounds():
+    """One item of one word makes every suffix a match; matches must not be written out for each of the long items."""
+    rng = random.Random(3)
+    texts = [[f"w{min(int(rng.paretovariate(1)), 400)}" for _ in range(300)] for _ in range(600)]
+    items = [(f"i{k}", " ".join(f"w{min(int(rng.paretovariate(1)), 400)}" for _ in range(60))) for k in range(400)] + [("one", "w1"), ("copy", " ".join(texts[7][20:90]))]
+    tracemalloc.start()
+    block = decontaminate.TestBlock.of(items, 10)
+    ids = [[block.vocabulary.get(w.encode(), 0) for w in t] for t in texts]
+    out = decontaminate._find(ids, block, 10)
+    assert tracemalloc.get_traced_memory()[1] < 300_000_000
+    tracemalloc.stop()
+    assert (out[7]["longest"], out[7]["longest_at"], out[7]["longest_item"]) == (70, 20, "copy")
+    lists = [t.split() for _, t in items]
+    for d in (0, 7, 300):
+        want = 0
+        for item in lists:
+            before = [0] * (len(item) + 1)
+            for w in texts[d]:
+                now = [0] + [before[j] + 1 if w == v else 0 for j, v in enumerate(item)]
+                want, before = max(want, *now), now
+        assert out[d]["longest"] == want and "one" in out[d]["items"]
