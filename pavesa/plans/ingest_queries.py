@@ -489,6 +489,10 @@ def q06(t):
 # ---- X: streams ----------------------------------------------------------------------------
 
 
+#: Landed files for each micro-batch.
+FILES = 16
+
+
 def record_files(t, parts: int = 3):
     """Warning records with their archive data, landed in elaboration order."""
     downloads = t.warning_download().select("source_download_id", "source_file_path", "request_elaboration_to")
@@ -507,8 +511,8 @@ def refreshed(t):
         downloads = t.warning_download().select("source_download_id", "source_file_path", "request_elaboration_to")
         rows = t.warning_src().join(downloads, "source_download_id")
         for half in (1, 0):
-            rows.filter(c("source_download_id") % 2 == half).repartitionByRange(2, "source_download_id").write.mode("append").parquet(landing_dir)
-            job = refresh.run_refresh(t.spark, landing_dir, rows.schema, root, files_per_batch=2, buckets=8)
+            rows.filter(c("source_download_id") % 2 == half).write.mode("append").parquet(landing_dir)
+            job = refresh.run_refresh(t.spark, landing_dir, rows.schema, root, files_per_batch=FILES, buckets=8)
         done[t.sf_dir] = job
     return done[t.sf_dir]
 
@@ -553,11 +557,11 @@ def x05(t):
 
 @query("x06_late_warnings", with_views("warning_src", "SELECT DISTINCT cap_identifier, language, area_code FROM warning_src"))
 def x06(t):
-    """One file per trigger, newest first."""
+    """One part for each trigger, newest first; a part is FILES files."""
     path, schema = scratch_path(t.spark, "late-records"), t.warning_src().schema
     for part in (2, 1, 0):
-        t.warning_src().filter(c("source_download_id") % 3 == part).coalesce(1).write.mode("append").parquet(path)
-    return feed.drain(feed.late_warnings(t.spark, path, schema, KEY, files_per_batch=1).select(*KEY), "late")
+        t.warning_src().filter(c("source_download_id") % 3 == part).repartition(FILES).write.mode("append").parquet(path)
+    return feed.drain(feed.late_warnings(t.spark, path, schema, KEY, files_per_batch=FILES).select(*KEY), "late")
 
 
 @query("x07_idempotent_reimport", with_views("warning", "SELECT count(*) AS n, count(DISTINCT cap_identifier) AS identifiers FROM warning"))
