@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pavesa.constants import MERCATOR_HALF_M
 from pavesa.functions import geo
+from pavesa.operators import shapes
 
 EXTENT, BUFFER = 4096, 64
 
@@ -23,19 +25,24 @@ def tile_units(line: Column, zoom: Column) -> Column:
     return F.transform(line, convert)
 
 
-def to_tiles(features: DataFrame, geometry: str, closed: bool = True) -> DataFrame:
+def to_tiles(features: DataFrame, geometry: str, closed: bool = True, tolerance_m: Column | None = None) -> DataFrame:
     """One row per feature and tile it truly touches; ``zoom`` is a column of the input.
 
-    ``geometry`` is a line, or a ``shape`` when closed; ``tile_geom`` is then the list of its rings.
+    ``geometry`` is a line, or a ``shape`` when closed; ``tile_geom`` is then the list of its rings. With a tolerance (metres of
+    the map plane) ``tile_geom`` is simplified; the tiles are still those of the whole geometry.
     """
     units = lambda line: tile_units(line, F.col("zoom"))
+    placed = geo.computed_once(features, tile_geom=F.transform(F.flatten(geometry), units) if closed else units(F.col(geometry)))
+    whole = "tile_geom"
+    if tolerance_m is not None:
+        share = tolerance_m / (2 * MERCATOR_HALF_M) * F.pow(F.lit(2.0), F.col("zoom"))
+        placed = shapes.simplify_lines(placed.withColumn("_tolerance", share).withColumn("_whole", F.col("tile_geom")), "tile_geom", "_tolerance")
+        whole = "_whole"
     if closed:
-        boxed = geo.computed_once(features, tile_geom=F.transform(F.flatten(geometry), units))
-        box, edges = geo.ring_bbox(F.flatten("tile_geom")), F.flatten(F.transform("tile_geom", geo.ring_edges))
+        box, edges = geo.ring_bbox(F.flatten(whole)), F.flatten(F.transform(whole, geo.ring_edges))
     else:
-        boxed = geo.computed_once(features, tile_geom=units(F.col(geometry)))
-        box, edges = geo.ring_bbox(F.col("tile_geom")), geo.ring_edges(F.col("tile_geom"))
-    boxed = geo.computed_once(boxed, _b=box, _e=edges)
+        box, edges = geo.ring_bbox(F.col(whole)), geo.ring_edges(F.col(whole))
+    boxed = geo.computed_once(placed, _b=box, _e=edges).drop("_whole", "_tolerance")
     spread = boxed.withColumn("x", F.explode(F.sequence(F.floor("_b.minx"), F.floor("_b.maxx")))).withColumn(
         "y", F.explode(F.sequence(F.floor("_b.miny"), F.floor("_b.maxy")))
     )
@@ -78,6 +85,57 @@ def _clip_side(ring: Column, axis: str, bound: float, sign: int) -> Column:
     return F.flatten(F.transform(geo.ring_edges(ring), walk))
 
 
+def clip_line(line: Column, lo: float, hi: float) -> Column:
+    """Pieces of a line inside the square [lo, hi] x [lo, hi], in order; a line that leaves and comes back gives several."""
+
+    def span(start: Column, step: Column) -> tuple[Column, Column]:
+        a, b = (lo - start) / F.nullif(step, F.lit(0.0)), (hi - start) / F.nullif(step, F.lit(0.0))
+        inside = start.between(lo, hi)
+        enter = F.when(step == 0, F.when(inside, 0.0).otherwise(2.0)).otherwise(F.least(a, b))
+        return enter, F.when(step == 0, 1.0).otherwise(F.greatest(a, b))
+
+    def within(e: Column, i: Column) -> Column:
+        (in_x, out_x), (in_y, out_y) = span(e.x1, e.x2 - e.x1), span(e.y1, e.y2 - e.y1)
+        return F.struct(i.alias("i"), *(e[n].alias(n) for n in ("x1", "y1", "x2", "y2")),
+                        F.greatest(in_x, in_y, F.lit(0.0)).alias("enter"), F.least(out_x, out_y, F.lit(1.0)).alias("leave"))
+
+    def at(e: Column, share: str) -> Column:
+        part = lambda a, b: F.when(e[share] == 0, e[a]).when(e[share] == 1, e[b]).otherwise(e[a] + (e[b] - e[a]) * e[share])
+        return F.struct(part("x1", "x2").alias("x"), part("y1", "y2").alias("y"))
+
+    def pieces(kept: Column) -> Column:
+        n = F.size(kept)
+        begins = F.filter(
+            F.transform(kept, lambda e, k: F.when((k == 0) | (e.enter > 0) | (F.get(kept, k - 1).i != e.i - 1), k)), lambda k: k.isNotNull()
+        )
+
+        def piece(k: Column, j: Column) -> Column:
+            run = F.slice(kept, k + 1, F.coalesce(F.get(begins, j + 1), n) - k)
+            return F.concat(F.array(at(kept[k], "enter")), F.transform(run, lambda e: at(e, "leave")))
+
+        return F.transform(begins, piece)
+
+    kept = F.filter(F.transform(geo.ring_edges(line), within), lambda e: e.enter <= e.leave)
+    # A list of one element binds the kept edges to a variable, so that they are computed once.
+    return F.flatten(F.transform(F.array(kept), pieces))
+
+
+def _on_grid(p: Column) -> Column:
+    return F.struct(((p.x - F.col("x")) * EXTENT).alias("x"), ((p.y - F.col("y")) * EXTENT).alias("y"))
+
+
+def _snapped(p: Column) -> Column:
+    return F.struct(F.rint(p.x).cast("int").alias("x"), F.rint(p.y).cast("int").alias("y"))
+
+
+def quantise_lines(tiled: DataFrame) -> DataFrame:
+    """``grid``: pieces of the line ``tile_geom`` on the integer grid, clipped to the buffered tile; pieces of one point are dropped,
+    and so are rows without a piece."""
+    cut = clip_line(F.transform("tile_geom", _on_grid), float(-BUFFER), float(EXTENT + BUFFER))
+    whole = F.filter(F.transform(F.transform(cut, lambda r: F.transform(r, _snapped)), _without_repeats), lambda r: F.size(r) > 1)
+    return geo.computed_once(tiled, grid=whole).filter("size(grid) > 0")
+
+
 def quantise(tiled: DataFrame) -> DataFrame:
     """``grid``: rings on the integer grid, clipped to the buffered tile; vanished rings, and shapes without any, are dropped.
 
@@ -85,10 +143,8 @@ def quantise(tiled: DataFrame) -> DataFrame:
     """
     single = isinstance(tiled.schema["tile_geom"].dataType.elementType, T.StructType)
     rings = F.array("tile_geom") if single else F.col("tile_geom")
-    place = lambda p: F.struct(((p.x - F.col("x")) * EXTENT).alias("x"), ((p.y - F.col("y")) * EXTENT).alias("y"))
-    rows = clip(tiled.withColumn("grid", F.transform(rings, lambda r: F.transform(r, place))), "grid", float(-BUFFER), float(EXTENT + BUFFER))
-    snap = lambda p: F.struct(F.rint(p.x).cast("int").alias("x"), F.rint(p.y).cast("int").alias("y"))
-    out = rows.withColumn("grid", F.transform("grid", lambda r: F.transform(r, snap))).withColumn("grid", F.transform("grid", _without_repeats))
+    rows = clip(tiled.withColumn("grid", F.transform(rings, lambda r: F.transform(r, _on_grid))), "grid", float(-BUFFER), float(EXTENT + BUFFER))
+    out = rows.withColumn("grid", F.transform("grid", lambda r: F.transform(r, _snapped))).withColumn("grid", F.transform("grid", _without_repeats))
 
     def solid(ring: Column) -> Column:
         turns = F.transform(geo.ring_edges(ring), lambda e: (e.x1 * e.y2 - e.x2 * e.y1).cast("bigint"))
@@ -117,3 +173,15 @@ def rings_text(rings: Column) -> Column:
         return F.array_join(F.transform(turned, lambda p: F.concat_ws(" ", p.x, p.y)), ",")
 
     return F.array_join(F.transform(rings, from_smallest), ";")
+
+
+def lines_text(pieces: Column) -> Column:
+    """Integer pieces as text, ``x y,x y;...``, in the direction of the line."""
+    return F.array_join(F.transform(pieces, lambda r: F.array_join(F.transform(r, lambda p: F.concat_ws(" ", p.x, p.y)), ",")), ";")
+
+
+def write_tiles(rows: DataFrame, path: str) -> None:
+    """Tile rows as Parquet by ``zoom`` and ``strip`` (at most 32 ranges of x), by tile inside the files, so that a tile reads few of them."""
+    strip = F.expr("shiftright(cast(x as bigint), cast(greatest(zoom - 5, 0) as int))")
+    placed = rows.withColumn("strip", strip).hint("rebalance", "zoom", "strip")
+    placed.sortWithinPartitions("zoom", "strip", "x", "y").write.partitionBy("zoom", "strip").parquet(path)

@@ -13,6 +13,7 @@ from pavesa.plans import pipeline
 from pavesa.plans.domain_sql import cover_area_sql, dr, view, with_views
 from pavesa.plans.registry import query
 from pavesa.plans.scalar_queries import CLASS_ZOOM
+from pavesa.session import scratch_path
 
 c = F.col
 
@@ -159,10 +160,35 @@ def g15(t):
     return pipeline.settlements(t).select("settlement_id", geo.shape_geojson(c("shape")).alias("geojson"))
 
 
-@query("g16_simplified_roads")
+def split_views(name: str, points: str, keys: str, needs: list[str]) -> None:
+    """Views of a Douglas-Peucker pass over lines of five points ``(keys, i, px, py, tol)``: ``{name}`` holds the points that stay.
+
+    Three levels are all that three inner points can need.
+    """
+    on = " AND ".join(f"s.{k}=p.{k}" for k in keys.split(","))
+    same = lambda t: " AND ".join(f"s.{k}={t}.{k}" for k in keys.split(","))
+    own = ",".join(f"s.{k}" for k in keys.split(","))
+    view(f"{name}_seg0", f"SELECT DISTINCT {keys}, 0 AS a, 4 AS b FROM {points}", [points])
+    for level in range(3):
+        share = "CASE WHEN dx*dx+dy*dy>0 THEN least(greatest((mx*dx+my*dy)/(dx*dx+dy*dy),0.0e0),1.0e0) ELSE 0.0e0 END"
+        view(f"{name}_far{level}", f"""SELECT {keys}, a, b, i FROM (SELECT *, round_even(sqrt((mx-sh*dx)*(mx-sh*dx)+(my-sh*dy)*(my-sh*dy))/tol/1e-6,0) AS gap FROM (SELECT *, {share} AS sh FROM
+   (SELECT {own}, s.a, s.b, p.i, p.tol, q.px-o.px AS dx, q.py-o.py AS dy, p.px-o.px AS mx, p.py-o.py AS my FROM {name}_seg{level} s JOIN {points} p ON {on} AND p.i>s.a AND p.i<s.b
+    JOIN {points} o ON {same('o')} AND o.i=s.a JOIN {points} q ON {same('q')} AND q.i=s.b)))
+   WHERE gap>1000000 QUALIFY row_number() OVER (PARTITION BY {keys}, a, b ORDER BY gap DESC, i)=1""", [f"{name}_seg{level}"])
+        view(f"{name}_seg{level + 1}", f"SELECT {keys}, a, i AS b FROM {name}_far{level} UNION ALL SELECT {keys}, i, b FROM {name}_far{level}", [f"{name}_far{level}"])
+    kept = " UNION ALL ".join(f"SELECT {keys}, i FROM {name}_far{level}" for level in range(3))
+    view(name, f"SELECT {keys}, i, px, py FROM {points} SEMI JOIN (SELECT {keys}, unnest([0,4]) AS i FROM {name}_seg0 UNION ALL {kept}) USING ({keys}, i)", [f"{name}_far{level}" for level in range(3)])
+
+
+view("road_tol_pt", "SELECT id_tramo, tol, i, x AS px, y AS py FROM road_pt SEMI JOIN road USING (id_tramo), (SELECT unnest([0.0002e0,0.002e0]) AS tol)", ["road_pt", "road"])
+split_views("road_simple", "road_tol_pt", "id_tramo,tol", ["road_tol_pt"])
+
+
+@query("g16_simplified_roads", with_views("road_simple", "SELECT id_tramo, tol AS tolerance, count(*) AS points, string_agg(printf('%.8f %.8f',px,py), ',' ORDER BY i) AS line FROM road_simple GROUP BY 1,2"))
 def g16(t):
     lines = pipeline.roads(t).select("id_tramo", "line").withColumn("tolerance", F.explode(F.array(F.lit(0.0002), F.lit(0.002))))
-    return shapes.simplify_lines(lines, "id_tramo").select("id_tramo", "tolerance", F.size("line").alias("points"))
+    text = F.array_join(F.transform("line", lambda p: F.format_string("%.8f %.8f", p.x, p.y)), ",")
+    return shapes.simplify_lines(lines).select("id_tramo", "tolerance", F.size("line").cast("bigint").alias("points"), text.alias("line"))
 
 
 @query("m01_tile_coordinates", with_views("hotspot_obs", f"""SELECT source_observation_id, cast(floor({tx('longitude', '12')}) as integer) AS x, cast(floor({ty('latitude', '12')}) as integer) AS y,
@@ -180,7 +206,14 @@ view("zone_tile", f"""WITH e AS (SELECT area_code, {tx('x1', '9')} AS x1, {ty('y
 
 def warning_tiles(t):
     """Zones are tiled once; the daily features then join their zone's tiles."""
-    zones = tiles.to_tiles(geo.with_shape(t.zone()).withColumn("zoom", F.lit(9)), "shape").select("area_code", "zoom", "x", "y")
+    return warnings_of_zones(t, zone_tiles(t).select("area_code", "zoom", "x", "y"))
+
+
+def zone_tiles(t):
+    return tiles.to_tiles(geo.with_shape(t.zone()).withColumn("zoom", F.lit(9)), "shape")
+
+
+def warnings_of_zones(t, zones):
     return pipeline.features(t).filter("is_warning").select("feature_id", "area_code", "valid_date", "level_label").join(zones, "area_code")
 
 
@@ -196,12 +229,21 @@ view("settlement_tile", f"""SELECT DISTINCT settlement_id, zoom, x, y FROM (SELE
 
 def settlement_tiles(t):
     rows = pipeline.settlements(t).withColumn("zoom", F.explode(F.sequence(F.lit(7), F.lit(11)))).filter(P.rank_floor(c("zoom")))
-    return tiles.to_tiles(rows.select("settlement_id", "nombre", "zoom", "shape"), "shape")
+    rows = rows.select("settlement_id", "nombre", "zoom", "shape")
+    return tiles.quantise(tiles.to_tiles(rows, "shape", tolerance_m=tiles.settlement_tolerance(c("zoom"))))
+
+
+CL = "round_even(least(greatest(({0}-{1})*4096,-64),4160),0)"
+
+view("settlement_geom", f"""SELECT settlement_id, zoom, x, y, cast(min(ax) as integer) AS minqx, cast(min(ay) as integer) AS minqy, cast(max(bx) as integer) AS maxqx, cast(max(b_y) as integer) AS maxqy,
+   string_agg(CASE WHEN ring_no=1 THEN printf('%d %d,%d %d,%d %d,%d %d,%d %d',ax,ay,bx,ay,bx,b_y,ax,b_y,ax,ay) ELSE printf('%d %d,%d %d,%d %d,%d %d,%d %d',ax,ay,ax,b_y,bx,b_y,bx,ay,ax,ay) END, ';' ORDER BY ring_no) AS rings
+  FROM (SELECT settlement_id, zoom, x, y, ring_no, cast({CL.format(tx('minx', 'zoom'), 'x')} as integer) AS ax, cast({CL.format(tx('maxx', 'zoom'), 'x')} as integer) AS bx,
+  cast({CL.format(ty('maxy', 'zoom'), 'y')} as integer) AS ay, cast({CL.format(ty('miny', 'zoom'), 'y')} as integer) AS b_y FROM settlement_tile JOIN settlement_ring USING (settlement_id)) WHERE ax<bx AND ay<b_y GROUP BY ALL""", ["settlement_tile", "settlement_ring"])
 
 
-@query("m03_settlement_tiles", with_views("settlement_tile", f"SELECT settlement_id, zoom, x, y, {dr('156543.03392804097e0/pow(2.0e0,zoom)*CASE WHEN zoom<=8 THEN 0.35e0 WHEN zoom<=10 THEN 0.18e0 ELSE 0.08e0 END', 4)} AS tolerance_m FROM settlement_tile"))
+@query("m03_settlement_tiles", with_views("settlement_geom", f"SELECT settlement_id, zoom, x, y, rings AS geom, {dr('156543.03392804097e0/pow(2.0e0,zoom)*CASE WHEN zoom<=8 THEN 0.35e0 WHEN zoom<=10 THEN 0.18e0 ELSE 0.08e0 END', 4)} AS tolerance_m FROM settlement_geom"))
 def m03(t):
-    return settlement_tiles(t).select("settlement_id", "zoom", "x", "y", S.dec_round(tiles.settlement_tolerance(c("zoom")), 4).alias("tolerance_m"))
+    return settlement_tiles(t).select("settlement_id", "zoom", "x", "y", tiles.rings_text(c("grid")).alias("geom"), S.dec_round(tiles.settlement_tolerance(c("zoom")), 4).alias("tolerance_m"))
 
 
 view("road_tile", f"""WITH e AS (SELECT id_tramo, zoom, {tx('x1', 'zoom')} AS x1, {ty('y1', 'zoom')} AS y1, {tx('x2', 'zoom')} AS x2, {ty('y2', 'zoom')} AS y2 FROM road_edge JOIN road USING (id_tramo)
@@ -211,47 +253,92 @@ view("road_tile", f"""WITH e AS (SELECT id_tramo, zoom, {tx('x1', 'zoom')} AS x1
   SELECT id_tramo, zoom, x, y FROM g JOIN e USING (id_tramo, zoom) GROUP BY id_tramo, zoom, x, y HAVING {meets_sql('x1', 'y1', 'x2', 'y2', ('cast(x as double)', 'cast(y as double)', '(x+1.0e0)', '(y+1.0e0)'), closed=False)}""", ["road_edge", "road"])
 
 
+ROAD_TOL = "CASE zoom WHEN 7 THEN 500.0e0 WHEN 8 THEN 250.0e0 WHEN 9 THEN 120.0e0 WHEN 10 THEN 60.0e0 WHEN 11 THEN 30.0e0 WHEN 12 THEN 15.0e0 WHEN 13 THEN 8.0e0 ELSE 4.0e0 END"
+view("road_zoom_pt", f"""SELECT id_tramo, zoom, i, {tx('x', 'zoom')} AS px, {ty('y', 'zoom')} AS py, {ROAD_TOL}/(2*20037508.34e0)*pow(2.0e0,zoom) AS tol FROM road_pt JOIN road USING (id_tramo)
+  JOIN (VALUES {CLASS_ZOOM}) k(clase,min_zoom) USING (clase) JOIN (SELECT unnest(generate_series(7,14)) AS zoom) ON zoom>=min_zoom""", ["road_pt", "road"])
+split_views("road_zoom_simple", "road_zoom_pt", "id_tramo,zoom", ["road_zoom_pt"])
+
+
+def reach_sql(start: str, step: str) -> tuple[str, str]:
+    a, b = f"(-64-{start})/{step}", f"(4160-{start})/{step}"
+    enter = f"CASE WHEN {step}=0 THEN CASE WHEN {start} BETWEEN -64 AND 4160 THEN 0.0e0 ELSE 2.0e0 END ELSE least({a},{b}) END"
+    return enter, f"CASE WHEN {step}=0 THEN 1.0e0 ELSE greatest({a},{b}) END"
+
+
+IN_X, OUT_X = reach_sql("gx", "dx")
+IN_Y, OUT_Y = reach_sql("gy", "dy")
+view("road_cut", f"""SELECT *, greatest({IN_X},{IN_Y},0.0e0) AS t0, least({OUT_X},{OUT_Y},1.0e0) AS t1 FROM (SELECT id_tramo, zoom, x, y, i, gx, gy, hx, hy, hx-gx AS dx, hy-gy AS dy FROM (SELECT id_tramo, zoom, x, y, i,
+   (px-x)*4096 AS gx, (py-y)*4096 AS gy, (qx-x)*4096 AS hx, (qy-y)*4096 AS hy FROM road_tile JOIN
+   (SELECT id_tramo, zoom, row_number() OVER w AS i, px, py, lead(px) OVER w AS qx, lead(py) OVER w AS qy FROM road_zoom_simple WINDOW w AS (PARTITION BY id_tramo, zoom ORDER BY i)) USING (id_tramo, zoom) WHERE qx IS NOT NULL))""", ["road_tile", "road_zoom_simple"])
+PART = "cast(round_even(CASE WHEN {t}=0 THEN {g} WHEN {t}=1 THEN {h} ELSE {g}+{d}*{t} END,0) as integer)"
+END_ = lambda t: f"{PART.format(t=t, g='gx', h='hx', d='dx')} AS qx, {PART.format(t=t, g='gy', h='hy', d='dy')} AS qy"
+view("road_geom", f"""WITH p AS (SELECT *, sum(fresh) OVER (PARTITION BY id_tramo, zoom, x, y ORDER BY i) AS piece FROM (SELECT *, CASE WHEN t0>0 OR lag(i) OVER v IS NULL OR lag(i) OVER v<>i-1 THEN 1 ELSE 0 END AS fresh
+   FROM road_cut WHERE t0<=t1 WINDOW v AS (PARTITION BY id_tramo, zoom, x, y ORDER BY i))),
+  q AS (SELECT id_tramo, zoom, x, y, piece, i, 0 AS k, {END_('t0')} FROM p WHERE fresh=1 UNION ALL SELECT id_tramo, zoom, x, y, piece, i, 1, {END_('t1')} FROM p),
+  d AS (SELECT *, lag(qx) OVER u AS lx, lag(qy) OVER u AS ly FROM q WINDOW u AS (PARTITION BY id_tramo, zoom, x, y, piece ORDER BY i, k)),
+  g AS (SELECT id_tramo, zoom, x, y, piece, string_agg(qx||' '||qy, ',' ORDER BY i, k) AS line FROM d WHERE lx IS DISTINCT FROM qx OR ly IS DISTINCT FROM qy GROUP BY ALL HAVING count(*)>1)
+  SELECT id_tramo, zoom, x, y, string_agg(line, ';' ORDER BY piece) AS geom FROM g GROUP BY ALL""", ["road_cut"])
+
+
 def road_tiles(t):
     first = S.lookup(K.ROAD_CLASS_MIN_ZOOM, c("clase"))
     rows = pipeline.roads(t).filter(first.isNotNull() & (first <= 14)).select("id_tramo", "clase", "line", F.explode(F.sequence(first, F.lit(14))).alias("zoom"))
-    return tiles.to_tiles(rows, "line", closed=False)
+    return tiles.quantise_lines(tiles.to_tiles(rows, "line", closed=False, tolerance_m=S.lookup(K.ROAD_TOLERANCE_M, c("zoom"))))
 
 
-@query("m04_road_tiles", with_views("road_tile", "SELECT id_tramo, zoom, x, y, CASE zoom WHEN 7 THEN 500.0 WHEN 8 THEN 250.0 WHEN 9 THEN 120.0 WHEN 10 THEN 60.0 WHEN 11 THEN 30.0 WHEN 12 THEN 15.0 WHEN 13 THEN 8.0 ELSE 4.0 END::double AS tolerance_m FROM road_tile"))
+@query("m04_road_tiles", with_views("road_geom", f"SELECT id_tramo, zoom, x, y, geom, {ROAD_TOL} AS tolerance_m FROM road_geom"))
 def m04(t):
-    return road_tiles(t).select("id_tramo", "zoom", "x", "y", S.lookup(K.ROAD_TOLERANCE_M, c("zoom")).alias("tolerance_m"))
+    return road_tiles(t).select("id_tramo", "zoom", "x", "y", tiles.lines_text(c("grid")).alias("geom"), S.lookup(K.ROAD_TOLERANCE_M, c("zoom")).alias("tolerance_m"))
 
 
-CL = "round_even(least(greatest(({0}-{1})*4096,-64),4160),0)"
-
-
-@query("m05_quantised_settlements", with_views("settlement_tile", f"""SELECT settlement_id, zoom, x, y, cast(min(ax) as integer) AS minqx, cast(min(ay) as integer) AS minqy, cast(max(bx) as integer) AS maxqx, cast(max(b_y) as integer) AS maxqy,
-   string_agg(CASE WHEN ring_no=1 THEN printf('%d %d,%d %d,%d %d,%d %d,%d %d',ax,ay,bx,ay,bx,b_y,ax,b_y,ax,ay) ELSE printf('%d %d,%d %d,%d %d,%d %d,%d %d',ax,ay,ax,b_y,bx,b_y,bx,ay,ax,ay) END, ';' ORDER BY ring_no) AS rings
-  FROM (SELECT settlement_id, zoom, x, y, ring_no, cast({CL.format(tx('minx', 'zoom'), 'x')} as integer) AS ax, cast({CL.format(tx('maxx', 'zoom'), 'x')} as integer) AS bx,
-  cast({CL.format(ty('maxy', 'zoom'), 'y')} as integer) AS ay, cast({CL.format(ty('miny', 'zoom'), 'y')} as integer) AS b_y FROM settlement_tile JOIN settlement_ring USING (settlement_id)) WHERE ax<bx AND ay<b_y GROUP BY ALL"""))
+@query("m05_quantised_settlements", with_views("settlement_geom", "SELECT * FROM settlement_geom"))
 def m05(t):
     b = geo.ring_bbox(F.flatten("grid"))
-    return tiles.quantise(settlement_tiles(t)).select(
+    return settlement_tiles(t).select(
         "settlement_id", "zoom", "x", "y", b.minx.alias("minqx"), b.miny.alias("minqy"), b.maxx.alias("maxqx"), b.maxy.alias("maxqy"), tiles.rings_text(c("grid")).alias("rings")
     )
 
 
+def side_views(name: str, source: str, bound: str, axis: str, sign: str) -> None:
+    """A view of rings ``(area_code, x, y, i, gx, gy)`` cut at one side of the tile."""
+    a, b = f"({sign}(g{axis}-({bound})))", f"({sign}(h{axis}-({bound})))"
+    cut = ", ".join(f"g{n}+(h{n}-g{n})*({a}/nullif({a}-{b},0))" for n in "xy")
+    view(name, f"""WITH e AS (SELECT *, lead(gx) OVER w AS hx, lead(gy) OVER w AS hy FROM {source} WINDOW w AS (PARTITION BY area_code, x, y ORDER BY i)),
+   o AS (SELECT area_code, x, y, i*2 AS i, {cut.split(', ')[0]} AS gx, {cut.split(', ')[1]} AS gy FROM e WHERE hx IS NOT NULL AND ({a}>=0)<>({b}>=0) UNION ALL SELECT area_code, x, y, i*2+1, hx, hy FROM e WHERE hx IS NOT NULL AND {b}>=0)
+   SELECT * FROM o UNION ALL SELECT area_code, x, y, max(i)+1, arg_min(gx,i), arg_min(gy,i) FROM o GROUP BY 1,2,3""", [source])
+
+
+view("zone_side0", f"""SELECT area_code, x, y, i, ({tx('px', '9')}-x)*4096 AS gx, ({ty('py', '9')}-y)*4096 AS gy FROM zone_tile JOIN
+  (SELECT area_code, i, x1 AS px, y1 AS py FROM zone_edge UNION ALL SELECT area_code, 5, x2, y2 FROM zone_edge WHERE i=4) USING (area_code)""", ["zone_tile", "zone_edge"])
+for _n, (_axis, _bound, _sign) in enumerate((("x", "-64", ""), ("x", "4160", "-"), ("y", "-64", ""), ("y", "4160", "-"))):
+    side_views(f"zone_side{_n + 1}", f"zone_side{_n}", _bound, _axis, _sign)
+view("zone_geom", """WITH s AS (SELECT area_code, x, y, i, cast(round_even(gx,0) as integer) AS qx, cast(round_even(gy,0) as integer) AS qy FROM zone_side4),
+  d AS (SELECT *, lag(qx) OVER w AS lx, lag(qy) OVER w AS ly FROM s WINDOW w AS (PARTITION BY area_code, x, y ORDER BY i)),
+  l AS (SELECT area_code, x, y, count(*) AS n, sum(lx*qy-qx*ly) AS turn, list({'x': qx, 'y': qy} ORDER BY i) AS ps FROM d WHERE lx IS DISTINCT FROM qx OR ly IS DISTINCT FROM qy GROUP BY 1,2,3),
+  r AS (SELECT area_code, x, y, ps[:-2] AS ps FROM l WHERE n>=4 AND turn<>0),
+  f AS (SELECT *, list_position(ps, list_min(ps)) AS a FROM r)
+  SELECT area_code, x, y, array_to_string(list_transform(list_concat(ps[a:], ps[:a]), lambda p: p.x||' '||p.y), ',') AS geom FROM f""".replace("ps[:-2]", "ps[1:len(ps)-1]"), ["zone_side4"])
+
+
 def tile_rows(t):
-    """Every layer's content as (zoom, x, y, layer, feature, props)."""
-    towns = settlement_tiles(t).select("zoom", "x", "y", F.lit("nucleos").alias("layer"), c("settlement_id").cast("string").alias("feature"), c("nombre").alias("props"))
-    roads = road_tiles(t).select("zoom", "x", "y", F.lit("carreteras").alias("layer"), c("id_tramo").cast("string").alias("feature"), c("clase").alias("props"))
-    alerts = warning_tiles(t).select("zoom", "x", "y", F.lit("avisos").alias("layer"), c("feature_id").alias("feature"), c("level_label").alias("props"))
+    """Every layer's content as (zoom, x, y, layer, feature, props, geom)."""
+    towns = settlement_tiles(t).select("zoom", "x", "y", F.lit("nucleos").alias("layer"), c("settlement_id").cast("string").alias("feature"), c("nombre").alias("props"), tiles.rings_text(c("grid")).alias("geom"))
+    roads = road_tiles(t).select("zoom", "x", "y", F.lit("carreteras").alias("layer"), c("id_tramo").cast("string").alias("feature"), c("clase").alias("props"), tiles.lines_text(c("grid")).alias("geom"))
+    zones = tiles.quantise(zone_tiles(t)).select("area_code", "zoom", "x", "y", tiles.rings_text(c("grid")).alias("geom"))
+    alerts = warnings_of_zones(t, zones).select("zoom", "x", "y", F.lit("avisos").alias("layer"), c("feature_id").alias("feature"), c("level_label").alias("props"), "geom")
     return towns.unionByName(roads).unionByName(alerts)
 
 
-view("tile_row", """SELECT zoom, x, y, 'nucleos' AS layer, cast(settlement_id as varchar) AS feature, nombre AS props FROM settlement_tile JOIN (SELECT settlement_id, nombre FROM settlement) USING (settlement_id)
-  UNION ALL SELECT zoom, x, y, 'carreteras', cast(id_tramo as varchar), clase FROM road_tile JOIN (SELECT id_tramo, clase FROM road) USING (id_tramo) UNION ALL SELECT 9, x, y, 'avisos', feature_id, level_label FROM feature JOIN zone_tile USING (area_code) WHERE is_warning""",
-     ["settlement_tile", "road_tile", "feature", "zone_tile"])
+view("tile_row", """SELECT zoom, x, y, 'nucleos' AS layer, cast(settlement_id as varchar) AS feature, nombre AS props, rings AS geom FROM settlement_geom JOIN (SELECT settlement_id, nombre FROM settlement) USING (settlement_id)
+  UNION ALL SELECT zoom, x, y, 'carreteras', cast(id_tramo as varchar), clase, geom FROM road_geom JOIN (SELECT id_tramo, clase FROM road) USING (id_tramo) UNION ALL SELECT 9, x, y, 'avisos', feature_id, level_label, geom FROM feature JOIN zone_geom USING (area_code) WHERE is_warning""",
+     ["settlement_geom", "road_geom", "feature", "zone_geom"])
 
 
 @query("m06_tile_rows", with_views("tile_row", "SELECT * FROM tile_row"))
 def m06(t):
-    return tile_rows(t)
+    path = scratch_path(t.spark, "tiles")
+    tiles.write_tiles(tile_rows(t), path)
+    return t.spark.read.parquet(path).drop("strip").withColumn("zoom", c("zoom").cast("int"))
 
 
 @query("m07_tile_feature_counts", with_views("tile_row", "SELECT zoom, x, y, layer, count(*) AS feature_count FROM tile_row GROUP BY ALL"))

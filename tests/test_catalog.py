@@ -10,10 +10,10 @@ import __spark_entry__ as entry
 from tools.check import TABLES, rows_of
 
 SF = "/root/testdata/sf0.001"
-ROWS_ONLY = {"g16_simplified_roads"}
+ROWS_ONLY = set()
 SAMPLE = [
     "s10_hotspot_daily_series", "s03_canonical_warning", "s04_canonical_road", "w02_daily_representative", "w04_running_totals", "j05_nearest_settlement_live",
-    "j06_zone_settlement_most_populated", "g07_dbscan", "p10_alpha_composite", "c32_prompt_sanitising", "a06_cap_records", "b13_manifest_status", "m05_quantised_settlements",
+    "j06_zone_settlement_most_populated", "g07_dbscan", "p10_alpha_composite", "c32_prompt_sanitising", "a06_cap_records", "b13_manifest_status", "m05_quantised_settlements", "m04_road_tiles", "g16_simplified_roads",
 ]
 
 

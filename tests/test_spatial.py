@@ -234,3 +234,57 @@ def test_roads_stored_by_place(spark, tmp_path):
 
     files = len(list((tmp_path / "roads").glob("*.parquet")))
     assert met(spatial.box_around(*point, 1000.0)) <= 3 < met(spatial.box_around(*point, 500000.0)) <= files
+
+
+def plain_simplify(points, tolerance):
+    """Douglas-Peucker by recursion; ties go to the first point."""
+    if len(points) < 3:
+        return points
+    (ax, ay), (bx, by) = points[0], points[-1]
+    dx, dy = bx - ax, by - ay
+    gaps = []
+    for x, y in points[1:-1]:
+        share = min(max(((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy), 0.0), 1.0) if dx or dy else 0.0
+        gaps.append(round(math.hypot(x - ax - share * dx, y - ay - share * dy) / tolerance / 1e-6))
+    far = gaps.index(max(gaps)) + 1
+    if gaps[far - 1] <= 1e6:
+        return [points[0], points[-1]]
+    return plain_simplify(points[: far + 1], tolerance)[:-1] + plain_simplify(points[far:], tolerance)
+
+
+def test_simplified_lines_and_rings(spark):
+    rng = random.Random(3)
+    lines = [(k, [(float(i), rng.gauss(0, 1)) for i in range(rng.randint(0, 40))], rng.choice([0.3, 1.0, 3.0])) for k in range(60)]
+    lines += [(60, None, 1.0), (61, [(0.0, 0.0), (1.0, 0.1), (2.0, 0.0)], 0.0), (62, [(0.0, 0.0), (1.0, 0.1), (2.0, 0.0)], None)]
+    df = spark.createDataFrame(lines, f"id int, line {RING}, tolerance double")
+    got = {r["id"]: r["line"] and [tuple(p) for p in r["line"]] for r in shapes.simplify_lines(df).collect()}
+    assert got[60] is None and len(got[61]) == len(got[62]) == 3
+    for k, line, tolerance in lines[:60]:
+        assert (got[k] or []) == plain_simplify(line, tolerance), k
+    wavy = [(math.cos(a / 50 * math.pi), math.sin(a / 50 * math.pi)) for a in range(100)]
+    wavy.append(wavy[0])
+    rings = spark.createDataFrame([(1, [wavy, square(0.0, 0.0, 0.01)], 0.1), (2, [], 0.1), (3, None, 0.1)], f"id int, line array<{RING}>, tolerance double")
+    out = {r["id"]: r["line"] for r in shapes.simplify_lines(rings).collect()}
+    assert 4 <= len(out[1][0]) < 30 and len(out[1][1]) == 5 and out[2] == [] and out[3] is None
+
+
+def test_line_pieces_in_a_tile(spark):
+    """A line that leaves the tile and comes back gives several pieces; one that only touches a corner of the buffer gives none."""
+    rows = [
+        (1, 0, 0, [(-0.5, 0.25), (0.5, 0.25), (0.5, 2.0), (0.75, 2.0), (0.75, 0.5)]),
+        (2, 0, 0, [(3.0, 3.0), (4.0, 4.0)]),
+        (3, 0, 0, [(-1.0, 0.5), (2.0, 0.5)]),
+        (4, 0, 0, [(0.25, 0.25), (0.25, 0.25)]),
+        (5, 0, 0, []),
+        (6, 0, 0, None),
+    ]
+    df = spark.createDataFrame(rows, f"id int, x int, y int, tile_geom {RING}")
+    got = {r["id"]: r["text"] for r in tiles.quantise_lines(df).select("id", tiles.lines_text(F.col("grid")).alias("text")).collect()}
+    assert got == {1: "-64 1024,2048 1024,2048 4160;3072 4160,3072 2048", 3: "-64 2048,4160 2048"}
+
+
+def test_tiles_written_by_place(spark, tmp_path):
+    rows = spark.range(4000).selectExpr("7 + id % 8 AS zoom", "id * 4 AS x", "id % 100 AS y", "'carreteras' AS layer", "cast(id AS string) AS feature")
+    tiles.write_tiles(rows, str(tmp_path / "tiles"))
+    back = spark.read.parquet(str(tmp_path / "tiles"))
+    assert back.count() == 4000 and back.filter("zoom = 14 AND strip = shiftright(28, 9)").filter("x = 28").count() == 1
