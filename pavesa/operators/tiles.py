@@ -32,22 +32,76 @@ def to_tiles(features: DataFrame, geometry: str, closed: bool = True, tolerance_
     the map plane) ``tile_geom`` is simplified; the tiles are still those of the whole geometry.
     """
     units = lambda line: tile_units(line, F.col("zoom"))
-    placed = geo.computed_once(features, tile_geom=F.transform(F.flatten(geometry), units) if closed else units(F.col(geometry)))
-    whole = "tile_geom"
+    placed = geo.computed_once(features, tile_geom=F.transform(F.flatten(geometry), units) if closed else units(F.col(geometry))).drop(geometry)
+    edges = F.flatten(F.transform("tile_geom", geo.ring_edges)) if closed else geo.ring_edges(F.col("tile_geom"))
+    rows = geo.computed_once(geo.computed_once(placed, _e=edges), _runs=cover(F.col("_e"), closed)).drop("_e")
     if tolerance_m is not None:
         share = tolerance_m / (2 * MERCATOR_HALF_M) * F.pow(F.lit(2.0), F.col("zoom"))
-        placed = shapes.simplify_lines(placed.withColumn("_tolerance", share).withColumn("_whole", F.col("tile_geom")), "tile_geom", "_tolerance")
-        whole = "_whole"
-    if closed:
-        box, edges = geo.ring_bbox(F.flatten(whole)), F.flatten(F.transform(whole, geo.ring_edges))
-    else:
-        box, edges = geo.ring_bbox(F.col(whole)), geo.ring_edges(F.col(whole))
-    boxed = geo.computed_once(placed, _b=box, _e=edges).drop("_whole", "_tolerance")
-    spread = boxed.withColumn("x", F.explode(F.sequence(F.floor("_b.minx"), F.floor("_b.maxx")))).withColumn(
-        "y", F.explode(F.sequence(F.floor("_b.miny"), F.floor("_b.maxy")))
-    )
-    square = (F.col("x").cast("double"), F.col("y").cast("double"), F.col("x") + 1.0, F.col("y") + 1.0)
-    return spread.filter(geo.edges_meet_box(F.col("_e"), square, closed)).drop("_b", "_e")
+        rows = shapes.simplify_lines(rows.withColumn("_tolerance", share), "tile_geom", "_tolerance").drop("_tolerance")
+    runs = rows.withColumn("_run", F.explode("_runs")).drop("_runs")
+    return runs.withColumn("x", F.col("_run.x")).withColumn("y", F.explode(F.sequence("_run.first", "_run.last"))).drop("_run")
+
+
+def cover(edges: Column, closed: bool = True) -> Column:
+    """Unit squares that edges reach into, with those inside when closed: runs ``(x, first, last)`` of squares in one column.
+
+    Each edge gives its own squares, column by column, so the work follows the border and not the bounding box. Between two runs of a
+    column no edge passes, so one point decides about the whole gap, which becomes one run however long it is.
+    """
+
+    def reached(e: Column) -> Column:
+        flat = e.x1 == e.x2
+        slope = (e.y2 - e.y1) / F.nullif(e.x2 - e.x1, F.lit(0.0))
+        low_x, high_x = F.least(e.x1, e.x2), F.greatest(e.x1, e.x2)
+        low_y, high_y = F.least(e.y1, e.y2), F.greatest(e.y1, e.y2)
+
+        def column(x: Column) -> Column:
+            at = lambda v: F.least(F.greatest(e.y1 + (v - e.x1) * slope, low_y), high_y)
+            start, end = at(F.greatest(x.cast("double"), low_x)), at(F.least(x + 1.0, high_x))
+            first = F.when(flat, low_y).otherwise(F.least(start, end))
+            last = F.when(flat, high_y).otherwise(F.greatest(start, end))
+            return F.struct(x.alias("x"), F.floor(first).alias("first"), F.floor(last).alias("last"))
+
+        return F.transform(F.sequence(F.floor(low_x), F.floor(high_x)), column)
+
+    def columns(runs: Column) -> Column:
+        """Sorted runs as a list for each x."""
+        begins = F.filter(F.transform(runs, lambda r, k: F.when((k == 0) | (F.get(runs, k - 1).x != r.x), k)), lambda k: k.isNotNull())
+        return _stretches(begins, F.size(runs), lambda k, end: F.slice(runs, k + 1, end - k))
+
+    def joined(runs: Column) -> Column:
+        """Sorted runs of one column, those that meet or overlap made one; the state is (done runs, open run)."""
+        start = F.struct(F.slice(runs, 1, 0).alias("done"), runs[0].alias("open"))
+
+        def step(s: Column, r: Column) -> Column:
+            longer = F.struct(s.open.x.alias("x"), s.open.first.alias("first"), F.greatest(s.open.last, r.last).alias("last"))
+            return F.when(r.first <= s.open.last + 1, F.struct(s.done.alias("done"), longer.alias("open"))).otherwise(
+                F.struct(F.concat(s.done, F.array(s.open)).alias("done"), r.alias("open"))
+            )
+
+        return F.aggregate(runs, start, step, lambda s: F.concat(s.done, F.array(s.open)))
+
+    def with_gaps(runs: Column) -> Column:
+        def gap(r: Column, k: Column) -> Column:
+            after = F.get(runs, k + 1)
+            inside = geo.covered_by_edges(r.x.cast("double"), (r.last + 1).cast("double"), edges)
+            return F.when(after.isNotNull() & inside, F.struct(r.x.alias("x"), (r.last + 1).alias("first"), (after.first - 1).alias("last")))
+
+        return F.concat(runs, F.filter(F.transform(runs, gap), lambda g: g.isNotNull()))
+
+    # Lists of one element bind what comes before to a variable, so that it is computed once.
+    sorted_ = F.array(F.sort_array(F.flatten(F.transform(edges, reached))))
+    merged = F.transform(F.flatten(F.transform(sorted_, columns)), joined)
+    return F.flatten(F.transform(merged, with_gaps) if closed else merged)
+
+
+def _stretches(begins: Column, n: Column, make) -> Column:
+    """``make(begin, end)`` for each stretch of a list of ``n`` that begins at one of ``begins``.
+
+    Begins and ends are zipped, as a look at the next begin from within a lambda would compute all of them again each time.
+    """
+    ends = F.concat(F.slice(begins, F.lit(2), F.size(begins)), F.array(n))
+    return F.filter(F.zip_with(begins, ends, lambda k, end: F.when(k.isNotNull(), make(k, end))), lambda made: made.isNotNull())
 
 
 def settlement_tolerance(zoom: Column) -> Column:
@@ -109,11 +163,10 @@ def clip_line(line: Column, lo: float, hi: float) -> Column:
             F.transform(kept, lambda e, k: F.when((k == 0) | (e.enter > 0) | (F.get(kept, k - 1).i != e.i - 1), k)), lambda k: k.isNotNull()
         )
 
-        def piece(k: Column, j: Column) -> Column:
-            run = F.slice(kept, k + 1, F.coalesce(F.get(begins, j + 1), n) - k)
-            return F.concat(F.array(at(kept[k], "enter")), F.transform(run, lambda e: at(e, "leave")))
+        def piece(k: Column, end: Column) -> Column:
+            return F.concat(F.array(at(kept[k], "enter")), F.transform(F.slice(kept, k + 1, end - k), lambda e: at(e, "leave")))
 
-        return F.transform(begins, piece)
+        return _stretches(begins, n, piece)
 
     kept = F.filter(F.transform(geo.ring_edges(line), within), lambda e: e.enter <= e.leave)
     # A list of one element binds the kept edges to a variable, so that they are computed once.

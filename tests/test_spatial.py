@@ -288,3 +288,28 @@ def test_tiles_written_by_place(spark, tmp_path):
     tiles.write_tiles(rows, str(tmp_path / "tiles"))
     back = spark.read.parquet(str(tmp_path / "tiles"))
     assert back.count() == 4000 and back.filter("zoom = 14 AND strip = shiftright(28, 9)").filter("x = 28").count() == 1
+
+
+def test_cover_is_the_touched_squares(spark):
+    """Against every square of the bounding box; the rows follow the border when a shape is long."""
+    rng = random.Random(5)
+    shapes_ = []
+    for k in range(40):
+        cx, cy, r, n = rng.uniform(-5, 5), rng.uniform(-5, 5), rng.choice([0.1, 2.0, 6.0]), rng.randint(3, 9)
+        ring = [(cx + r * rng.uniform(0.3, 1) * math.cos(2 * math.pi * i / n), cy + r * rng.uniform(0.3, 1) * math.sin(2 * math.pi * i / n)) for i in range(n)]
+        shapes_.append((k, k % 2 == 0, ring + ring[:1]))
+    df = geo.computed_once(spark.createDataFrame(shapes_, f"id int, closed boolean, ring {RING}"), e=geo.ring_edges(F.col("ring")), b=geo.ring_bbox(F.col("ring")))
+    runs = F.explode(F.when(F.col("closed"), tiles.cover(F.col("e"))).otherwise(tiles.cover(F.col("e"), False))).alias("r")
+    got = df.select("id", runs).select("id", "r.x", F.explode(F.sequence("r.first", "r.last")).alias("y"))
+    box = df.withColumn("x", F.explode(F.sequence(F.floor("b.minx"), F.floor("b.maxx")))).withColumn("y", F.explode(F.sequence(F.floor("b.miny"), F.floor("b.maxy"))))
+    square_ = (F.col("x").cast("double"), F.col("y").cast("double"), F.col("x") + 1.0, F.col("y") + 1.0)
+    want = box.filter(F.when(F.col("closed"), geo.edges_meet_box(F.col("e"), square_)).otherwise(geo.edges_meet_box(F.col("e"), square_, False))).select("id", "x", "y")
+    as_rows = lambda d: sorted(tuple(r) for r in d.collect())
+    assert as_rows(got) == as_rows(want)
+    long_ = spark.createDataFrame([([(0.1, 0.2), (30000.3, 20000.7)],)], f"line {RING}").select(F.explode(tiles.cover(geo.ring_edges(F.col("line")), False)).alias("r"))
+    assert long_.agg(F.sum(F.expr("r.last - r.first + 1"))).first()[0] <= 30001 + 20001
+    country = spark.createDataFrame([(square(2000.5, 2000.5, 1500.25),)], f"ring {RING}").select(F.explode(tiles.cover(geo.ring_edges(F.col("ring")))).alias("r"))
+    n, squares = country.agg(F.count("*"), F.sum(F.expr("r.last - r.first + 1"))).first()
+    assert n <= 4 * 3001 and squares == 3001 * 3001
+    empty = spark.createDataFrame([([],), (None,)], f"ring {RING}")
+    assert empty.select(F.explode(tiles.cover(geo.ring_edges(F.col("ring")))).alias("r")).count() == 0
