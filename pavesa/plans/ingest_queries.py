@@ -228,15 +228,40 @@ def a11(t):
     return landing.read_road_landing(t.spark, path).select("source_fid", "id_tramo", "territory_code", "territory_name", *A11, "situaciond", F.size("line").alias("points"))
 
 
-@query("a12_settlement_landing", with_views("settlement_src", "SELECT source_objectid, nombre, etiqueta, habit_0502, tipo_0502, capit_0502 FROM settlement_src"))
+A12 = [
+    ("ine_0502", "CASE WHEN source_fid % 3 = 0 THEN '' ELSE concat('I', source_fid) END"), ("fecha_ine", "CASE WHEN source_fid % 8 = 0 THEN '' WHEN source_fid % 8 = 1 THEN 'x' ELSE '2023' END"),
+    ("codigo_ep", "concat('EP', source_fid % 90)"), ("id_ep", "source_fid * 3"), ("id_bicca", "''"), ("id_ng", "CASE WHEN source_fid % 2 = 0 THEN source_fid + 7 END"),
+    ("prioridad", "source_fid % 4"), ("f_alta", "'2020-01-01'"),
+]
+A12_TEXT = ["nombre", "etiqueta", "tipo_0502", "capit_0502"]
+
+
+@query("a12_settlement_landing", with_views("settlement_src", f"""SELECT source_objectid, {', '.join(f"nullif({n},'') AS {n}" for n in A12_TEXT)}, habit_0502, CASE WHEN source_fid%3<>0 THEN 'I'||source_fid END AS ine_0502,
+  CASE WHEN source_fid%8>1 THEN 2023.0e0 END AS fecha_ine, 'EP'||(source_fid%90) AS codigo_ep, source_fid*3 AS id_ep, cast(NULL as varchar) AS id_bic, cast(NULL as varchar) AS id_bicca,
+  CASE WHEN source_fid%2=0 THEN source_fid+7 END AS id_ng, cast(source_fid%4 as integer) AS prioridad, '2020-01-01' AS f_alta, CASE WHEN source_fid%5=2 THEN 2 ELSE 1 END AS parts FROM settlement_src"""))
 def a12(t):
-    return t.settlement_src().select("source_objectid", "nombre", "etiqueta", "habit_0502", "tipo_0502", "capit_0502")
+    """The landing lacks one field and has a bad number in another."""
+    rows = t.settlement_src().select("source_objectid", *A12_TEXT, "habit_0502", *(F.expr(e).alias(n) for n, e in A12), "shape")
+    found = landing.read_settlement_landing(t.spark, landed(rows, "settlements"))
+    return found.select(*landing.SETTLEMENT_FIELDS, F.size("shape").alias("parts"))
 
 
-@query("a13_settlement_page_filter", with_views("settlement_src", "SELECT source_fid, nombre, habit_0502 AS habitantes FROM settlement_src WHERE coalesce(habit_0502,0)>=500"))
+@query("a13_settlement_page_filter", with_views("settlement_src", """SELECT nombre, cast(floor(habit_0502) as bigint) AS habitantes, CASE WHEN source_fid%7=0 THEN '' ELSE 'C'||source_fid END AS codine, source_fid%52 AS cpro,
+  capit_0502 AS capital, CASE WHEN source_fid%6=0 THEN NULL ELSE tipo_0502 END AS tipo, lat AS latitud, lon AS longitud, CASE WHEN source_fid%5=2 THEN 2 ELSE 1 END AS parts
+  FROM settlement_src WHERE floor(habit_0502)>=500 AND source_fid%13<>0 AND source_fid%11<>0"""))
 def a13(t):
-    keep = (F.coalesce("habit_0502", F.lit(0.0)) >= 500) & c("shape").isNotNull()
-    return t.settlement_src().filter(keep).select("source_fid", "nombre", c("habit_0502").alias("habitantes"))
+    """Pages of 100 features; some have no geometry, no number of people, an absent code, or a type of null."""
+    fid = c("source_fid")
+    given = F.struct("nombre", F.when(fid % 13 != 0, F.floor("habit_0502")).alias("habitantes"), F.when(fid % 7 != 0, F.concat(F.lit("C"), fid)).alias("codine"),
+                     (fid % 52).alias("cpro"), c("capit_0502").alias("capital"), F.when(fid % 6 != 0, c("tipo_0502")).alias("tipo"), c("lat").alias("latitud"), c("lon").alias("longitud"))
+    text = F.to_json(given)
+    text = F.when(fid % 6 == 0, F.concat(F.lit('{"tipo":null,'), F.substr(text, F.lit(2)))).otherwise(text)
+    shape = F.when(fid % 11 == 0, F.lit("null")).otherwise(geo.shape_geojson(c("shape")))
+    feature = F.concat(F.lit('{"type":"Feature","properties":'), text, F.lit(',"geometry":'), shape, F.lit("}"))
+    pages = t.settlement_src().groupBy(F.floor(fid / 100).alias("page")).agg(F.collect_list(feature).alias("features"))
+    path = landed(pages.select(F.concat(F.lit('{"features":['), F.array_join("features", ","), F.lit("]}")).alias("value")), "settlement-pages", "text")
+    found = landing.read_settlement_pages(t.spark, path)
+    return found.select(*landing.PAGE_FIELDS, F.size("polygons").alias("parts"))
 
 
 PLACES_JSON = json.dumps({"ccaa": K.PLACE_REGIONS, "provincias": K.PLACE_PROVINCES})

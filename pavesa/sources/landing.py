@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pavesa.functions import geo
 from pavesa.functions import parameters as P
 from pavesa.functions import scalar as S
 
@@ -125,9 +126,12 @@ def read_boundary_features(spark: SparkSession, path: str, id_property: str) ->
     files = spark.read.schema(GEOJSON).json(path, multiLine=True)
     single = F.array(F.struct(F.col("type"), F.col("properties"), F.col("geometry")))
     f = files.select(F.explode(F.when(F.col("type") == "FeatureCollection", F.col("features")).otherwise(single)).alias("f"))
-    kind, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
-    polygons = F.when(kind == "Polygon", F.array(F.from_json(text, RINGS))).when(kind == "MultiPolygon", F.from_json(text, f"array<{RINGS}>"))
-    return f.select(F.col("f.properties")[id_property].alias("part"), kind.alias("geometry_type"), polygons.alias("polygons"))
+    return f.select(F.col("f.properties")[id_property].alias("part"), F.col("f.geometry.type").alias("geometry_type"), _polygons("f.geometry").alias("polygons"))
+
+
+def _polygons(geometry: str) -> Column:
+    kind, text = F.col(f"{geometry}.type"), F.col(f"{geometry}.coordinates")
+    return F.when(kind == "Polygon", F.array(F.from_json(text, RINGS))).when(kind == "MultiPolygon", F.from_json(text, f"array<{RINGS}>"))
 
 
 def read_boundary_edges(spark: SparkSession, path: str, id_property: str) -> DataFrame:
@@ -170,6 +174,52 @@ def read_road_landing(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+#: Fields of a landed settlement feature besides its shape, with their types.
+SETTLEMENT_FIELDS = {
+    "source_objectid": "bigint", "nombre": "string", "etiqueta": "string", "tipo_0502": "string", "ine_0502": "string", "fecha_ine": "double", "habit_0502": "double",
+    "codigo_ep": "string", "id_ep": "bigint", "id_bic": "string", "id_bicca": "string", "id_ng": "bigint", "prioridad": "int", "f_alta": "string", "capit_0502": "string",
+}
+
+
+def read_settlement_landing(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
+    """Settlement features landed as Parquet, in a fixed projection: empty texts, unreadable numbers and absent fields are NULL.
+
+    A limit above 0 takes that many features, as a load on trial does.
+    """
+    rows = spark.read.parquet(path)
+
+    def field(name: str, kind: str) -> Column:
+        value = F.nullif(F.col(name).cast("string"), F.lit("")) if name in rows.columns else F.lit(None)
+        return (value.cast("string") if kind == "string" else value.try_cast(kind)).alias(name)
+
+    found = geo.with_shape(rows).select(*(field(n, k) for n, k in SETTLEMENT_FIELDS.items()), "shape")
+    return found.limit(limit) if limit > 0 else found
+
+
+#: Fields kept of a settlement on an answer page: type, and the value where a feature lacks the field.
+PAGE_FIELDS = {
+    "nombre": ("string", ""), "habitantes": ("bigint", 0), "codine": ("string", ""), "cpro": ("bigint", 0), "capital": ("string", ""), "tipo": ("string", ""),
+    "latitud": ("double", 0.0), "longitud": ("double", 0.0),
+}
+
+
+def read_settlement_pages(spark: SparkSession, path: str, min_people: int = 500) -> DataFrame:
+    """Answer pages (``{"features": [...]}``, a page per file or line): populous settlements with a geometry, as nine fields.
+
+    A feature without the number of people counts as 0; a field given as null stays NULL, an absent one gets its default.
+    """
+    pages = spark.read.schema(f"features array<struct<properties:map<string,string>, {GEOMETRY}>>").json(path)
+    f = pages.select(F.explode("features").alias("f")).filter("f.geometry IS NOT NULL")
+    given = F.col("f.properties")
+    people = F.coalesce(given["habitantes"].try_cast("bigint"), F.lit(0))
+
+    def field(name: str, kind: str, default) -> Column:
+        return F.when(F.map_contains_key(given, F.lit(name)), given[name].try_cast(kind)).otherwise(F.lit(default).cast(kind)).alias(name)
+
+    kept = f.filter(people >= min_people)
+    return kept.select(_polygons("f.geometry").alias("polygons"), *(field(n, k, v) for n, (k, v) in PAGE_FIELDS.items()))
+
+
 def read_day_manifests(spark: SparkSession, path: str, schema: str, date_from: str, date_to: str) -> DataFrame:
     """One JSON manifest per day; the day in the file path decides."""
     rows = spark.read.schema(schema).option("recursiveFileLookup", "true").json(path)

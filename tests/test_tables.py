@@ -335,3 +335,26 @@ def test_csv_columns_of_a_wide_header(spark, tmp_path):
     (tmp_path / "narrow.csv").write_text("latitude,longitude\n41,-4\n")
     rows = landing.read_hotspot_csv(spark, str(tmp_path)).select("latitude", "longitude", "frp").collect()
     assert sorted(map(tuple, rows), key=str) == [("40.5", "-3.5", "7"), ("41", "-4", None)]
+
+
+def test_settlement_landing_and_pages(spark, tmp_path):
+    """Absent fields, empty texts and bad numbers are NULL; pages without features, geometry or people give no rows."""
+    box = [[[[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)]]]]
+    rows = spark.createDataFrame([(1, "", "x", 7, box[0]), (2, " ", "12.5", None, None)], "source_objectid bigint, nombre string, fecha_ine string, extra int, shape array<array<array<struct<x:double,y:double>>>>")
+    rows.write.parquet(str(tmp_path / "landing"))
+    got = {r["source_objectid"]: r for r in landing.read_settlement_landing(spark, str(tmp_path / "landing")).collect()}
+    assert len(got[1]) == 16 and got[1]["nombre"] is None and got[2]["nombre"] == " " and got[1]["fecha_ine"] is None and got[2]["fecha_ine"] == 12.5 and got[2]["shape"] is None
+    assert landing.read_settlement_landing(spark, str(tmp_path / "landing"), 1).count() == 1
+    point = '"geometry":{"type":"Point","coordinates":[1,2]}'
+    pages = [
+        '{"features":[]}',
+        "{}",
+        '{"features":[{"properties":{"nombre":"A","habitantes":500},' + point + '},{"properties":{"nombre":"B","habitantes":499},' + point + '},{"properties":{"habitantes":900},"geometry":null}]}',
+        '{"features":[{"properties":{"nombre":null,"habitantes":501,"cpro":"x"},"geometry":{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]]]}},{"properties":null,' + point + "}]}",
+    ]
+    (tmp_path / "pages").mkdir()
+    (tmp_path / "pages" / "p.json").write_text("\n".join(pages))
+    found = {r["habitantes"]: r for r in landing.read_settlement_pages(spark, str(tmp_path / "pages")).collect()}
+    assert set(found) == {500, 501}
+    assert (found[500]["nombre"], found[500]["codine"], found[500]["cpro"], found[500]["polygons"]) == ("A", "", 0, None)
+    assert found[501]["nombre"] is None and found[501]["cpro"] is None and len(found[501]["polygons"]) == 1
