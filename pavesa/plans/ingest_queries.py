@@ -17,7 +17,7 @@ from pavesa import constants as K
 from pavesa.functions import geo
 from pavesa.functions import parameters as P
 from pavesa.functions import scalar as S
-from pavesa.operators import canonical, lookup, merge, quality, regions
+from pavesa.operators import canonical, lookup, merge, quality, regions, spatial
 from pavesa.plans import pipeline, reports
 from pavesa.plans.domain_sql import view, with_views
 from pavesa.plans.refine_queries import day_text, time_sql, time_text
@@ -124,7 +124,9 @@ def cap_messages(t):
         F.lit('<?xml version="1.0" encoding="UTF-8"?><alert xmlns="urn:oasis:names:tc:emergency:cap:1.2">'), tag("identifier", c("cap_identifier")),
         tag("sent", iso("sent_at")), info("es-ES"), info("en-GB"), F.lit("</alert>"),
     )
-    return t.warning_src().join(zones, "area_code").select("source_record_id", "cap_identifier", payload.alias("payload"))
+    # A message costs far more than its record, so the records go to all tasks before they are written out.
+    records = spatial.spread(t.warning_src(), "source_record_id")
+    return records.join(zones, "area_code").select("source_record_id", "cap_identifier", payload.alias("payload"))
 
 
 def packed(t):
@@ -133,13 +135,14 @@ def packed(t):
 
     def pack(batches):
         def tar(members):
+            """What ``TarFile.addfile`` writes, without a file object for each member."""
             buffer = io.BytesIO()
-            with tarfile.open(fileobj=buffer, mode="w") as archive:
-                for name, body in members:
-                    info = tarfile.TarInfo(name)
-                    info.size = len(body)
-                    archive.addfile(info, io.BytesIO(body))
-            return buffer.getvalue()
+            for name, body in members:
+                info = tarfile.TarInfo(name)
+                info.size = len(body)
+                buffer.write(info.tobuf() + body + bytes(-len(body) % tarfile.BLOCKSIZE))
+            buffer.write(bytes(2 * tarfile.BLOCKSIZE))
+            return buffer.getvalue() + bytes(-buffer.tell() % tarfile.RECORDSIZE)
 
         for batch in batches:
             content = []

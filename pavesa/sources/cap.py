@@ -14,19 +14,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pavesa import constants as K
+from pavesa.functions import geo
 from pavesa.functions import scalar as S
 
 PAIR = "array<struct<valueName:string,value:string>>"
 AREA = f"array<struct<areaDesc:string,polygon:string,geocode:{PAIR}>>"
-INFO = (
-    f"array<struct<language:string,event:string,urgency:string,severity:string,certainty:string,effective:string,onset:string,expires:string,"
-    f"headline:string,description:string,instruction:string,eventCode:{PAIR},parameter:{PAIR},area:{AREA}>>"
-)
-ALERT = f"identifier string, sender string, sent string, status string, msgType string, scope string, info {INFO}"
+INFO = f"array<struct<language:string,event:string,onset:string,expires:string,description:string,eventCode:{PAIR},parameter:{PAIR},area:{AREA}>>"
+#: Only elements that are read: the parser skips the others without building them.
+ALERT = f"identifier string, sent string, info {INFO}"
+LIVE_ALERT = "identifier string, info array<struct<event:string,onset:string,expires:string,area:array<struct<areaDesc:string,polygon:string>>>>"
 
 
 #: Messages handed on at a time; memory holds one member and these.
 MESSAGES = 200
+#: Members up to this size are read in one piece, larger ones as a stream.
+SMALL_MEMBER = 1 << 20
+#: First bytes of bzip2, xz and lzma.
+PACKED = (b"BZh", b"\xfd7zXZ", b"]\x00\x00")
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -42,17 +46,25 @@ def members(name: str, stream: BinaryIO) -> Iterator[tuple[str, bytes]]:
             waiting.pop()
             continue
         stream = stream if stream.seekable() else io.BytesIO(stream.read())
-        start = stream.read(2)
+        start = stream.read(tarfile.BLOCKSIZE)
         stream.seek(0)
-        if start == b"\x1f\x8b":
+        if start[:2] == b"\x1f\x8b":
             waiting.append(iter([(name, gzip.GzipFile(fileobj=stream))]))
-        elif _is_tar(stream):
+        elif _is_tar(stream, start):
             waiting.append(_entries(name, stream))
         elif (body := stream.read()).lstrip().startswith(b"<?xml"):
             yield name, body
 
 
-def _is_tar(stream: BinaryIO) -> bool:
+def _is_tar(stream: BinaryIO, start: bytes) -> bool:
+    """``tarfile.is_tarfile`` tries every compression on what isn't a tar; a first block without a valid checksum saves that."""
+    if not start.startswith(PACKED):
+        try:
+            tarfile.TarInfo.frombuf(start, tarfile.ENCODING, "surrogateescape")
+        except tarfile.EOFHeaderError:
+            pass  # a tar without members starts with a block of zeros
+        except tarfile.HeaderError:
+            return False
     found = tarfile.is_tarfile(stream)
     stream.seek(0)
     return found
@@ -62,7 +74,16 @@ def _entries(name: str, stream: BinaryIO) -> Iterator[tuple[str, BinaryIO]]:
     with tarfile.open(fileobj=stream, mode="r:") as archive:
         for entry in archive:
             if entry.isfile():
-                yield f"{name}/{entry.name}", archive.extractfile(entry)
+                small = entry.size <= SMALL_MEMBER and not entry.issparse()
+                yield f"{name}/{entry.name}", _at_once(stream, entry) if small else archive.extractfile(entry)
+
+
+def _at_once(stream: BinaryIO, entry: tarfile.TarInfo) -> BinaryIO:
+    stream.seek(entry.offset_data)
+    content = stream.read(entry.size)
+    if len(content) < entry.size:
+        raise tarfile.ReadError("unexpected end of data")
+    return io.BytesIO(content)
 
 
 def unpack(archives: DataFrame) -> DataFrame:
@@ -70,46 +91,54 @@ def unpack(archives: DataFrame) -> DataFrame:
     columns = ["path", "member_path", "payload", "error"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Rows of many small archives go on together: a frame for each archive costs more than reading it.
+        found = []
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                found = []
                 try:
                     for name, body in members(path.rsplit("/", 1)[-1], io.BytesIO(content)):
                         found.append((path, name, body.decode("utf-8", "replace"), None))
-                        if len(found) == MESSAGES:
+                        if len(found) >= MESSAGES:
                             yield pd.DataFrame(found, columns=columns)
                             found = []
                 except (OSError, EOFError, zlib.error, tarfile.TarError) as broken:
                     found.append((path, None, None, f"{type(broken).__name__}: {broken}"))
-                if found:
-                    yield pd.DataFrame(found, columns=columns)
+        if found:
+            yield pd.DataFrame(found, columns=columns)
 
     return archives.mapInPandas(run, "path string, member_path string, payload string, error string")
 
 
+def parsed(messages: DataFrame, schema: str) -> DataFrame:
+    """Messages with ``a``, the parsed alert, in place of ``payload``. Each text is parsed once, whatever later filters and columns ask of it."""
+    return geo.computed_once(messages, a=F.from_xml("payload", schema, {"rowTag": "alert"})).drop("payload")
+
+
 def parse(messages: DataFrame) -> DataFrame:
     """One row per heat-warning area: Spanish text, phenomenon AT, both validity times, a named area."""
-    alert = messages.withColumn("a", F.from_xml("payload", ALERT, {"rowTag": "alert"})).filter("a.identifier IS NOT NULL")
-    info = alert.withColumn("i", F.explode("a.info"))
-    event_code = S.coded_value(F.col("i.eventCode"), K.CAP_EVENT_NAME)
-    code, phenomenon, _ = S.coded_parts(event_code)
-    info = info.withColumn("phenomenon_code", code).withColumn("phenomenon_label", F.coalesce(phenomenon, F.lit("Temperaturas máximas")))
+    kept = [c for c in messages.columns if c != "payload"]
+    info = parsed(messages, ALERT).filter("a.identifier IS NOT NULL").withColumn("i", F.explode("a.info"))
     info = info.filter(
-        F.lower(F.trim("i.language")).startswith("es") & (F.col("phenomenon_code") == "AT")
-        & S.blank_to_null(F.col("i.onset")).isNotNull() & S.blank_to_null(F.col("i.expires")).isNotNull()
+        F.lower(F.trim("i.language")).startswith("es") & S.blank_to_null(F.col("i.onset")).isNotNull() & S.blank_to_null(F.col("i.expires")).isNotNull()
+    )
+    info = geo.computed_once(info, event_code=S.coded_value(F.col("i.eventCode"), K.CAP_EVENT_NAME), parameter=S.coded_value(F.col("i.parameter"), K.CAP_PARAMETER_NAME))
+    code, phenomenon, _ = S.coded_parts(F.col("event_code"))
+    info = info.filter(code == "AT")
+    p_code, p_label, p_value = S.coded_parts(F.col("parameter"))
+    label = F.coalesce(phenomenon, F.lit("Temperaturas máximas"))
+    info = geo.computed_once(
+        info, phenomenon_code=code, phenomenon_label=label, event_text=F.coalesce(S.blank_to_null(F.col("i.event")), label),
+        level=S.coded_value(F.col("i.parameter"), K.CAP_LEVEL_NAME), parameter_code=p_code, parameter_label=p_label, parameter_value=p_value,
     )
-    level = S.coded_value(F.col("i.parameter"), K.CAP_LEVEL_NAME)
-    parameter = S.coded_value(F.col("i.parameter"), K.CAP_PARAMETER_NAME)
-    p_code, p_label, p_value = S.coded_parts(parameter)
-    event = F.coalesce(S.blank_to_null(F.col("i.event")), F.col("phenomenon_label"))
+    level, event, value = F.col("level"), F.col("event_text"), F.col("parameter_value")
     area = info.withColumn("r", F.explode_outer("i.area")).filter(S.blank_to_null(F.col("r.areaDesc")).isNotNull())
     return area.select(
-        *[c for c in messages.columns if c != "payload"],
+        *kept,
         F.trim("a.identifier").alias("cap_identifier"), S.catalog_time(F.trim("a.sent")).alias("sent_at"), F.trim("i.language").alias("language"),
         "phenomenon_code", "phenomenon_label", S.level_code(level, event).alias("level_code"), S.level_label(level, event).alias("level_label"),
-        p_code.alias("parameter_code"), p_label.alias("parameter_label"), p_value.alias("parameter_value"),
+        "parameter_code", "parameter_label", "parameter_value",
         S.coded_value(F.col("i.parameter"), K.CAP_PROBABILITY_NAME).alias("probability"),
-        S.temperature_c(F.coalesce(F.nullif(p_value, F.lit("")), parameter), F.col("i.description")).alias("temperature_max_c"),
+        S.temperature_c(F.coalesce(F.nullif(value, F.lit("")), F.col("parameter")), F.col("i.description")).alias("temperature_max_c"),
         S.catalog_time(F.trim("i.onset")).alias("onset_at"), S.catalog_time(F.trim("i.expires")).alias("expires_at"),
         F.trim("r.areaDesc").alias("area_name"), S.coded_value(F.col("r.geocode"), K.CAP_ZONE_NAME).alias("area_code"),
         S.polygon_ring(F.col("r.polygon")).alias("ring"),
@@ -118,16 +147,18 @@ def parse(messages: DataFrame) -> DataFrame:
 
 def parse_live(messages: DataFrame) -> DataFrame:
     """First info and first area only, naive 19-character times, level from the event text."""
-    a = F.from_xml("payload", ALERT, {"rowTag": "alert"})
-    rows = messages.withColumn("a", a).withColumn("i", F.get("a.info", F.lit(0))).withColumn("r", F.get("i.area", F.lit(0)))
+    first = lambda array: F.get(array, F.lit(0))
     naive = lambda c: F.try_to_timestamp(F.left(F.trim(c), F.lit(19)), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
-    event = F.coalesce(S.blank_to_null(F.col("i.event")), F.lit("Desconocido"))
-    out = rows.select(
-        F.trim("a.identifier").alias("id"), S.live_event_title(event).alias("event"), S.live_level(event).alias("level"),
-        S.level_color(S.live_level(event)).alias("level_color"), F.when(F.col("r").isNull(), "España").otherwise(F.trim("r.areaDesc")).alias("area_name"),
-        naive(F.col("i.onset")).alias("onset"), naive(F.col("i.expires")).alias("expires"), F.col("r.polygon").alias("polygon"),
+    i = first(F.col("a.info"))
+    rows = parsed(messages.select("payload"), LIVE_ALERT).filter("a.identifier IS NOT NULL")
+    rows = geo.computed_once(
+        rows, id=F.trim("a.identifier"), title=F.coalesce(S.blank_to_null(i.event), F.lit("Desconocido")), r=first(i.area), onset=naive(i.onset), expires=naive(i.expires)
+    ).filter("id <> '' AND onset IS NOT NULL AND expires IS NOT NULL")
+    rows = geo.computed_once(rows, event=S.live_event_title(F.col("title")), level=S.live_level(F.col("title")))
+    return rows.select(
+        "id", "event", "level", S.level_color(F.col("level")).alias("level_color"),
+        F.when(F.col("r").isNull(), "España").otherwise(F.trim("r.areaDesc")).alias("area_name"), "onset", "expires", F.col("r.polygon").alias("polygon"),
     )
-    return out.filter("id IS NOT NULL AND id <> '' AND onset IS NOT NULL AND expires IS NOT NULL")
 
 
 ROAD_MEMBER = "localId string, gmlId string, posList string"

@@ -248,6 +248,26 @@ def test_broken_archive_is_a_row(spark):
     assert rows["x/good.gz"]["payload"].strip().startswith("<?xml") and rows["x/bad.gz"]["error"] and set(rows) == {"x/good.gz", "x/bad.gz"}
 
 
+def test_small_archives_are_not_probed_member_by_member(spark, monkeypatch):
+    inner = gzip.compress(tar_of([("m0.xml", b"<?xml a"), ("m1.xml", b"  <?xml b"), ("note.txt", b"no"), ("empty", b"")]))
+    probed, real = [], tarfile.is_tarfile
+    monkeypatch.setattr(tarfile, "is_tarfile", lambda stream: probed.append(1) or real(stream))
+    found = list(cap.members("x", io.BytesIO(tar_of([("in.tar.gz", inner), ("none.tar", tar_of([]))]))))
+    assert found == [("x/in.tar.gz/m0.xml", b"<?xml a"), ("x/in.tar.gz/m1.xml", b"  <?xml b")]
+    assert len(probed) == 3  # the three tars, none of the members
+    files = spark.createDataFrame([(f"a{i}", bytearray(inner)) for i in range(50)], "path string, content binary").coalesce(1)
+    rows = cap.unpack(files).collect()
+    assert sorted(r["path"] for r in rows) == sorted(f"a{i}" for i in range(50) for _ in range(2))
+
+
+def test_alert_text_is_parsed_once(spark):
+    messages = spark.createDataFrame([(1, CAP_XML.format(1)), (2, "<?xml broken")], "n int, payload string")
+    for parse in (cap.parse, cap.parse_live):
+        plan = parse(messages)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.lower().count("from_xml(") + plan.lower().count("xmltostructs(") == 1
+        assert parse(messages).count() == (2 if parse is cap.parse else 1)
+
+
 def test_csv_row_numbers_cover_split_files(spark, tmp_path):
     lines = ["latitude,longitude,acq_date,satellite"] + [f"40.{i},-3.{i},2024-01-01,N" for i in range(500)]
     (tmp_path / "a.csv").write_text("\n".join(lines))
