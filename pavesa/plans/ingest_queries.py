@@ -227,7 +227,7 @@ A11 = ["clase", "ncarriles", "nombre", "nombre_alt", "codigo", "titulard", "titu
 @query("a11_road_landing", with_views("road_src", f"""SELECT source_fid, id_tramo, regexp_extract(source_zip_name,'^RT_(.*)_gpkg.zip$',1) AS territory_code, 'Provincia '||regexp_extract(source_zip_name,'PROVINCIA_([0-9]+)',1) AS territory_name,
   clase_raw AS clase, nullif(ncarriles,'') AS ncarriles, {', '.join(f"nullif({n},'') AS {n}" for n in A11[2:] if n not in landing.ROAD_NUMBERS)}, titular, sentido, orden, cast(NULL as varchar) AS situaciond, 5 AS points FROM road_src"""))
 def a11(t):
-    path = landed(t.road_src().repartition("source_zip_name"), "roads", "parquet", ["source_zip_name"])
+    path = landed(t.road_src().hint("rebalance", c("source_zip_name")), "roads", "parquet", ["source_zip_name"])
     return landing.read_road_landing(t.spark, path).select("source_fid", "id_tramo", "territory_code", "territory_name", *A11, "situaciond", F.size("line").alias("points"))
 
 
