@@ -198,6 +198,37 @@ def test_tiles_of_parts(spark):
     assert sorted({r["x"] for r in out}) == [128, 134] and all(r["rings"].count(";") == 0 and r["rings"].count(",") == 4 for r in out)
 
 
+def test_layers_of_covers_leave_few_candidates(spark):
+    """100 squares over the same place: only the lowest ids can win, and the answer is that of testing all."""
+    rows = [(100 - i, [[square(0.01 * (i % 7), 40.0 + 0.01 * (i % 5), 0.2)]]) for i in range(100)] + [(None, [[square(0.0, 40.0, 0.2)]]), (200, [[square(3.0, 40.0, 0.01)]])]
+    covers = spark.createDataFrame(rows, f"shape_id bigint, shape {SHAPE}")
+    points = spark.createDataFrame([(0.013 * i - 0.3, 39.7 + 0.017 * (i * 7 % 40)) for i in range(50)] + [(3.0, 40.0)], "px double, py double")
+    got = {(r["px"], r["py"]): r["shape_id"] for r in spatial.shape_at_point(points, covers).collect()}
+    inside = geo.covered_by_edges(F.col("px"), F.col("py"), geo.shape_edges(F.col("shape")))
+    plain = points.distinct().crossJoin(covers).filter(inside).groupBy("px", "py").agg(F.min("shape_id").alias("shape_id"))
+    assert got == {(r["px"], r["py"]): r["shape_id"] for r in plain.collect()} and len(got) > 5
+    edged = covers.select("shape_id", geo.shape_edges(F.col("shape")).alias("edges"), geo.shape_bbox(F.col("shape")).alias("b"))
+    found = spatial.lowest_of_cell(edged, 0.03125).groupBy("gx", "gy").count().filter("gx = 0 AND gy = 1280").collect()
+    assert found[0]["count"] <= 2
+
+
+def test_roads_around_pick_the_line_among_all_rows(spark, tmp_path):
+    """The row in the box isn't the one that stands for its id, so the id has no road there; ids without rows in the box are left out."""
+    from types import SimpleNamespace
+
+    from pavesa.plans import pipeline
+
+    base = "0 AS id_vial, 'c' AS clased, ' n ' AS nombre, '1' AS ncarriles, 'RT_PROVINCIA_1_gpkg.zip' AS source_zip_name, timestamp'2024-01-01' AS imported_at"
+    rows = spark.createDataFrame(
+        [(1, 1, 5, [(0.0, 40.0), (0.1, 40.0)]), (1, 2, 1, [(5.0, 40.0), (5.1, 40.0)]), (2, 3, 1, [(0.0, 40.0), (0.0, 40.1)]), (3, 4, 1, [(7.0, 40.0), (7.1, 40.0)])],
+        f"id_tramo bigint, source_fid bigint, clase_raw bigint, line {RING}",
+    ).selectExpr("*", *base.split(", "))
+    box = spatial.box_around(0.0, 40.0, 20000.0)
+    around = pipeline.roads_around(SimpleNamespace(spark=spark, road_src=lambda: rows), box)
+    assert sorted((r["id_tramo"], r["source_fid"]) for r in around.collect()) == [(1, 2), (2, 3)]
+    assert [r["id_tramo"] for r in spatial.roads_near(around, 0.0, 40.0, 20000.0).collect()] == [2]
+
+
 def test_landcover_hole_and_island(spark):
     covers = spark.createDataFrame([(5, odd_shape(0.0, 40.0, 0.4))], f"shape_id bigint, shape {SHAPE}")
     points = spark.createDataFrame([(0.0, 40.0), (0.3, 40.0), (1.2, 40.8), (0.8, 40.4), (0.2, 40.0)], "px double, py double")
