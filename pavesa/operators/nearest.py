@@ -1,9 +1,9 @@
 """Nearest shape per point, exact, by branch and bound over a grid hierarchy.
 
 Shapes are grouped into ever smaller grid cells; each cell keeps the tight box around its shapes.
-A point walks down: it keeps only the cells whose nearest edge is no farther than the best
-guarantee found so far. The rows per point stay few however many shapes share a place, so no
-group of points times shapes is ever paired up.
+The points of one small cell walk down together: they keep only the shape cells whose nearest edge is no farther
+than the best guarantee found so far. The shapes left are listed in pieces of a bounded length, from which each point
+takes those that can still be its nearest, so no group of points times shapes is ever measured.
 """
 
 from __future__ import annotations
@@ -12,9 +12,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pavesa.functions import geo
+from pavesa.operators.spatial import spread
 
 LEVELS = [0.5, 0.0625, 0.0078125, 0.0009765625]
 SLACK = 2e-9
+#: Cells of points that walk down together, by WIDE x WIDE of them to the second level; shapes in a piece of their list.
+TOGETHER, WIDE = LEVELS[2], 8
+PIECE = 64
+BOX = ["minx", "miny", "maxx", "maxy"]
 
 
 def _key(level: int) -> Column:
@@ -44,21 +49,28 @@ class Reach:
         widest = F.cos(F.radians(F.least(F.greatest(F.abs(miny), F.abs(maxy)) + dy, F.lit(89.0))))
         return F.lit(dy) / widest, F.lit(dy)
 
-    def bounds(self, px: Column, py: Column, box: Column) -> tuple[Column, Column, Column]:
-        """(possible, least degrees, degrees within which a member surely lies)."""
+    def bounds(self, at: Column, box: Column) -> tuple[Column, Column, Column]:
+        """(possible, least degrees, degrees within which a member surely lies), for all points of the box ``at``.
+
+        Some member touches each side of a tight box, so from each side's farthest corner there is a guarantee.
+        """
         zero = F.lit(0.0)
-        dx = F.greatest(box.minx - px, px - box.maxx, zero)
-        dy = F.greatest(box.miny - py, py - box.maxy, zero)
-        fx = F.greatest(F.abs(px - box.minx), F.abs(px - box.maxx))
-        fy = F.greatest(F.abs(py - box.miny), F.abs(py - box.maxy))
-        near, far = F.sqrt(dx * dx + dy * dy), F.sqrt(fx * fx + fy * fy)
+        dx = F.greatest(box.minx - at.maxx, at.minx - box.maxx, zero)
+        dy = F.greatest(box.miny - at.maxy, at.miny - box.maxy, zero)
+        fx = F.greatest(at.maxx - box.minx, box.maxx - at.minx)
+        fy = F.greatest(at.maxy - box.miny, box.maxy - at.miny)
+        side = lambda v, low, high: F.greatest(F.abs(low - v), F.abs(high - v))
+        sidex = F.least(side(box.minx, at.minx, at.maxx), side(box.maxx, at.minx, at.maxx))
+        sidey = F.least(side(box.miny, at.miny, at.maxy), side(box.maxy, at.miny, at.maxy))
+        near, far = F.sqrt(dx * dx + dy * dy), F.sqrt(F.least(sidex * sidex + fy * fy, fx * fx + sidey * sidey))
         possible, sure = F.lit(True), F.lit(True)
         if self.within_deg is not None:
             possible = possible & (near <= self.within_deg * (1 + 1e-12))
         if self.within_m is not None:
-            sx, sy = geo.metre_scale(py)
-            possible = possible & (F.sqrt(F.pow(dx * sx, 2) + F.pow(dy * sy, 2)) <= self.within_m * (1 + 1e-9))
-            sure = sure & (F.sqrt(F.pow(fx * sx, 2) + F.pow(fy * sy, 2)) <= self.within_m * (1 - 1e-9))
+            least_sx, sy = geo.metre_scale(F.greatest(F.abs(at.miny), F.abs(at.maxy)))
+            most_sx, _ = geo.metre_scale(F.greatest(at.miny, -at.maxy, zero))
+            possible = possible & (F.sqrt(F.pow(dx * least_sx, 2) + F.pow(dy * sy, 2)) <= self.within_m * (1 + 1e-9))
+            sure = sure & (F.sqrt(F.pow(fx * most_sx, 2) + F.pow(fy * sy, 2)) <= self.within_m * (1 - 1e-9))
         if self.box_deg is not None:
             possible = possible & (dx <= self.box_deg) & (dy <= self.box_deg)
             sure = sure & (fx <= self.box_deg) & (fy <= self.box_deg)
@@ -66,7 +78,7 @@ class Reach:
 
 
 def _prune(frontier: DataFrame) -> DataFrame:
-    best = F.min("ub").over(Window.partitionBy("pid"))
+    best = F.min("ub").over(Window.partitionBy("qx", "qy"))
     return frontier.withColumn("best", F.least("best", best)).filter(F.col("lb") <= F.col("best") + SLACK).drop("ub")
 
 
@@ -79,6 +91,7 @@ def nearest_shape(points: DataFrame, shapes: DataFrame, reach: Reach, exact_m: f
     distinct = geo.with_shape(shapes).groupBy("shape").agg(F.min("shape_id").alias("shape_id"))
     s = distinct.withColumn("_b", geo.shape_bbox(F.col("shape"))).select("shape_id", "shape", "_b.*")
     s = s.withColumn("cx", (F.col("minx") + F.col("maxx")) / 2).withColumn("cy", (F.col("miny") + F.col("maxy")) / 2)
+    s = s.withColumn("shape_key", F.xxhash64("shape_id", *BOX))
     for i in range(len(LEVELS)):
         s = s.withColumn(f"k{i}", _key(i))
 
@@ -89,48 +102,66 @@ def nearest_shape(points: DataFrame, shapes: DataFrame, reach: Reach, exact_m: f
     cover = (
         top.withColumn("gx", F.explode(F.sequence(F.floor((F.col("minx") - mx) / size), F.floor((F.col("maxx") + mx) / size))))
         .withColumn("gy", F.explode(F.sequence(F.floor((F.col("miny") - my) / size), F.floor((F.col("maxy") + my) / size))))
-        .select("gx", "gy", F.struct(F.col("k0").alias("key"), "minx", "miny", "maxx", "maxy").alias("child"))
-    )
-    possible, lb, ub = reach.bounds(px, py, F.col("child"))
-    frontier = (
-        points.select("pid", "px", "py", F.floor(px / size).alias("gx"), F.floor(py / size).alias("gy"))
-        .join(cover, ["gx", "gy"])
-        .filter(possible)
-        .select("pid", "px", "py", F.col("child.key").alias("node"), lb.alias("lb"), ub.alias("ub"), F.lit(float("inf")).alias("best"))
+        .select("gx", "gy", F.struct(F.col("k0").alias("key"), *BOX).alias("child"))
     )
-    frontier = _prune(frontier)
+    # Many rows share one place; each place is measured once.
+    placed = points.select("px", "py").distinct().select("px", "py", F.floor(px / TOGETHER).alias("qx"), F.floor(py / TOGETHER).alias("qy"))
+    around = lambda low, high: F.struct(*(f(F.col(n)).alias(k) for f, n, k in ((F.min, low[0], "minx"), (F.min, low[1], "miny"), (F.max, high[0], "maxx"), (F.max, high[1], "maxy")))).alias("at")
+    groups = placed.groupBy("qx", "qy").agg(around(("px", "py"), ("px", "py")))
+    wide = groups.groupBy(F.floor(F.col("qx") / WIDE).alias("qx"), F.floor(F.col("qy") / WIDE).alias("qy")).agg(around(("at.minx", "at.miny"), ("at.maxx", "at.maxy")))
+    at = F.col("at")
 
-    for i in range(1, len(LEVELS)):
-        children = (
-            _boxes(s, f"k{i}", f"k{i - 1}")
-            .groupBy(F.col(f"k{i - 1}").alias("node"))
-            .agg(F.collect_list(F.struct(F.col(f"k{i}").alias("key"), "minx", "miny", "maxx", "maxy")).alias("children"))
-        )
+    def judged(rows: DataFrame, box: str) -> DataFrame:
+        """Bounds of one box for each row, without those out of reach."""
+        possible, lb, ub = reach.bounds(at, F.col(box))
+        return _prune(rows.filter(possible).select("qx", "qy", "at", box, lb.alias("lb"), ub.alias("ub"), "best"))
+
+    near = wide.withColumns({"gx": F.floor(at.minx / size), "gy": F.floor(at.miny / size), "best": F.lit(float("inf"))})
+    frontier = judged(near.join(cover, ["gx", "gy"]), "child").withColumn("node", F.col("child.key"))
+
+    def opened(rows: DataFrame, kids: str, where: Column) -> DataFrame:
+        """A row for each kid of the list that may still hold the nearest shape."""
 
         def measured(c: Column) -> Column:
-            ok, near, far = reach.bounds(px, py, c)
-            return F.struct(c.key.alias("key"), ok.alias("ok"), near.alias("lb"), far.alias("ub"))
+            ok, near, far = reach.bounds(where, c)
+            return F.struct(c.alias("kid"), ok.alias("ok"), near.alias("lb"), far.alias("ub"))
 
-        opened = (
-            frontier.join(children, "node")
-            .withColumn("kids", F.filter(F.transform("children", measured), lambda k: k.ok))
+        return (
+            rows.withColumn("kids", F.filter(F.transform(kids, measured), lambda k: k.ok))
             .withColumn("best", F.least("best", F.array_min(F.transform("kids", lambda k: k.ub))))
             .withColumn("kid", F.explode(F.filter("kids", lambda k: k.lb <= F.col("best") + SLACK)))
-            .select("pid", "px", "py", F.col("kid.key").alias("node"), F.col("kid.lb").alias("lb"), F.col("kid.ub").alias("ub"), "best")
         )
-        frontier = _prune(opened)
 
-    last = f"k{len(LEVELS) - 1}"
-    leaf = s.select(F.col(last).alias("node"), "shape_id", geo.shape_edges(F.col("shape")).alias("edges"), F.struct("minx", "miny", "maxx", "maxy").alias("box"))
+    for i in range(1, len(LEVELS)):
+        children = (
+            _boxes(s, f"k{i}", f"k{i - 1}")
+            .groupBy(F.col(f"k{i - 1}").alias("node"))
+            .agg(F.collect_list(F.struct(F.col(f"k{i}").alias("key"), *BOX)).alias("children"))
+        )
+        kids = opened(frontier.join(children, "node"), "children", at)
+        frontier = _prune(kids.select("qx", "qy", "at", F.col("kid.kid").alias("child"), F.col("kid.lb").alias("lb"), F.col("kid.ub").alias("ub"), "best"))
+        if i == 1:
+            few = frontier.select(F.col("qx").alias("wx"), F.col("qy").alias("wy"), "child", "best")
+            split = groups.withColumns({"wx": F.floor(F.col("qx") / WIDE), "wy": F.floor(F.col("qy") / WIDE)})
+            frontier = judged(split.join(few, ["wx", "wy"]), "child")
+        frontier = frontier.withColumn("node", F.col("child.key"))
+
+    leaf = s.select(F.col(f"k{len(LEVELS) - 1}").alias("node"), F.struct("shape_key", *BOX).alias("shape"))
+    left = judged(frontier.join(leaf, "node"), "shape")
+    order = F.row_number().over(Window.partitionBy("qx", "qy").orderBy("lb", "shape"))
+    lists = left.withColumn("piece", F.floor((order - 1) / PIECE)).groupBy("qx", "qy", "piece").agg(F.collect_list("shape").alias("shapes"))
+    here = F.struct(px.alias("minx"), py.alias("miny"), px.alias("maxx"), py.alias("maxy"))
+    met = spread(placed, "qx", "qy").join(lists, ["qx", "qy"]).withColumns({"here": here, "best": F.lit(float("inf"))})
+    wanted = opened(met, "shapes", F.col("here")).select("px", "py", "kid.kid.*")
+
     sx, sy = geo.metre_scale(py)
     one = F.lit(1.0)
-    candidates = frontier.join(leaf, "node")
-    box_ok, near, _ = reach.bounds(px, py, F.col("box"))
-    candidates = candidates.filter(box_ok & (near <= F.col("best") + SLACK))
+    own = s.select("shape_key", "shape_id", geo.shape_edges(F.col("shape")).alias("edges"))
+    candidates = spread(wanted.select("px", "py", "shape_key"), "shape_key").join(own, "shape_key")
     inside = geo.covered_by_edges(px, py, F.col("edges"))
     zero = F.lit(0.0)
     measured_rows = geo.computed_once(
-        geo.computed_once(candidates.select("pid", "px", "py", "shape_id", "edges"), inside=inside),
+        geo.computed_once(candidates.select("px", "py", "shape_id", "edges"), inside=inside),
         distance_deg=F.when(F.col("inside"), zero).otherwise(geo.edges_distance(px, py, F.col("edges"), one, one)),
         distance_m=F.when(F.col("inside"), zero).otherwise(geo.edges_distance(px, py, F.col("edges"), sx, sy)),
     )
@@ -139,5 +170,6 @@ def nearest_shape(points: DataFrame, shapes: DataFrame, reach: Reach, exact_m: f
     if reach.within_m is not None:
         measured_rows = measured_rows.filter(F.col("distance_m") <= reach.within_m)
     rank = F.struct(F.rint(F.col("distance_deg") * 1e9).alias("r"), "shape_id", "distance_deg", "distance_m")
-    best = measured_rows.groupBy("pid").agg(F.min(rank).alias("m")).select("pid", "m.shape_id", "m.distance_deg", "m.distance_m")
+    found = measured_rows.groupBy("px", "py").agg(F.min(rank).alias("m"))
+    best = points.select("pid", "px", "py").join(found, ["px", "py"]).groupBy("pid").agg(F.min("m").alias("m")).select("pid", "m.shape_id", "m.distance_deg", "m.distance_m")
     return best if exact_m is None else best.filter(F.col("distance_m") <= exact_m)

@@ -344,3 +344,22 @@ def test_cover_is_the_touched_squares(spark):
     assert n <= 4 * 3001 and squares == 3001 * 3001
     empty = spark.createDataFrame([([],), (None,)], f"ring {RING}")
     assert empty.select(F.explode(tiles.cover(geo.ring_edges(F.col("ring")))).alias("r")).count() == 0
+
+
+def test_points_of_one_cell_walk_down_together(spark):
+    """Bounds hold for all points of a box, and the guarantee comes from the sides, not from the far corner alone."""
+    box = lambda *v: F.struct(*(F.lit(float(x)).alias(n) for x, n in zip(v, nearest.BOX)))
+    _, lb, ub = nearest.Reach(within_deg=9.0).bounds(box(0, 0, 1, 1), box(3, 0, 4, 1))
+    got = spark.range(1).select(lb.alias("lb"), ub.alias("ub")).first()
+    assert got["lb"] == 2.0 and abs(got["ub"] - 10**0.5) < 1e-12
+
+    rng = random.Random(5)
+    squares = [(i, rng.uniform(0, 0.3), rng.uniform(0, 0.3), rng.uniform(0.001, 0.02)) for i in range(90)]
+    spots = [(0.1 + rng.uniform(0, 0.004), 0.1 + rng.uniform(0, 0.004)) for _ in range(20)] + [(rng.uniform(0, 0.3), rng.uniform(0, 0.3)) for _ in range(20)]
+    points = [(n, *spots[n % 40]) for n in range(80)]
+    shapes = [(i, [(x - h, y - h), (x + h, y - h), (x + h, y + h), (x - h, y + h), (x - h, y - h)]) for i, x, y, h in squares]
+    p = spark.createDataFrame(points, "pid int, px double, py double")
+    s = spark.createDataFrame(shapes, "shape_id int, ring array<struct<x:double,y:double>>")
+    got = {r["pid"]: r["shape_id"] for r in nearest.nearest_shape(p, s, nearest.Reach(within_deg=1.0)).collect()}
+    away = lambda px, py, q: math.hypot(max(abs(px - q[1]) - q[3], 0.0), max(abs(py - q[2]) - q[3], 0.0))
+    assert got == {n: min(squares, key=lambda q: (round(away(px, py, q) * 1e9), q[0]))[0] for n, px, py in points}
