@@ -522,15 +522,16 @@ FILES = 16
 
 
 def record_files(t, parts: int = 3):
-    """Warning records with their archive data, landed in elaboration order."""
+    """Warning records with their archive data, landed in elaboration order: FILES files for each of the parts, so that no task writes a whole part."""
     downloads = t.warning_download().select("source_download_id", "source_file_path", "request_elaboration_to")
-    rows = t.warning_src().join(downloads, "source_download_id").repartitionByRange(parts, "source_download_id")
+    rows = t.warning_src().join(downloads, "source_download_id").repartitionByRange(parts * FILES, "source_download_id")
     return landed(rows, "records"), rows.schema
 
 
 def refreshed(t):
     """The incrementally refreshed tables: half of the files by one process, the rest by another over the same root.
 
+    Each half lands as two micro-batches, whatever its size: a batch whose keys are spread over all partitions rewrites them all.
     Queries of one session over the same input share one run.
     """
     done = t.spark.__dict__.setdefault("_pavesa_refreshed", {})
@@ -539,7 +540,7 @@ def refreshed(t):
         downloads = t.warning_download().select("source_download_id", "source_file_path", "request_elaboration_to")
         rows = t.warning_src().join(downloads, "source_download_id")
         for half in (1, 0):
-            rows.filter(c("source_download_id") % 2 == half).write.mode("append").parquet(landing_dir)
+            rows.filter(c("source_download_id") % 2 == half).repartition(2 * FILES).write.mode("append").parquet(landing_dir)
             job = refresh.run_refresh(t.spark, landing_dir, rows.schema, root, files_per_batch=FILES, buckets=8)
         done[t.sf_dir] = job
     return done[t.sf_dir]
@@ -596,8 +597,8 @@ def x06(t):
 def x07(t):
     path, schema = record_files(t, 2)
     root = scratch_path(t.spark, "reimport")
-    job = refresh.run_refresh(t.spark, path, schema, root, buckets=8)
-    again = refresh.run_refresh(t.spark, path, schema, root, buckets=8)
+    job = refresh.run_refresh(t.spark, path, schema, root, files_per_batch=FILES, buckets=8)
+    again = refresh.run_refresh(t.spark, path, schema, root, files_per_batch=FILES, buckets=8)
     if again.batches:
         raise RuntimeError("a second run over the same files must not process anything")
     return job.table("core").agg(F.count("*").alias("n"), F.countDistinct("cap_identifier").alias("identifiers"))

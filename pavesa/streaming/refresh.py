@@ -52,9 +52,11 @@ class WarningRefresh:
         self._staged.append(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
-    def _write(self, name: str, rows: DataFrame, partition: str, touched: list[int]) -> None:
+    def _write(self, name: str, rows: DataFrame, partition: str, touched: list[int], derived: bool) -> None:
+        """Rows ``derived`` from the table itself are staged first; others are written once."""
         marks = self.spark.createDataFrame([(x,) for x in touched], f"{partition} int")
-        overwrite_partitions(self._stage(rows.unionByName(marks, allowMissingColumns=True), name), self.path(name), partition, derived=False)
+        rows = rows.unionByName(marks, allowMissingColumns=True)
+        overwrite_partitions(self._stage(rows, name) if derived else rows, self.path(name), partition, derived=False)
 
     def _bucket(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn("bucket", F.pmod(F.xxhash64(*KEY), F.lit(self.buckets)).cast("int"))
@@ -110,7 +112,7 @@ class WarningRefresh:
         core, rows = self.table("core"), fresh
         if core is not None:
             rows = core.filter(F.col("bucket").isin(buckets)).join(due, [*KEY, "bucket"], "left_anti").unionByName(fresh)
-        self._write("core", rows, "bucket", buckets)
+        self._write("core", rows, "bucket", buckets, derived=core is not None)
 
     def _refresh_days(self, due: DataFrame, fresh: DataFrame, batch_id: int) -> None:
         queued = self._queued(batch_id)
@@ -123,12 +125,12 @@ class WarningRefresh:
         days, old_days, old_pub = _month(canonical.explode_days(fresh.drop("bucket"))), self.table("core_day"), self.table("pub")
         if old_days is not None:
             days = old_days.filter(F.col("month").isin(months)).join(due, KEY, "left_anti").unionByName(days)
-        self._write("core_day", days, "month", months)
+        self._write("core_day", days, "month", months, derived=old_days is not None)
         current = self.table("core_day").filter(F.col("month").isin(months)).join(dates, ["month", "valid_date"], "left_semi")
         pub = _month(canonical.daily_features(current.drop("month")))
         if old_pub is not None:
             pub = old_pub.filter(F.col("month").isin(months)).join(dates, ["month", "valid_date"], "left_anti").unionByName(pub)
-        self._write("pub", pub, "month", months)
+        self._write("pub", pub, "month", months, derived=old_pub is not None)
 
 
 def run_refresh(spark: SparkSession, landing: str, schema: T.StructType, root: str, files_per_batch: int = 1, buckets: int = 64) -> WarningRefresh:
