@@ -56,7 +56,8 @@ def burnt_stats(masked: DataFrame, grid: Grid, *by: str) -> DataFrame:
 
 
 def dilate(masked: DataFrame, grid: Grid, radius: int = 1) -> DataFrame:
-    """Mask plus halo inside the raster: ``is_core`` tells the two apart. One aggregation, no join."""
+    """Mask plus halo inside the raster: ``is_core`` tells the two apart. No join; pixels seen several times a day become one before they spread."""
+    masked = masked.groupBy("nominal_date", "prow", "pcol").agg(F.max("bf").alias("bf"))
     reach = range(-radius, radius + 1)
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in reach for j in reach])
     return (
