@@ -378,3 +378,56 @@ def test_settlement_landing_and_pages(spark, tmp_path):
     assert set(found) == {500, 501}
     assert (found[500]["nombre"], found[500]["codine"], found[500]["cpro"], found[500]["polygons"]) == ("A", "", 0, None)
     assert found[501]["nombre"] is None and found[501]["cpro"] is None and len(found[501]["polygons"]) == 1
+
+
+def small_orders(spark, tmp_path):
+    """Forty orders of two lines on forty days, as tables of their own."""
+    from pavesa.sources.bridge import Tables
+
+    days = "timestampadd(DAY, cast(id as int), timestamp'1997-01-01')"
+    spark.range(40).selectExpr("id AS o_orderkey", "id AS o_custkey", f"{days} AS o_orderdate", "concat(cast(id % 5 + 1 as string), '-X') AS o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(80).selectExpr("id div 2 AS l_orderkey", "cast(id % 2 + 1 as int) AS l_linenumber", "id % 7 AS l_suppkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    return Tables(spark, str(tmp_path))
+
+
+def test_records_of_a_part_land_by_many_tasks(spark, tmp_path):
+    from pavesa.plans import ingest_queries
+
+    t = small_orders(spark, tmp_path)
+    path, schema = ingest_queries.record_files(t, 1)
+    landed = spark.read.schema(schema).parquet(path)
+    assert landed.select("_metadata.file_path").distinct().count() > 4
+    assert landed.count() == 80
+
+
+def test_features_of_a_day_are_those_of_all_days(spark, tmp_path):
+    from pavesa.plans import pipeline
+
+    t = small_orders(spark, tmp_path)
+    whole = pipeline.features(t).filter("valid_date = date'1997-01-20'")
+    day = pipeline.features_of_day(t, "1997-01-20").select(*whole.columns)
+    assert whole.count() > 0
+    assert sorted(map(str, whole.collect())) == sorted(map(str, day.collect()))
+
+
+def test_names_of_one_fragment_are_dealt(spark):
+    from pyspark.sql import functions as F
+
+    from pavesa.operators import lookup
+
+    names = spark.range(200).selectExpr("concat('Villa ', cast(id as string)) AS name", "id AS people")
+    needles = spark.createDataFrame([("villa",), ("LLA 19",), ("zz",)], "needle string")
+    found = lookup.find_containing(needles, names, ["people"], F.struct(-F.col("people")))
+    assert {r["needle"]: r["name"] for r in found.collect()} == {"villa": "Villa 199", "LLA 19": "Villa 199"}
+    assert "salt" in found._jdf.queryExecution().analyzed().toString()
+
+
+def test_repeated_pixels_become_one_before_the_halo(spark):
+    from pavesa.operators import raster
+
+    rows = [("2020-01-01", 5, 5, 10), ("2020-01-01", 5, 5, 30), ("2020-01-01", 5, 6, 20)]
+    pixels = spark.createDataFrame(rows * 3, "d string, prow int, pcol int, bf int").selectExpr("cast(d as date) AS nominal_date", "prow", "pcol", "bf")
+    halo = raster.dilate(pixels, raster.Grid(0.0, 0.0, 1.0, 1.0, 20, 20))
+    assert halo._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2
+    got = {(r["prow"], r["pcol"]): (r["is_core"], r["bf"]) for r in halo.collect()}
+    assert len(got) == 12 and got[(5, 5)] == (True, 30) and got[(5, 6)] == (True, 20) and got[(4, 4)] == (False, None)
