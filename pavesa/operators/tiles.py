@@ -92,7 +92,13 @@ def cover(edges: Column, closed: bool = True) -> Column:
     # Lists of one element bind what comes before to a variable, so that it is computed once.
     sorted_ = F.array(F.sort_array(F.flatten(F.transform(edges, reached))))
     merged = F.transform(F.flatten(F.transform(sorted_, columns)), joined)
-    return F.flatten(F.transform(merged, with_gaps) if closed else merged)
+    runs = F.flatten(F.transform(merged, with_gaps) if closed else merged)
+
+    # Edges within one square, as those of most features are, need no runs to be put together.
+    x, y = F.floor(F.get(edges, 0).x1), F.floor(F.get(edges, 0).y1)
+    same = lambda e: (F.floor(e.x1) == x) & (F.floor(e.x2) == x) & (F.floor(e.y1) == y) & (F.floor(e.y2) == y)
+    alone = F.array(F.struct(x.alias("x"), y.alias("first"), y.alias("last")))
+    return F.when((F.size(edges) > 0) & F.forall(edges, same), alone).otherwise(runs)
 
 
 def _stretches(begins: Column, n: Column, make) -> Column:
@@ -136,7 +142,9 @@ def _clip_side(ring: Column, axis: str, bound: float, sign: int) -> Column:
             F.when(inside_a & inside_b, F.array(b)).when(inside_a, F.array(cut)).when(inside_b, F.array(cut, b)).otherwise(none)
         )
 
-    return F.flatten(F.transform(geo.ring_edges(ring), walk))
+    # A ring on the inner side gives the end of each edge, without a look at its edges; most rings lie within their tile.
+    ends = F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0)))
+    return F.when(F.forall(ring, lambda p: depth(p) >= 0), ends).otherwise(F.flatten(F.transform(geo.ring_edges(ring), walk)))
 
 
 def clip_line(line: Column, lo: float, hi: float) -> Column:

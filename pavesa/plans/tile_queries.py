@@ -8,7 +8,7 @@ from pavesa import constants as K
 from pavesa.functions import geo
 from pavesa.functions import parameters as P
 from pavesa.functions import scalar as S
-from pavesa.operators import shapes, tiles
+from pavesa.operators import canonical, shapes, spatial, tiles
 from pavesa.plans import pipeline
 from pavesa.plans.domain_sql import cover_area_sql, dr, view, with_views
 from pavesa.plans.registry import query
@@ -228,7 +228,9 @@ view("settlement_tile", f"""SELECT DISTINCT settlement_id, zoom, x, y FROM (SELE
 
 
 def settlement_tiles(t):
-    rows = pipeline.settlements(t).withColumn("zoom", F.explode(F.sequence(F.lit(7), F.lit(11)))).filter(P.rank_floor(c("zoom")))
+    """A landing is few bytes for the work that each settlement makes, so its rows are dealt to all tasks first."""
+    landed = spatial.spread(t.settlement_src(), "source_fid")
+    rows = canonical.settlements(landed).withColumn("zoom", F.explode(F.sequence(F.lit(7), F.lit(11)))).filter(P.rank_floor(c("zoom")))
     rows = rows.select("settlement_id", "nombre", "zoom", "shape")
     return tiles.quantise(tiles.to_tiles(rows, "shape", tolerance_m=tiles.settlement_tolerance(c("zoom"))))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pavesa.functions import geo
 from pavesa.operators import cluster, nearest, regions, shapes, spatial, tiles
+from pavesa.plans.catalog import tile_queries
 
 RING = "array<struct<x:double,y:double>>"
 
@@ -363,3 +364,28 @@ def test_points_of_one_cell_walk_down_together(spark):
     got = {r["pid"]: r["shape_id"] for r in nearest.nearest_shape(p, s, nearest.Reach(within_deg=1.0)).collect()}
     away = lambda px, py, q: math.hypot(max(abs(px - q[1]) - q[3], 0.0), max(abs(py - q[2]) - q[3], 0.0))
     assert got == {n: min(squares, key=lambda q: (round(away(px, py, q) * 1e9), q[0]))[0] for n, px, py in points}
+
+
+def test_settlement_tiles_are_made_by_many_tasks(spark):
+    """One file of settlements is one split; its tiles come from all tasks, each once."""
+
+    class Landing:
+        def settlement_src(self):
+            rows = [(i, i, f"P{i}", "", 5000.0, "01", "", [[square(-3.0 + i * 0.01, 40.0, 0.002)]]) for i in range(40)]
+            kinds = f"source_fid bigint, source_objectid bigint, nombre string, etiqueta string, habit_0502 double, tipo_0502 string, capit_0502 string, shape array<array<{RING}>>"
+            return spark.createDataFrame(rows, kinds).coalesce(1)
+
+    made = tile_queries.settlement_tiles(Landing()).select("settlement_id", "zoom", "x", "y", F.spark_partition_id().alias("task")).collect()
+    assert len({r["task"] for r in made}) > 1
+    assert len({(r["settlement_id"], r["zoom"], r["x"], r["y"]) for r in made}) == len(made) and len({r["settlement_id"] for r in made}) == 40
+
+
+def test_shapes_of_one_tile_take_a_short_way(spark):
+    """Rings within a tile, within its buffer, across a side, unclosed and empty ones: the same tiles and rings as by hand."""
+    rings = [square(5.5, 7.5, 0.25), square(5.0, 7.5, 0.25), square(5.5, 7.5, 0.25)[:4], [(5.25, 7.5)], []]
+    df = spark.createDataFrame(list(enumerate(rings)), f"id int, ring {RING}")
+    runs = df.select("id", F.explode(tiles.cover(geo.ring_edges(F.col("ring")))).alias("r")).select("id", "r.*").collect()
+    assert sorted(tuple(r) for r in runs) == [(0, 5, 7, 7), (1, 4, 7, 7), (1, 5, 7, 7), (2, 5, 7, 7)]
+    placed = df.select("id", F.array("ring").alias("tile_geom"), F.lit(5).alias("x"), F.lit(7).alias("y"))
+    got = {r["id"]: r["text"] for r in tiles.quantise(placed).select("id", tiles.rings_text(F.col("grid")).alias("text")).collect()}
+    assert got == {0: "1024 1024,3072 1024,3072 3072,1024 3072,1024 1024", 1: "-64 1024,1024 1024,1024 3072,-64 3072,-64 1024", 2: "1024 3072,3072 1024,3072 3072,1024 3072"}
