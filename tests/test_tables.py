@@ -431,3 +431,19 @@ def test_repeated_pixels_become_one_before_the_halo(spark):
     assert halo._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2
     got = {(r["prow"], r["pcol"]): (r["is_core"], r["bf"]) for r in halo.collect()}
     assert len(got) == 12 and got[(5, 5)] == (True, 30) and got[(5, 6)] == (True, 20) and got[(4, 4)] == (False, None)
+
+
+def test_roads_that_cannot_win_stay_behind(spark):
+    """Few rows beside the winners reach the shuffle of whole rows; the winners are those of all rows, with nulls and repeated rows too."""
+    rows = [(i % 60, i // 2, None if i % 7 == 0 else i % 9, None if i % 11 == 0 else T0 + timedelta(days=i % 13)) for i in range(3000)] * 2
+    src = spark.createDataFrame(rows, "id_tramo bigint, source_fid bigint, clase_raw int, imported_at timestamp").selectExpr(
+        "*", "source_fid AS id_vial", "'Urbano' AS clased", "concat('V', source_fid) AS nombre", "'2' AS ncarriles", "'RT_MADRID_gpkg.zip' AS source_zip_name",
+        "array(named_struct('x', 1D, 'y', 2D), named_struct('x', 3D, 'y', 4D)) AS line",
+    )
+    as_rows = lambda df: sorted(map(repr, df.collect()))
+    assert as_rows(canonical.roads(src)) == as_rows(canonical.roads(src, few=True)) and canonical.roads(src).count() == 60
+    order = [F.col("clase_raw").asc_nulls_last(), F.col("imported_at").desc_nulls_last(), F.col("source_fid").asc()]
+    kept = canonical.may_be_first(src, ["id_tramo"], order, ["clase_raw", "imported_at", "source_fid"])
+    assert 60 <= kept.count() <= 240
+    first = canonical.first_per_key(src, ["id_tramo"], order).select("id_tramo", "clase_raw", "imported_at", "source_fid")
+    assert as_rows(first.join(kept.select("id_tramo", "source_fid").distinct(), ["id_tramo", "source_fid"]).select(*first.columns)) == as_rows(first)
