@@ -9,7 +9,8 @@ words take their part of the round's documents, one split after another, train a
 and the copies are averaged by words seen, block by block, in a shuffle. So the number of copies follows from the words alone, not from splits or
 cores, and a copy is small beside what it has read. Only the average reaches the driver; its size is fixed by the parameters.
 
-Scoring carries the state of a document from window to window to its end. Words of the TABLE_WORDS most frequent are looked up in the task
+Scoring carries the state of a document from window to window to its end; texts of more than LONG words wait for each other, so that one long
+text does not make thousands of steps for itself. Arrow splits texts and looks up words, some SLICE bytes at once. Words of the TABLE_WORDS most frequent are looked up in the task
 (the table is bounded in words and bytes); counts of all others meet the documents that hold them in a join, counted per document first.
 
 Defined cases: a null or empty text is its end alone; no training rows give the uniform model of one unknown word, so every score is 0; repeated rows
@@ -21,10 +22,13 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +41,8 @@ TABLE_WORDS = 200_000
 TABLE_BYTES = 64
 ROUNDS = 4
 CHUNK = 500_000
+LONG = 2_000
+SLICE = 4_000_000
 FLUSH = 1_000_000
 BLOCK = 4096
 LEARNER_WORDS = 2_000_000
@@ -47,6 +53,23 @@ def words_of(text: str | None) -> list[bytes]:
     return [*text.encode().lower().split(), END] if text else [END]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows, some SLICE bytes of text at once."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64))
+        edges = np.flatnonzero(np.diff(size // SLICE, prepend=-1)).tolist()
+        for start, end in zip(edges, [*edges, batch.num_rows][1:], strict=True):
+            yield batch.slice(start, end - start)
+
+
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """``words_of`` of some texts in one line, and the bounds of the texts in it."""
+    own = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    own = pc.if_else(pc.equal(own, ""), "", pc.binary_join_element_wise(own, "", " "))
+    words = pc.ascii_split_whitespace(own)  # a blank behind the last word leaves an empty one, the end
+    return words.flatten().cast(pa.binary()), words.offsets.to_numpy()
+
+
 def count_words(rows: DataFrame) -> DataFrame:
     """word, n over all texts, the end among the words. A task adds up its words and hands them on when they are many."""
 
@@ -85,10 +108,16 @@ class Model:
         own = self.counts[: self.shape.words]
         return float(self.total - own.sum() + self.distinct - len(own) + 1)
 
+    @cached_property
+    def line(self) -> pa.Array:
+        return pa.array([*self.table], pa.binary())
+
+    def ranks(self, words: pa.Array, most: int) -> np.ndarray:
+        """The rank of each word among the ``most`` most frequent, ``most`` for all others."""
+        return pc.fill_null(pc.index_in(words, value_set=self.line[:most]), most).to_numpy()
+
     def ids(self, text: str | None) -> np.ndarray:
-        rank = self.table.get
-        k = self.shape.words
-        return np.fromiter((r if (r := rank(w, k)) < k else k for w in words_of(text)), np.int32)
+        return self.ranks(_split(pa.array([text], pa.string()))[0], self.shape.words)
 
 
 def vocabulary(counts: DataFrame, model_words: int = MODEL_WORDS, table_words: int = TABLE_WORDS, hidden: int = gru.HIDDEN, classes: int = gru.CLASSES) -> Model:
@@ -104,9 +133,10 @@ def vocabulary(counts: DataFrame, model_words: int = MODEL_WORDS, table_words: i
 
 def _chunks(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[list[np.ndarray]]:
     held, size = [], 0
-    for batch in batches:
-        for text in batch.column("text"):
-            held.append(model.ids(text.as_py()))
+    for batch in _slices(batches):
+        words, bounds = _split(batch.column("text"))
+        for ids in np.split(model.ranks(words, model.shape.words), bounds[1:-1]):
+            held.append(ids)
             size += len(held[-1])
             if size >= CHUNK:
                 yield held
@@ -166,33 +196,39 @@ def scored(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        logs = np.log10(own.counts + 1.0)
-        k, known = own.shape.words, len(own.counts)
-        kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
+        logs = np.append(np.log10(own.counts + 1.0), 0)
+        k, known = own.shape.words, len(own.counts)  # words beyond the table have rank ``known``
 
-        def flush(rows: list[int], ids: list[np.ndarray], partial: list[tuple], others: list[Counter]) -> pa.RecordBatch:
+        def flush(rows: tuple[int], ids: tuple[np.ndarray], partial: tuple[tuple], others: tuple[Counter]) -> pa.RecordBatch:
             values = gru.score(own.shape, own.weights, ids) if k else np.zeros(len(ids))
             n, seen, base, rare = (np.array(x) for x in zip(*partial, strict=True))
-            rest = pa.array([[{"word": w, "n": c} for w, c in o.items()] for o in others], kind)
+            words, times = pa.array([*chain.from_iterable(others)], pa.binary()), pa.array([*chain.from_iterable(o.values() for o in others)], pa.int32())
+            ends = pa.array(np.cumsum([0, *map(len, others)]), pa.int32())
+            rest = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([words, times], names=["word", "n"]))
             return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(n, pa.int64()), pa.array(seen, pa.int64()), pa.array(base), pa.array(values + rare), rest], names=["row", "n_tokens", "n_known", "base", "score", "rare"])
 
-        rows, ids, partial, others, size = [], [], [], [], 0
-        for batch in batches:
-            for row, text in zip(batch.column("row").to_pylist(), batch.column("text"), strict=True):
-                words = words_of(text.as_py())
-                rank = np.fromiter(map(own.table.get, words, [known] * len(words)), np.int64, len(words))
-                found = rank[rank < known]
-                values = logs[found]
-                rows.append(row)
-                ids.append(np.minimum(rank, k).astype(np.int32))
-                partial.append((len(words), len(found), values.sum() - len(found) * base_of, (values[found >= k] - rare_of).sum()))
-                others.append(Counter([words[i] for i in np.flatnonzero(rank == known)]))
-                size += len(words)
-                if size >= CHUNK:
-                    yield flush(rows, ids, partial, others)
-                    rows, ids, partial, others, size = [], [], [], [], 0
-        if rows:
-            yield flush(rows, ids, partial, others)
+        held: dict[bool, list[tuple]] = {False: [], True: []}  # long texts wait for each other, so that few steps have few lanes
+        size = {False: 0, True: 0}
+        for batch in _slices(batches):
+            words, bounds = _split(batch.column("text"))
+            rank = own.ranks(words, known)
+            seen, first, values = rank < known, bounds[:-1], logs[rank]
+            found = np.add.reduceat(seen, first, dtype=np.int64)
+            base = np.add.reduceat(values, first) - found * base_of
+            rare = np.add.reduceat(np.where(seen & (rank >= k), values - rare_of, 0), first)
+            unknown = np.flatnonzero(~seen)
+            rest, edges = words.take(pa.array(unknown)).to_pylist(), np.searchsorted(unknown, bounds).tolist()
+            texts = np.split(np.minimum(rank, k), bounds[1:-1])
+            for i, (row, ids, partial) in enumerate(zip(batch.column("row").to_pylist(), texts, zip(found, base, rare, strict=True), strict=True)):
+                long = len(ids) > LONG
+                held[long].append((row, ids, (len(ids), *partial), Counter(rest[edges[i] : edges[i + 1]])))
+                size[long] += len(ids)
+                if size[long] >= CHUNK:
+                    yield flush(*zip(*held[long], strict=True))
+                    held[long], size[long] = [], 0
+        for rest in held.values():
+            if rest:
+                yield flush(*zip(*rest, strict=True))
 
     first = cut_lineage(docs.select("row", "text").mapInArrow(judged, kinds), "scores")
     rare = first.select("row", F.inline("rare")).join(counts.withColumnRenamed("n", "c"), "word", "left")

@@ -7,6 +7,7 @@ import time
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -390,6 +391,41 @@ def test_long_texts_are_cut_for_training():
     assert (b.read[b.owner >= 0] == 99).sum() == 201  # only whole texts begin with the start
 
 
+def test_words_in_one_line():
+    texts = ["", " ", None, "A b", "  A\tb\n", "x\x1cy\x1d z\x85w", "a\x0b\x0cb\rc\u00a0d\u2003e ÀÉ", "\n\n", "a\x00b \x00", "İ K ſ"]
+    words, bounds = lm._split(pa.array(texts))
+    assert [words[a:b].to_pylist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [lm.words_of(t) for t in texts]
+    batch = pa.RecordBatch.from_pydict({"text": ["a" * 3_000_000, None, "b" * 3_000_000, "c", "d" * 9_000_000, "e"]})
+    parts = [p.column("text").to_pylist() for p in lm._slices(iter([batch, batch.slice(0, 0)]))]
+    assert len(parts) > 1 and [t for p in parts for t in p] == batch.column("text").to_pylist()
+
+
+def test_gradients_by_word():
+    rng = np.random.default_rng(3)
+    read = np.append(np.full(500, 7), rng.integers(0, 300, 700)).astype(np.int32)
+    gates = [rng.normal(size=(len(read), 4)) for _ in range(3)]
+    seen, sums = gru._by_word(read, gates)
+    assert sorted(seen.tolist()) == np.unique(read).tolist()
+    for gate, own in zip(gates, sums, strict=True):
+        plain_sums = np.zeros((300, 4))
+        np.add.at(plain_sums, read, gate)
+        assert np.allclose(own, plain_sums[seen])
+
+
+@pytest.mark.filterwarnings("error")
+def test_large_weights_stay_finite():
+    """Gates at their ends, and logits too large to be raised as they are."""
+    counts = np.array([50.0, 30, 20, 10, 5, 5, 2, 1])
+    shape = gru.shape_of(counts, hidden=4, classes=3)
+    flat = gru.start(shape, counts, 7)
+    flat += np.random.default_rng(0).normal(0, 150, len(flat)).astype(np.float32)
+    texts = [np.random.default_rng(1).integers(0, 9, n).astype(np.int32) for n in (40, 3, 90)]
+    small, exact = gru.score(shape, flat, texts), gru.score(shape, flat.astype(np.float64), texts)
+    assert np.isfinite(small).all() and (exact < -500).any() and np.allclose(small, exact, rtol=1e-3)
+    gru.train(shape, flat, texts, np.zeros_like(flat))
+    assert np.isfinite(flat).all()
+
+
 def test_page_trees():
     page = html.parse("<p>a<b>b<p>c</p><ul><li>x<li>y</ul><br/>t &lt; &amp;<script>if (a<b) '</p>'</script><!-- <p>no --></div>end")
     assert html.main_text(page, np.full(len(page.tags), html.ARTICLE)) == "ab c x y t < &end"
