@@ -15,6 +15,8 @@ from pavesa.functions import geo
 from pavesa.operators.spatial import spread
 
 LEVELS = [0.5, 0.0625, 0.0078125, 0.0009765625]
+#: Cells above these, from which a search without a limit starts: a hundred of the first cover all degrees.
+FAR = [32.0, 4.0]
 SLACK = 2e-9
 #: Cells of points that walk down together, by WIDE x WIDE of them to the second level; shapes in a piece of their list.
 TOGETHER, WIDE = LEVELS[2], 8
@@ -22,9 +24,8 @@ PIECE = 64
 BOX = ["minx", "miny", "maxx", "maxy"]
 
 
-def _key(level: int) -> Column:
-    size = LEVELS[level]
-    return F.xxhash64(F.lit(level), F.floor(F.col("cx") / size), F.floor(F.col("cy") / size))
+def _key(size: float) -> Column:
+    return F.xxhash64(F.lit(size), F.floor(F.col("cx") / size), F.floor(F.col("cy") / size))
 
 
 def _boxes(df: DataFrame, *keys: str) -> DataFrame:
@@ -34,13 +35,17 @@ def _boxes(df: DataFrame, *keys: str) -> DataFrame:
 
 
 class Reach:
-    """Which shapes count for a point: a limit in degrees, in metres, and a half-box in degrees."""
+    """Which shapes count for a point: a limit in degrees, in metres, and a half-box in degrees; without a limit all count."""
 
     def __init__(self, within_deg: float | None = None, within_m: float | None = None, box_deg: float | None = None):
-        if within_deg is None and within_m is None:
+        if within_deg is None and within_m is None and box_deg is not None:
             raise ValueError("give a limit in degrees or metres")
         self.within_deg, self.within_m, self.box_deg = within_deg, within_m, box_deg
 
+    @property
+    def limited(self) -> bool:
+        return self.within_deg is not None or self.within_m is not None
+
     def margins(self, miny: Column, maxy: Column) -> tuple[Column, Column]:
         limits = [v for v in (self.within_deg, self.box_deg) if v is not None]
         if limits:
@@ -89,21 +94,17 @@ def nearest_shape(points: DataFrame, shapes: DataFrame, reach: Reach, exact_m: f
     ``exact_m`` the winner is dropped when it is farther than that many metres.
     """
     distinct = geo.with_shape(shapes).groupBy("shape").agg(F.min("shape_id").alias("shape_id"))
-    s = distinct.withColumn("_b", geo.shape_bbox(F.col("shape"))).select("shape_id", "shape", "_b.*")
+    s = distinct.withColumn("_b", geo.shape_bbox(F.col("shape"))).select("shape_id", "shape", "_b.*").filter("minx IS NOT NULL AND miny IS NOT NULL")
     s = s.withColumn("cx", (F.col("minx") + F.col("maxx")) / 2).withColumn("cy", (F.col("miny") + F.col("maxy")) / 2)
     s = s.withColumn("shape_key", F.xxhash64("shape_id", *BOX))
-    for i in range(len(LEVELS)):
-        s = s.withColumn(f"k{i}", _key(i))
+    far = [] if reach.limited else [f"f{i}" for i in range(len(FAR))]
+    chain = [*far, *(f"k{i}" for i in range(len(LEVELS)))]
+    for name, size in zip(chain, (FAR if far else []) + LEVELS):
+        s = s.withColumn(name, _key(size))
 
     px, py = F.col("px"), F.col("py")
     size = LEVELS[0]
-    top = _boxes(s, "k0")
-    mx, my = reach.margins(F.col("miny"), F.col("maxy"))
-    cover = (
-        top.withColumn("gx", F.explode(F.sequence(F.floor((F.col("minx") - mx) / size), F.floor((F.col("maxx") + mx) / size))))
-        .withColumn("gy", F.explode(F.sequence(F.floor((F.col("miny") - my) / size), F.floor((F.col("maxy") + my) / size))))
-        .select("gx", "gy", F.struct(F.col("k0").alias("key"), *BOX).alias("child"))
-    )
+    top = _boxes(s, *far, "k0")
     # Many rows share one place; each place is measured once.
     placed = points.select("px", "py").distinct().select("px", "py", F.floor(px / TOGETHER).alias("qx"), F.floor(py / TOGETHER).alias("qy"))
     around = lambda low, high: F.struct(*(f(F.col(n)).alias(k) for f, n, k in ((F.min, low[0], "minx"), (F.min, low[1], "miny"), (F.max, high[0], "maxx"), (F.max, high[1], "maxy")))).alias("at")
@@ -116,9 +117,6 @@ def nearest_shape(points: DataFrame, shapes: DataFrame, reach: Reach, exact_m: f
         possible, lb, ub = reach.bounds(at, F.col(box))
         return _prune(rows.filter(possible).select("qx", "qy", "at", box, lb.alias("lb"), ub.alias("ub"), "best"))
 
-    near = wide.withColumns({"gx": F.floor(at.minx / size), "gy": F.floor(at.miny / size), "best": F.lit(float("inf"))})
-    frontier = judged(near.join(cover, ["gx", "gy"]), "child").withColumn("node", F.col("child.key"))
-
     def opened(rows: DataFrame, kids: str, where: Column) -> DataFrame:
         """A row for each kid of the list that may still hold the nearest shape."""
 
@@ -132,18 +130,40 @@ def nearest_shape(points: DataFrame, shapes: DataFrame, reach: Reach, exact_m: f
             .withColumn("kid", F.explode(F.filter("kids", lambda k: k.lb <= F.col("best") + SLACK)))
         )
 
-    for i in range(1, len(LEVELS)):
-        children = (
-            _boxes(s, f"k{i}", f"k{i - 1}")
-            .groupBy(F.col(f"k{i - 1}").alias("node"))
-            .agg(F.collect_list(F.struct(F.col(f"k{i}").alias("key"), *BOX)).alias("children"))
+    def descended(rows: DataFrame) -> DataFrame:
+        kids = opened(rows, "children", at)
+        return _prune(kids.select("qx", "qy", "at", F.col("kid.kid").alias("child"), F.col("kid.lb").alias("lb"), F.col("kid.ub").alias("ub"), "best"))
+
+    def split(rows: DataFrame, parts: DataFrame) -> DataFrame:
+        """The parts of the cells of points go on with the cells of shapes that these have kept."""
+        few = rows.select(F.col("qx").alias("wx"), F.col("qy").alias("wy"), "child", "best")
+        parts = parts.withColumns({"wx": F.floor(F.col("qx") / WIDE), "wy": F.floor(F.col("qy") / WIDE)})
+        return judged(parts.join(few, ["wx", "wy"]), "child")
+
+    listed = lambda key: F.collect_list(F.struct(F.col(key).alias("key"), *BOX)).alias("children")
+    unbound = F.lit(float("inf"))
+    if far:
+        # No limit tells which cells are near, so the points of a cell of the first level start from the few cells of the whole extent.
+        blocks = wide.groupBy(F.floor(F.col("qx") / WIDE).alias("qx"), F.floor(F.col("qy") / WIDE).alias("qy")).agg(around(("at.minx", "at.miny"), ("at.maxx", "at.maxy")))
+        frontier = descended(blocks.withColumns({"children": _boxes(top, far[0]).agg(listed(far[0])).scalar(), "best": unbound}))
+    else:
+        mx, my = reach.margins(F.col("miny"), F.col("maxy"))
+        cover = (
+            top.withColumn("gx", F.explode(F.sequence(F.floor((F.col("minx") - mx) / size), F.floor((F.col("maxx") + mx) / size))))
+            .withColumn("gy", F.explode(F.sequence(F.floor((F.col("miny") - my) / size), F.floor((F.col("maxy") + my) / size))))
+            .select("gx", "gy", F.struct(F.col("k0").alias("key"), *BOX).alias("child"))
         )
-        kids = opened(frontier.join(children, "node"), "children", at)
-        frontier = _prune(kids.select("qx", "qy", "at", F.col("kid.kid").alias("child"), F.col("kid.lb").alias("lb"), F.col("kid.ub").alias("ub"), "best"))
-        if i == 1:
-            few = frontier.select(F.col("qx").alias("wx"), F.col("qy").alias("wy"), "child", "best")
-            split = groups.withColumns({"wx": F.floor(F.col("qx") / WIDE), "wy": F.floor(F.col("qy") / WIDE)})
-            frontier = judged(split.join(few, ["wx", "wy"]), "child")
+        near = wide.withColumns({"gx": F.floor(at.minx / size), "gy": F.floor(at.miny / size), "best": unbound})
+        frontier = judged(near.join(cover, ["gx", "gy"]), "child")
+    frontier = frontier.withColumn("node", F.col("child.key"))
+
+    for above, below in zip(chain, chain[1:]):
+        children = _boxes(top if above in far else s, below, above).groupBy(F.col(above).alias("node")).agg(listed(below))
+        frontier = descended(frontier.join(children, "node"))
+        if below == "k0":
+            frontier = split(frontier, wide)
+        if below == "k1":
+            frontier = split(frontier, groups)
         frontier = frontier.withColumn("node", F.col("child.key"))
 
     leaf = s.select(F.col(f"k{len(LEVELS) - 1}").alias("node"), F.struct("shape_key", *BOX).alias("shape"))

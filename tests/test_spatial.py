@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from pavesa.functions import geo
 from pavesa.operators import cluster, nearest, regions, shapes, spatial, tiles
+from pavesa.plans import spatial_queries
 from pavesa.plans.catalog import tile_queries
+from pavesa.sources.bridge import Tables
 
 RING = "array<struct<x:double,y:double>>"
 
@@ -366,6 +368,43 @@ def test_points_of_one_cell_walk_down_together(spark):
     assert got == {n: min(squares, key=lambda q: (round(away(px, py, q) * 1e9), q[0]))[0] for n, px, py in points}
 
 
+def test_nearest_without_a_limit_is_found_at_any_distance(spark):
+    """Points near, degrees away and on the other side of the globe from all shapes; nulls have no nearest."""
+    rng = random.Random(3)
+    squares = [(i, rng.uniform(-9, 3), rng.uniform(36, 43), rng.uniform(0.001, 0.2)) for i in range(200)] + [(500, -179.0, -80.0, 0.01), (501, 170.0, 60.0, 0.01)]
+    points = [(i, rng.uniform(-9, 3), rng.uniform(36, 43)) for i in range(60)] + [(100 + i, rng.uniform(-180, 180), rng.uniform(-90, 90)) for i in range(100)]
+    p = spark.createDataFrame([*points, (999, None, 40.0)], "pid int, px double, py double")
+    s = spark.createDataFrame([*((i, square(x, y, h)) for i, x, y, h in squares), (777, None)], f"shape_id int, ring {RING}")
+    got = {r["pid"]: (r["shape_id"], r["distance_deg"]) for r in nearest.nearest_shape(p, s, nearest.Reach()).collect()}
+    want = {n: min((round(box_gap(px, py, x, y, h) * 1e9), i, box_gap(px, py, x, y, h)) for i, x, y, h in squares) for n, px, py in points}
+    assert {n: i for n, (i, _) in got.items()} == {n: i for n, (_, i, _) in want.items()}
+    assert all(abs(d - want[n][2]) < 1e-8 for n, (_, d) in got.items()) and max(d for _, d in got.values()) > 30
+    assert nearest.nearest_shape(p, s.limit(0), nearest.Reach()).count() == 0
+
+
+def test_g06_keeps_hotspots_far_from_any_settlement(spark):
+    """One settlement, hotspots degrees away from it: none is dropped by a limit."""
+    row = (1, 1, "P1", "", 5000.0, "01", "", [[square(-8.0, 40.0, 0.002)]])
+    kinds = f"source_fid bigint, source_objectid bigint, nombre string, etiqueta string, habit_0502 double, tipo_0502 string, capit_0502 string, shape array<array<{RING}>>"
+    obs = [(n, 1, "SP", "A", "N", 40.0, x, "2024-01-01", "0100", "r", None, None, None, None, None, None, None, None, None, None) for n, x in ((1, -7.99), (2, -4.0), (3, 1.0))]
+    fields = "source_observation_id int, source_download_id int, dataset_type string, firms_source string, satellite string, latitude double, longitude double, acq_date string, acq_time string, bbox_region string"
+    fields += "".join(f", {n} string" for n in ("instrument", "confidence", "daynight", "version", "scan", "track", "bright_ti4", "bright_ti5", "frp", "observed_at"))
+
+    class Landing:
+        region_edges = Tables.region_edges
+
+        def __init__(self):
+            self.spark = spark
+
+        def settlement_src(self):
+            return spark.createDataFrame([row], kinds)
+
+        def hotspot_obs(self):
+            return spark.createDataFrame(obs, fields)
+
+    assert {tuple(r) for r in spatial_queries.g06(Landing()).collect()} == {(1, 1), (2, 1), (3, 1)}
+
+
 def test_settlement_tiles_are_made_by_many_tasks(spark):
     """One file of settlements is one split; its tiles come from all tasks, each once."""
 
