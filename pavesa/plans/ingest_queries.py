@@ -5,12 +5,12 @@ Queries that need landed files write them from the tables into the shared folder
 
 from __future__ import annotations
 
+import functools
 import gzip
-import io
 import json
 import tarfile
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pavesa import constants as K
@@ -106,9 +106,12 @@ def a04(t):
     return landing.archives_in_scope(t.warning_download(), "1998-01-10", "1998-01-20", 3).select("source_download_id")
 
 
-def cap_messages(t):
-    """One CAP message per warning record, with a second info in English."""
-    zones = t.zone().select("area_code", F.array_join(F.transform("ring", lambda p: F.concat_ws(",", p.y.cast("string"), p.x.cast("string"))), " ").alias("poly"))
+def zone_texts(t):
+    return t.zone().select("area_code", F.array_join(F.transform("ring", lambda p: F.concat_ws(",", p.y.cast("string"), p.x.cast("string"))), " ").alias("poly"))
+
+
+def cap_payload():
+    """The CAP message of a warning record and its zone's ``poly``, with a second info in English."""
     iso = lambda n: F.date_format(n, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
     pair = lambda tag, name, value: F.concat(F.lit(f"<{tag}><valueName>{name}</valueName><value>"), value, F.lit(f"</value></{tag}>"))
     tag = lambda name, value: F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
@@ -120,38 +123,63 @@ def cap_messages(t):
         pair("parameter", K.CAP_PARAMETER_NAME, F.concat(F.lit("TM;Maxima;"), temp, F.lit(" ºC"))),
         F.lit("<area>"), tag("areaDesc", c("area_name")), tag("polygon", c("poly")), pair("geocode", K.CAP_ZONE_NAME, c("area_code")), F.lit("</area></info>"),
     )
-    payload = F.concat(
+    return F.concat(
         F.lit('<?xml version="1.0" encoding="UTF-8"?><alert xmlns="urn:oasis:names:tc:emergency:cap:1.2">'), tag("identifier", c("cap_identifier")),
         tag("sent", iso("sent_at")), info("es-ES"), info("en-GB"), F.lit("</alert>"),
     )
+
+
+def cap_messages(t):
+    """One CAP message per warning record."""
     # A message costs far more than its record, so the records go to all tasks before they are written out.
     records = spatial.spread(t.warning_src(), "source_record_id")
-    return records.join(zones, "area_code").select("source_record_id", "cap_identifier", payload.alias("payload"))
+    return records.join(zone_texts(t), "area_code").select("source_record_id", "cap_identifier", cap_payload().alias("payload"))
+
+
+#: Archives handed on at a time.
+ARCHIVES = 256
 
 
 def packed(t):
     """Messages of one identifier packed as a gzipped tar inside a tar."""
-    groups = cap_messages(t).groupBy("cap_identifier").agg(F.collect_list("payload").alias("items"))
+    # Records meet by identifier while they are small; their messages are written out behind the shuffle and go straight into the archives.
+    records = t.warning_src().join(cut_lineage(zone_texts(t), "zones"), "area_code")
+    rows = spatial.spread(records, "cap_identifier").sortWithinPartitions("cap_identifier").select("cap_identifier", cap_payload().alias("payload"))
 
     def pack(batches):
+        @functools.lru_cache(4096)
+        def header(name, size):
+            info = tarfile.TarInfo(name)
+            info.size = size
+            return info.tobuf()
+
         def tar(members):
             """What ``TarFile.addfile`` writes, without a file object for each member."""
-            buffer = io.BytesIO()
-            for name, body in members:
-                info = tarfile.TarInfo(name)
-                info.size = len(body)
-                buffer.write(info.tobuf() + body + bytes(-len(body) % tarfile.BLOCKSIZE))
-            buffer.write(bytes(2 * tarfile.BLOCKSIZE))
-            return buffer.getvalue() + bytes(-buffer.tell() % tarfile.RECORDSIZE)
+            parts = [x for name, body in members for x in (header(name, len(body)), body, bytes(-len(body) % tarfile.BLOCKSIZE))]
+            whole = b"".join([*parts, bytes(2 * tarfile.BLOCKSIZE)])
+            return whole + bytes(-len(whole) % tarfile.RECORDSIZE)
 
-        for batch in batches:
-            content = []
-            for items in batch["items"]:
-                inner = tar([(f"m{i}.xml", x.encode()) for i, x in enumerate(items)] + [("note.txt", b"no message")])
-                content.append(tar([("inner.tar.gz", gzip.compress(inner, 1))]))
-            yield pd.DataFrame({"path": batch["cap_identifier"] + ".tar", "content": content})
+        def archive(items):
+            inner = tar([(f"m{i}.xml", x) for i, x in enumerate(items)] + [("note.txt", b"no message")])
+            return tar([("inner.tar.gz", gzip.compress(inner, 1))])
+
+        def rows_of(groups):
+            return pa.RecordBatch.from_arrays([pa.array([f"{k}.tar" for k, _ in groups], pa.string()), pa.array([archive(v) for _, v in groups], pa.binary())], ["path", "content"])
 
-    return groups.mapInPandas(pack, "path string, content binary")
+        groups = []
+        for batch in batches:
+            for key, payload in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+                if not groups or groups[-1][0] != key:
+                    if len(groups) >= ARCHIVES:
+                        yield rows_of(groups)
+                        groups = []
+                    groups.append((key, []))
+                if payload is not None:
+                    groups[-1][1].append(payload)
+        if groups:
+            yield rows_of(groups)
+
+    return rows.mapInArrow(pack, "path string, content binary")
 
 
 @query("a05_archive_unpack", with_views("warning_src", "SELECT cap_identifier||'.tar' AS path, count(*) AS members FROM warning_src GROUP BY cap_identifier"))

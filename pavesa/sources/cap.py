@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import gzip
 import io
+import re
 import tarfile
 import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,12 +26,21 @@ ALERT = f"identifier string, sent string, info {INFO}"
 LIVE_ALERT = "identifier string, info array<struct<event:string,onset:string,expires:string,area:array<struct<areaDesc:string,polygon:string>>>>"
 
 
-#: Messages handed on at a time; memory holds one member and these.
-MESSAGES = 200
+#: Messages, and their bytes, handed on at a time; memory holds these and one member, or one plain archive.
+MESSAGES, MESSAGE_BYTES = 2000, 4 << 20
 #: Members up to this size are read in one piece, larger ones as a stream.
 SMALL_MEMBER = 1 << 20
 #: First bytes of bzip2, xz and lzma.
 PACKED = (b"BZh", b"\xfd7zXZ", b"]\x00\x00")
+#: A plain archive unpacks to this many bytes at most, and nests so deep.
+PLAIN_BYTES, PLAIN_DEPTH = 16 << 20, 8
+#: What the usual writers put behind the name into the header of a file or folder: octal numbers, no link, no prefix.
+PLAIN_HEADER = re.compile(
+    rb"(?:[0-7]{7}\0){3}([0-7]{11})\0[0-7]{11}\0([0-7]{6})\0 ([05])\0{100}ustar(?:\x0000|  \0).{64}(?:[0-7]{7}\0|\0{8}){2}\0{155}", re.DOTALL
+)
+#: Eight bytes that can't be the checksum of a tar header.
+NO_CHECKSUM = re.compile(rb"(?![\x80\xff])[^\0]*?[^\0\s\x1c-\x1f0-7oO_+\-]")
+CHECKSUM = slice(148, 156)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -86,27 +96,108 @@ def _at_once(stream: BinaryIO, entry: tarfile.TarInfo) -> BinaryIO:
     return io.BytesIO(content)
 
 
+class _NotPlain(Exception):
+    """Something that ``members`` has to judge."""
+
+
+def plain_members(name: str, content: bytes) -> list[tuple[str, bytes]] | None:
+    """What ``members`` gives for a small whole archive of usual headers, without a file object for each member; None for any other."""
+    found: list[tuple[str, bytes]] = []
+    room = PLAIN_BYTES - len(content)
+
+    def take(name: str, body: bytes, depth: int) -> None:
+        nonlocal room
+        if body[:2] == b"\x1f\x8b":
+            unzip = zlib.decompressobj(31)
+            inner = unzip.decompress(body, max(room, 1))
+            room -= len(inner)
+            if not unzip.eof or unzip.unused_data or room < 0 or depth >= PLAIN_DEPTH:
+                raise _NotPlain
+            take(name, inner, depth + 1)
+        elif body.startswith(PACKED):
+            raise _NotPlain
+        elif _no_header(body):
+            if body.lstrip().startswith(b"<?xml"):
+                found.append((name, body))
+        elif depth >= PLAIN_DEPTH:
+            raise _NotPlain
+        else:
+            for inner_name, start, end in _plain_entries(body):
+                take(f"{name}/{inner_name}", body[start:end], depth + 1)
+
+    try:
+        if room < 0:
+            return None
+        take(name, content, 0)
+    except (_NotPlain, zlib.error, UnicodeDecodeError):
+        return None
+    return found
+
+
+def _no_header(body: bytes) -> bool:
+    """The first block surely isn't the header of a tar."""
+    if len(body) < tarfile.BLOCKSIZE or NO_CHECKSUM.match(body[CHECKSUM]):
+        return True
+    try:
+        tarfile.TarInfo.frombuf(body[: tarfile.BLOCKSIZE], tarfile.ENCODING, "surrogateescape")
+    except tarfile.EOFHeaderError:
+        return False
+    except tarfile.HeaderError:
+        return True
+    return False
+
+
+def _plain_entries(body: bytes) -> Iterator[tuple[str, int, int]]:
+    """Name and place of each file of a tar that is whole and has plain headers only."""
+    at, block = 0, tarfile.BLOCKSIZE
+    while True:
+        header = body[at : at + block]
+        if at and header == bytes(block):
+            return
+        plain = PLAIN_HEADER.match(header, 100)
+        if not plain or sum(header) - sum(header[CHECKSUM]) + 256 != int(plain[2], 8):
+            raise _NotPlain
+        size, start = int(plain[1], 8), at + block
+        if start + size > len(body) or (plain[3] == b"5" and size):
+            raise _NotPlain
+        if plain[3] == b"0":
+            yield header[:100].split(b"\0", 1)[0].decode(tarfile.ENCODING), start, start + size
+        at = start + -(-size // block) * block
+
+
+def _message_rows(found: list[tuple[str, str | None, bytes | None, str | None]]) -> pa.RecordBatch:
+    paths, names, bodies, errors = zip(*found)
+    try:
+        payloads = pa.array(bodies, pa.binary()).cast(pa.string())
+    except pa.ArrowInvalid:  # some text isn't UTF-8
+        payloads = pa.array([None if b is None else b.decode("utf-8", "replace") for b in bodies], pa.string())
+    texts = [pa.array(v, pa.string()) for v in (paths, names, errors)]
+    return pa.RecordBatch.from_arrays([texts[0], texts[1], payloads, texts[2]], ["path", "member_path", "payload", "error"])
+
+
 def unpack(archives: DataFrame) -> DataFrame:
     """``(path, content)`` rows to one row per XML member. A broken archive gives what could be read and a row with ``error``."""
-    columns = ["path", "member_path", "payload", "error"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Rows of many small archives go on together: a frame for each archive costs more than reading it.
-        found = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows of many small archives go on together: a batch for each archive costs more than reading it.
+        found, held = [], 0
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                name, content = path.rsplit("/", 1)[-1], content.as_py() or b""
+                read = plain_members(name, content)
                 try:
-                    for name, body in members(path.rsplit("/", 1)[-1], io.BytesIO(content)):
-                        found.append((path, name, body.decode("utf-8", "replace"), None))
-                        if len(found) >= MESSAGES:
-                            yield pd.DataFrame(found, columns=columns)
-                            found = []
+                    for member, body in members(name, io.BytesIO(content)) if read is None else read:
+                        found.append((path, member, body, None))
+                        held += len(body)
+                        if len(found) >= MESSAGES or held >= MESSAGE_BYTES:
+                            yield _message_rows(found)
+                            found, held = [], 0
                 except (OSError, EOFError, zlib.error, tarfile.TarError) as broken:
                     found.append((path, None, None, f"{type(broken).__name__}: {broken}"))
         if found:
-            yield pd.DataFrame(found, columns=columns)
+            yield _message_rows(found)
 
-    return archives.mapInPandas(run, "path string, member_path string, payload string, error string")
+    return archives.select("path", "content").mapInArrow(run, "path string, member_path string, payload string, error string")
 
 
 def parsed(messages: DataFrame, schema: str) -> DataFrame:

@@ -1,16 +1,18 @@
 """Maintenance, incremental refresh, parsing of landed files, reports."""
 
+import bz2
 import gzip
 import hashlib
 import io
 import json
 import tarfile
+import zlib
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from pavesa.operators import canonical, lookup, merge, quality, raster, series
-from pavesa.plans import reports
+from pavesa.plans import ingest_queries, reports
 from pavesa.session import scratch_path
 from pavesa.sources import cap, landing
 from pavesa.streaming import feed, refresh
@@ -260,6 +262,92 @@ def test_small_archives_are_not_probed_member_by_member(spark, monkeypatch):
     assert sorted(r["path"] for r in rows) == sorted(f"a{i}" for i in range(50) for _ in range(2))
 
 
+def odd_archives():
+    """Archives that the short way must read as the long one does, or leave to it."""
+    xml = [(f"m{i}.xml", f"<?xml {i}".encode() * 60) for i in range(3)]
+    usual = tar_of([*xml, ("note.txt", b"no message"), ("empty", b""), ("blank.xml", b" " * 600 + b"<?xml z")])
+
+    def written(kind, entries):
+        buffer = io.BytesIO()
+        with tarfile.open(fileobj=buffer, mode="w", format=kind) as archive:
+            for name, body, change in entries:
+                info = tarfile.TarInfo(name)
+                info.size = len(body)
+                for k, v in change.items():
+                    setattr(info, k, v)
+                archive.addfile(info, io.BytesIO(body))
+        return buffer.getvalue()
+
+    mixed = [("folder", b"", {"type": tarfile.DIRTYPE, "mtime": 1.7e9}), ("folder/a.xml", b"<?xml a", {"mtime": 1.7e9, "uname": "me", "uid": 1000}), ("link.xml", b"", {"type": tarfile.SYMTYPE, "linkname": "folder/a.xml"}), ("b.xml", b"<?xml \xff\xfe", {})]
+    deep = b"<?xml deep"
+    for _ in range(12):
+        deep = gzip.compress(deep)
+    nested = tar_of([("in.tar.gz", gzip.compress(usual)), ("in.tar", usual), ("x.xml.gz", gzip.compress(b"<?xml x")), ("x.bz2", bz2.compress(b"<?xml no"))])
+    wrong = bytearray(usual)
+    wrong[1024 + 5] ^= 1  # the name in the second header
+    cut_size = bytearray(tar_of([("a.xml", b"<?xml a")]))
+    cut_size[124:136] = b"00000zzzzzz\0"
+    found = {
+        "usual": usual, "gz": gzip.compress(usual), "nested": nested, "deep": deep, "gnu": written(tarfile.GNU_FORMAT, mixed), "pax": written(tarfile.PAX_FORMAT, [*mixed, ("n" * 150 + ".xml", b"<?xml long", {}), ("ñ.xml", b"<?xml n", {})]),
+        "ustar": written(tarfile.USTAR_FORMAT, [*mixed[:3], ("d" * 80 + "/" + "n" * 50 + ".xml", b"<?xml long", {})]), "wrong": bytes(wrong), "size": bytes(cut_size), "cut": usual[:1500], "cut header": usual[:1100], "no end": usual[:3072],
+        "bad gz": gzip.compress(usual)[:-9], "two gz": gzip.compress(b"<?xml 1") + gzip.compress(b" more"), "after gz": gzip.compress(b"<?xml 1") + b"zzz", "gz zeros": gzip.compress(b"<?xml 1") + bytes(9), "xml": b"  <?xml plain", "text": b"no", "none": b"", "no members": tar_of([]), "zeros": bytes(700), "zeros inside": tar_of([xml[0], ("zeros", bytes(1024))]),
+        "folders": written(tarfile.GNU_FORMAT, mixed[:2]),
+    }
+    return found
+
+
+def long_way(name, content):
+    rows = []
+    try:
+        rows += [(n, b.decode("utf-8", "replace"), None) for n, b in cap.members(name, io.BytesIO(content))]
+    except (OSError, EOFError, zlib.error, tarfile.TarError) as broken:
+        rows.append((None, None, f"{type(broken).__name__}: {broken}"))
+    return rows
+
+
+def test_plain_archives_are_read_the_short_way(spark, monkeypatch):
+    archives = odd_archives()
+    want = {(f"p/{name}", *row) for name, content in archives.items() for row in long_way(name, content)}
+    rows = cap.unpack(spark.createDataFrame([(f"p/{n}", bytearray(b)) for n, b in archives.items()], "path string, content binary")).collect()
+    assert len(rows) == len(want) > 25 and {tuple(r) for r in rows} == want
+    exact = {name: list(cap.members(name, io.BytesIO(content))) for name, content in archives.items() if name in ("usual", "gz", "folders", "size", "xml", "text", "none")}
+    inside = tar_of([("in.tar.gz", gzip.compress(tar_of([("a.xml", b"<?xml a"), ("note.txt", b"no")])))])
+    monkeypatch.setattr(tarfile, "open", lambda *a, **k: 1 / 0)
+    monkeypatch.setattr(gzip, "GzipFile", lambda *a, **k: 1 / 0)
+    short = {name: cap.plain_members(name, content) for name, content in archives.items()}
+    assert {name: short[name] for name in exact} == exact and len(exact["usual"]) == 4
+    assert cap.plain_members("p", inside) == [("p/in.tar.gz/a.xml", b"<?xml a")]
+    assert all(short[name] is None for name in ("deep", "pax", "wrong", "cut", "bad gz", "two gz", "after gz", "gz zeros", "zeros", "zeros inside"))
+
+
+def test_large_archives_take_the_long_way(spark, monkeypatch):
+    monkeypatch.setattr(cap, "PLAIN_BYTES", 5000)
+    tar = tar_of([("a.xml", b"<?xml a"), ("b.xml", b"<?xml b" + bytes(9000))])
+    assert cap.plain_members("p", tar) is None and cap.plain_members("p", gzip.compress(tar)) is None
+    assert cap.plain_members("p", gzip.compress(b"<?xml a")) == [("p", b"<?xml a")]
+
+
+def test_messages_are_written_behind_the_shuffle(spark):
+    """Records of one identifier make one archive, whose messages were never shuffled; a record that gives no message counts for nothing."""
+    t0 = datetime(2025, 7, 1)
+    records = [(i, f"C{i % 3}", "AT", f"Z{i % 2}", "Zona", "Rojo", None if i == 7 else 30.0, t0, t0, t0) for i in range(12)]
+
+    class Landing:
+        def warning_src(self):
+            return spark.createDataFrame(records, "source_record_id bigint, cap_identifier string, phenomenon_code string, area_code string, area_name string, level_label string, temperature_max_c double, onset_at timestamp, expires_at timestamp, sent_at timestamp")
+
+        def zone(self):
+            return spark.createDataFrame([(f"Z{i}", [(0.0, 1.0), (2.0, 3.0)]) for i in range(2)], "area_code string, ring array<struct<x:double,y:double>>")
+
+    made = ingest_queries.packed(Landing())
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "MapInArrow" in plan
+    messages = cap.unpack(made).collect()
+    assert sorted((r["path"], r["member_path"]) for r in messages) == sorted((f"C{k}.tar", f"C{k}.tar/inner.tar.gz/m{i}.xml") for k in range(3) for i in range(3 if k == 1 else 4))
+    wanted = ingest_queries.cap_messages(Landing()).filter("payload IS NOT NULL").collect()
+    assert sorted(r["payload"] for r in messages) == sorted(r["payload"] for r in wanted) and "".join(r["payload"] for r in wanted).count("<polygon>1.0,0.0 3.0,2.0<") == 22
+
+
 def test_alert_text_is_parsed_once(spark):
     messages = spark.createDataFrame([(1, CAP_XML.format(1)), (2, "<?xml broken")], "n int, payload string")
     for parse in (cap.parse, cap.parse_live):
