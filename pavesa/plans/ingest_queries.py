@@ -568,7 +568,7 @@ def refreshed(t):
         downloads = t.warning_download().select("source_download_id", "source_file_path", "request_elaboration_to")
         rows = t.warning_src().join(downloads, "source_download_id")
         for half in (1, 0):
-            rows.filter(c("source_download_id") % 2 == half).repartition(2 * FILES).write.mode("append").parquet(landing_dir)
+            rows.filter(c("source_download_id") % 2 == half).repartition(2 * FILES, "source_record_id").write.mode("append").parquet(landing_dir)
             job = refresh.run_refresh(t.spark, landing_dir, rows.schema, root, files_per_batch=FILES, buckets=8)
         done[t.sf_dir] = job
     return done[t.sf_dir]

@@ -52,11 +52,10 @@ class WarningRefresh:
         self._staged.append(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
-    def _write(self, name: str, rows: DataFrame, partition: str, touched: list[int], derived: bool) -> None:
-        """Rows ``derived`` from the table itself are staged first; others are written once."""
+    def _write(self, name: str, rows: DataFrame, partition: str, touched: list[int]) -> None:
+        """Rows may be read from the table itself: its partitions are replaced when all tasks have written."""
         marks = self.spark.createDataFrame([(x,) for x in touched], f"{partition} int")
-        rows = rows.unionByName(marks, allowMissingColumns=True)
-        overwrite_partitions(self._stage(rows, name) if derived else rows, self.path(name), partition, derived=False)
+        overwrite_partitions(rows.unionByName(marks, allowMissingColumns=True), self.path(name), partition, derived=False)
 
     def _bucket(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn("bucket", F.pmod(F.xxhash64(*KEY), F.lit(self.buckets)).cast("int"))
@@ -80,13 +79,12 @@ class WarningRefresh:
         due = self._stage(self._bucket((source if keys is None else keys).select(*KEY).distinct()), "due")
         buckets = [r["bucket"] for r in due.select("bucket").distinct().collect()]  # as many as there are buckets at most
         if buckets:
-            stored = source.filter(F.col("bucket").isin(buckets)).join(due, [*KEY, "bucket"], "left_semi")
-            downloads = stored.select("source_download_id", "source_file_path", "request_elaboration_to").distinct()
-            versions = stored.drop("source_file_path", "request_elaboration_to", "bucket", "batch")
-            fresh = self._stage(self._bucket(canonical.canonical_warnings(versions, downloads)), "fresh")
+            # The keys alone are joined on, so that rows meet in the order in which the versions of a key are then compared.
+            versions = source.filter(F.col("bucket").isin(buckets)).drop("bucket", "batch").join(due, KEY, "left_semi")
+            fresh = self._stage(self._bucket(canonical.canonical_warnings(versions, None)), "fresh")
             self._queue(due, fresh, buckets, batch_id)
             self._refresh_core(due, fresh, buckets)
-            self._refresh_days(due, fresh, batch_id)
+            self._refresh_days(due, fresh, buckets, batch_id)
         for path in self._staged:
             discard(self.spark, path)
         self._staged = []
@@ -100,21 +98,21 @@ class WarningRefresh:
         rows = canonical.explode_days(fresh.drop("bucket")).select(*KEY, "valid_date")
         core = self.table("core")
         if core is not None:
-            old = core.filter(F.col("bucket").isin(buckets)).join(due, [*KEY, "bucket"], "left_semi")
+            old = core.filter(F.col("bucket").isin(buckets)).join(due, KEY, "left_semi")
             rows = rows.unionByName(canonical.explode_days(old.drop("bucket")).select(*KEY, "valid_date"))
         earlier = self._queued(batch_id)
         if earlier is not None:
             rows = rows.unionByName(earlier.select(*KEY, "valid_date"))
         rows = rows.distinct().withColumn("batch", F.lit(batch_id).cast("int"))
-        overwrite_partitions(self._stage(rows, "queued"), self.path("queue"), "batch", derived=False)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(self.path("queue"))
 
     def _refresh_core(self, due: DataFrame, fresh: DataFrame, buckets: list[int]) -> None:
         core, rows = self.table("core"), fresh
         if core is not None:
-            rows = core.filter(F.col("bucket").isin(buckets)).join(due, [*KEY, "bucket"], "left_anti").unionByName(fresh)
-        self._write("core", rows, "bucket", buckets, derived=core is not None)
+            rows = core.filter(F.col("bucket").isin(buckets)).join(due, KEY, "left_anti").unionByName(fresh)
+        self._write("core", rows, "bucket", buckets)
 
-    def _refresh_days(self, due: DataFrame, fresh: DataFrame, batch_id: int) -> None:
+    def _refresh_days(self, due: DataFrame, fresh: DataFrame, buckets: list[int], batch_id: int) -> None:
         queued = self._queued(batch_id)
         if queued is None:
             return
@@ -122,15 +120,18 @@ class WarningRefresh:
         months = [r["month"] for r in dates.select("month").distinct().collect()]  # bounded by the calendar
         if not months:
             return
-        days, old_days, old_pub = _month(canonical.explode_days(fresh.drop("bucket"))), self.table("core_day"), self.table("pub")
-        if old_days is not None:
+        # A batch with keys in all buckets has just rewritten all of core, which then gives the days without a look at the old ones.
+        whole = len(buckets) == self.buckets
+        days = _month(canonical.explode_days((self.table("core") if whole else fresh).drop("bucket"))).filter(F.col("month").isin(months))
+        old_days, old_pub = self.table("core_day"), self.table("pub")
+        if old_days is not None and not whole:
             days = old_days.filter(F.col("month").isin(months)).join(due, KEY, "left_anti").unionByName(days)
-        self._write("core_day", days, "month", months, derived=old_days is not None)
+        self._write("core_day", days, "month", months)
         current = self.table("core_day").filter(F.col("month").isin(months)).join(dates, ["month", "valid_date"], "left_semi")
         pub = _month(canonical.daily_features(current.drop("month")))
         if old_pub is not None:
             pub = old_pub.filter(F.col("month").isin(months)).join(dates, ["month", "valid_date"], "left_anti").unionByName(pub)
-        self._write("pub", pub, "month", months, derived=old_pub is not None)
+        self._write("pub", pub, "month", months)
 
 
 def run_refresh(spark: SparkSession, landing: str, schema: T.StructType, root: str, files_per_batch: int = 1, buckets: int = 64) -> WarningRefresh:

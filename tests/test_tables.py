@@ -9,6 +9,7 @@ import tarfile
 import zlib
 from datetime import datetime, timedelta
 
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from pavesa.operators import canonical, lookup, merge, quality, raster, series
@@ -113,6 +114,36 @@ def test_refresh_reads_touched_partitions(spark):
     assert "PartitionFilters: [bucket" in plan.replace("isnotnull(", "").replace("(", "")
 
 
+def test_batches_write_each_table_once(spark, monkeypatch):
+    """Only the keys, versions and dates of a batch are stored aside. Days are the same, come they from core or from the old days."""
+    staged, real = [], refresh.WarningRefresh._stage
+    monkeypatch.setattr(refresh.WarningRefresh, "_stage", lambda self, rows, label: staged.append(label) or real(self, rows, label))
+    days = []
+    for buckets in (1, 64):  # all buckets are touched by each batch, or few
+        job = refresh.WarningRefresh(spark, scratch_path(spark, "t-once"), buckets)
+        for i, batch in enumerate([*BATCHES, *moved()]):
+            job.apply(spark.createDataFrame(batch, RECORD), i)
+        assert_rebuilt(spark, job, [row for batch in [*BATCHES, *moved()] for row in batch])
+        days.append(keyed(job.table("core_day"), "cap_identifier", "area_code", "valid_date", "warning_id", "month"))
+        queued = keyed(job.table("queue").filter("batch = 4"), "cap_identifier", "valid_date")
+        assert [str(d) for _, d in queued] == ["2025-07-01", "2026-01-17"]  # of the version replaced and of the new one
+    assert days[0] == days[1] and len(days[0]) > 8
+    assert set(staged) == {"due", "fresh", "dates"}
+
+
+def test_failed_write_leaves_the_table(spark):
+    job = refresh.WarningRefresh(spark, scratch_path(spark, "t-kept"), 2)
+    job.apply(spark.createDataFrame(BATCHES[0], RECORD), 0)
+    before = keyed(job.table("core"), "cap_identifier", "warning_id")
+    broken = job.table("core").withColumn("warning_id", F.when(F.col("cap_identifier") == "c2", F.raise_error(F.lit("broken")).cast("bigint")).otherwise(F.col("warning_id")))
+    try:
+        job._write("core", broken, "bucket", [0, 1])
+        raise AssertionError("the write went on")
+    except PySparkException:
+        pass
+    assert keyed(job.table("core"), "cap_identifier", "warning_id") == before and len(before) == 3
+
+
 def test_best_per_key_equals_window(spark):
     rows = spark.createDataFrame([(i % 7, i % 3 or None, i) for i in range(200)], "k int, r int, id int")
     order = [F.col("r").asc_nulls_last(), F.col("id").desc()]
