@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pavesa.functions import geo
 from pavesa.operators.spatial import spread
+from pavesa.session import cut_lineage
 
 LEVELS = [0.5, 0.0625, 0.0078125, 0.0009765625]
 #: Cells above these, from which a search without a limit starts: a hundred of the first cover all degrees.
@@ -104,7 +105,8 @@ def nearest_shape(points: DataFrame, shapes: DataFrame, reach: Reach, exact_m: f
 
     px, py = F.col("px"), F.col("py")
     size = LEVELS[0]
-    top = _boxes(s, *far, "k0")
+    # The cells above come from the stored boxes of the first level, so the plan holds the shapes no more often than with a limit.
+    top = cut_lineage(_boxes(s, *far, "k0"), "boxes") if far else _boxes(s, "k0")
     # Many rows share one place; each place is measured once.
     placed = points.select("px", "py").distinct().select("px", "py", F.floor(px / TOGETHER).alias("qx"), F.floor(py / TOGETHER).alias("qy"))
     around = lambda low, high: F.struct(*(f(F.col(n)).alias(k) for f, n, k in ((F.min, low[0], "minx"), (F.min, low[1], "miny"), (F.max, high[0], "maxx"), (F.max, high[1], "maxy")))).alias("at")
